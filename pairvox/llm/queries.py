@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pairvox.llm import bpe, license_scan, line_dedup, packing, sharding, transport_stream
+from pairvox.llm import bpe, jaccard_join, license_scan, line_dedup, packing, sharding, transport_stream
 
 QUERIES = {
     "op1_interleave_shards": sharding.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_license_scan": license_scan.query,
     "op6_minimum_slack_packing": packing.query,
     "op8_rank_queue_bpe": bpe.query,
+    "op9_grouped_prefix_join": jaccard_join.query,
 }
 
 ORACLE_SQL = {"op4_site_line_dedup": line_dedup.ORACLE_SQL}
