@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pairvox.llm import bpe, jaccard_join, license_scan, line_dedup, packing, sharding, transport_stream
+from pairvox.llm import bpe, jaccard_join, license_scan, line_dedup, packing, sharding, suffix_dedup, transport_stream
 
 QUERIES = {
     "op1_interleave_shards": sharding.query,
     "op2_transport_stream": transport_stream.query,
+    "op3_suffix_array_dedup": suffix_dedup.query,
     "op4_site_line_dedup": line_dedup.query,
     "op5_license_scan": license_scan.query,
     "op6_minimum_slack_packing": packing.query,
