@@ -5,16 +5,17 @@ from __future__ import annotations
 import base64
 from array import array
 from collections.abc import Iterator
-from heapq import heappop, heappush
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairvox.llm.common import table
+from pairvox.llm.repeated import runs
 
-#: Pre-tokens that a worker keeps with their ids; at the bound it starts anew, so memory is bounded and results are the same.
-CACHE_ENTRIES = 400_000
+#: Pre-tokens of a cache generation, and characters that are encoded at once: memory is bounded, results are the same.
+CACHE_ENTRIES, RUN_CHARS = 250_000, 3_000_000
 
 
 class RankQueue:
@@ -33,7 +34,7 @@ class RankQueue:
 
     def push(self, rank: int, place: int) -> None:
         if (bucket := self.buckets.get(rank)) is not None:
-            heappush(bucket, place)
+            bucket.append(place)
             return
         self.buckets[rank] = [place]
         a, b = rank >> 6, rank >> 12
@@ -51,19 +52,21 @@ class RankQueue:
         word = self.low[a]
         return a << 6 | (word & -word).bit_length() - 1
 
-    def close(self, rank: int) -> None:
-        """Takes a bucket without entries out of all levels."""
-        del self.buckets[rank]
+    def take(self, rank: int) -> list[int]:
+        """The places of a bucket in order; the bucket is taken out of all levels."""
+        bucket = self.buckets.pop(rank)
+        bucket.sort()
         a, b = rank >> 6, rank >> 12
         if word := self.low[a] & ~(1 << (rank & 63)):
             self.low[a] = word
-            return
+            return bucket
         del self.low[a]
         if word := self.mid[b] & ~(1 << (a & 63)):
             self.mid[b] = word
-            return
+            return bucket
         del self.mid[b]
         self.top &= ~(1 << b)
+        return bucket
 
 
 class BytePairEncoder:
@@ -74,70 +77,120 @@ class BytePairEncoder:
 
         self.ranks, self.words = ranks, regex.compile(pattern)
         self.bytes_of = {v: k for k, v in ranks.items()}
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.double = np.array([ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)], np.int64)
+        #: Rank of two tokens in a row that make a token, by their ranks.
+        self.pairs = {a << 32 | b: r for t, r in ranks.items() for i in range(1, len(t)) if (a := ranks.get(t[:i])) is not None and (b := ranks.get(t[i:])) is not None}
 
     @classmethod
     def from_file(cls, path: str, pattern: str) -> BytePairEncoder:
         with open(path, "rb") as f:
             return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, pattern)
 
-    def merge(self, piece: bytes) -> list[int]:
-        """The ids of one pre-token."""
-        ranks = self.ranks
-        if (whole := ranks.get(piece)) is not None:
-            return [whole]
-        n = len(piece)
+    def merge(self, pieces: list[bytes]) -> list[list[int]]:
+        """The ids of each pre-token. All of them stand in one list, with walls between, and share one queue."""
+        rank_of, joint = self.ranks.get, self.pairs.get
+        data = b"".join(pieces)
+        n = len(data)
+        wall = bytearray(n + 1)
+        at = 0
+        for p in pieces:
+            wall[at] = 1
+            at += len(p)
+        wall[n] = 1
         end = list(range(1, n + 1))  # where the part that begins at a place ends; parts are linked by end and before
         before = list(range(-1, n))
-        wants = [-1] * n  # the rank at which a part would merge with the next one
+        letters = np.frombuffer(data, np.uint8)
+        ids = self.single[letters].tolist()
+        first = self.double[letters[:-1].astype(np.int64) << 8 | letters[1:]] if n else letters.astype(np.int64)
+        first[np.frombuffer(wall, np.uint8)[1:n] > 0] = -1
+        wants = [*first.tolist(), -1]  # the rank at which a part would merge with the next one
         queue = RankQueue()
-        buckets = queue.buckets
-        for i in range(n - 1):
-            if (r := ranks.get(piece[i : i + 2])) is not None:
-                wants[i] = r
-                if r in buckets:
-                    buckets[r].append(i)  # places come in order: a heap already
-                else:
-                    queue.push(r, i)
+        buckets, push = queue.buckets, queue.push
+        waiting = np.flatnonzero(first >= 0)
+        waiting = waiting[np.argsort(first[waiting], kind="stable")]
+        cuts = [*np.flatnonzero(np.diff(first[waiting], prepend=-1)).tolist(), len(waiting)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            push(wants[waiting[a]], 0)
+            buckets[wants[waiting[a]]][:] = waiting[a:b].tolist()
         while (r := queue.lowest()) >= 0:
-            bucket = buckets[r]
-            i = heappop(bucket)
-            if not bucket:
-                queue.close(r)
-            if wants[i] != r:
-                continue  # stale: a neighbour has merged since
-            j = end[i]
-            e = end[i] = end[j]
-            wants[j] = wants[i] = -1
-            if e < n:
-                before[e] = i
-                if (s := ranks.get(piece[i : end[e]])) is not None:
-                    wants[i] = s
-                    queue.push(s, i)
-            if (h := before[i]) >= 0:
-                wants[h] = -1
-                if (s := ranks.get(piece[h:e])) is not None:
-                    wants[h] = s
-                    queue.push(s, h)
+            bucket = queue.take(r)
+            for k, i in enumerate(bucket):
+                if wants[i] != r:
+                    continue  # stale: a neighbour has merged since
+                j = end[i]
+                e = end[i] = end[j]
+                ids[i] = r
+                wants[j] = -1
+                lowest = r
+                if wall[e]:
+                    wants[i] = -1
+                else:
+                    before[e] = i
+                    if (s := joint(r << 32 | ids[e])) is None:
+                        wants[i] = -1
+                    else:
+                        wants[i] = s
+                        if s in buckets:
+                            buckets[s].append(i)
+                        else:
+                            push(s, i)
+                        if s < r:
+                            lowest = s
+                if not wall[i]:
+                    h = before[i]
+                    if (s := joint(ids[h] << 32 | r)) is None:
+                        wants[h] = -1
+                    else:
+                        wants[h] = s
+                        if s in buckets:
+                            buckets[s].append(h)
+                        else:
+                            push(s, h)
+                        if s < r:
+                            lowest = s
+                if lowest < r and k + 1 < len(bucket):  # a lower rank has come up: it goes first
+                    for i in bucket[k + 1 :]:
+                        push(r, i)
+                    break
         out, i = [], 0
-        while i < n:
-            out.append(ranks[piece[i : end[i]]])
-            i = end[i]
+        for p in pieces:
+            stop = i + len(p)
+            if (whole := rank_of(p)) is not None:
+                out.append([whole])
+                i = stop
+                continue
+            own = []
+            while i < stop:
+                own.append(ids[i])
+                i = end[i]
+            out.append(own)
         return out
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-class _Cache(dict):
-    """Pre-token to its ids as little-endian unsigned 32-bit integers."""
+class _Cache:
+    """Ids of pre-tokens as little-endian unsigned 32-bit integers. Two generations: what the younger one holds stays in use, the older one goes."""
 
     def __init__(self, encoder: BytePairEncoder) -> None:
-        self.encoder = encoder
-
-    def __missing__(self, word: str) -> bytes:
-        ids = array("I", self.encoder.merge(word.encode()))
-        out = self[word] = ids.tobytes()
-        return out
+        self.encoder, self.young, self.old = encoder, {}, {}
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        split = [self.encoder.words.findall(t) for t in texts]
+        if len(self.young) > CACHE_ENTRIES:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        missing = []
+        for w in set().union(*split).difference(young):
+            if (ids := old.get(w)) is None:
+                missing.append(w)
+            else:
+                young[w] = ids
+        for w, ids in zip(missing, self.encoder.merge([w.encode() for w in missing]), strict=True):
+            young[w] = array("I", ids).tobytes()
+        return [b"".join(map(young.__getitem__, words)) for words in split]
 
 
 _ENCODERS: dict[tuple[str, str], tuple[BytePairEncoder, _Cache]] = {}
@@ -159,15 +212,10 @@ def encode_ids(df: DataFrame, *, path: str, pattern: str, key: str = "doc_id", t
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, cache = _encoder(path, pattern)
-        words = encoder.words.findall
+        cache = _encoder(path, pattern)[1]
         for pdf in batches:
-            ids = []
-            for x in pdf["_text"]:
-                ids.append(b"".join(map(cache.__getitem__, words(x or ""))))
-                if len(cache) > CACHE_ENTRIES:
-                    cache.clear()
-            yield pd.DataFrame({key: pdf[key], "ids": ids})
+            for part in runs(pdf, "_text", RUN_CHARS):
+                yield pd.DataFrame({key: part[key].to_numpy(), "ids": cache.encode([x or "" for x in part["_text"]])})
 
     return df.select(key, F.col(text).alias("_text")).mapInPandas(run, f"`{key}` {df.schema[key].dataType.simpleString()}, ids binary")
 
