@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pairvox.llm import bpe, jaccard_join, license_scan, line_dedup, packing, sharding, suffix_dedup, transport_stream
+from pairvox.llm import bpe, itq_dedup, jaccard_join, license_scan, line_dedup, packing, quality, sharding, suffix_dedup, transport_stream
 
 QUERIES = {
     "op1_interleave_shards": sharding.query,
@@ -11,8 +11,10 @@ QUERIES = {
     "op4_site_line_dedup": line_dedup.query,
     "op5_license_scan": license_scan.query,
     "op6_minimum_slack_packing": packing.query,
+    "op7_itq_near_vectors": itq_dedup.query,
     "op8_rank_queue_bpe": bpe.query,
     "op9_grouped_prefix_join": jaccard_join.query,
+    "op10_cotrained_quality": quality.query,
 }
 
 ORACLE_SQL = {"op4_site_line_dedup": line_dedup.ORACLE_SQL}
