@@ -9,12 +9,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairvox.llm.common import connected_components, cut, table, written
+from pairvox.llm.common import connected_components, table, written
 from pairvox.llm.hashing import Substrings, sequence_hash
-from pairvox.llm.repeated import key_bits, repeated_keys
+from pairvox.llm.repeated import documents_with_keys, homes, key_bits, unpacked_list
 
 #: Documents of a block; a cluster with more is split into blocks, and each pair of blocks is a task of its own.
-BLOCK = 1200
+BLOCK = 2000
+
+#: Pairs of documents that share a shingle from which it is counted by matrix products.
+SPARSE = 400
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -62,8 +65,8 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 80, ke
     1. A packed exchange tells each document which of its shingles others hold too. A document that holds fewer
        repeated ones than percent of its set can link with nothing; it is done. Intersections consist of repeated
        shingles alone, so no full set is needed again.
-    2. Equal sets are one class. Its shingles are ordered, those of one document first and then by hash, the same way
-       everywhere; documents with equal prefixes and sizes form a group, and only groups enter the prefix index.
+    2. Equal sets are one class. Its shingles are ordered the same way everywhere: those of one document first, then by how
+       common they are, then by hash; documents with equal prefixes and sizes form a group, and only groups enter the prefix index.
     3. Groups that share a prefix shingle are joined into clusters (stars, then contraction). Within a cluster group
        pairs are filtered by size and prefix, expanded, and their members verified exactly, in blocks of bounded size;
        each block hands on a spanning forest of its links. The forests' components are the result.
@@ -73,17 +76,16 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 80, ke
     """
     spark = docs.sparkSession
     nameless, docs = docs.filter(F.col(key).isNull()), docs.filter(F.col(key).isNotNull())
-    bits = key_bits(docs.count())
-    rows = written(repeated_keys(docs, lambda texts: shingle_sets(texts, width), bits=bits, key=key, text=text), "shingles")
-    facts = rows.filter("key IS NULL").select("doc_id", "n", "digest_a", "digest_b")
+    total = docs.count()
+    enough = lambda n: np.maximum(1, (n * percent + 99) // 100)  # of n shingles so many are in any intersection that suffices
+    rows = documents_with_keys(docs, lambda texts: shingle_sets(texts, width), bits=key_bits(total), n_homes=homes(total), least=enough, key=key, text=text)
+    rows = written(rows, "shingles")
+    facts = rows.select("doc_id", "n", "digest_a", "digest_b")
     classes = facts.filter("n > 0").groupBy("n", "digest_a", "digest_b").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"))
 
-    least = F.expr(f"(n * {percent} + 99) div 100")  # of n shingles so many are in any intersection that suffices
-    tokens = rows.filter("key IS NOT NULL").groupBy("doc_id").agg(F.sort_array(F.collect_set("key")).alias("tokens"))
-    members = classes.join(tokens, classes["rep"] == tokens["doc_id"]).filter(F.size("tokens") >= least)
-    prefix = F.slice("tokens", F.lit(1), F.expr(f"cast(size(tokens) - (n * {percent} + 99) div 100 + 1 AS int)"))
-    members = members.select("rep", "n", "tokens", F.xxhash64("n", prefix).alias("grp"), prefix.alias("prefix"))
-    members = written(members, "members")
+    tokens = rows.filter("keys IS NOT NULL").groupBy("doc_id").agg(F.max("keys").alias("keys"), F.max("lead").alias("prefix"))
+    members = classes.join(tokens, classes["rep"] == tokens["doc_id"])
+    members = written(members.select("rep", "n", "keys", F.xxhash64("n", "prefix").alias("grp"), "prefix"), "members")
 
     groups = members.groupBy("grp").agg(F.min("rep").alias("gid"))
     index = members.join(groups, "grp").filter("rep = gid").select("gid", F.explode("prefix").alias("token"))
@@ -91,16 +93,16 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 80, ke
     stars = index.join(heads, "token").filter("gid <> head").select(F.col("gid").alias("a"), F.col("head").alias("b")).distinct()
     clusters = connected_components(stars).withColumnRenamed("node", "gid")
 
-    located = members.join(groups, "grp").join(clusters, "gid", "left").withColumn("cluster", F.coalesce("component", "gid"))
+    located = members.select("rep", "n", "grp").join(groups, "grp").join(clusters, "gid", "left").withColumn("cluster", F.coalesce("component", "gid"))
     sizes = located.groupBy("cluster").agg(F.count("*").alias("size")).filter("size > 1")
-    located = cut(located.join(sizes, "cluster").select("cluster", "size", "rep", "gid", "n", "prefix", "tokens"))
-    blocks = F.expr(f"cast((size + {block - 1}) div {block} AS int)")
+    located = written(located.join(sizes, "cluster").select("cluster", "size", "rep", "gid", "n"), "clusters")
     n_tasks = max(1, located.count() // 1000)
-    located = located.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    located = located.withColumn("other", F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
+    located = located.withColumn("blocks", F.expr(f"cast((size + {block - 1}) div {block} AS int)"))
+    located = located.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).join(members.select("rep", "keys"), "rep")
+    located = located.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pair = F.struct(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(n_tasks))).otherwise(F.xxhash64("cluster", pair))
-    jobs = located.select(task.alias("task"), "cluster", "rep", "gid", "n", "prefix", "tokens", pair["i"].alias("i"), pair["j"].alias("j"))
+    jobs = located.select(task.alias("task"), "cluster", "rep", "gid", "n", "keys", "own", pair["i"].alias("i"), pair["j"].alias("j"))
     links = jobs.groupBy("task", "i", "j").applyInPandas(lambda pdf: _forest(pdf, percent), "a long, b long")
     components = connected_components(links)
 
@@ -114,62 +116,86 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 80, ke
 
 
 def _forest(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """A spanning forest of the links within each cluster of a task."""
+    """A spanning forest of the links within each cluster of a task, or between two blocks of one."""
     edges: list[tuple[int, int]] = []
     for _, own in pdf.groupby("cluster", sort=False):
-        own = own.drop_duplicates("rep").sort_values(["n", "rep"])
-        if len(own) > 1:
-            edges += _links(own, percent)
+        own = own.drop_duplicates("rep").sort_values("rep")
+        i, j = own["i"].iloc[0], own["j"].iloc[0]
+        sides = (own, own) if i == j else (own[own["own"] == i], own[own["own"] == j])
+        if len(own) > 1 and len(sides[0]) and len(sides[1]):
+            edges += _links(*sides, percent, i == j)
     return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
 
 
-def _links(own: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
-    reps, n = own["rep"].to_numpy(np.int64), own["n"].to_numpy(np.int64)
-    gid, group = np.unique(own["gid"].to_numpy(np.int64), return_inverse=True)
-    leads = np.zeros(len(gid), np.int64)
-    leads[group] = np.arange(len(own))
-    prefixes, tokens = own["prefix"].tolist(), own["tokens"].tolist()
-    pairs = _common([prefixes[i] for i in leads], len(gid)) > 0  # groups that share a prefix shingle
-    size = n[leads]
-    pairs &= 100 * np.minimum.outer(size, size) >= percent * np.maximum.outer(size, size)
-    np.fill_diagonal(pairs, True)
-    both = _common(tokens, len(own))
-    alike = 100 * both >= percent * (n[:, None] + n[None, :] - both)
-    alike &= pairs[group][:, group]
-    edges, unseen = [], np.ones(len(own), bool)
-    for root in range(len(own)):
-        if not unseen[root]:
+def _links(left: pd.DataFrame, right: pd.DataFrame, percent: int, same: bool) -> list[tuple[int, int]]:
+    reps, sizes, group, leads, prefixes, tokens = [], [], [], [], [], []
+    for side in (left, right):
+        reps.append(side["rep"].to_numpy(np.int64))
+        sizes.append(side["n"].to_numpy(np.int64))
+        tokens.append([unpacked_list(x) for x in side["keys"]])
+        gid, of = np.unique(side["gid"].to_numpy(np.int64), return_inverse=True)
+        lead = np.zeros(len(gid), np.int64)
+        lead[of] = np.arange(len(side))
+        group.append(of)
+        leads.append(sizes[-1][lead])
+        prefixes.append([t[: len(t) - max(1, (n * percent + 99) // 100) + 1] for t, n in ((tokens[-1][k], int(sizes[-1][k])) for k in lead)])
+    pairs = _common(*prefixes) > 0  # groups that share a prefix shingle
+    pairs &= 100 * np.minimum.outer(*leads) >= percent * np.maximum.outer(*leads)
+    both = _common(*tokens)
+    alike = 100 * both >= percent * (sizes[0][:, None] + sizes[1][None, :] - both)
+    alike &= pairs[group[0]][:, group[1]]
+    edges: list[tuple[int, int]] = []
+    fresh = [np.ones(len(reps[0]), bool), np.ones(len(reps[1]), bool)]
+    for root in range(len(reps[0])):
+        if not fresh[0][root]:
             continue
-        unseen[root] = False
-        stack = [root]
+        fresh[0][root] = False
+        if same:
+            fresh[1] = fresh[0]
+        stack = [(0, root)]
         while stack:
-            i = stack.pop()
-            found = np.flatnonzero(alike[i] & unseen)
-            unseen[found] = False
-            edges += [(int(reps[i]), int(reps[j])) for j in found]
-            stack += found.tolist()
+            side, i = stack.pop()
+            found = np.flatnonzero((alike[i] if side == 0 else alike[:, i]) & fresh[1 - side])
+            fresh[1 - side][found] = False
+            edges += [(int(reps[side][i]), int(reps[1 - side][k])) for k in found]
+            stack += [(1 - side, int(k)) for k in found]
     return edges
 
 
-def _common(sets: list, m: int, width: int = 4096) -> np.ndarray:
-    """Sizes of pairwise intersections."""
-    row = np.repeat(np.arange(m), [len(s) for s in sets])
-    values, at, times = np.unique(np.concatenate([np.asarray(s, np.int64) for s in sets]), return_inverse=True, return_counts=True)
-    shared = times > 1
-    place = np.cumsum(shared) - 1
-    keep = shared[at]
-    row, at = row[keep], place[at[keep]]
-    out = np.zeros((m, m), np.float32)
-    order = np.argsort(at, kind="stable")
-    row, at = row[order], at[order]
-    for begin in range(0, int(shared.sum()), width):
-        a, b = np.searchsorted(at, [begin, begin + width])
-        x = np.zeros((m, width), np.float32)
-        x[row[a:b], at[a:b] - begin] = 1
-        out += x @ x.T
-    out = out.astype(np.int64)
-    np.fill_diagonal(out, [len(s) for s in sets])
-    return out
+def _common(left: list, right: list, width: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of each set on the left with each on the right."""
+    row = [np.repeat(np.arange(len(s)), [len(x) for x in s]) for s in (left, right)]
+    values = [np.concatenate([np.asarray(x, np.int64) for x in s]) for s in (left, right)]
+    shared = np.intersect1d(values[0], values[1])
+    at = []
+    for i in (0, 1):
+        k = np.searchsorted(shared, values[i])
+        keep = k < len(shared)
+        keep[keep] = shared[k[keep]] == values[i][keep]
+        order = np.argsort(k[keep], kind="stable")
+        row[i], k = row[i][keep][order], k[keep][order]
+        at.append(k)
+    counts = [np.bincount(k, minlength=len(shared)) for k in at]
+    heavy = counts[0] * counts[1] > SPARSE
+    out = np.zeros((len(left), len(right)), np.float32)
+    dense = np.cumsum(heavy) - 1
+    for begin in range(0, int(heavy.sum()), width):
+        x = []
+        for i, m in ((0, len(left)), (1, len(right))):
+            own = np.flatnonzero(heavy[at[i]] & (dense[at[i]] >= begin) & (dense[at[i]] < begin + width))
+            x.append(np.zeros((m, width), np.float32))
+            x[i][row[i][own], dense[at[i][own]] - begin] = 1
+        out += x[0] @ x[1].T
+    flat, n = out.reshape(-1), len(right)
+    first = np.cumsum(counts[1]) - counts[1]
+    own = np.flatnonzero(~heavy[at[0]])
+    for begin in range(0, len(own), 1 << 16):  # a light shingle's pairs, one by one
+        k = own[begin : begin + (1 << 16)]
+        times = counts[1][at[0][k]]
+        to = np.repeat(first[at[0][k]] - np.cumsum(times) + times, times) + np.arange(int(times.sum()))
+        pair, c = np.unique(np.repeat(row[0][k], times) * n + row[1][to], return_counts=True)
+        flat[pair] += c
+    return out.astype(np.int32)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
