@@ -981,3 +981,80 @@ def union_runs(spark, d):
     runs = rows.select("event_type").distinct().withColumn("needed", F.lit(5))
     _, checks = tables.union_experiments(rows, runs, key="event_type", region=F.col("user_id") % 5, needed=F.col("needed"))
     return checks.select("event_type", r6("lost_pct"), "regions", "ok")
+
+
+# Layouts and streams, written to the session's shared folder and read again
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    import tempfile
+    import uuid
+
+    top = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
+    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+LAYOUT = f"WITH {CASES}, {SPLIT} SELECT split, CASE WHEN c_acctbal > 0 THEN 'A' ELSE 'B' END AS domain, count(*) AS files FROM cases JOIN sp USING (c_custkey) GROUP BY 1, 2"
+
+
+def _cases_with_split(spark, d) -> DataFrame:
+    domain = F.when(F.col("c_acctbal") > 0, "A").otherwise("B")
+    return cases(spark, d).join(_split(spark, d).select("c_custkey", "split"), "c_custkey").select("c_custkey", "slice_name", "split", domain.alias("domain"))
+
+
+@query(LAYOUT)
+def split_layout(spark, d):
+    path = _folder(spark, "splits")
+    tables.write_split_layout(_cases_with_split(spark, d), path)
+    return spark.read.parquet(path).groupBy("split", "domain").agg(F.count("*").alias("files"))
+
+
+@query(LAYOUT.replace("SELECT split,", "SELECT split_part(case_id, '_', 1) AS region, split,").replace("GROUP BY 1, 2", "GROUP BY 1, 2, 3"))
+def region_layout(spark, d):
+    path = _folder(spark, "regions")
+    tables.write_region_layout(_cases_with_split(spark, d), path, name="slice_name")
+    return spark.read.parquet(path).groupBy("region", "split", "domain").agg(F.count("*").alias("files"))
+
+
+@query("SELECT event_type AS experiment, user_id, round(avg(value), 6) AS mae, count(*) AS slice_count FROM events GROUP BY 1, 2")
+def volume_metrics_layout(spark, d):
+    path = _folder(spark, "volumes")
+    each = table(spark, d, "events").groupBy(F.col("event_type").alias("experiment"), "user_id").agg(F.round(F.avg("value"), 6).alias("mae"), F.count("*").alias("slice_count"))
+    tables.write_volume_metrics(each, path)
+    return spark.read.parquet(path).select("experiment", "user_id", "mae", "slice_count")
+
+
+@query("""SELECT l_orderkey || '-' || l_linenumber AS file_name, l_extendedprice AS "MAE_unmasked", l_extendedprice AS "MAE_masked", CASE WHEN l_returnflag <> 'A' THEN l_tax END AS "PSNR_masked", CAST(l_quantity AS BIGINT) AS mask_voxels FROM lineitem""")
+def read_metrics(spark, d):
+    """Line items as metric files with legacy names, text and infinities among the numbers."""
+    path = _folder(spark, "metrics")
+    bad = F.when(F.col("l_returnflag") == "A", "n/a").otherwise(F.col("l_tax").cast("string"))
+    rows = table(spark, d, "lineitem").select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("file_name"), F.col("l_extendedprice").alias("MAE"), F.lit("inf").alias("MSE"), bad.alias("PSNR"), F.lit("nan").alias("SSIM"), F.col("l_quantity").cast("long").alias("mask_voxels")
+    )
+    rows.write.option("header", True).csv(path)
+    return tables.read_metrics(spark, path).select("file_name", "MAE_unmasked", "MAE_masked", "PSNR_masked", "mask_voxels")
+
+
+@query(f"SELECT epoch, round(avg(value), 6) AS G_GAN FROM ({LOSS}) GROUP BY 1")
+def loss_stream(spark, d):
+    """The log as a stream of files, drained; equal to epoch_losses."""
+    from pairvox.streaming import streams
+
+    path = _folder(spark, "log")
+    _log_lines(spark, d).repartition(3).write.text(path)
+    out = streams.drain(streams.loss_stream(spark, path, ["G_GAN"]), "loss_" + path[-32:], path + "-state")
+    return out.select("epoch", r6("G_GAN"))
+
+
+@query("""SELECT CAST(l_suppkey AS VARCHAR) AS volume_id, round(avg(l_extendedprice), 4) AS mae, round(sum(l_tax * l_quantity) / sum(l_quantity), 9) AS mse_weighted, CAST(sum(l_quantity) AS BIGINT) AS mask_voxels, count(*) AS slice_count FROM lineitem GROUP BY 1""")
+def metrics_stream(spark, d):
+    """Slice metrics arriving as CSV files; equal to the batch volume metrics."""
+    from pairvox.streaming import streams
+
+    path = _folder(spark, "arriving")
+    rows = table(spark, d, "lineitem").select(F.col("l_suppkey").cast("string").alias("volume_id"), F.col("l_extendedprice").alias("mae"), F.col("l_tax").alias("mse"), F.col("l_quantity").cast("long").alias("mask"))
+    rows.repartition(4).write.option("header", True).csv(path)
+    stream = streams.volume_metrics_stream(spark, path, "volume_id string, mae double, mse double, mask long", volume="volume_id", unmasked=["mae"], masked=["mse"], weight="mask")
+    out = streams.drain(stream, "volumes_" + path[-32:], path + "-state")
+    return out.select("volume_id", F.round("mae", 4).alias("mae"), F.round("mse_weighted", 9).alias("mse_weighted"), "mask_voxels", "slice_count")
