@@ -6,15 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairvox.llm.common import table, written
-from pairvox.llm.hashing import Substrings
-from pairvox.llm.repeated import RUN_BYTES, key_bits, repeated_keys, runs, short_keys
+from pairvox.llm.hashing import Substrings, mix
+from pairvox.llm.repeated import LEVEL, PACKED, _rows, answers, by_home, homes, key_bits, planes, runs, short_keys, told_keys, unplanes
 
-#: Bytes of an anchor string; bytes of a symbol; distinct contexts of a block, and of one anchor from which its windows are grouped one by one.
-ANCHOR, SYMBOL, BLOCK_ROWS, HOT_ROWS = 16, 16, 20_000, 50_000
+#: Bytes of an anchor string; bytes of a symbol; entries of an anchor from which its windows meet by content.
+ANCHOR, SYMBOL, HOT_ROWS = 16, 16, 50_000
 _PIECE = 1 << 23  # a longer text is taken in pieces
 _FAR = np.iinfo(np.int64).max
 
@@ -150,30 +151,62 @@ def anchor_keys(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray
     return row[new], h[new], None
 
 
-_CONTEXTS = "doc_id long, m binary, h long, z long, start long, n int, at int, bytes binary"
-
-
-def _contexts(batches: Iterator[pd.DataFrame], length: int, bits: int) -> Iterator[pd.DataFrame]:
-    """Runs of windows whose anchor another document has too; their bytes once in a run of texts."""
-    for pdf in batches:
-        for part in runs(pdf, "text"):
-            texts = [x.encode("utf-8", "surrogatepass") for x in part["text"]]
-            known = np.unique(np.concatenate([np.asarray(x, np.int64) for x in part["keys"]]))
-            for row, start, n, place, h in windows(texts, length):
-                keep = np.isin(short_keys(h, bits), known)
-                row, start, n, place, h = row[keep], start[keep], n[keep], place[keep], h[keep]
-                if not len(row):
-                    continue
-                cut = [texts[r][s : s + k + length - 1] for r, s, k in zip(row.tolist(), start.tolist(), n.tolist(), strict=True)]
-                ends = np.cumsum([len(c) for c in cut])
-                z = Substrings(np.frombuffer(b"".join(cut), np.uint8)).of(np.append(0, ends[:-1]), ends).astype(np.int64)
-                _, first = np.unique(z, return_index=True)
-                once = np.zeros(len(z), bool)
-                once[first] = True
-                yield pd.DataFrame({
-                    "doc_id": part["doc_id"].to_numpy()[row], "m": part["m"].to_numpy()[row], "h": h.astype(np.int64), "z": z, "start": start, "n": n.astype(np.int32),
-                    "at": (place - start).astype(np.int32), "bytes": [c if o else None for c, o in zip(cut, once.tolist(), strict=True)],
-                })
+def _contexts(texts: list[bytes], length: int, known: np.ndarray, hot: np.ndarray, bits: int) -> Iterator[tuple]:
+    """Contexts of anchors that another document has too, by pieces: arrays (row, start, windows, anchor's place in the context, block hash).
+
+    A context is a run of windows with one anchor. Windows of a hot anchor are contexts of their own, which meet by content.
+    """
+    for row, start, n, place, h in windows(texts, length):
+        keys = short_keys(h, bits)
+        keep = np.isin(keys, known)
+        row, start, n, place, h, keys = (x[keep] for x in (row, start, n, place, h, keys))
+        if len(hot) and len(row) and (very := np.isin(keys, hot)).any():
+            own = np.repeat(np.flatnonzero(very), n[very])
+            shift = np.arange(len(own)) - np.repeat(np.cumsum(n[very]) - n[very], n[very])
+            begin = start[own] + shift
+            content = [texts[r][s : s + length] for r, s in zip(row[own].tolist(), begin.tolist(), strict=True)]
+            alone = Substrings(np.frombuffer(b"".join(content), np.uint8)).every(length)[::length]
+            row, place, h = np.append(row[~very], row[own]), np.append(place[~very], place[own]), np.append(h[~very], alone)
+            start, n = np.append(start[~very], begin), np.append(n[~very], np.ones(len(own), n.dtype))
+        if len(row):
+            yield row, start, n, place - start, h
+
+
+def _send_contexts(docs: pd.DataFrame, told: pd.DataFrame, length: int, hot: np.ndarray, bits: int) -> Iterator[pd.DataFrame]:
+    """Packed rows. Kind 0: contexts for a block. Kind 1: spans already known, since a smaller document of these has the same context."""
+    ids, keys = told_keys(told)
+    gone = {(int.from_bytes(a, "big", signed=True), int.from_bytes(b, "big", signed=True)) for a, b in told.loc[told["kind"] == COPY, ["first", "second"]].itertuples(index=False)}
+    here = set(np.unique(ids).tolist())
+    keep = [i in here and (i, m) not in gone for i, m in zip(docs["id"].tolist(), docs["m"].tolist(), strict=True)]
+    known, unpack = np.unique(keys & (1 << LEVEL) - 1), zstandard.ZstdDecompressor().decompress
+    docs = docs[keep].drop_duplicates(["id", "m"])
+    texts = [unpack(b) for b in docs["body"]]
+    id_, m_ = docs["id"].to_numpy(np.int64), docs["m"].to_numpy(np.int64)
+    many = 1 << bits
+    for row, start, n, at, h in _contexts(texts, length, known, hot, bits):
+        cut = [texts[r][s : s + k + length - 1] for r, s, k in zip(row.tolist(), start.tolist(), n.tolist(), strict=True)]
+        ends = np.cumsum([len(c) for c in cut])
+        z = Substrings(np.frombuffer(b"".join(cut), np.uint8)).of(np.append(0, ends[:-1]), ends)
+        order = np.lexsort((id_[row], z))
+        d, m, start, n, at, h, z = (x[order] for x in (id_[row], m_[row], start, n, at, h, z))
+        first = np.flatnonzero(np.append(True, z[1:] != z[:-1]))
+        low = np.repeat(d[first], np.diff(np.append(first, len(d))))
+        lost = d > low
+        if lost.any():
+            yield _rows([many + int(d[0]) % many], [1], [planes(d[lost])], [planes(np.concatenate([m[lost], start[lost], start[lost] + n[lost] + (length - 1)]))])
+        k = np.flatnonzero(~lost)
+        block = (mix(h[k]) >> np.uint64(64 - bits)).astype(np.int64)
+        by = np.argsort(block, kind="stable")
+        block, k = block[by], k[by]
+        cuts = np.append(np.flatnonzero(np.diff(block, prepend=-1)), len(block)).tolist()
+        out = []
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            own = k[a:b]
+            body = b"".join(cut[i] for i in order[own].tolist())
+            facts = planes(d[own]) + planes(m[own]) + planes(start[own]) + n[own].astype(np.uint8).tobytes() + at[own].astype(np.uint8).tobytes()
+            out.append((int(block[a]), facts, zstandard.compress(body, 3)))
+        if out:
+            yield _rows([x[0] for x in out], [0] * len(out), [x[1] for x in out], [x[2] for x in out])
 
 
 def _sorted_contexts(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -210,24 +243,53 @@ def _sorted_contexts(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.n
     return place[np.array([number[s] for s in strings])], common, lengths
 
 
-_RUNS = "h long, z long, j int, k int, least long"
-
-
-def _block(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
-    """For the distinct contexts of a block: runs [j, k) of windows and the smallest document that has them, where some holder is larger."""
-    pdf = pdf.reset_index(drop=True)
-    at, n, low, high = (pdf[c].to_numpy(np.int64) for c in ("at", "n", "low", "high"))
-    strings = [bytes(b) for b in pdf["bytes"]]
+def _meet_contexts(pdf: pd.DataFrame, length: int, n_homes: int) -> pd.DataFrame:
+    """Packed rows of kind 1 for the homes of documents: (document, m, a, b) of spans that a smaller document has."""
+    out = [by_home(1, unplanes(a, np.int64), unplanes(b, np.int64), n_homes) for a, b in pdf.loc[pdf["kind"] == 1, ["first", "second"]].itertuples(index=False)]
+    facts: list[list[np.ndarray]] = [[], [], [], [], []]
+    strings: list[bytes] = []
+    for a, b in pdf.loc[pdf["kind"] == 0, ["first", "second"]].itertuples(index=False):
+        k = len(a) // 26
+        for i in range(3):
+            facts[i].append(unplanes(a[8 * k * i : 8 * k * (i + 1)], np.int64))
+        for i in range(2):
+            facts[3 + i].append(np.frombuffer(a, np.uint8, k, 24 * k + i * k).astype(np.int64))
+        body = zstandard.decompress(b)
+        ends = np.cumsum(facts[3][-1] + length - 1)
+        strings += [body[x:y] for x, y in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+    if strings:
+        d, m, start, n, at = map(np.concatenate, facts)
+        distinct = list(dict.fromkeys(zip(strings, at.tolist(), strict=True)))
+        number = dict(zip(distinct, range(len(distinct)), strict=True))
+        context = np.array([number[x] for x in zip(strings, at.tolist(), strict=True)])
+        low, high = np.full(len(distinct), _FAR), np.full(len(distinct), -_FAR)
+        np.minimum.at(low, context, d)
+        np.maximum.at(high, context, d)
+        i, j, k, least = _equal_windows([x for x, _ in distinct], np.array([x for _, x in distinct]), low, high, length)
+        by = np.argsort(context, kind="stable")  # occurrences of a context stand together
+        begin = np.searchsorted(context[by], np.arange(len(distinct) + 1))
+        times = begin[i + 1] - begin[i]
+        run = np.repeat(np.arange(len(i)), times)
+        own = by[begin[i][run] + np.arange(len(run)) - np.repeat(np.cumsum(times) - times, times)]
+        keep = least[run] < d[own]
+        run, own = run[keep], own[keep]
+        out.append(by_home(1, d[own], np.concatenate([m[own], start[own] + j[run], start[own] + k[run] + (length - 1)]), n_homes))
+    return pd.concat(out) if out else _rows([], [], [], [])
+
+
+def _equal_windows(strings: list[bytes], at: np.ndarray, low: np.ndarray, high: np.ndarray, length: int) -> tuple:
+    """Arrays (context, j, k, least): in the windows [j, k) of a context, least is the smallest document that has them; only where it is below `high` of the context."""
+    n = np.array([len(s) for s in strings]) - (length - 1)
     right, right_common, _ = _sorted_contexts([s[a:] for s, a in zip(strings, at.tolist(), strict=True)])
     left, left_common, _ = _sorted_contexts([s[:a][::-1] for s, a in zip(strings, at.tolist(), strict=True)])
     width = length - ANCHOR + 1
-    least = np.full((len(pdf), width + 1), _FAR)
+    least = np.full((len(strings), width + 1), _FAR)
     for o in range(width):  # windows whose anchor is o bytes from their start: equal by what follows the anchor and what comes before
         rows = np.flatnonzero((at >= o) & (at - o < n))
         if not len(rows):
             continue
         follow, lead = np.cumsum(right_common < length - o)[right[rows]], np.cumsum(left_common < o)[left[rows]]
-        same = follow * (len(pdf) + 1) + lead
+        same = follow * (len(strings) + 1) + lead
         by = np.argsort(same, kind="stable")
         begin = np.flatnonzero(np.append(True, same[by][1:] != same[by][:-1]))
         smallest = np.empty(len(rows), np.int64)
@@ -239,58 +301,16 @@ def _block(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
     keep = flat[begin] != _FAR
     begin, end = begin[keep], end[keep]
     row = begin // (width + 1)
-    return pd.DataFrame({"h": pdf["h"].to_numpy()[row], "z": pdf["z"].to_numpy()[row], "j": (begin - row * (width + 1)).astype(np.int32), "k": (end - row * (width + 1)).astype(np.int32), "least": flat[begin]})
-
-
-def duplicate_spans(docs: DataFrame, *, length: int = 50, key: str = "doc_id", text: str = "text", hot_rows: int = HOT_ROWS) -> DataFrame:
-    """(doc_id, m, spans): for documents that lose bytes, intervals [a, b) of bytes covered by a string of `length` bytes that also starts in a smaller document.
-
-    m is the text's MD5 digest. Intervals may touch or overlap. A copy of a smaller document's whole text is one interval.
-
-    1. Each window of `length` bytes has an anchor (see `windows`). A packed exchange tells each document which of its
-       anchors others have too; only windows around those can be copies.
-    2. Their contexts, collapsed where equal, meet in blocks by anchor. In a block suffix arrays by linear grouping order
-       what follows the anchors and, reversed, what comes before; common prefixes in these orders say which windows are
-       equal, byte by byte, and so the smallest document of each window.
-    3. Contexts of an anchor with very many distinct ones (a passage that stands in a large share of all documents, at
-       its borders) aren't gathered: their windows are grouped by content instead.
-    """
-    docs = docs.filter(F.col(key).isNotNull() & (F.octet_length(F.coalesce(F.col(text), F.lit(""))) >= length))
-    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.unhex(F.md5(text)).alias("m"))
-    own = written(docs.select("doc_id", "m"), "digests")
-    bits = key_bits(own.count())
-    hits = written(repeated_keys(docs, lambda texts: anchor_keys(texts, length), bits=bits).select("doc_id", "key"), "anchors")
-    first = own.groupBy("m").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high")
-    copies = own.join(first, "m").filter("doc_id > low").select("doc_id", "m").distinct()
-
-    lists = hits.groupBy("doc_id").agg(F.collect_set("key").alias("keys")).join(own.distinct(), "doc_id").join(copies, ["doc_id", "m"], "left_anti")
-    wanted = docs.join(lists, ["doc_id", "m"])
-    contexts = written(wanted.select("doc_id", "m", "text", "keys").mapInPandas(lambda b: _contexts(b, length, bits), _CONTEXTS), "contexts")
-    distinct = contexts.groupBy("h", "z").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max("bytes").alias("bytes"), F.max("n").alias("n"), F.max("at").alias("at"))
-    distinct = written(distinct, "distinct")
-    per_anchor = distinct.groupBy("h").agg(F.count("*").alias("contexts"), F.min("low").alias("least"), F.max("high").alias("most"))
-    several = per_anchor.filter("least < most").select("h", "contexts")
-    distinct = distinct.join(several, "h")
-    n_blocks = max(1, distinct.count() // BLOCK_ROWS)
-    block = F.pmod(F.xxhash64("h"), F.lit(n_blocks)).alias("block")
-    found = distinct.filter(F.col("contexts") < hot_rows).groupBy(block).applyInPandas(lambda pdf: _block(pdf, length), _RUNS)
-    hot = distinct.filter(F.col("contexts") >= hot_rows)
-    single = hot.select("h", "z", "low", "high", "bytes", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j")).withColumn("w", F.expr(f"substring(bytes, j + 1, {length})"))
-    smallest = single.groupBy("w").agg(F.min("low").alias("least"), F.max("high").alias("most")).filter("least < most").select("w", "least")
-    found = found.union(single.join(smallest, "w").select("h", "z", "j", (F.col("j") + 1).alias("k"), "least"))
-    spans = contexts.select("doc_id", "m", "h", "z", "start").join(found, ["h", "z"]).filter("least < doc_id")
-    spans = spans.select("doc_id", "m", F.struct((F.col("start") + F.col("j")).alias("a"), (F.col("start") + F.col("k") + (length - 1)).alias("b")).alias("span"))
-    whole = copies.select("doc_id", "m", F.struct(F.lit(0).cast("long").alias("a"), F.lit(1 << 62).alias("b")).alias("span"))
-    return spans.union(whole).groupBy("doc_id", "m").agg(F.collect_list("span").alias("spans"))
+    return row, begin - row * (width + 1), end - row * (width + 1), flat[begin]
 
 
 _CUT = "kept binary, n_bytes long, n_removed long, n_spans long"
 
 
-def _cut_out(body: bytes, spans) -> tuple[bytes, int, int, int]:
+def _cut_out(body: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int, int]:
     """(bytes left, all, removed, maximal removed runs)."""
     kept, removed, count, at = [], 0, 0, 0
-    for a, b in sorted((s["a"], s["b"]) for s in spans):
+    for a, b in sorted(spans):
         b = min(b, len(body))
         if a > at or not count:
             kept.append(body[at:a])
@@ -304,28 +324,96 @@ def _cut_out(body: bytes, spans) -> tuple[bytes, int, int, int]:
     return b"".join(kept), len(body), removed, count
 
 
-def remove_repeats(docs: DataFrame, *, length: int = 50, key: str = "doc_id", text: str = "text", hot_rows: int = HOT_ROWS) -> DataFrame:
-    """docs with the columns of _CUT: the bytes left once each byte that `duplicate_spans` covers is gone.
+def _finish(docs: pd.DataFrame, told: pd.DataFrame, names: list[str], text: str | None) -> pd.DataFrame:
+    d, own = told.loc[told["kind"] == 1, "first"], told.loc[told["kind"] == 1, "second"]
+    none = np.zeros(0, np.int64)
+    d = np.concatenate([none, *(unplanes(x, np.int64) for x in d)])
+    m, a, b = np.concatenate([np.zeros((3, 0), np.int64), *(unplanes(x, np.int64).reshape(3, -1) for x in own)], axis=1)
+    order = np.lexsort((m, d))
+    d, m, a, b = (x[order].tolist() for x in (d, m, a, b))
+    spans: dict[tuple[int, int], list] = {}
+    for key, x in zip(zip(d, m, strict=True), zip(a, b, strict=True), strict=True):
+        spans.setdefault(key, []).append(x)
+    for x, y in told.loc[told["kind"] == COPY, ["first", "second"]].itertuples(index=False):
+        spans[int.from_bytes(x, "big", signed=True), int.from_bytes(y, "big", signed=True)] = [(0, 1 << 62)]
+    unpack = zstandard.ZstdDecompressor().decompress
+    bodies = [unpack(x) for x in docs["body"]]
+    ids = [None if i != i or i is None else int(i) for i in docs["id"]]
+    rows = [_cut_out(t, spans.get((i, m), [])) for t, i, m in zip(bodies, ids, docs["m"].tolist(), strict=True)]
+    out = docs.assign(**{n.split()[0]: [r[i] for r in rows] for i, n in enumerate(_CUT.split(", "))})
+    if text:
+        out[text] = [None if z else t.decode("utf-8", "surrogatepass") for z, t in zip(docs["nil"], bodies, strict=True)]
+    return out[[*names, *(n.split()[0] for n in _CUT.split(", "))]]
+
+
+#: Kind of rows that name a document whose whole text is a copy of a smaller one's.
+COPY = 5
+
+
+def _packed_texts(docs: DataFrame, key: str, text: str, n_homes: int, rest: list) -> DataFrame:
+    """(part, id, m, nil, body) and columns `rest`: texts as compressed UTF-8, so that shuffling them takes a third; m is the text's 32-bit hash."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        compress = zstandard.ZstdCompressor(level=3).compress
+        for pdf in batches:
+            for part in runs(pdf, "body"):
+                yield part.assign(body=[compress(bytes(x)) for x in part["body"]])
+
+    at = F.coalesce(F.pmod(F.col(key).cast("long"), F.lit(n_homes)), F.lit(0)).cast("int").alias("part")
+    body = F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body")
+    slim = docs.select(at, F.col(key).cast("long").alias("id"), F.hash(text).alias("m"), F.col(text).isNull().alias("nil"), body, *[F.col(f"`{f.name}`").alias(f"_{f.name}") for f in rest])
+    return slim.mapInPandas(pack, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema))
+
+
+def remove_repeats(docs: DataFrame, *, length: int = 50, key: str = "doc_id", text: str = "text", hot_rows: int = HOT_ROWS, columns: list[str] | None = None) -> DataFrame:
+    """`columns` of docs (all) with the columns of _CUT: the bytes left once each byte is gone that a string of `length` bytes covers which also starts in a smaller document.
+
+    1. Each window of `length` bytes has an anchor (see `windows`). A packed exchange tells each document which of its
+       anchors others have too; only windows around those can be copies.
+    2. Their contexts meet in blocks by anchor, once for each run of documents that holds them. In a block suffix arrays
+       by linear grouping order what follows the anchors and, reversed, what comes before; common prefixes in these
+       orders say which windows are equal, byte by byte, and so the smallest document of each window.
+    3. The windows of an anchor that very many documents have (a passage in a large share of them) don't meet by anchor
+       but by content, so that the different borders of the passage lie in many blocks. Such anchors, a millionth of all
+       documents or more each, are the only keys that reach the driver.
 
     A null text counts as empty. Rows with the same id never take bytes from each other; a row without id neither gives
     nor loses any. Columns of docs that are named as those of _CUT are replaced, others pass through.
     """
-    spans = duplicate_spans(docs, length=length, key=key, text=text, hot_rows=hot_rows)
-    spans = spans.select(F.col("doc_id").alias("_id"), F.col("m").alias("_m"), F.col("spans").alias("_spans"))
     docs = docs.drop(*(c.split()[0] for c in _CUT.split(", ")))
-    joined = docs.withColumn("_digest", F.unhex(F.md5(text))).join(spans, (F.col(key) == F.col("_id")) & (F.col("_digest") == F.col("_m")), "left")
-    rest = docs.columns
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for part in runs(pdf, text, RUN_BYTES):
-                rows = [_cut_out((t or "").encode("utf-8", "surrogatepass"), s if s is not None else ()) for t, s in zip(part[text], part["_spans"], strict=True)]
-                yield part[rest].assign(**{n.split()[0]: [r[i] for r in rows] for i, n in enumerate(_CUT.split(", "))})
-
-    ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema)
-    return joined.select(*rest, "_spans").mapInPandas(cut, ddl + _CUT)
+    rest = [f for f in docs.schema if columns is None or f.name in columns]
+    fine = docs.filter(F.col(key).isNotNull() & (F.octet_length(F.coalesce(F.col(text), F.lit(""))) >= length))
+    own = written(fine.select(F.col(key).cast("long").alias("id"), F.unhex(F.md5(text)).alias("digest"), F.hash(text).alias("m")), "digests")
+    total = own.count()
+    bits, n_homes, hot_rows = key_bits(total), homes(total), max(hot_rows, total // 1_000_000)
+    told = answers(fine, lambda texts: anchor_keys(texts, length), bits=bits, n_homes=n_homes, hot=hot_rows, key=key, text=text)
+    told = written(told, "anchors")
+    hot = np.unique(np.concatenate([np.zeros(0, np.int64), *(unplanes(r["first"], np.int64) for r in told.filter("kind = 3").select("first").collect())]))
+    first = own.groupBy("digest").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
+    copies = own.join(first, "digest").filter("id > low").select("id", "m").distinct()
+    copies = copies.select(F.pmod("id", F.lit(n_homes)).cast("int").alias("part"), F.lit(COPY).alias("kind"), F.unhex(F.lpad(F.hex("id"), 16, "0")).alias("first"), F.unhex(F.lpad(F.hex(F.col("m").cast("long")), 16, "0")).alias("second"))
+
+    texts = _packed_texts(fine, key, text, n_homes, [])
+    asked = told.filter("kind = 1").union(copies)
+
+    def send(docs: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        out = list(_send_contexts(docs, told, length, hot, bits)) if len(docs) and len(told) else []
+        return pd.concat(out) if out else _rows([], [], [], [])
+
+    contexts = texts.groupBy("part").cogroup(asked.groupBy("part")).applyInPandas(send, PACKED)
+    spans = contexts.groupBy("part").applyInPandas(lambda pdf: _meet_contexts(pdf, length, n_homes), PACKED).union(copies)
+    carried = [f for f in rest if f.name != text]
+    whole = _packed_texts(docs, key, text, n_homes, carried)
+    names = [text if f.name == text else f"_{f.name}" for f in rest]
+
+    def finish(docs: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        out = _finish(docs, told, names, text if text in names else None)
+        return out.rename(columns={f"_{f.name}": f.name for f in carried})
+
+    ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rest)
+    return whole.groupBy("part").cogroup(spans.groupBy("part")).applyInPandas(finish, ddl + _CUT)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    left = remove_repeats(table(spark, sf_dir, "documents"), columns=["doc_id"])
     return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
