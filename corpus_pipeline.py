@@ -34,7 +34,7 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without bytes that stand in a smaller document already. A character goes with any of its bytes; a document that nothing is left of goes."""
     left = suffix_dedup.remove_repeats(docs)
-    text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.regexp_replace(F.decode("kept", "UTF-8"), "�", ""))
+    text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\ufffd"), F.lit("")))
     kept = left.filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_bytes")))
     return _sized(kept.withColumn("text", text), docs)
 

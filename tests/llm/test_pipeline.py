@@ -29,6 +29,7 @@ def folder(spark, tmp_path_factory):
             texts.append(f"shared line of the site\n{' '.join(w)}")
         if RNG.random() < 0.3:
             texts.append(t[:120] + " " + " ".join(RNG.choices(words, k=40)))
+    texts += [f"{' '.join(RNG.choices(words, k=40))} {x}" for x in ("é" * 40, "é" * 30 + "è" * 5)]  # a cut within a character
     texts += [" ".join(["BUY!!", "NOW!!"] * 25)] * 3 + [" ".join(["THE%%%", "BEST###"] * RNG.randrange(20, 40)) for _ in range(40)]
     rows = [(i, t, "en", f"s{i % 2}", len(t)) for i, t in enumerate(texts)] + [(900, None, None, None, None), (901, "", "en", "s0", 0)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
