@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 from array import array
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -15,7 +16,7 @@ from pairvox.llm.common import table
 from pairvox.llm.repeated import runs
 
 #: Pre-tokens of a cache generation, and characters that are encoded at once: memory is bounded, results are the same.
-CACHE_ENTRIES, RUN_CHARS = 250_000, 3_000_000
+CACHE_ENTRIES, RUN_CHARS = 200_000, 2_000_000
 
 
 class RankQueue:
@@ -79,8 +80,12 @@ class BytePairEncoder:
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         self.double = np.array([ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)], np.int64)
-        #: Rank of two tokens in a row that make a token, by their ranks.
-        self.pairs = {a << 32 | b: r for t, r in ranks.items() for i in range(1, len(t)) if (a := ranks.get(t[:i])) is not None and (b := ranks.get(t[i:])) is not None}
+
+    @cached_property
+    def pairs(self) -> dict[int, int]:
+        """Rank of two tokens in a row that make a token, by their ranks."""
+        ranks = self.ranks
+        return {a << 32 | b: r for t, r in ranks.items() for i in range(1, len(t)) if (a := ranks.get(t[:i])) is not None and (b := ranks.get(t[i:])) is not None}
 
     @classmethod
     def from_file(cls, path: str, pattern: str) -> BytePairEncoder:
@@ -227,7 +232,8 @@ def decode_ids(df: DataFrame, *, path: str, pattern: str, ids: str = "ids") -> D
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         decode = _encoder(path, pattern)[0].decode
         for pdf in batches:
-            yield pdf.assign(decoded=[decode(array("I", x or b"").tolist()) for x in pdf[ids]])
+            for part in runs(pdf, ids, RUN_CHARS):
+                yield part.assign(decoded=[decode(array("I", x or b"").tolist()) for x in part[ids]])
 
     return df.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest) + ", decoded binary")
 
