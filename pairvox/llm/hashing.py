@@ -16,7 +16,7 @@ class _Powers:
 
     def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if n > len(self.up):
-            size = max(n, 2 * len(self.up), 1 << 16)
+            size = max(n, len(self.up) * 5 // 4, 1 << 16)
             with np.errstate(over="ignore"):
                 self.up = _cumulative(_BASE, size)
                 self.down = _cumulative(pow(_BASE, -1, 1 << 64), size)

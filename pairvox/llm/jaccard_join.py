@@ -14,7 +14,7 @@ from pairvox.llm.hashing import Substrings, sequence_hash
 from pairvox.llm.repeated import documents_with_keys, homes, key_bits, unpacked_list
 
 #: Documents of a block; a cluster with more is split into blocks, and each pair of blocks is a task of its own.
-BLOCK = 2000
+BLOCK = 1000
 
 #: Pairs of documents that share a shingle from which it is counted by matrix products.
 SPARSE = 400
@@ -162,7 +162,7 @@ def _links(left: pd.DataFrame, right: pd.DataFrame, percent: int, same: bool) ->
     return edges
 
 
-def _common(left: list, right: list, width: int = 4096) -> np.ndarray:
+def _common(left: list, right: list, width: int = 2048) -> np.ndarray:
     """Sizes of the intersections of each set on the left with each on the right."""
     row = [np.repeat(np.arange(len(s)), [len(x) for x in s]) for s in (left, right)]
     values = [np.concatenate([np.asarray(x, np.int64) for x in s]) for s in (left, right)]
@@ -189,8 +189,8 @@ def _common(left: list, right: list, width: int = 4096) -> np.ndarray:
     flat, n = out.reshape(-1), len(right)
     first = np.cumsum(counts[1]) - counts[1]
     own = np.flatnonzero(~heavy[at[0]])
-    for begin in range(0, len(own), 1 << 16):  # a light shingle's pairs, one by one
-        k = own[begin : begin + (1 << 16)]
+    cuts = np.flatnonzero(np.diff(np.cumsum(counts[1][at[0][own]]) // (1 << 20), prepend=-1))
+    for k in np.split(own, cuts[1:]) if len(own) else []:  # a light shingle's pairs, one by one, about a million at once
         times = counts[1][at[0][k]]
         to = np.repeat(first[at[0][k]] - np.cumsum(times) + times, times) + np.arange(int(times.sum()))
         pair, c = np.unique(np.repeat(row[0][k], times) * n + row[1][to], return_counts=True)
