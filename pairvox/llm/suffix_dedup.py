@@ -15,8 +15,8 @@ from pairvox.llm.hashing import Substrings, mix
 from pairvox.llm.repeated import LEVEL, PACKED, _rows, answers, by_home, homes, key_bits, planes, runs, short_keys, told_keys, unplanes
 
 #: Bytes of an anchor string; bytes of a symbol; entries of an anchor from which its windows meet by content.
-ANCHOR, SYMBOL, HOT_ROWS = 16, 16, 50_000
-_PIECE = 1 << 23  # a longer text is taken in pieces
+ANCHOR, SYMBOL, HOT_ROWS = 16, 32, 50_000
+_PIECE = 1 << 20  # text that is hashed at once; a longer one is taken in pieces
 _FAR = np.iinfo(np.int64).max
 
 
@@ -41,7 +41,30 @@ def suffix_array(text: list[int]) -> list[int]:
     prev = [-1] * n
     g = len(members) - 1
     while g >= 0:
-        own = members[g] = [i for i in members[g] if of[i] == g]
+        own = members[g]
+        if len(own) == 1:  # most groups
+            i = own[0]
+            if of[i] != g:
+                members[g] = []
+            else:
+                done[i] = 1
+                j = i - 1
+                while j >= 0 and done[j]:
+                    j = prev[j]
+                prev[i] = j
+                if j >= 0:
+                    old = of[j]
+                    new = of[j] = len(members)
+                    members.append([j])
+                    up = above[old]
+                    above.append(up)
+                    below.append(old)
+                    above[old] = new
+                    if up >= 0:
+                        below[up] = new
+            g = below[g]
+            continue
+        own = members[g] = [i for i in own if of[i] == g]
         own.sort()
         for i in own:
             done[i] = 1
@@ -222,10 +245,10 @@ def _sorted_contexts(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.n
     padded = np.frombuffer(b"".join(s.ljust(wide, b"\0") for s in distinct), np.uint8).reshape(len(distinct), wide)
     cells = padded.reshape(len(distinct), -1, SYMBOL)
     used = np.arange(cells.shape[1]) < counts[:, None]
-    halves = np.ascontiguousarray(cells[used]).view(">u8").astype(np.uint64)
+    words = np.ascontiguousarray(cells[used]).view(">u8").astype(np.uint64)
     filled = np.clip(lengths[:, None] - SYMBOL * np.arange(cells.shape[1]), 0, SYMBOL)[used]
-    by = np.lexsort((filled, halves[:, 1], halves[:, 0]))
-    change = np.append(True, (np.diff(halves[by, 0]) != 0) | (np.diff(halves[by, 1]) != 0) | (np.diff(filled[by]) != 0))
+    by = np.lexsort((filled, *words.T[::-1]))
+    change = np.append(True, (words[by[1:]] != words[by[:-1]]).any(axis=1) | (np.diff(filled[by]) != 0))
     symbols = np.empty(len(by), np.int64)
     symbols[by] = np.cumsum(change) + 1
     ends = np.cumsum(counts)
@@ -280,7 +303,7 @@ def _meet_contexts(pdf: pd.DataFrame, length: int, n_homes: int) -> pd.DataFrame
 def _equal_windows(strings: list[bytes], at: np.ndarray, low: np.ndarray, high: np.ndarray, length: int) -> tuple:
     """Arrays (context, j, k, least): in the windows [j, k) of a context, least is the smallest document that has them; only where it is below `high` of the context."""
     n = np.array([len(s) for s in strings]) - (length - 1)
-    right, right_common, _ = _sorted_contexts([s[a:] for s, a in zip(strings, at.tolist(), strict=True)])
+    right, right_common, _ = _sorted_contexts([s[a : a + length] for s, a in zip(strings, at.tolist(), strict=True)])
     left, left_common, _ = _sorted_contexts([s[:a][::-1] for s, a in zip(strings, at.tolist(), strict=True)])
     width = length - ANCHOR + 1
     least = np.full((len(strings), width + 1), _FAR)
