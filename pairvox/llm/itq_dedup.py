@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from pairvox.llm.common import connected_components, table, written
 
-#: Vectors that the rotation is fitted on, at most; steps of the fit; vectors of a block of a table's bucket.
-FIT_ROWS, FIT_STEPS, BLOCK = 8192, 40, 1500
+#: Vectors that the rotation is fitted on, at most; steps of the fit; vectors of a block of a table's bucket; bits of a table at any size.
+FIT_ROWS, FIT_STEPS, BLOCK, WIDTH = 8192, 40, 1500, 8
 
 
 def fit_rotation(sample: np.ndarray, *, bits: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -43,8 +43,8 @@ def near_vectors(
     """(key, n_links, component_id, kept) for every row. Only vectors with the same label, not null, are compared.
 
     Equal vectors are one class. Each class gets a code of `bits` signs for each seed's rotation, cut into substrings of
-    `width` bits (8, or 16 from four million classes on); a table for each substring brings together classes that agree
-    in it, so codes that differ in fewer bits than there are tables always meet. Pairs that meet are compared by cosine
+    `width` bits (8 unless given, at any size of the input); a table for each substring brings together classes that
+    agree in it, so codes that differ in fewer bits than there are tables always meet. Pairs that meet are compared by cosine
     in double precision, a pair in the first table where it meets alone. A bucket with more than `block` vectors is cut
     into blocks whose pairs are tasks of their own, so nothing is left out. Links are counted in place, and each task
     hands on a spanning forest of them.
@@ -66,7 +66,7 @@ def near_vectors(
     unit = np.stack([np.asarray(x, np.float64) for x in sample])
     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
     models = [fit_rotation(unit, bits=bits, seed=s) for s in seeds]
-    width = width or (8 if size["count"] < 1 << 22 else 16)
+    width = width or WIDTH
     n_tables = bits // width * len(models)
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -73,6 +73,30 @@ def test_recall_on_the_given_vectors(spark):
     assert sum(got[r[0]].component_id == c for r, c in zip(rows, components, strict=True)) >= 0.97 * len(rows)
 
 
+def test_links_do_not_depend_on_the_size(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    rows = []
+    for k in range(1500):
+        x, y = (v / np.linalg.norm(v) for v in rng.standard_normal((2, 64)))
+        y -= (y @ x) * x
+        y /= np.linalg.norm(y)
+        rows += [(2 * k, x.tolist(), k % 3), (2 * k + 1, (0.981 * x + np.sqrt(1 - 0.981**2) * y).tolist(), k % 3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    first, counts = type(df).first, []
+
+    def many(self):
+        row = first(self)
+        if self.columns != ["d", "count"]:
+            return row
+        counts.append(row["count"])
+        return {"d": row["d"], "count": 5_000_000}
+
+    small = sorted(tuple(r) for r in itq_dedup.near_vectors(df).collect())
+    monkeypatch.setattr(type(df), "first", many)
+    assert sorted(tuple(r) for r in itq_dedup.near_vectors(df).collect()) == small and counts == [3000]
+    assert sum(r[1] for r in small) >= 0.97 * 3000
+
+
 def test_odd_vectors(spark):
     schema = "vec_id long, embedding array<float>, label int"
     assert itq_dedup.near_vectors(spark.createDataFrame([], schema)).count() == 0
