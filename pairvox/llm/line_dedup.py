@@ -11,17 +11,18 @@ from pairvox.llm.common import table, written
 BROADCAST_BYTES = 16 << 20
 
 
-def boilerplate_lines(pages: DataFrame, *, text: str, host: str, ratio: float = 0.1, min_pages: int = 20) -> DataFrame:
+def boilerplate_lines(pages: DataFrame, *, text: str, host: str, ratio: float = 0.1, min_pages: int = 20, min_holding: int = 1) -> DataFrame:
     """(host, digests): for each host the MD5 digests of lines that more than `ratio` of its pages contain.
 
-    A line is compared trimmed and counts once a page. Hosts with fewer than min_pages pages have no such lines. A host
-    has at most (mean lines a page) / ratio of them, so the arrays stay short. A null host counts as the empty one.
+    A line is compared trimmed and counts once a page. Hosts with fewer than min_pages pages have no such lines, nor has
+    any host lines on fewer than min_holding pages. A host has at most (mean lines a page) / ratio of them, so the arrays
+    stay short. A null host counts as the empty one.
     """
     at = F.coalesce(F.col(host), F.lit("")).alias("host")
     totals = pages.groupBy(at).agg(F.count("*").alias("pages")).filter(F.col("pages") >= min_pages)
     digests = F.array_distinct(F.transform(F.filter(_lines(text), lambda x: F.trim(x) != ""), _digest))
     holding = pages.select(at, F.explode(digests).alias("digest")).groupBy("host", "digest").agg(F.count("*").alias("holding"))
-    many = holding.filter(F.col("holding") >= max(1, int(ratio * min_pages)))
+    many = holding.filter(F.col("holding") >= max(1, min_holding, int(ratio * min_pages)))
     return (
         many.join(totals, "host")
         .filter(F.col("holding") > F.lit(ratio) * F.col("pages"))
@@ -31,14 +32,14 @@ def boilerplate_lines(pages: DataFrame, *, text: str, host: str, ratio: float =
 
 
 def drop_site_lines(
-    pages: DataFrame, *, text: str = "text", host: str = "host", ratio: float = 0.1, min_pages: int = 20, broadcast_bytes: int = BROADCAST_BYTES
+    pages: DataFrame, *, text: str = "text", host: str = "host", ratio: float = 0.1, min_pages: int = 20, min_holding: int = 1, broadcast_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
     """pages with `text` rid of its host's boilerplate lines, and new columns n_lines and n_dropped.
 
     Blank lines stay. A null text stays null with no lines. Other columns pass through; a column that is named n_lines
     or n_dropped already is replaced. Repeated rows count as pages of their own. An empty table gives an empty table.
     """
-    drop = written(boilerplate_lines(pages, text=text, host=host, ratio=ratio, min_pages=min_pages), "lines")
+    drop = written(boilerplate_lines(pages, text=text, host=host, ratio=ratio, min_pages=min_pages, min_holding=min_holding), "lines")
     drop = drop.select(F.col("host").alias("_host"), F.col("digests").alias("_drop"))
     size = drop.agg(F.sum(F.length("_host") + 32 + 24 * F.size("_drop"))).first()[0] or 0
     side = F.broadcast(drop) if size <= broadcast_bytes else drop.hint("merge")

@@ -69,3 +69,11 @@ def test_each_stage(spark, folder, tmp_path):
         else:
             assert {r.doc_id for r in rows} == set(before)
     assert sorted(map(tuple, corpus_pipeline.run(spark, folder).collect())) == sorted(map(tuple, rows))
+
+
+def test_lines_of_small_sources(spark):
+    rows = [(i, f"footer\nown {i}\n{'pair' if i < 2 else 'x'}", "small") for i in range(4)] + [(10, "footer\nown", "one")]
+    rows += [(100 + i, "\n".join(["menu"] * (i < 3) + ["rare"] * (i < 2) + [f"own {i}"]), "twenty") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_lines(spark, docs, "").collect()}
+    assert got == {i: "\n".join(x for x in t.split("\n") if (x, s) not in (("footer", "small"), ("menu", "twenty"))) for i, t, s in rows}
