@@ -70,6 +70,15 @@ def runs(pdf: pd.DataFrame, column: str, limit: int = RUN_BYTES) -> Iterator[pd.
             yield part
 
 
+def flags(x: np.ndarray) -> bytes:
+    """Truth values as bits; no bytes if none is true."""
+    return np.packbits(x).tobytes() if x.any() else b""
+
+
+def unflags(b: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(b, np.uint8), count=n).astype(bool) if len(b) else np.zeros(n, bool)
+
+
 def answers(docs: DataFrame, keys: Callable[[list[bytes]], tuple], *, bits: int, n_homes: int, hot: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Packed rows for the home of each document: kind 1, its repeated keys; kind 2, what `keys` said about it; kind 3 in part 0, keys that `hot` entries or more came for.
 
@@ -79,7 +88,8 @@ def answers(docs: DataFrame, keys: Callable[[list[bytes]], tuple], *, bits: int,
     Keys go to parts by their leading bits and the answers to parts by document, both packed. Within a batch equal texts
     are one, and a key that COMMON documents of the batch hold is told to them on the spot; one entry of it goes on. So a
     key that a third of all documents hold sends one entry a batch. An entry takes about six bytes: keys are sorted and
-    sent as differences, with their documents beside them. From bit LEVEL on, an answer says how common the key is: the
+    sent as differences, with their documents beside them and,
+    behind these, a bit for each that was told already; ids may have any sign. From bit LEVEL on, an answer says how common the key is: the
     logarithm of its entries, or TOP if it was common in any batch; all its holders are told the same.
     """
     low, many = np.uint64(0xFFFFFFFF), 1 << bits
@@ -122,23 +132,22 @@ def answers(docs: DataFrame, keys: Callable[[list[bytes]], tuple], *, bits: int,
         common = (ends - begins + 1 >= COMMON)[group]
         if common.any():
             yield _rows([many + int(d[0]) % many], [1], [planes(d[common])], [planes(k[common].view(np.int64) | TOP << LEVEL)])
-        d = np.where(common, -1 - d, d)
         keep = ~common | new
-        k, d = k[keep], d[keep]
+        k, d, common = k[keep], d[keep], common[keep]
         part = (k >> np.uint64(32)).astype(np.int64)
         cuts = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(k)).tolist()
         rest = (k & low).astype(np.uint32)
         pairs = list(zip(cuts, cuts[1:], strict=False))
-        yield _rows([int(part[a]) for a, _ in pairs], [0] * len(pairs), [planes(np.diff(rest[a:b], prepend=np.uint32(0))) for a, b in pairs], [planes(d[a:b]) for a, b in pairs])
+        yield _rows([int(part[a]) for a, _ in pairs], [0] * len(pairs), [planes(np.diff(rest[a:b], prepend=np.uint32(0))) for a, b in pairs], [planes(d[a:b]) + flags(common[a:b]) for a, b in pairs])
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         out = [by_home(kind, unplanes(a, np.int64), unplanes(b, np.int64), n_homes) for kind, a, b in zip(pdf["kind"], pdf["first"], pdf["second"], strict=True) if kind]
         entries = pdf[pdf["kind"] == 0]
         if len(entries):
             rest = np.concatenate([np.cumsum(unplanes(x, np.uint32), dtype=np.uint32) for x in entries["first"]])
-            d = np.concatenate([unplanes(x, np.int64) for x in entries["second"]])
-            told = d < 0
-            d = np.where(told, -1 - d, d)
+            sizes = [len(x) // 4 for x in entries["first"]]
+            d = np.concatenate([unplanes(x[: 8 * n], np.int64) for x, n in zip(entries["second"], sizes, strict=True)])
+            told = np.concatenate([unflags(x[8 * n :], n) for x, n in zip(entries["second"], sizes, strict=True)])
             order = np.lexsort((d, rest))
             rest, d, told = rest[order], d[order], told[order]
             new = np.append(True, rest[1:] != rest[:-1])

@@ -61,6 +61,12 @@ def test_components_equal_brute_force(spark, block):
         assert got == brute(rows, width, percent)
 
 
+def test_negative_ids(spark):
+    rows = [(i - 90, t) for i, t in corpus()]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert sorted(map(tuple, jaccard_join.jaccard_components(df, width=4, percent=85).collect())) == brute(rows, 4, 85)
+
+
 def test_odd_tables(spark):
     schema = "doc_id long, text string"
     assert jaccard_join.jaccard_components(spark.createDataFrame([], schema)).count() == 0

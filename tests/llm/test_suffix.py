@@ -75,6 +75,13 @@ def test_removed_bytes_equal_brute_force(spark, hot, monkeypatch):
         assert {r["at"] for r in got} == {7}
 
 
+def test_negative_ids(spark):
+    rows = [(i - 60, t) for i, t in corpus()]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = suffix_dedup.remove_repeats(df, length=50).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == brute(rows, 50)
+
+
 def test_pieces_of_long_texts(monkeypatch):
     text = [bytes(RNG.choices(b"abcd", k=5000)), b"", bytes(RNG.choices(b"abcd", k=700))]
     a = sorted((int(r), int(s + i), int(p)) for row, start, n, place, _ in suffix_dedup.windows(text, 50) for r, s, k, p in zip(row, start, n, place, strict=True) for i in range(k))
