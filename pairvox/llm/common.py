@@ -4,21 +4,29 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Links that a task contracts at once, and links from which on the rounds go on in one such step (2 MB).
+LINKS_AT_ONCE, FEW_LINKS = 1 << 18, 1 << 17
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder of spark.checkpoint.dir. Where the session names none, a temporary one for a local master, an error on a cluster."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", named)
+        spark.sparkContext.setCheckpointDir(named)
     return named
 
 
@@ -43,17 +51,55 @@ def utf8_bytes(text) -> F.Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (node, smallest node reachable) with the same components as the links (a, b); nodes that are smallest themselves are left out."""
+    nodes, of = np.unique(np.concatenate([a, b]), return_inverse=True)
+    parent = list(range(len(nodes)))
+    for i, j in zip(of[: len(a)].tolist(), of[len(a) :].tolist(), strict=True):
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        while parent[j] != j:
+            parent[j] = j = parent[parent[j]]
+        if i < j:
+            parent[j] = i
+        else:
+            parent[i] = j
+    root = np.array(parent, np.int64)
+    while (root[root] != root).any():
+        root = root[root]
+    k = np.flatnonzero(root != np.arange(len(root)))
+    return nodes[k], nodes[root[k]]
+
+
+def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    held: list[pd.DataFrame] = []
+    for pdf in batches:
+        held.append(pdf)
+        if sum(map(len, held)) >= LINKS_AT_ONCE:
+            u, v = forest(*(np.concatenate([p[c].to_numpy(np.int64) for p in held]) for c in ("u", "v")))
+            held = []
+            yield pd.DataFrame({"u": u, "v": v})
+    if held:
+        u, v = forest(*(np.concatenate([p[c].to_numpy(np.int64) for p in held]) for c in ("u", "v")))
+        yield pd.DataFrame({"u": u, "v": v})
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", *, few: int = FEW_LINKS) -> DataFrame:
     """(node, component): component is the smallest node reachable by links.
 
-    Alternating large-star and small-star contraction. Every step is a map-side combined minimum and a join on the
-    node, so a node with very many links needs no list of them in one place. Edges shrink to stars, each round is
-    checkpointed, and only a count and a checksum reach the driver. An empty table gives an empty table.
+    Each task first contracts distinct links of its own to stars. Then large-star and small-star contraction alternate: every step
+    is a map-side combined minimum and a join on the node, so a node with very many links needs no list of them in one
+    place. Links shrink to stars, each round is checkpointed, and only a count and a checksum reach the driver. Once
+    `few` links or less are left (a fixed bound, not a share of the input), one task contracts them in one step, which
+    saves the last rounds and changes no result. An empty table gives an empty table.
     """
-    e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v"))
-    e = cut(e.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = None
-    while True:
+    e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).filter("u <> v").distinct()
+    e = cut(e.mapInPandas(_contract, "u long, v long"))  # links are dealt out anew before, so no task has two Python workers
+    now, before = _sum(e), None
+    while now != before and now[0]:
+        if now[0] <= few:
+            e = cut(e.coalesce(1).mapInPandas(_contract, "u long, v long"))
+            break
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -61,10 +107,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         small = large.join(least, "u")
         e = small.select("u", F.col("m").alias("v")).union(small.select(F.col("v").alias("u"), F.col("m").alias("v")))
         e = cut(e.filter("u <> v").distinct())
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == before:
-            break
-        before = tuple(now)
+        before, now = now, _sum(e)
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
+
+
+def _sum(e: DataFrame) -> tuple:
+    return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())

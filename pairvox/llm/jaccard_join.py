@@ -16,9 +16,6 @@ from pairvox.llm.repeated import documents_with_keys, homes, key_bits, unpacked_
 #: Documents of a block; a cluster with more is split into blocks, and each pair of blocks is a task of its own.
 BLOCK = 1000
 
-#: Pairs of documents that share a shingle from which it is counted by matrix products.
-SPARSE = 400
-
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -67,18 +64,19 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 80, ke
        shingles alone, so no full set is needed again.
     2. Equal sets are one class. Its shingles are ordered the same way everywhere: those of one document first, then by how
        common they are, then by hash; documents with equal prefixes and sizes form a group, and only groups enter the prefix index.
-    3. Groups that share a prefix shingle are joined into clusters (stars, then contraction). Within a cluster group
-       pairs are filtered by size and prefix, expanded, and their members verified exactly, in blocks of bounded size;
-       each block hands on a spanning forest of its links. The forests' components are the result.
+    3. Groups that share a prefix shingle are joined into clusters (stars, then contraction). In blocks of a cluster, of
+       bounded size, group pairs are filtered by prefix and size; the members of those that are left are verified
+       exactly, but for members that links have reached already; each block hands on a spanning forest of its links.
+       The forests' components are the result.
 
     A null text counts as empty; a document without words has an empty set and is a component of its own. Documents
     with the same id are one node. A row whose id is null gets nulls. Only counts reach the driver.
     """
     spark = docs.sparkSession
     nameless, docs = docs.filter(F.col(key).isNull()), docs.filter(F.col(key).isNotNull())
-    total = docs.count()
+    total, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
     enough = lambda n: np.maximum(1, (n * percent + 99) // 100)  # of n shingles so many are in any intersection that suffices
-    rows = documents_with_keys(docs, lambda texts: shingle_sets(texts, width), bits=key_bits(total), n_homes=homes(total), least=enough, key=key, text=text)
+    rows = documents_with_keys(docs, lambda texts: shingle_sets(texts, width), bits=key_bits(total), n_homes=homes(total, size), least=enough, key=key, text=text)
     rows = written(rows, "shingles")
     facts = rows.select("doc_id", "n", "digest_a", "digest_b")
     classes = facts.filter("n > 0").groupBy("n", "digest_a", "digest_b").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"))
@@ -127,76 +125,85 @@ def _forest(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
 
 
+class _Side:
+    """Members of a block: their sets as numbers from 0, and an index from prefix tokens to groups (rows with equal prefix and size)."""
+
+    def __init__(self, rows: pd.DataFrame, percent: int) -> None:
+        self.reps, self.sizes = rows["rep"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
+        sets = [unpacked_list(x) for x in rows["keys"]]
+        counts = np.array([len(x) for x in sets])
+        self.flat, self.begin = np.concatenate(sets), np.append(0, np.cumsum(counts))
+        gid, self.group = np.unique(rows["gid"].to_numpy(np.int64), return_inverse=True)
+        self.lead = np.zeros(len(gid), np.int64)
+        self.lead[self.group] = np.arange(len(rows))
+        self.prefix = counts - np.maximum(1, (self.sizes * percent + 99) // 100) + 1
+
+    def number(self, universe: np.ndarray) -> None:
+        self.flat = np.searchsorted(universe, self.flat).astype(np.int32)
+        own = [self.flat[self.begin[k] : self.begin[k] + self.prefix[k]] for k in self.lead]
+        tokens, groups = np.concatenate(own), np.repeat(np.arange(len(own)), [len(x) for x in own])
+        order = np.argsort(tokens, kind="stable")
+        self.tokens, self.groups = tokens[order], groups[order]
+
+    def row(self, i: int) -> np.ndarray:
+        return self.flat[self.begin[i] : self.begin[i + 1]]
+
+    def groups_for(self, prefix: np.ndarray, size: int, percent: int) -> np.ndarray:
+        """For each group, whether it shares a token with the prefix and its size may suffice."""
+        low, high = np.searchsorted(self.tokens, prefix), np.searchsorted(self.tokens, prefix, side="right")
+        out = np.zeros(len(self.lead), bool)
+        out[self.groups[_ranges(low, high)]] = True
+        sizes = self.sizes[self.lead]
+        return out & (100 * np.minimum(sizes, size) >= percent * np.maximum(sizes, size))
+
+
+def _ranges(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    times = high - low
+    return np.repeat(low - np.cumsum(times) + times, times) + np.arange(int(times.sum()))
+
+
+def _shared(side: _Side, rows: np.ndarray, marked: np.ndarray) -> np.ndarray:
+    """How many marked tokens each of the rows has: the verification of one member against others."""
+    held = marked[side.flat[_ranges(side.begin[rows], side.begin[rows + 1])]]
+    sums = np.append(0, np.cumsum(held))
+    ends = np.cumsum(side.begin[rows + 1] - side.begin[rows])
+    return sums[ends] - np.append(0, sums[ends[:-1]])
+
+
 def _links(left: pd.DataFrame, right: pd.DataFrame, percent: int, same: bool) -> list[tuple[int, int]]:
-    reps, sizes, group, leads, prefixes, tokens = [], [], [], [], [], []
-    for side in (left, right):
-        reps.append(side["rep"].to_numpy(np.int64))
-        sizes.append(side["n"].to_numpy(np.int64))
-        tokens.append([unpacked_list(x) for x in side["keys"]])
-        gid, of = np.unique(side["gid"].to_numpy(np.int64), return_inverse=True)
-        lead = np.zeros(len(gid), np.int64)
-        lead[of] = np.arange(len(side))
-        group.append(of)
-        leads.append(sizes[-1][lead])
-        prefixes.append([t[: len(t) - max(1, (n * percent + 99) // 100) + 1] for t, n in ((tokens[-1][k], int(sizes[-1][k])) for k in lead)])
-    pairs = _common(*prefixes) > 0  # groups that share a prefix shingle
-    pairs &= 100 * np.minimum.outer(*leads) >= percent * np.maximum.outer(*leads)
-    both = _common(*tokens)
-    alike = 100 * both >= percent * (sizes[0][:, None] + sizes[1][None, :] - both)
-    alike &= pairs[group[0]][:, group[1]]
+    """A spanning forest of the links. From each member on, the groups that survive the filters are expanded, and those members of them are verified that no link has reached yet."""
+    sides = [_Side(left, percent)]
+    sides.append(sides[0] if same else _Side(right, percent))
+    universe = np.unique(np.concatenate([x.flat for x in sides[: 2 - same]]))
+    for x in sides[: 2 - same]:
+        x.number(universe)
+    fresh = [np.ones(len(x.reps), bool) for x in sides]
+    if same:
+        fresh[1] = fresh[0]
+    marked = np.zeros(len(universe), bool)
     edges: list[tuple[int, int]] = []
-    fresh = [np.ones(len(reps[0]), bool), np.ones(len(reps[1]), bool)]
-    for root in range(len(reps[0])):
+    for root in range(len(sides[0].reps)):
         if not fresh[0][root]:
             continue
         fresh[0][root] = False
-        if same:
-            fresh[1] = fresh[0]
         stack = [(0, root)]
         while stack:
-            side, i = stack.pop()
-            found = np.flatnonzero((alike[i] if side == 0 else alike[:, i]) & fresh[1 - side])
-            fresh[1 - side][found] = False
-            edges += [(int(reps[side][i]), int(reps[1 - side][k])) for k in found]
-            stack += [(1 - side, int(k)) for k in found]
+            s, i = stack.pop()
+            own, other = sides[s], sides[1 - s]
+            if not fresh[1 - s].any():
+                continue
+            found = np.flatnonzero(fresh[1 - s] & other.groups_for(own.row(i)[: own.prefix[i]], own.sizes[i], percent)[other.group])
+            if not len(found):
+                continue
+            marked[own.row(i)] = True
+            both = _shared(other, found, marked)
+            marked[own.row(i)] = False
+            found = found[100 * both >= percent * (own.sizes[i] + other.sizes[found] - both)]
+            fresh[1 - s][found] = False
+            edges += [(int(own.reps[i]), int(other.reps[k])) for k in found]
+            stack += [(1 - s, int(k)) for k in found]
     return edges
 
 
-def _common(left: list, right: list, width: int = 2048) -> np.ndarray:
-    """Sizes of the intersections of each set on the left with each on the right."""
-    row = [np.repeat(np.arange(len(s)), [len(x) for x in s]) for s in (left, right)]
-    values = [np.concatenate([np.asarray(x, np.int64) for x in s]) for s in (left, right)]
-    shared = np.intersect1d(values[0], values[1])
-    at = []
-    for i in (0, 1):
-        k = np.searchsorted(shared, values[i])
-        keep = k < len(shared)
-        keep[keep] = shared[k[keep]] == values[i][keep]
-        order = np.argsort(k[keep], kind="stable")
-        row[i], k = row[i][keep][order], k[keep][order]
-        at.append(k)
-    counts = [np.bincount(k, minlength=len(shared)) for k in at]
-    heavy = counts[0] * counts[1] > SPARSE
-    out = np.zeros((len(left), len(right)), np.float32)
-    dense = np.cumsum(heavy) - 1
-    for begin in range(0, int(heavy.sum()), width):
-        x = []
-        for i, m in ((0, len(left)), (1, len(right))):
-            own = np.flatnonzero(heavy[at[i]] & (dense[at[i]] >= begin) & (dense[at[i]] < begin + width))
-            x.append(np.zeros((m, width), np.float32))
-            x[i][row[i][own], dense[at[i][own]] - begin] = 1
-        out += x[0] @ x[1].T
-    flat, n = out.reshape(-1), len(right)
-    first = np.cumsum(counts[1]) - counts[1]
-    own = np.flatnonzero(~heavy[at[0]])
-    cuts = np.flatnonzero(np.diff(np.cumsum(counts[1][at[0][own]]) // (1 << 20), prepend=-1))
-    for k in np.split(own, cuts[1:]) if len(own) else []:  # a light shingle's pairs, one by one, about a million at once
-        times = counts[1][at[0][k]]
-        to = np.repeat(first[at[0][k]] - np.cumsum(times) + times, times) + np.arange(int(times.sum()))
-        pair, c = np.unique(np.repeat(row[0][k], times) * n + row[1][to], return_counts=True)
-        flat[pair] += c
-    return out.astype(np.int32)
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), width=4, percent=85)

@@ -22,9 +22,9 @@ COMMON, LEVEL, TOP = 8, 60, np.int64(7)
 RUN_BYTES, SORT_BYTES = 1 << 20, 8 << 20
 
 
-def homes(n_docs: int) -> int:
-    """A prime number of parts for documents, about 2,000 each."""
-    n = max(17, n_docs // 2000) | 1
+def homes(n_docs: int, n_bytes: int) -> int:
+    """A prime number of parts for documents: about 2,000 of them or 5 MB of text each, whichever makes more parts."""
+    n = max(17, n_docs // 2000, n_bytes // 5_000_000) | 1
     while any(n % d == 0 for d in range(3, math.isqrt(n) + 1, 2)):
         n += 2
     return n
@@ -43,8 +43,8 @@ def by_home(kind: int, d: np.ndarray, other: np.ndarray, n_homes: int) -> pd.Dat
 
 
 def key_bits(n_docs: int) -> int:
-    """Leading bits of a key that name its part: parts grow with the table, so a part's size doesn't."""
-    return min(20, max(6, math.ceil(math.log2(max(n_docs, 1) / 512 + 1))))
+    """Leading bits of a key that name its part: the number of parts grows with the table (up to 10^11 documents), so a part's size doesn't."""
+    return min(27, max(6, math.ceil(math.log2(max(n_docs, 1) / 512 + 1))))
 
 
 def short_keys(hashes: np.ndarray, bits: int) -> np.ndarray:

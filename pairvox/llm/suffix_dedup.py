@@ -16,6 +16,8 @@ from pairvox.llm.repeated import LEVEL, PACKED, _rows, answers, by_home, homes,
 
 #: Bytes of an anchor string; bytes of a symbol; entries of an anchor from which its windows meet by content.
 ANCHOR, SYMBOL, HOT_ROWS = 16, 32, 50_000
+#: Parts that a group of whole copies is cut into when it meets its smallest document.
+SALTS = 32
 _PIECE = 1 << 20  # text that is hashed at once; a longer one is taken in pieces
 _FAR = np.iinfo(np.int64).max
 
@@ -382,7 +384,7 @@ def _packed_texts(docs: DataFrame, key: str, text: str, n_homes: int, rest: list
             for part in runs(pdf, "body"):
                 yield part.assign(body=[compress(bytes(x)) for x in part["body"]])
 
-    at = F.coalesce(F.pmod(F.col(key).cast("long"), F.lit(n_homes)), F.lit(0)).cast("int").alias("part")
+    at = F.pmod(F.coalesce(F.col(key).cast("long"), F.xxhash64(text)), F.lit(n_homes)).cast("int").alias("part")  # rows without id go by content
     body = F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body")
     slim = docs.select(at, F.col(key).cast("long").alias("id"), F.hash(text).alias("m"), F.col(text).isNull().alias("nil"), body, *[F.col(f"`{f.name}`").alias(f"_{f.name}") for f in rest])
     return slim.mapInPandas(pack, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema))
@@ -406,14 +408,15 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, key: str = "doc_id", te
     docs = docs.drop(*(c.split()[0] for c in _CUT.split(", ")))
     rest = [f for f in docs.schema if columns is None or f.name in columns]
     fine = docs.filter(F.col(key).isNotNull() & (F.octet_length(F.coalesce(F.col(text), F.lit(""))) >= length))
-    own = written(fine.select(F.col(key).cast("long").alias("id"), F.unhex(F.md5(text)).alias("digest"), F.hash(text).alias("m")), "digests")
-    total = own.count()
-    bits, n_homes, hot_rows = key_bits(total), homes(total), max(hot_rows, total // 1_000_000)
+    own = written(fine.select(F.col(key).cast("long").alias("id"), F.unhex(F.md5(text)).alias("digest"), F.hash(text).alias("m"), F.octet_length(text).alias("size")), "digests")
+    total, size = own.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    bits, n_homes, hot_rows = key_bits(total), homes(total, size), max(hot_rows, total // 1_000_000)
     told = answers(fine, lambda texts: anchor_keys(texts, length), bits=bits, n_homes=n_homes, hot=hot_rows, key=key, text=text)
     told = written(told, "anchors")
     hot = np.unique(np.concatenate([np.zeros(0, np.int64), *(unplanes(r["first"], np.int64) for r in told.filter("kind = 3").select("first").collect())]))
     first = own.groupBy("digest").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
-    copies = own.join(first, "digest").filter("id > low").select("id", "m").distinct()
+    first = first.select("digest", "low", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    copies = own.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(first, ["digest", "salt"]).filter("id > low").select("id", "m").distinct()
     copies = copies.select(F.pmod("id", F.lit(n_homes)).cast("int").alias("part"), F.lit(COPY).alias("kind"), F.unhex(F.lpad(F.hex("id"), 16, "0")).alias("first"), F.unhex(F.lpad(F.hex(F.col("m").cast("long")), 16, "0")).alias("second"))
 
     texts = _packed_texts(fine, key, text, n_homes, [])

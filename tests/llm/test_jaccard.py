@@ -4,11 +4,13 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from pairvox.llm import jaccard_join
+from pairvox.llm.common import connected_components
 from pairvox.llm.hashing import Substrings
-from pairvox.llm.repeated import planes, unplanes
+from pairvox.llm.repeated import packed_list, planes, unplanes
 
 RNG = random.Random(11)
 
@@ -83,3 +85,38 @@ def test_hashes_and_planes():
     for kind in (np.int64, np.uint32):
         x = np.array([0, 1, 2**31, 77], kind)
         assert unplanes(planes(x), kind).tolist() == x.tolist()
+
+
+@pytest.mark.parametrize("few", [0, 1 << 17])
+def test_connected_components(spark, few):
+    rng = random.Random(3)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(1000, 1090)] + [(5000, i) for i in range(5001, 5100)] + [(7, 7)]
+    parent = {x: x for e in links for x in e}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        x, y = root(a), root(b)
+        parent[max(x, y)] = min(x, y)
+    want = {x: root(x) for x in parent if any(root(y) == root(x) for y in parent if y != x)}
+    df = spark.createDataFrame(links, "a long, b long").repartition(5)
+    got = connected_components(df, few=few).collect()
+    assert {r.node: r.component for r in got} == want and len(got) == len(want)
+    assert connected_components(df.limit(0), few=few).count() == 0
+
+
+def test_filters_and_links_save_verification(monkeypatch):
+    """A family of near copies and many documents that share no prefix token with it: few of a block's pairs are verified."""
+    rng = np.random.default_rng(5)
+    base = np.sort(rng.integers(0, 1 << 50, 200))
+    sets = [np.sort(np.unique(np.append(np.delete(base, rng.integers(200)), rng.integers(0, 1 << 50)))) for _ in range(300)]
+    sets += [np.sort(rng.integers(0, 1 << 50, 200)) for _ in range(300)]
+    pdf = pd.DataFrame({"rep": range(600), "gid": range(600), "n": [len(x) for x in sets], "keys": [packed_list(x) for x in sets]})
+    verified, shared = [], jaccard_join._shared
+    monkeypatch.setattr(jaccard_join, "_shared", lambda side, rows, marked: verified.append(len(rows)) or shared(side, rows, marked))
+    edges = jaccard_join._links(pdf, pdf, 85, True)
+    assert len(edges) == 299 and max(max(e) for e in edges) < 300
+    assert sum(verified) < 2 * 300 < 600 * 599 // 2
