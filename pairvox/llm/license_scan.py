@@ -10,24 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairvox.llm.common import table
+from pairvox.llm.licence_texts import TEMPLATES
 
 #: Phrases whose places are counted, and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-# Openings of public licence texts, by the label that a covered span of them gets.
-TEMPLATES = {
-    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software",
-    "apache-text": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis",
-    "gpl-text": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
-    "bsd-text": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
-    "isc-text": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
-    "mpl-text": "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at",
-    "rights-reserved": "all rights reserved",
-    "cc-text": "this work is licensed under a creative commons attribution",
-}
-
-#: A match counts from so many words (or a whole template); a chain's matches are at most so many words apart; a span gets its label from this share of the template.
-MIN_MATCH, MAX_GAP, MIN_COVER = 4, 8, 0.5
+#: A match counts from so many words (or a whole template); a chain's matches are at most so many words apart in the text; a
+#: span gets its label from this share of the template. A text with a base phrase scores so much at least.
+MIN_MATCH, MAX_GAP, MIN_COVER, PHRASE_SCORE = 4, 8, 0.5, 0.5
 
 _WORDS = re.compile(rb"[0-9a-z\x80-\xff]+").findall  # on UTF-8 bytes in lower case: [^\x00-\x2F\x3A-\x60\x7B-\x7F]+
 
@@ -43,42 +33,44 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class LicenceAutomaton:
-    """Suffix automaton of several word sequences; a state's `ends` has, by sequence, where its strings end there first."""
+    """Suffix automaton of several word sequences: templates, then phrases; a state's `ends` has all (sequence, last word) where its strings stand."""
 
-    def __init__(self, phrases: dict[str, str], templates: dict[str, str]) -> None:
+    def __init__(self, phrases: dict[str, str], templates: list[tuple[str, str]]) -> None:
         self.phrases = [(words_of(p), label) for p, label in phrases.items()]
-        self.texts = [(words_of(t), label) for label, t in templates.items()] + self.phrases
+        self.texts = [(words_of(t), label) for label, t in templates] + self.phrases
         self.first_phrase = len(templates)
         self.ids = {w: i for i, w in enumerate(dict.fromkeys(w for t, _ in self.texts for w in t))}
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        self.ends: list[dict[int, int]] = [{}]
+        self.ends: list[set[tuple[int, int]]] = [set()]
         for t, (sequence, _) in enumerate(self.texts):
             last = 0
             for at, w in enumerate(sequence):
                 last = self._extend(last, self.ids[w])
-                self.ends[last].setdefault(t, at)
+                self.ends[last].add((t, at))
         for v in sorted(range(1, len(self.next)), key=lambda v: -self.length[v]):
-            for t, at in self.ends[v].items():
-                up = self.ends[self.link[v]] if self.link[v] > 0 else {}
-                up[t] = min(up.get(t, at), at)
+            if self.link[v] > 0:
+                self.ends[self.link[v]] |= self.ends[v]
         # Phrases that are a suffix of a state's longest string.
         self.done = [[k for k, (p, _) in enumerate(self.phrases) if self._whole(v, self.first_phrase + k, len(p))] for v in range(len(self.next))]
+        # Where matches can be in templates: by state, for strings of MIN_MATCH words and more or a whole template.
+        short = min((len(t) for t, _ in self.texts[: self.first_phrase]), default=MIN_MATCH)
+        self.places = [sorted(e for e in own if e[0] < self.first_phrase) if n >= min(MIN_MATCH, short) else [] for own, n in zip(self.ends, self.length, strict=True)]
 
     def _whole(self, v: int, t: int, n: int) -> bool:
         while v > 0 and self.length[self.link[v]] >= n:
             v = self.link[v]
-        return v > 0 and self.length[v] >= n and self.ends[v].get(t) == n - 1
+        return v > 0 and self.length[v] >= n and (t, n - 1) in self.ends[v]
 
-    def _state(self, length: int, link: int, following: dict[int, int], ends: dict[int, int]) -> int:
+    def _state(self, length: int, link: int, following: dict[int, int]) -> int:
         self.next.append(dict(following))
         self.link.append(link)
         self.length.append(length)
-        self.ends.append(dict(ends))
+        self.ends.append(set())
         return len(self.next) - 1
 
     def _split(self, p: int, w: int, q: int) -> int:
-        clone = self._state(self.length[p] + 1, self.link[q], self.next[q], {})
+        clone = self._state(self.length[p] + 1, self.link[q], self.next[q])
         self.link[q] = clone
         while p >= 0 and self.next[p].get(w) == q:
             self.next[p][w] = clone
@@ -88,7 +80,7 @@ class LicenceAutomaton:
     def _extend(self, last: int, w: int) -> int:
         if (q := self.next[last].get(w)) is not None:
             return q if self.length[q] == self.length[last] + 1 else self._split(last, w, q)
-        new, p = self._state(self.length[last] + 1, 0, {}, {}), last
+        new, p = self._state(self.length[last] + 1, 0, {}), last
         while p >= 0 and w not in self.next[p]:
             self.next[p][w] = new
             p = self.link[p]
@@ -123,50 +115,67 @@ class LicenceAutomaton:
             matches.append((len(words) - 1, n, v))
         return places, matches
 
-    def spans(self, matches: list[tuple[int, int, int]]) -> list[tuple[str, int, int, float]]:
-        """Chains of long matches, in order in text and template, that cover MIN_COVER of a template: (label, first word, last word, cover)."""
-        open_, found = {}, []
-
-        def close(t: int) -> None:
-            first, last, covered, _ = open_.pop(t)
-            if (cover := covered / len(self.texts[t][0])) >= MIN_COVER:
-                found.append((self.texts[t][1], first, last, min(1.0, cover)))
+    def spans(self, matches: list[tuple[int, int, int]]) -> tuple[list[tuple[str, int, int, float]], float]:
+        """Covered spans (label, first word, last word, cover) and the best cover of any chain.
 
+        A chain is a run of matches that go forward in the text and in one template, at most MAX_GAP words apart in the
+        text; its weight is the number of template words covered. The heaviest chain to each match comes from dynamic
+        programming over all places of the match in the template. Chains are taken from the heaviest on, as long as they
+        share no match, and those that cover MIN_COVER of their template are spans.
+        """
+        anchors: dict[int, list[tuple[int, int, int]]] = {}  # (last word in the text, last word in the template, length)
         for last, n, v in matches:
-            for t, at in self.ends[v].items():
-                if t >= self.first_phrase or n < min(MIN_MATCH, len(self.texts[t][0])):
-                    continue
-                if t in open_:
-                    first, end, covered, reached = open_[t]
-                    if last - n - end <= MAX_GAP and at > reached:
-                        open_[t] = first, last, covered + min(n, last - end, at - reached), at
-                        continue
-                    close(t)
-                open_[t] = last - n + 1, last, n, at
-        for t in list(open_):
-            close(t)
-        return sorted(found, key=lambda x: (x[1], x[2], x[0]))
+            for t, at in self.places[v]:
+                if n >= min(MIN_MATCH, len(self.texts[t][0])):
+                    anchors.setdefault(t, []).append((last, at, n))
+        found, best = [], 0.0
+        for t, own in anchors.items():
+            size = len(self.texts[t][0])
+            weight, back = [n for *_, n in own], [-1] * len(own)
+            for k, (last, at, n) in enumerate(own):
+                for j in range(k - 1, -1, -1):
+                    before, reached, _ = own[j]
+                    if before < last - n - MAX_GAP:
+                        break
+                    if before < last and reached < at and (w := weight[j] + min(n, last - before, at - reached)) > weight[k]:
+                        weight[k], back[k] = w, j
+            best = max(best, max(weight) / size)
+            used = [False] * len(own)
+            for k in sorted(range(len(own)), key=lambda k: (-weight[k], k)):
+                if weight[k] < MIN_COVER * size:
+                    break
+                chain = [k]
+                while back[chain[-1]] >= 0:
+                    chain.append(back[chain[-1]])
+                if not any(used[j] for j in chain):
+                    last, _, n = own[chain[-1]]
+                    found.append((self.texts[t][1], last - n + 1, own[k][0], min(1.0, weight[k] / size)))
+                    for j in range(chain[-1], k + 1):  # other matches of the covered span are not chains of their own
+                        used[j] = True
+        return sorted(set(found), key=lambda x: (x[1], x[2], x[0], x[3])), min(1.0, best)
 
 
 def scan_text(automaton: LicenceAutomaton, text: str | None) -> tuple:
-    """A row of SCHEMA. score: the best cover of a span, or 1 where a phrase stands."""
+    """A row of SCHEMA. score: the best cover of a chain; PHRASE_SCORE at least where a base phrase stands."""
     words = words_of(text)
     places, matches = automaton.scan(words)
-    spans = automaton.spans(matches)
+    spans, cover = automaton.spans(matches)
     base = sorted({automaton.phrases[k][1] for _, k in places})
     labels = sorted({*base, *(x[0] for x in spans)})
     starts = [i for i, _ in places]
     return (
         len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(base), ",".join(labels),
-        1.0 if places else max((x[3] for x in spans), default=0.0), [dict(zip(("label", "first", "last", "cover"), x, strict=True)) for x in spans],
+        max(cover, PHRASE_SCORE if places else 0.0), [dict(zip(("label", "first", "last", "cover"), x, strict=True)) for x in spans],
     )
 
 
-def scan_licences(docs: DataFrame, *, key: str = "doc_id", text: str = "text", phrases: dict[str, str] | None = None, templates: dict[str, str] | None = None) -> DataFrame:
+def scan_licences(docs: DataFrame, *, key: str = "doc_id", text: str = "text", phrases: dict[str, str] | None = None, templates: list[tuple[str, str]] | None = None) -> DataFrame:
     """(key, columns of SCHEMA) for every row: base places, labels, score and covered spans of its whole text.
 
     The automaton is built from the given texts on each worker; documents stream through it and nothing is shuffled. A
-    null or empty text has no words, no labels and score 0. Repeated rows are scanned each.
+    text is scanned in one pass whatever its length, so a very long one takes time and memory in proportion. A null or
+    empty text has no words, no labels and score 0. Repeated rows are scanned each, a null key stays null. Other columns
+    don't come along, so theirs can't clash.
     """
     own = phrases or PHRASES, templates or TEMPLATES
     names = [x.split()[0] for x in SCHEMA.split(", ")[:7]] + ["spans"]

@@ -11,18 +11,18 @@ from pairvox.llm.common import table, written
 BROADCAST_BYTES = 16 << 20
 
 
-def boilerplate_lines(pages: DataFrame, *, text: str, host: str, ratio: float = 0.1, min_pages: int = 20, min_holding: int = 1) -> DataFrame:
-    """(host, digests): for each host the MD5 digests of lines that more than `ratio` of its pages contain.
+def boilerplate_lines(pages: DataFrame, *, text: str, host: str, ratio: float = 0.1, min_holding: int = 2) -> DataFrame:
+    """(host, digests): for each host the MD5 digests of lines that more than `ratio` of its pages contain, and min_holding pages at least.
 
-    A line is compared trimmed and counts once a page. Hosts with fewer than min_pages pages have no such lines, nor has
-    any host lines on fewer than min_holding pages. A host has at most (mean lines a page) / ratio of them, so the arrays
-    stay short. A null host counts as the empty one.
+    A line is compared trimmed and counts once a page. The second condition keeps the lines of a site's only page, all of
+    whose lines stand on all of its pages; it holds at hosts of every size. A host has at most (mean lines a page) /
+    ratio such lines, so the arrays stay short. A null host counts as the empty one.
     """
     at = F.coalesce(F.col(host), F.lit("")).alias("host")
-    totals = pages.groupBy(at).agg(F.count("*").alias("pages")).filter(F.col("pages") >= min_pages)
+    totals = pages.groupBy(at).agg(F.count("*").alias("pages"))
     digests = F.array_distinct(F.transform(F.filter(_lines(text), lambda x: F.trim(x) != ""), _digest))
     holding = pages.select(at, F.explode(digests).alias("digest")).groupBy("host", "digest").agg(F.count("*").alias("holding"))
-    many = holding.filter(F.col("holding") >= max(1, min_holding, int(ratio * min_pages)))
+    many = holding.filter(F.col("holding") >= min_holding)
     return (
         many.join(totals, "host")
         .filter(F.col("holding") > F.lit(ratio) * F.col("pages"))
@@ -32,14 +32,15 @@ def boilerplate_lines(pages: DataFrame, *, text: str, host: str, ratio: float =
 
 
 def drop_site_lines(
-    pages: DataFrame, *, text: str = "text", host: str = "host", ratio: float = 0.1, min_pages: int = 20, min_holding: int = 1, broadcast_bytes: int = BROADCAST_BYTES
+    pages: DataFrame, *, text: str = "text", host: str = "host", ratio: float = 0.1, min_holding: int = 2, broadcast_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
     """pages with `text` rid of its host's boilerplate lines, and new columns n_lines and n_dropped.
 
     Blank lines stay. A null text stays null with no lines. Other columns pass through; a column that is named n_lines
-    or n_dropped already is replaced. Repeated rows count as pages of their own. An empty table gives an empty table.
+    or n_dropped already is replaced. Repeated rows count as pages of their own. Texts are taken whole at any length. An
+    empty table gives an empty table.
     """
-    drop = written(boilerplate_lines(pages, text=text, host=host, ratio=ratio, min_pages=min_pages, min_holding=min_holding), "lines")
+    drop = written(boilerplate_lines(pages, text=text, host=host, ratio=ratio, min_holding=min_holding), "lines")
     drop = drop.select(F.col("host").alias("_host"), F.col("digests").alias("_drop"))
     size = drop.agg(F.sum(F.length("_host") + 32 + 24 * F.size("_drop"))).first()[0] or 0
     side = F.broadcast(drop) if size <= broadcast_bytes else drop.hint("merge")
@@ -78,10 +79,10 @@ for _p, _t in PLAIN:
 
 ORACLE_SQL = f"""
 WITH p AS (SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS host, string_split({_SQL_HTML}, chr(10)) AS lines FROM pages),
-t AS (SELECT host, count(*) AS pages FROM p GROUP BY host HAVING count(*) >= 20),
+t AS (SELECT host, count(*) AS pages FROM p GROUP BY host),
 h AS (SELECT host, line, count(*) AS holding FROM (SELECT host, unnest(list_distinct(list_transform(lines, lambda x: trim(x)))) AS line FROM p)
       WHERE line <> '' GROUP BY host, line),
-d AS (SELECT h.host, list(line) AS dropped FROM h JOIN t ON h.host = t.host WHERE holding > 0.1 * pages GROUP BY h.host),
+d AS (SELECT h.host, list(line) AS dropped FROM h JOIN t ON h.host = t.host WHERE holding >= 2 AND holding > 0.1 * pages GROUP BY h.host),
 k AS (SELECT page_id, p.host, lines, CASE WHEN dropped IS NULL THEN lines ELSE list_filter(lines, lambda x: trim(x) = '' OR NOT list_contains(dropped, trim(x))) END AS kept
       FROM p LEFT JOIN d ON p.host = d.host)
 SELECT page_id, host, array_to_string(kept, chr(10)) AS kept_text, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(kept) AS BIGINT) AS n_dropped FROM k
