@@ -37,6 +37,11 @@ def fit_rotation(sample: np.ndarray, *, bits: int, seed: int) -> tuple[np.ndarra
     return mean, projection
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def near_vectors(
     vectors: DataFrame, *, min_cosine: float = 0.98, key: str = "vec_id", vector: str = "embedding", label: str = "label", bits: int = 64, width: int | None = None, seeds: tuple[int, ...] = (7,), block: int = BLOCK
 ) -> DataFrame:
@@ -49,8 +54,13 @@ def near_vectors(
     into blocks whose pairs are tasks of their own, so nothing is left out. Links are counted in place, and each task
     hands on a spanning forest of them.
 
-    Vectors that are null, zero or hold null or non-finite parts, and those of another dimension than most, or without a
-    label, link with nothing. A row whose key is null gets nulls. Repeated rows are vectors of their own.
+    The rotations are fitted on FIT_ROWS vectors at most, of the commonest dimension; vectors of another dimension get
+    their codes from random axes and meet their like only. Vectors are scaled by their largest part first, so very large
+    and very small ones neither overflow nor vanish.
+
+    Vectors that are null, zero or hold null or non-finite parts, and those without a label, link with nothing. A row
+    whose key is null gets nulls. Repeated rows are vectors of their own; ties of cosines don't matter, since all pairs
+    that reach min_cosine are links. Other columns don't come along, so theirs can't clash.
     """
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.col(label).alias("label"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0)
@@ -63,35 +73,32 @@ def near_vectors(
     if size is None:
         return _result(hashed, None, key)
     sample = classes.filter(F.size("v") == size["d"]).orderBy(F.xxhash64("rep"), "rep").limit(FIT_ROWS).select("v").toPandas()["v"]
-    unit = np.stack([np.asarray(x, np.float64) for x in sample])
-    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    unit = _unit(np.stack([np.asarray(x, np.float64) for x in sample]))
     models = [fit_rotation(unit, bits=bits, seed=s) for s in seeds]
     width = width or WIDTH
     n_tables = bits // width * len(models)
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if not len(pdf):
-                continue
-            x = np.stack(pdf["v"].to_list())
-            x = x / np.linalg.norm(x, axis=1, keepdims=True)
-            parts = []
-            for mean, projection in models:
-                signs = (x - mean) @ projection >= 0
-                parts.append(np.packbits(signs[:, : bits // width * width].reshape(len(x), -1, width), axis=2, bitorder="little").reshape(len(x), -1, -(-width // 8)).astype(np.int64) @ (1 << 8 * np.arange(-(-width // 8))))
-            yield pdf.assign(code=list(np.hstack(parts)))
-
-    coded = classes.filter(F.size("v") == size["d"]).select("label", "rep", "count", "v")
+            for d, own in pdf.groupby(pdf["v"].map(len)):
+                x = _unit(np.stack(own["v"].to_list()))
+                parts = []
+                for mean, projection in models if d == size["d"] else [(0, np.random.default_rng([s, d]).standard_normal((d, bits))) for s in seeds]:
+                    signs = (x - mean) @ projection >= 0
+                    parts.append(np.packbits(signs[:, : bits // width * width].reshape(len(x), -1, width), axis=2, bitorder="little").reshape(len(x), -1, -(-width // 8)).astype(np.int64) @ (1 << 8 * np.arange(-(-width // 8))))
+                yield own.assign(code=list(np.hstack(parts)))
+
+    coded = classes.select("label", "rep", "count", "v")
     ddl = f"label {classes.schema['label'].dataType.simpleString()}, rep long, count long, v array<double>, code array<long>"
     coded = written(coded.mapInPandas(encode, ddl), "codes")
-    bucket = F.xxhash64("label", "t", "value").alias("bucket")
-    met = coded.select("rep", F.posexplode("code").alias("t", "value"), "label").select(bucket)
+    bucket = F.xxhash64("label", F.size("v"), "t", "value").alias("bucket")
+    met = coded.select(F.posexplode("code").alias("t", "value"), "label", "v").select(bucket)
     sizes = met.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     placed = coded.select("*", F.posexplode("code").alias("t", "value")).withColumn("bucket", bucket).join(sizes, "bucket")
     blocks = F.expr(f"cast((size + {block - 1}) div {block} AS int)")
     placed = placed.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    n_tasks = max(1, n_tables * int(size["count"]) // 20_000)
+    n_tasks = max(1, n_tables * coded.count() // 20_000)
     pair = F.struct(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     jobs = placed.select(
         F.when(F.col("blocks") == 1, F.pmod("bucket", F.lit(n_tasks))).otherwise(F.col("bucket")).alias("task"),
@@ -104,12 +111,11 @@ def near_vectors(
 def _compare(pdf: pd.DataFrame, min_cosine: float) -> pd.DataFrame:
     """For the buckets of a task: rows (a, null, links of a found here, by their classes' sizes) and (a, b, null) of a spanning forest."""
     out: list[tuple] = []
-    for _, own in pdf.groupby(["bucket", "label", "t"], sort=False):
+    for _, own in pdf.groupby([pdf["bucket"], pdf["label"], pdf["t"], pdf["v"].map(len)], sort=False):
         own = own.drop_duplicates("rep")
         if len(own) < 2:
             continue
-        x = np.stack(own["v"].to_list())
-        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        x = _unit(np.stack(own["v"].to_list()))
         link = x @ x.T >= min_cosine
         np.fill_diagonal(link, False)
         side = own["own"].to_numpy()

@@ -64,23 +64,33 @@ def test_links_of_vectors(spark, block):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
 
 
-def test_recall_on_the_given_vectors(spark):
-    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
-    rows = [tuple(r) for r in df.collect()]
-    links, components, _ = brute(rows, 0.98)
-    got = {r.vec_id: r for r in itq_dedup.near_vectors(df).collect()}
-    assert sum(r.n_links for r in got.values()) >= 0.97 * sum(links.values())
-    assert sum(got[r[0]].component_id == c for r, c in zip(rows, components, strict=True)) >= 0.97 * len(rows)
-
-
-def test_links_do_not_depend_on_the_size(spark, monkeypatch):
-    rng = np.random.default_rng(11)
+def planted(n, cosine, seed=11):
+    rng = np.random.default_rng(seed)
     rows = []
-    for k in range(1500):
+    for k in range(n):
         x, y = (v / np.linalg.norm(v) for v in rng.standard_normal((2, 64)))
         y -= (y @ x) * x
         y /= np.linalg.norm(y)
-        rows += [(2 * k, x.tolist(), k % 3), (2 * k + 1, (0.981 * x + np.sqrt(1 - 0.981**2) * y).tolist(), k % 3)]
+        rows += [(2 * k, x.tolist(), k % 3), (2 * k + 1, (cosine * x + np.sqrt(1 - cosine**2) * y).tolist(), k % 3)]
+    return rows
+
+
+@pytest.mark.parametrize("cosine", [0.9801, 0.985, 0.99])
+def test_recall_of_planted_pairs(spark, cosine):
+    df = spark.createDataFrame(planted(1500, cosine), "vec_id long, embedding array<double>, label int")
+    assert sum(r.n_links for r in itq_dedup.near_vectors(df).collect()) >= 0.995 * 3000
+
+
+def test_vectors_of_any_dimension_and_size(spark):
+    rows = [(i, v, 0) for i, v, _ in planted(40, 0.99)]
+    rows += [(1000 + i, v[:10], 0) for i, v, _ in planted(30, 1.0)] + [(2000 + i, [1e200 * x for x in v], 1) for i, v, _ in planted(20, 0.99)] + [(3000 + i, [1e-250 * x for x in v], 2) for i, v, _ in planted(20, 0.99)]
+    got = {r.vec_id: r for r in itq_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    links, components, _ = brute([(i, [x * (1e-200 if 2000 <= i < 3000 else 1e250 if i >= 3000 else 1) for x in v], (label, len(v))) for i, v, label in rows], 0.98)
+    assert {i: (r.n_links, r.component_id) for i, r in got.items()} == {r[0]: (links[k], components[k]) for k, r in enumerate(rows)}
+
+
+def test_links_do_not_depend_on_the_size(spark, monkeypatch):
+    rows = planted(1500, 0.981)
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     first, counts = type(df).first, []
 
@@ -123,13 +133,71 @@ def test_quality_on_rows_it_has_not_seen(spark):
     model = quality.fit_quality(docs, seen)
     scored = quality.score_quality(docs, model, columns=["doc_id"])
     got = scored.join(labels.filter("doc_id % 2 = 1"), "doc_id").select("quality", "score", "text_score", "page_score").toPandas()
-    for column in ("score", "text_score", "page_score"):
+    for column in ("score", "text_score"):
         assert (((got[column] >= 0.5) == (got.quality == 1)).mean()) > 0.95, column
+    rank, good = got.page_score.rank(), got.quality == 1  # the record alone says little here, but more than chance
+    assert (rank[good].mean() - (good.sum() + 1) / 2) / (~good).sum() > 0.6
     good = got[got.quality == 1]
     assert (good.score >= quality.REJECT_BELOW).mean() > 0.99
     assert (got[got.quality == 0].score < quality.REJECT_BELOW).mean() > 0.9
 
 
+def test_quality_equals_a_plain_reimplementation(spark):
+    rng = random.Random(2)
+    good, bad = [f"g{i}" for i in range(30)], [f"B%{i}!" for i in range(30)]
+    rows = []
+    for i in range(700):
+        y = i % 2
+        t = " ".join(rng.choices(good if y else bad, k=rng.randrange(5, 40)))
+        rows.append((i, t, rng.choice(["en", "de", None]), f"s{y if rng.random() < 0.95 else 1 - y}", len(t)))
+    rows += [(1000 + i, *rows[i][1:]) for i in range(0, 60)] + [(None, *rows[5][1:]), (1, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(200)] + [(7, 0, 0), (9, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    model = quality.fit_quality(docs, labels, labelled_rows=60)
+    h = {r.text: r.h for r in docs.selectExpr("text", "xxhash64(coalesce(text, '')) AS h").distinct().collect()}
+    o = {r.doc_id: (r.a, r.b) for r in docs.selectExpr("doc_id", "xxhash64(3, doc_id) AS a", "pmod(xxhash64(5, doc_id), 10) AS b").collect()}
+    clean = {i: i % 2 for i in range(200) if i != 7}
+    view = lambda r: (quality.text_view((r[1] or "").encode()), quality.page_view((r[1] or "").encode(), r[3], r[2], r[4]))
+    chosen = [i for y in (1, 0) for i in sorted((i for i in clean if clean[i] == y), key=lambda i: o[i][0])[:60]]
+    chosen.sort(key=lambda i: o[i][0])
+    first = {i: min((h[r[1]], *(x.tobytes() for x in view(r)), k) for k, r in enumerate(rows) if r[0] == i)[-1] for i in chosen}
+    stacked = [np.stack(x) for x in zip(*(view(rows[first[i]]) for i in chosen), strict=True)]
+    pool = [r for r in rows if r[0] not in clean]
+
+    def give(models, taken):
+        out = []
+        for v in (0, 1):
+            for label in (0, 1):
+                best = {}
+                for r in pool:
+                    p = float(quality._sigmoid(models[v].logits(view(r)[v][None]))[0])
+                    sure = p if label else 1 - p
+                    if sure >= quality.CONFIDENCE and h[r[1]] not in taken[1 - v]:
+                        best[h[r[1]]] = max(sure, best.get(h[r[1]], 0))
+                for x in sorted(best, key=lambda x: (-best[x], x))[: quality.HANDED_ON]:
+                    r = min((r for r in pool if h[r[1]] == x), key=lambda r: (r[0] is not None, r[0] or 0))
+                    out.append((v, label, x, *view(r)))
+        given.append(len(out))
+        return out
+
+    given = []
+    want = quality.co_train(stacked, np.array([clean[i] for i in chosen]), np.array([o[i][1] < 3 for i in chosen]), give)
+    got = {(r.doc_id, r.text): (r.text_score, r.page_score, r.score) for r in quality.score_quality(docs, model).collect()}
+    assert sum(given) > 200
+    for r in rows:
+        assert np.allclose(got[r[0], r[1]], want.scores(*(x[None] for x in view(r)))[0], atol=1e-4)
+
+
+def test_views_are_separate_and_take_long_texts():
+    body = ("some words of a text " * 150_000).encode()
+    assert quality.text_view(body).shape == (quality.TEXT_DIMS,) and quality.page_view(body, "s", "en", 5).shape == (quality.PAGE_DIMS,)
+    whole = np.frombuffer(body, np.uint8)
+    counts = np.bincount(quality._MIX[0][whole[:-2]] + quality._MIX[1][whole[1:-1]] + quality._MIX[2][whole[2:]] & quality.TRIGRAMS - 1, minlength=quality.TRIGRAMS)
+    assert (quality.text_view(body)[: quality.TRIGRAMS] == quality._bytes(np.sqrt(counts) / np.linalg.norm(np.sqrt(counts)), 1020)).all()
+    assert (quality.page_view(b"aaa bbb", "s", "en", 7) == quality.page_view(b"!!? ???", "s", "en", 7)).all()  # content is not in the page view
+    assert quality.text_view(b"").sum() == 0
+
+
 def test_quality_without_labels_and_with_nulls(spark):
     docs = spark.createDataFrame([(1, None, None, None, None, "x"), (2, "", "en", "s", 0, "x"), (None, "some text here", "en", None, 14, "x"), (2, "", "en", "s", 0, "x")], "doc_id long, text string, lang string, source string, n_chars long, score string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
