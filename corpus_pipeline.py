@@ -21,7 +21,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that more than a tenth of one source's documents, and three or more, share; sources of any size."""
-    return _sized(line_dedup.drop_site_lines(docs, text="text", host="source", min_pages=1, min_holding=3), docs)
+    return _sized(line_dedup.drop_site_lines(docs, text="text", host="source", min_holding=3), docs)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
