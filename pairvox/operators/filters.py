@@ -1,15 +1,16 @@
-"""Windowed filters and morphology on pixel rows (volume_id, z, y, x, v)."""
+"""Windowed filters on pixel rows (volume_id, z, y, x, v), and morphology on slices as arrays (volume_id, z, height, width, px)."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairvox.operators.spread import smallest_label
+from pairvox.operators.spread import cut, smallest_label
 
 
 def footprint(radius: float, spacing: tuple[float, float, float]) -> list[tuple[int, int, int]]:
@@ -32,28 +33,42 @@ def local_change(px: DataFrame, offsets: list[tuple[int, int, int]]) -> DataFram
     return px.select("volume_id", "z", "y", "x").join(lic, ["volume_id", "z", "y", "x"])
 
 
-def local_change_slabs(slices: DataFrame, offsets: list[tuple[int, int, int]], *, depth: int = 16) -> DataFrame:
-    """The same from slices as arrays: slabs of `depth` slices with a halo, shifted maxima and minima in numpy."""
-    reach = max(abs(dz) for dz, _, _ in offsets)
-    slab = F.explode(F.expr(f"sequence((z - {reach}) div {depth} - IF(z < {reach}, 1, 0), (z + {reach}) div {depth})"))
+def _by_slabs(slices: DataFrame, reach: int, depth: int, change: Callable[[np.ndarray], np.ndarray], name: str) -> DataFrame:
+    """(volume_id, z, name) of every slice: slabs of `depth` slices with a halo of `reach` on both sides; missing slices are NaN."""
+    slab = F.explode(F.expr(f"sequence(cast(floor((z - {reach}) / {depth}) AS long), cast(floor((z + {reach}) / {depth}) AS long))"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("z")
-        h, w, low = int(pdf["height"].iloc[0]), int(pdf["width"].iloc[0]), int(pdf["z"].min())
+        h, w, low, own = int(pdf["height"].iloc[0]), int(pdf["width"].iloc[0]), int(pdf["z"].min()), int(pdf["slab"].iloc[0])
         cube = np.full((int(pdf["z"].max()) - low + 1, h, w), np.nan)
         for z, p in zip(pdf["z"], pdf["px"], strict=True):
             cube[z - low] = np.asarray(p, float).reshape(h, w)
+        new = change(cube)
+        rows = [(pdf["volume_id"].iloc[0], int(z), new[z - low].ravel().astype(float)) for z in pdf["z"] if z // depth == own]
+        return pd.DataFrame(rows, columns=["volume_id", "z", name])
+
+    kind = slices.schema["volume_id"].dataType.simpleString()
+    return slices.withColumn("slab", slab).groupBy("volume_id", "slab").applyInPandas(run, f"volume_id {kind}, z long, {name} array<double>")
+
+
+def _shifted(shape: tuple, o: tuple[int, int, int]) -> tuple[tuple, tuple]:
+    """Where the values at an offset go to, and where they come from."""
+    to = tuple(slice(max(0, -d), max(0, n - max(0, d))) for d, n in zip(o, shape, strict=True))
+    frm = tuple(slice(max(0, d), max(0, n - max(0, -d))) for d, n in zip(o, shape, strict=True))
+    return to, frm
+
+
+def local_change_slabs(slices: DataFrame, offsets: list[tuple[int, int, int]], *, depth: int = 16) -> DataFrame:
+    """The same from slices as arrays: slabs of `depth` slices with a halo, shifted maxima and minima in numpy."""
+
+    def change(cube: np.ndarray) -> np.ndarray:
         big, small = np.full(cube.shape, -np.inf), np.full(cube.shape, np.inf)
         for o in offsets:
-            to = tuple(slice(max(0, -d), n - max(0, d)) for d, n in zip(o, cube.shape, strict=True))
-            frm = tuple(slice(max(0, d), n - max(0, -d)) for d, n in zip(o, cube.shape, strict=True))
+            to, frm = _shifted(cube.shape, o)
             big[to], small[to] = np.fmax(big[to], cube[frm]), np.fmin(small[to], cube[frm])
-        own = int(pdf["slab"].iloc[0])
-        rows = [(pdf["volume_id"].iloc[0], int(z), (big - small)[z - low].ravel()) for z in pdf["z"] if z // depth == own]
-        return pd.DataFrame(rows, columns=["volume_id", "z", "lic"])
+        return big - small
 
-    kind = slices.schema["volume_id"].dataType.simpleString()
-    return slices.withColumn("slab", slab).groupBy("volume_id", "slab").applyInPandas(run, f"volume_id {kind}, z long, lic array<double>")
+    return _by_slabs(slices, max(abs(dz) for dz, _, _ in offsets), depth, change, "lic")
 
 
 def homogeneous(lic: DataFrame, q: float) -> DataFrame:
@@ -81,79 +96,211 @@ def box_mean(px: DataFrame, r: int, columns: list[str]) -> DataFrame:
     return full.select(*px.columns, *((F.col(f"mean_{c}") / (n * n)).alias(f"mean_{c}") for c in columns))
 
 
-def dilate(mask: DataFrame, offsets: list[tuple[int, int, int]], bounds: tuple[int, int]) -> DataFrame:
-    """Coordinates within the slice (height, width) that the footprint reaches from a mask's coordinates."""
-    seen = F.explode(F.array(*[F.struct((F.col("z") + dz).alias("z"), (F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x")) for dz, dy, dx in offsets])).alias("p")
-    out = mask.select("volume_id", seen).select("volume_id", "p.z", "p.y", "p.x").distinct()
-    return out.filter((F.col("y") >= 0) & (F.col("y") < bounds[0]) & (F.col("x") >= 0) & (F.col("x") < bounds[1]))
+CROSS = [(0, 0, 0), (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)]
 
 
-def erode(mask: DataFrame, offsets: list[tuple[int, int, int]]) -> DataFrame:
-    """Coordinates whose whole footprint lies in the mask; outside counts as none."""
-    seen = F.explode(F.array(*[F.struct((F.col("z") - dz).alias("z"), (F.col("y") - dy).alias("y"), (F.col("x") - dx).alias("x")) for dz, dy, dx in offsets])).alias("p")
-    return mask.select("volume_id", seen).groupBy("volume_id", "p.z", "p.y", "p.x").count().filter(F.col("count") == len(offsets)).drop("count")
+def _repeated(mask: DataFrame, offsets: list[tuple[int, int, int]], iterations: int, depth: int, grow: bool) -> DataFrame:
+    def change(cube: np.ndarray) -> np.ndarray:
+        here = np.nan_to_num(cube) > 0
+        for _ in range(iterations):
+            new = np.full(here.shape, not grow)
+            for o in offsets:
+                to, frm = _shifted(here.shape, o if not grow else tuple(-d for d in o))
+                moved = np.zeros(here.shape, bool)
+                moved[to] = here[frm]
+                new = new | moved if grow else new & moved
+            here = new
+        return here
 
+    out = _by_slabs(mask, iterations * max(abs(dz) for dz, _, _ in offsets), depth, change, "_px")
+    return _with_pixels(mask, out)
 
-def cross(n: int) -> list[tuple[int, int, int]]:
-    """n steps of the four neighbours in a slice: a ball of the L1 distance."""
-    return [(0, dy, dx) for dy in range(-n, n + 1) for dx in range(-n, n + 1) if abs(dy) + abs(dx) <= n]
 
+def _with_pixels(slices: DataFrame, new: DataFrame) -> DataFrame:
+    sizes = slices.select(*(c for c in slices.columns if c != "px"))
+    return sizes.join(new, ["volume_id", "z"]).select(*(F.col("_px").alias("px") if c == "px" else F.col(c) for c in slices.columns))
 
-def closing(mask: DataFrame, r: int, bounds: tuple[int, int]) -> DataFrame:
-    """Dilation, then erosion, with a (2r + 1)-square in the slice; outside counts as none."""
-    square = [(0, dy, dx) for dy in range(-r, r + 1) for dx in range(-r, r + 1)]
-    return erode(dilate(mask, square, bounds), square)
+
+def erode(mask: DataFrame, offsets: list[tuple[int, int, int]] = CROSS, *, iterations: int = 1, depth: int = 16) -> DataFrame:
+    """Pixels whose whole footprint lies in the mask, `iterations` times; the default footprint is the six neighbours in 3-D. Outside the volume counts as none."""
+    return _repeated(mask, offsets, iterations, depth, grow=False)
+
+
+def dilate(mask: DataFrame, offsets: list[tuple[int, int, int]] = CROSS, *, iterations: int = 1, depth: int = 16) -> DataFrame:
+    """Pixels of the volume that the footprint reaches from the mask, `iterations` times."""
+    return _repeated(mask, offsets, iterations, depth, grow=True)
 
 
 def erode_by_distance(mask: DataFrame, mm: float, spacing: tuple[float, float, float]) -> DataFrame:
     """Erosion by a distance, in steps of a ball with the coarsest spacing as its radius."""
     step = max(spacing)
-    ball = footprint(step, spacing)
-    for _ in range(math.ceil(mm / step)):
-        mask = erode(mask, ball)
-    return mask
+    return erode(mask, footprint(step, spacing), iterations=math.ceil(mm / step))
+
+
+def _each_slice(slices: DataFrame, change: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """Slices with new pixels, plane by plane; nothing is shuffled."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            planes = [np.asarray(p, float).reshape(h, w) for p, h, w in zip(pdf["px"], pdf["height"], pdf["width"], strict=True)]
+            yield pdf.assign(px=[change(p).ravel().astype(float) for p in planes])
+
+    return slices.mapInPandas(run, slices.schema)
 
 
-def components(mask: DataFrame) -> DataFrame:
-    """mask with `component`, the smallest pixel number of its 4-connected part in the slice.
+def _window_sum(plane: np.ndarray, r: int) -> np.ndarray:
+    """Sums over (2r + 1)-squares with zeros outside, by cumulative sums along each axis."""
+    for axis in (0, 1):
+        padded = np.concatenate([np.zeros((1, plane.shape[1])), np.cumsum(plane, axis=0)])
+        at = np.arange(len(plane))
+        plane = (padded[np.minimum(at + r + 1, len(plane))] - padded[np.maximum(at - r, 0)]).T
+    return plane
 
-    Rows are cut into runs; runs that touch in neighbouring rows are linked; labels spread along the links until none
-    changes. Nodes are runs, not pixels. Each round is checkpointed.
+
+def closing(mask: DataFrame, r: int) -> DataFrame:
+    """Dilation, then erosion, with a (2r + 1)-square in the slice; outside counts as none."""
+    full = (2 * r + 1) ** 2
+    return _each_slice(mask, lambda p: _window_sum((_window_sum((p > 0).astype(float), r) > 0).astype(float), r) == full)
+
+
+def _runs(plane: np.ndarray) -> np.ndarray:
+    """Rows (y, a, b) of runs of true pixels, ends included, in order."""
+    padded = np.pad(plane.astype(np.int8), ((0, 0), (1, 1)))
+    change = np.diff(padded, axis=1)
+    y, a = np.nonzero(change == 1)
+    return np.stack([y, a, np.nonzero(change == -1)[1] - 1], axis=1)
+
+
+def _parts(runs: np.ndarray, diagonal: bool) -> np.ndarray:
+    """For each run of one plane the number of the first run of its part; runs of neighbouring rows touch by an edge, or by a corner if diagonal."""
+    root = list(range(len(runs)))
+    reach, begin = int(diagonal), np.searchsorted(runs[:, 0], np.arange(runs[-1, 0] + 2)) if len(runs) else []
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    for y in range(1, len(begin) - 1):
+        i, j = int(begin[y - 1]), int(begin[y])
+        while i < begin[y] and j < begin[y + 1]:
+            if runs[i, 1] <= runs[j, 2] + reach and runs[j, 1] <= runs[i, 2] + reach:
+                p, q = find(i), find(j)
+                root[max(p, q)] = min(p, q)
+            if runs[i, 2] < runs[j, 2]:
+                i += 1
+            else:
+                j += 1
+    return np.array([find(i) for i in range(len(runs))], np.int64)
+
+
+def components(mask: DataFrame, *, volume: bool = False, diagonal: bool = False) -> DataFrame:
+    """(volume_id, z, y, a, b, component): runs of the mask and the part they belong to, named by its first run.
+
+    Parts are 4-connected in a slice (8-connected if diagonal); with `volume` they go on into neighbouring slices through
+    pixels at the same place. A slice is labelled where it lies; only parts of slices and their links are shuffled, and
+    labels spread along the links until none changes, each round checkpointed.
     """
-    w = Window.partitionBy("volume_id", "z", "y").orderBy("x")
-    start = F.when(F.col("x") - F.lag("x").over(w) == 1, 0).otherwise(1)
-    runs = mask.withColumn("_new", start).withColumn("_run", F.sum("_new").over(w))
-    spans = runs.groupBy("volume_id", "z", "y", "_run").agg(F.min("x").alias("a"), F.max("x").alias("b"))
-    node = F.concat_ws(":", "volume_id", "z", F.lpad(F.col("y").cast("string"), 6, "0"), F.lpad(F.col("a").cast("string"), 6, "0"))
-    spans = spans.withColumn("node", node)
-    up = spans.select("volume_id", "z", (F.col("y") + 1).alias("y"), F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("node").alias("other"))
-    links = spans.join(up, ["volume_id", "z", "y"]).filter("a <= b2 AND a2 <= b").select("node", "other")
-    labels = smallest_label(spans.select("node"), links)
-    named = spans.join(labels, "node").select("volume_id", "z", "y", "_run", F.col("label").alias("component"))
-    return runs.join(named, ["volume_id", "z", "y", "_run"]).drop("_new", "_run")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for v, z, h, w, p in pdf[["volume_id", "z", "height", "width", "px"]].itertuples(index=False):
+                runs = _runs(np.asarray(p, float).reshape(h, w) > 0)
+                if len(runs):
+                    part = _parts(runs, diagonal)
+                    yield pd.DataFrame({"volume_id": v, "z": z, "y": runs[:, 0], "a": runs[:, 1], "b": runs[:, 2], "part": [f"{v}:{z:08d}:{runs[k, 0]:06d}:{runs[k, 1]:06d}" for k in part]})
+
+    kind = mask.schema["volume_id"].dataType.simpleString()
+    runs = mask.select("volume_id", F.col("z").cast("long").alias("z"), "height", "width", "px").mapInPandas(run, f"volume_id {kind}, z long, y long, a long, b long, part string")
+    if not volume:
+        return runs.withColumnRenamed("part", "component")
+    runs = cut(runs)
+    below = runs.select("volume_id", (F.col("z") + 1).alias("z"), "y", F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("part").alias("other"))
+    links = runs.join(below, ["volume_id", "z", "y"]).filter("a <= _b AND _a <= b").select(F.col("part").alias("node"), "other").distinct()
+    labels = smallest_label(runs.select(F.col("part").alias("node")).distinct(), links)
+    return runs.join(labels, runs["part"] == labels["node"]).select("volume_id", "z", "y", "a", "b", F.col("label").alias("component"))
+
+
+def _filled(part: np.ndarray) -> np.ndarray:
+    """A plane's part with its holes: what the rest, by edges, doesn't reach from outside."""
+    rest = _runs(~np.pad(part, 1))
+    of = _parts(rest, diagonal=False)
+    out = np.ones((part.shape[0] + 2, part.shape[1] + 2), bool)
+    for y, a, b in rest[of == 0]:
+        out[y, a : b + 1] = False
+    return out[1:-1, 1:-1]
+
+
+def _contour_area(part: np.ndarray) -> float:
+    """The area inside the line through the centres of a filled part's outer pixels: squares of four pixels count 1, of three a half."""
+    n = part[:-1, :-1].astype(int) + part[1:, :-1] + part[:-1, 1:] + part[1:, 1:]
+    return float((n == 4).sum() + 0.5 * (n == 3).sum())
+
+
+def _largest(plane: np.ndarray) -> np.ndarray:
+    runs = _runs(plane > 0)
+    if not len(runs):
+        return np.zeros(plane.shape, bool)
+    of, best, kept = _parts(runs, diagonal=True), -1.0, None
+    for k in np.unique(of):
+        own = runs[of == k]
+        y, x, h, w = own[:, 0].min(), own[:, 1].min(), np.ptp(own[:, 0]) + 1, own[:, 2].max() - own[:, 1].min() + 1
+        if (h - 1) * (w - 1) <= best:
+            continue
+        part = np.zeros((h, w), bool)
+        for r, a, b in own:
+            part[r - y, a - x : b - x + 1] = True
+        part = _filled(part)
+        if (area := _contour_area(part)) > best:
+            best, kept = area, (y, x, part)
+    out = np.zeros(plane.shape, bool)
+    y, x, part = kept
+    out[y : y + part.shape[0], x : x + part.shape[1]] = part
+    return out
 
 
 def largest_component(mask: DataFrame) -> DataFrame:
-    """The largest part of each slice; of equal ones the first."""
-    parts = components(mask)
-    size = parts.groupBy("volume_id", "z", "component").count()
-    top = size.groupBy("volume_id", "z").agg(F.max("count").alias("count"))
-    first = size.join(top, ["volume_id", "z", "count"]).groupBy("volume_id", "z").agg(F.min("component").alias("component"))
-    return parts.join(first, ["volume_id", "z", "component"]).drop("component")
-
-
-def fill_holes(mask: DataFrame, grid: DataFrame, bounds: tuple[int, int]) -> DataFrame:
-    """The mask and the parts of its complement in each slice that don't touch the border. grid: all coordinates."""
-    key = ["volume_id", "z", "y", "x"]
-    outside = components(grid.select(*key).join(mask.select(*key), key, "left_anti"))
-    edge = (F.col("y") == 0) | (F.col("x") == 0) | (F.col("y") == bounds[0] - 1) | (F.col("x") == bounds[1] - 1)
-    closed = outside.groupBy("volume_id", "z", "component").agg(F.max(edge).alias("_edge")).filter("NOT _edge").drop("_edge")
-    return mask.select(*key).union(outside.join(closed, ["volume_id", "z", "component"]).select(*key))
-
-
-def body_mask(px: DataFrame, *, t: float, bounds: tuple[int, int], erosion: int = 2, dilation: int = 5, close: int = 15) -> DataFrame:
-    """Coordinates of the body: threshold, erosion, the largest filled part of each slice, dilation, closing, holes filled."""
-    key = ["volume_id", "z", "y", "x"]
-    body = erode(px.filter(F.col("v") > t).select(*key), cross(erosion))
-    body = fill_holes(largest_component(body).select(*key), px, bounds)
-    return fill_holes(closing(dilate(body, cross(dilation), bounds), close, bounds), px, bounds)
+    """In each slice the 8-connected part with the largest contour area, its holes filled; of equal ones the first. Empty slices stay."""
+    return _each_slice(mask, _largest)
+
+
+def fill_holes(mask: DataFrame) -> DataFrame:
+    """The mask and the parts of its complement, 6-connected in the volume, that touch no side of it; the first and last slice are sides.
+
+    Only complement parts that touch no border of their slice are candidates; they and the runs above and below them
+    are joined, and a part is open once any of its slices' parts is.
+    """
+    rest = components(_each_slice(mask, lambda p: p <= 0))
+    sizes = mask.groupBy("volume_id").agg(F.min("z").alias("z0"), F.max("z").alias("z1"), F.max("height").alias("h"), F.max("width").alias("w"))
+    outside = (F.col("z") == F.col("z0")) | (F.col("z") == F.col("z1")) | (F.col("y") == 0) | (F.col("y") == F.col("h") - 1) | (F.col("a") == 0) | (F.col("b") == F.col("w") - 1)
+    parts = rest.join(sizes, "volume_id").withColumn("edge", outside).drop("z0", "z1", "h", "w")
+    edge = parts.groupBy("component").agg(F.max("edge").alias("open"))
+    parts = cut(parts.drop("edge").join(edge, "component"))
+    inner = parts.filter("NOT open")
+    near = parts.select("volume_id", "y", F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("component").alias("other"), F.col("open").alias("leak"), F.explode(F.array(F.col("z") - 1, F.col("z") + 1)).alias("z"))
+    links = cut(inner.join(near, ["volume_id", "z", "y"]).filter("a <= _b AND _a <= b").groupBy("component", "other").agg(F.max("leak").alias("leak")))
+    labels = smallest_label(inner.select(F.col("component").alias("node")).distinct(), links.filter("NOT leak").select(F.col("component").alias("node"), "other"))
+    leaks = links.groupBy(F.col("component").alias("node")).agg(F.max("leak").alias("leak"))
+    closed = labels.join(leaks, "node", "left").groupBy("label").agg(F.max(F.coalesce("leak", F.lit(False))).alias("leak")).filter("NOT leak").select("label")
+    holes = inner.join(labels.join(closed, "label").select(F.col("node").alias("component")), "component")
+    spans = holes.groupBy("volume_id", "z").agg(F.flatten(F.collect_list(F.array("y", "a", "b"))).alias("_holes"))  # runs of one slice
+    schema = mask.schema
+
+    def paint(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            planes = []
+            for p, w, own in zip(pdf["px"], pdf["width"], pdf["_holes"], strict=True):
+                plane = np.array(p, float)
+                for y, a, b in np.asarray(own if own is not None else [], np.int64).reshape(-1, 3):
+                    plane[y * w + a : y * w + b + 1] = 1
+                planes.append(plane)
+            yield pdf.assign(px=planes)[schema.names]
+
+    return mask.join(spans, ["volume_id", "z"], "left").select(*mask.columns, "_holes").mapInPandas(paint, schema)
+
+
+def body_mask(slices: DataFrame, *, t: float = -400.0, erosion: int = 2, dilation: int = 5, close: int = 15) -> DataFrame:
+    """Slices of 0 and 1: threshold, erosion in 3-D, the largest filled part of each slice, dilation in 3-D, closing in the slice, holes filled in 3-D."""
+    body = slices.withColumn("px", F.transform("px", lambda v: (v > t).cast("double")))
+    body = largest_component(erode(body, iterations=erosion))
+    return fill_holes(closing(dilate(body, iterations=dilation), close))

@@ -416,64 +416,110 @@ def lic_homogeneous(spark, d):
     return filters.homogeneous(lic, 0.25).groupBy("volume_id").agg(F.count("*").alias("kept"))
 
 
-MASK = f"{PX}, m AS (SELECT volume_id, z, y, x FROM px WHERE v > -0.05)"
-NEAR1 = "abs(a.y - b.y) + abs(a.x - b.x) <= 1"
+def _mask(spark, d, t: float) -> DataFrame:
+    return dense_slices(spark, d).withColumn("px", F.transform("px", lambda v: (v > t).cast("double")))
 
 
-def _mask(spark, d, t: float = -0.05) -> DataFrame:
-    return pixel_rows(spark, d).filter(F.col("v") > t).select("volume_id", "z", "y", "x")
+def _ones(mask: DataFrame) -> DataFrame:
+    return geometry.pixels(mask).filter("v > 0").select("volume_id", "z", "y", "x")
 
 
-@query(f"WITH {MASK} SELECT a.volume_id, a.z, a.y, a.x FROM m a JOIN m b ON a.volume_id = b.volume_id AND a.z = b.z AND {NEAR1} GROUP BY 1, 2, 3, 4 HAVING count(*) = 5")
+def _near(a: str, b: str, n: int = 1) -> str:
+    return f"{a}.volume_id = {b}.volume_id AND abs({a}.z - {b}.z) + abs({a}.y - {b}.y) + abs({a}.x - {b}.x) <= {n}"
+
+
+def _square(a: str, b: str) -> str:
+    return f"{a}.volume_id = {b}.volume_id AND {a}.z = {b}.z AND abs({a}.y - {b}.y) <= 1 AND abs({a}.x - {b}.x) <= 1"
+
+
+def _eroded(m: str) -> str:
+    return f"SELECT a.volume_id, a.z, a.y, a.x FROM {m} a JOIN {m} b ON {_near('a', 'b')} GROUP BY 1, 2, 3, 4 HAVING count(*) = 7"
+
+
+def _dilated(m: str) -> str:
+    return f"SELECT DISTINCT a.volume_id, a.z, a.y, a.x FROM dpx a JOIN {m} b ON {_near('a', 'b')}"
+
+
+def _closed(m: str) -> str:
+    wide = f"SELECT DISTINCT a.volume_id, a.z, a.y, a.x FROM dpx a JOIN {m} b ON {_square('a', 'b')}"
+    return f"SELECT a.volume_id, a.z, a.y, a.x FROM ({wide}) a JOIN ({wide}) b ON {_square('a', 'b')} GROUP BY 1, 2, 3, 4 HAVING count(*) = 9"
+
+
+def _dense_mask(t: float) -> str:
+    return f"{DENSE}, m AS (SELECT volume_id, z, y, x FROM dpx WHERE v > {t})"
+
+
+@query(f"WITH {_dense_mask(-0.15)} {_eroded('m')}")
 def erode(spark, d):
-    return filters.erode(_mask(spark, d), filters.cross(1))
+    return _ones(filters.erode(_mask(spark, d, -0.15), depth=6))
 
 
-@query(f"WITH {MASK} SELECT DISTINCT a.volume_id, a.z, a.y, a.x FROM px a JOIN m b ON a.volume_id = b.volume_id AND a.z = b.z AND {NEAR1}")
+@query(f"WITH {_dense_mask(0.1)} {_dilated('m')}")
 def dilate(spark, d):
-    return filters.dilate(_mask(spark, d), filters.cross(1), (8, 8))
+    return _ones(filters.dilate(_mask(spark, d, 0.1), depth=6))
 
 
-@query(f"""WITH {MASK}, g AS (SELECT DISTINCT a.volume_id, a.z, a.y, a.x FROM px a JOIN m b ON a.volume_id = b.volume_id AND a.z = b.z AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1)
-SELECT a.volume_id, a.z, a.y, a.x FROM g a JOIN g b ON a.volume_id = b.volume_id AND a.z = b.z AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY 1, 2, 3, 4 HAVING count(*) = 9""")
+@query(f"WITH {_dense_mask(-0.05)} {_closed('m')}")
 def closing(spark, d):
-    return filters.closing(_mask(spark, d), 1, (8, 8))
+    return _ones(filters.closing(_mask(spark, d, -0.05), 1))
 
 
-@query(f"""WITH {PX}, m AS (SELECT volume_id, z, y, x FROM px WHERE v > -0.2), e AS (SELECT a.volume_id, a.z, a.y, a.x FROM m a JOIN m b ON a.volume_id = b.volume_id AND a.z = b.z AND {NEAR1} GROUP BY 1, 2, 3, 4 HAVING count(*) = 5)
-SELECT a.volume_id, a.z, a.y, a.x FROM e a JOIN e b ON a.volume_id = b.volume_id AND a.z = b.z AND {NEAR1} GROUP BY 1, 2, 3, 4 HAVING count(*) = 5""")
+@query(f"WITH {_dense_mask(-0.2)}, e AS ({_eroded('m')}) {_eroded('e')}")
 def erode_mm(spark, d):
-    mask = _mask(spark, d, -0.2)
-    for _ in range(2):
-        mask = filters.erode(mask, filters.footprint(2.0, (9.0, 2.0, 2.0)))
-    return mask
+    """Four millimetres at a coarsest spacing of 2.5: two steps of a ball that reaches the six neighbours."""
+    return _ones(filters.erode_by_distance(_mask(spark, d, -0.2), 4.0, (2.5, 2.0, 2.0)))
+
+
+#: Parts of slices in m: (volume_id, z, p, root), p = 8 y + x.
+PARTS = """k AS (SELECT volume_id, z, y * 8 + x AS p FROM m), r AS (SELECT volume_id, z, p, p AS q FROM k UNION
+ SELECT r.volume_id, r.z, r.p, k.p FROM r JOIN k ON r.volume_id = k.volume_id AND r.z = k.z AND TOUCH), c AS (SELECT volume_id, z, p, min(q) AS root FROM r GROUP BY 1, 2, 3)"""
+EDGES, CORNERS = (PARTS.replace("TOUCH", x) for x in ("abs(r.q // 8 - k.p // 8) + abs(r.q % 8 - k.p % 8) = 1", "greatest(abs(r.q // 8 - k.p // 8), abs(r.q % 8 - k.p % 8)) = 1"))
 
+#: From c, parts with their holes (f), their contour areas, and the largest of each slice (best).
+LARGEST = """parts AS (SELECT DISTINCT volume_id, z, root FROM c), o AS (SELECT volume_id, z, root, -1 AS y, -1 AS x FROM parts UNION
+ SELECT o.volume_id, o.z, o.root, o.y + dy, o.x + dx FROM o, (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) s(dy, dx)
+ WHERE o.y + dy BETWEEN -1 AND 8 AND o.x + dx BETWEEN -1 AND 8 AND NOT (o.y + dy BETWEEN 0 AND 7 AND o.x + dx BETWEEN 0 AND 7 AND (o.volume_id, o.z, o.root, (o.y + dy) * 8 + o.x + dx) IN (SELECT (volume_id, z, root, p) FROM c))),
+ f AS (SELECT volume_id, z, root, CAST(a AS BIGINT) AS y, CAST(b AS BIGINT) AS x FROM parts, range(8) r(a), range(8) q(b) WHERE (volume_id, z, root, a, b) NOT IN (SELECT (volume_id, z, root, y, x) FROM o)),
+ cells AS (SELECT f.volume_id, f.z, f.root, f.y - dy AS y, f.x - dx AS x, count(*) AS n FROM f, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) s(dy, dx) GROUP BY 1, 2, 3, 4, 5),
+ area AS (SELECT volume_id, z, root, sum(CASE n WHEN 4 THEN 1.0 WHEN 3 THEN 0.5 ELSE 0 END) AS area FROM cells GROUP BY 1, 2, 3),
+ best AS (SELECT f.volume_id, f.z, f.y, f.x FROM f JOIN (SELECT volume_id, z, arg_max(root, (area, -root)) AS root FROM area GROUP BY 1, 2) t ON f.volume_id = t.volume_id AND f.z = t.z AND f.root = t.root)"""
 
-REACH = f"""WITH RECURSIVE {PX}, m AS (SELECT volume_id, z, y * 8 + x AS p FROM px WHERE CONDITION), r AS (SELECT volume_id, z, p, p AS q FROM m UNION
- SELECT r.volume_id, r.z, r.p, m.p FROM r JOIN m ON r.volume_id = m.volume_id AND r.z = m.z AND abs(r.q // 8 - m.p // 8) + abs(r.q % 8 - m.p % 8) = 1), c AS (SELECT volume_id, z, p, min(q) AS root FROM r GROUP BY 1, 2, 3)"""
 
+def _holes(m: str) -> str:
+    """Expressions for the pixels of a mask and, as `filled`, of its holes too."""
+    return f"""ext AS (SELECT volume_id, min(z) AS z0, max(z) AS z1 FROM dpx GROUP BY 1), rest AS (SELECT volume_id, z, y, x FROM dpx WHERE (volume_id, z, y, x) NOT IN (SELECT (volume_id, z, y, x) FROM {m})),
+ out AS (SELECT rest.* FROM rest JOIN ext ON rest.volume_id = ext.volume_id WHERE z = z0 OR z = z1 OR y IN (0, 7) OR x IN (0, 7) UNION SELECT b.* FROM out a JOIN rest b ON {_near('a', 'b')}),
+ filled AS (SELECT volume_id, z, y, x FROM dpx WHERE (volume_id, z, y, x) NOT IN (SELECT (volume_id, z, y, x) FROM out))"""
 
-@query(REACH.replace("CONDITION", "v > 0.05") + ", k AS (SELECT volume_id, z, root, count(*) AS n FROM c GROUP BY 1, 2, 3) SELECT volume_id, z, count(*) AS parts, max(n) AS largest FROM k GROUP BY 1, 2")
+
+@query(f"WITH RECURSIVE {_dense_mask(0.05)}, {EDGES}, n AS (SELECT volume_id, z, root, count(*) AS n FROM c GROUP BY 1, 2, 3) SELECT volume_id, z, count(*) AS parts, max(n) AS largest FROM n GROUP BY 1, 2")
 def component_sizes(spark, d):
-    size = filters.components(_mask(spark, d, 0.05)).groupBy("volume_id", "z", "component").count()
-    return size.groupBy("volume_id", "z").agg(F.count("*").alias("parts"), F.max("count").alias("largest"))
+    size = filters.components(_mask(spark, d, 0.05)).groupBy("volume_id", "z", "component").agg(F.sum(F.col("b") - F.col("a") + 1).alias("n"))
+    return size.groupBy("volume_id", "z").agg(F.count("*").alias("parts"), F.max("n").alias("largest"))
+
 
+@query(f"""WITH RECURSIVE {_dense_mask(0.15)}, k AS (SELECT volume_id, z * 64 + y * 8 + x AS p FROM m), r AS (SELECT volume_id, p, p AS q FROM k UNION SELECT r.volume_id, r.p, k.p FROM r JOIN k ON r.volume_id = k.volume_id
+ AND abs(r.q // 64 - k.p // 64) + abs(r.q % 64 // 8 - k.p % 64 // 8) + abs(r.q % 8 - k.p % 8) = 1), c AS (SELECT volume_id, p, min(q) AS root FROM r GROUP BY 1, 2), n AS (SELECT volume_id, root, count(*) AS n FROM c GROUP BY 1, 2)
+SELECT volume_id, count(*) AS parts, max(n) AS largest FROM n GROUP BY 1""")
+def volume_components(spark, d):
+    size = filters.components(_mask(spark, d, 0.15), volume=True).groupBy("volume_id", "component").agg(F.sum(F.col("b") - F.col("a") + 1).alias("n"))
+    return size.groupBy("volume_id").agg(F.count("*").alias("parts"), F.max("n").alias("largest"))
 
-@query(REACH.replace("CONDITION", "v > 0.05") + ", k AS (SELECT volume_id, z, root, count(*) AS n FROM c GROUP BY 1, 2, 3), b AS (SELECT volume_id, z, arg_max(root, (n, -root)) AS root FROM k GROUP BY 1, 2) SELECT volume_id, z, p // 8 AS y, p % 8 AS x FROM c JOIN b USING (volume_id, z, root)")
+
+@query(f"WITH RECURSIVE {_dense_mask(0.0)}, {CORNERS}, {LARGEST} SELECT volume_id, z, y, x FROM best")
 def largest_part(spark, d):
-    return filters.largest_component(_mask(spark, d, 0.05)).select("volume_id", "z", "y", "x")
+    return _ones(filters.largest_component(_mask(spark, d, 0.0)))
 
 
-@query(REACH.replace("CONDITION", "v <= -0.05") + """, e AS (SELECT volume_id, z, root, bool_or(p // 8 IN (0, 7) OR p % 8 IN (0, 7)) AS edge FROM c GROUP BY 1, 2, 3)
-SELECT volume_id, z, y, x FROM px WHERE v > -0.05 UNION ALL SELECT volume_id, z, p // 8, p % 8 FROM c JOIN e USING (volume_id, z, root) WHERE NOT edge""")
+@query(f"WITH RECURSIVE {_dense_mask(-0.05)}, {_holes('m')} SELECT volume_id, z, y, x FROM filled")
 def fill_holes(spark, d):
-    return filters.fill_holes(_mask(spark, d), pixel_rows(spark, d), (8, 8))
+    return _ones(filters.fill_holes(_mask(spark, d, -0.05)))
 
 
-@query()
+@query(f"""WITH RECURSIVE {DENSE}, t AS (SELECT volume_id, z, y, x FROM dpx WHERE v > -0.15), m AS ({_eroded('t')}), {CORNERS}, {LARGEST}, d AS ({_dilated('best')}), s AS ({_closed('d')}), {_holes('s')}
+SELECT volume_id, z, y, x FROM filled""")
 def body_mask(spark, d):
-    """Composition of the steps above with a threshold that leaves a part of each slice; held against numpy in the tests."""
-    return filters.body_mask(pixel_rows(spark, d), t=-0.15, bounds=(8, 8), erosion=1, dilation=1, close=1)
+    return _ones(filters.body_mask(dense_slices(spark, d), t=-0.15, erosion=1, dilation=1, close=1))
 
 
 # Statistics and normalisation

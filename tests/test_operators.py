@@ -74,7 +74,9 @@ def test_ids(spark):
     assert spark.range(1).select(ids.add_suffix(F.lit("a.nii.gz")).alias("a"), ids.drop_suffix(ids.add_suffix(F.lit("a.nii.gz"))).alias("b"), ids.add_suffix(F.lit("a")).alias("c")).first()[:] == ("a_cp256.nii.gz", "a.nii.gz", "a_cp256")
 
 
-def np_parts(mask):
+def np_parts(mask, corners=False):
+    """Labels from 1 on of the parts of an array of any dimension, by flooding."""
+    steps = [o for o in np.ndindex(*[3] * mask.ndim) if any(x != 1 for x in o) and (corners or sum(x != 1 for x in o) == 1)]
     label, n = np.zeros(mask.shape, int), 0
     for start in np.argwhere(mask):
         if not label[tuple(start)]:
@@ -82,50 +84,120 @@ def np_parts(mask):
             todo = deque([tuple(start)])
             label[tuple(start)] = n
             while todo:
-                y, x = todo.popleft()
-                for a, b in ((y + 1, x), (y - 1, x), (y, x + 1), (y, x - 1)):
-                    if 0 <= a < mask.shape[0] and 0 <= b < mask.shape[1] and mask[a, b] and not label[a, b]:
-                        label[a, b] = n
-                        todo.append((a, b))
+                p = todo.popleft()
+                for o in steps:
+                    q = tuple(a + b - 1 for a, b in zip(p, o, strict=True))
+                    if all(0 <= a < k for a, k in zip(q, mask.shape, strict=True)) and mask[q] and not label[q]:
+                        label[q] = n
+                        todo.append(q)
     return label
 
 
-def shifted(mask, offsets, combine, empty):
-    out = np.full(mask.shape, empty)
-    for _, dy, dx in offsets:
-        moved = np.zeros(mask.shape, bool)
-        h, w = mask.shape
-        moved[max(0, -dy) : h - max(0, dy), max(0, -dx) : w - max(0, dx)] = mask[max(0, dy) : h - max(0, -dy), max(0, dx) : w - max(0, -dx)]
-        out = combine(out, moved)
-    return out
-
-
 def np_fill(mask):
     label = np_parts(~mask)
-    edge = set(label[0]) | set(label[-1]) | set(label[:, 0]) | set(label[:, -1])
+    edge = {k for axis in range(mask.ndim) for side in (0, -1) for k in np.unique(np.take(label, side, axis=axis))}
     return mask | ((label > 0) & ~np.isin(label, list(edge)))
 
 
-def np_body(p, t, erosion, dilation, close):
-    m = shifted(p > t, filters.cross(erosion), np.logical_and, True)
-    label = np_parts(m)
-    if label.max():
-        sizes = np.bincount(label.ravel())[1:]
-        best = [k + 1 for k in range(len(sizes)) if sizes[k] == sizes.max()]
-        m = label == min(best, key=lambda k: tuple(np.argwhere(label == k)[0]))
-    m = shifted(np_fill(m), filters.cross(dilation), np.logical_or, False)
-    square = [(0, a, b) for a in range(-close, close + 1) for b in range(-close, close + 1)]
-    return np_fill(shifted(shifted(m, square, np.logical_or, False), square, np.logical_and, True))
+def np_steps(mask, n, grow):
+    """n steps with the six neighbours, one voxel at a time."""
+    for _ in range(n):
+        new = mask.copy()
+        for p in np.ndindex(mask.shape):
+            around = [tuple(a + b for a, b in zip(p, o, strict=True)) for o in filters.CROSS]
+            values = [mask[q] if all(0 <= a < k for a, k in zip(q, mask.shape, strict=True)) else False for q in around]
+            new[p] = any(values) if grow else all(values)
+        mask = new
+    return mask
+
+
+def polygon_area(part):
+    """The area of the polygon through the outer pixels' centres of a filled part: walk round it clockwise, then the shoelace formula."""
+    own = {tuple(p) for p in np.argwhere(part)}
+    around = [(0, -1), (-1, -1), (-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1)]
+    start = min(own)
+
+    def after(here, back):
+        for k in range(1, 9):
+            dy, dx = around[(back + k) % 8]
+            if (here[0] + dy, here[1] + dx) in own:
+                empty = around[(back + k - 1) % 8]
+                return (here[0] + dy, here[1] + dx), around.index((empty[0] - dy, empty[1] - dx))
+        return None
+
+    state = after(start, 0)  # the pixel to the left of the first one is empty
+    if state is None:
+        return 0.0
+    walk, seen = [], set()
+    while state not in seen:
+        seen.add(state)
+        walk.append(state[0])
+        state = after(*state)
+    y, x = np.array(walk, float).T
+    return abs(float((x * np.roll(y, -1) - np.roll(x, -1) * y).sum())) / 2
+
+
+def np_largest(plane):
+    label, best, out = np_parts(plane, corners=True), -1.0, np.zeros(plane.shape, bool)
+    for k in range(1, label.max() + 1):
+        part = np_fill(np.pad(label == k, 1))[1:-1, 1:-1]
+        if (area := polygon_area(part)) > best:
+            best, out = area, part
+    return out
+
+
+def np_body(cube, t, erosion, dilation, close):
+    m = np.stack([np_largest(p) for p in np_steps(cube > t, erosion, False)])
+    m = np_steps(m, dilation, True)
+    wide = [[p[max(0, y - close) : y + close + 1, max(0, x - close) : x + close + 1].any() for y, x in np.ndindex(p.shape)] for p in m]
+    wide = np.array(wide).reshape(m.shape)
+    n = (2 * close + 1) ** 2
+    shut = [[p[max(0, y - close) : y + close + 1, max(0, x - close) : x + close + 1].sum() == n for y, x in np.ndindex(p.shape)] for p in wide]
+    return np_fill(np.array(shut).reshape(m.shape))
 
 
 def test_body_mask(spark):
-    cubes = {"a": RNG.standard_normal((3, 12, 12)).cumsum(1).cumsum(2) / 4, "b": np.full((1, 12, 12), -9.0)}
-    cubes["a"][2, 3:9, 3:9] = 5
-    cubes["a"][2, 5, 5] = -5
-    px = geometry.pixels(as_slices(spark, cubes))
-    got = {(r.volume_id, r.z, r.y, r.x) for r in filters.body_mask(px, t=0.0, bounds=(12, 12), erosion=1, dilation=1, close=1).collect()}
-    want = {(k, z, int(y), int(x)) for k, c in cubes.items() for z, p in enumerate(c) for y, x in np.argwhere(np_body(p, 0.0, 1, 1, 1))}
-    assert got == want and want
+    cubes = {"a": RNG.standard_normal((5, 12, 12)).cumsum(1).cumsum(2) / 4, "b": np.full((2, 12, 12), -9.0)}
+    cubes["a"][1:4, 3:9, 3:9] = 5
+    cubes["a"][2, 5, 5] = -5  # a hole in the volume
+    cubes["c"] = np.full((4, 12, 12), 5.0)
+    cubes["c"][1:, 6, 6] = -5  # a hole in each slice that is open at the last one
+    for close, iterations in ((0, 0), (1, 1), (2, 2)):
+        got = as_cubes(filters.body_mask(as_slices(spark, cubes), t=0.0, erosion=iterations, dilation=iterations, close=close))
+        for k, c in cubes.items():
+            assert (got[k] == np_body(c, 0.0, iterations, iterations, close)).all(), (k, close)
+    open_hole = as_cubes(filters.fill_holes(as_slices(spark, {"c": (cubes["c"] > 0).astype(float)})))["c"]
+    assert (open_hole == (cubes["c"] > 0)).all()
+
+
+def test_morphology_and_parts(spark):
+    cubes = {k: (RNG.random((7, 9, 8)) < p).astype(float) for k, p in (("a", 0.8), ("b", 0.5), ("c", 0.2), ("d", 0.0))}
+    s = as_slices(spark, cubes)
+    for grow, op in ((True, filters.dilate), (False, filters.erode)):
+        got = as_cubes(op(s, iterations=2, depth=3))
+        assert all((got[k] == np_steps(c > 0, 2, grow)).all() for k, c in cubes.items())
+    got = as_cubes(filters.largest_component(s))
+    assert all((got[k] == np.stack([np_largest(p) for p in c > 0])).all() for k, c in cubes.items())
+    got = as_cubes(filters.fill_holes(s))
+    assert all((got[k] == np_fill(c > 0)).all() for k, c in cubes.items())
+    for options, dimensions, corners in (({}, 2, False), ({"diagonal": True}, 2, True), ({"volume": True}, 3, False)):
+        rows = filters.components(s, **options).collect()
+        for k, c in cubes.items():
+            names = np.full(c.shape, "", object)
+            for r in rows:
+                if r.volume_id == k:
+                    names[r.z, r.y, r.a : r.b + 1] = r.component
+            want = np_parts(c > 0) if dimensions == 3 else np.stack([np_parts(p, corners) for p in c > 0])
+            for z in [slice(None)] if dimensions == 3 else range(len(c)):
+                pairs = set(zip(names[z].ravel(), want[z].ravel(), strict=True))
+                assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+    far = as_cubes(filters.erode_by_distance(s, 3.0, (1.5, 1.0, 1.0)))["a"]
+    ball = [o for o in np.ndindex(3, 3, 3) if (1.5 * (o[0] - 1)) ** 2 + (o[1] - 1) ** 2 + (o[2] - 1) ** 2 <= 2.25]
+    m = cubes["a"] > 0
+    for _ in range(2):
+        wide = np.pad(m, 1)
+        m = np.array([all(wide[z + o[0], y + o[1], x + o[2]] for o in ball) for z, y, x in np.ndindex(m.shape)]).reshape(m.shape)
+    assert (far == m).all()
 
 
 def test_change_in_a_ball(spark):
