@@ -17,4 +17,10 @@ QUERIES = {
     "op10_cotrained_quality": quality.query,
 }
 
-ORACLE_SQL = {"op4_site_line_dedup": line_dedup.ORACLE_SQL}
+ORACLE_SQL = {
+    "op1_interleave_shards": sharding.ORACLE_SQL,
+    "op3_suffix_array_dedup": suffix_dedup.ORACLE_SQL,
+    "op4_site_line_dedup": line_dedup.ORACLE_SQL,
+    "op7_itq_near_vectors": itq_dedup.ORACLE_SQL,
+    "op9_grouped_prefix_join": jaccard_join.ORACLE_SQL,
+}

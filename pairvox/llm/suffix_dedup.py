@@ -443,3 +443,20 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, key: str = "doc_id", te
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = remove_repeats(table(spark, sf_dir, "documents"), columns=["doc_id"])
     return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Every window of 50 bytes of the hexadecimal text and the smallest document it starts in; runs of bytes that such windows cover.
+ORACLE_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+x AS (SELECT doc_id, unnest(range(0, length(h) // 2 - 49, 128)) AS c, h FROM d WHERE length(h) >= 100),
+y AS (SELECT doc_id, c, substr(h, 2 * c + 1, 354) AS h FROM x),
+w AS (SELECT doc_id, c + unnest(range(length(h) // 2 - 49)) AS p, unnest(list_transform(range(length(h) // 2 - 49), lambda i: md5_number(substr(h, 2 * i + 1, 100)))) AS w FROM y),
+m AS (SELECT w, min(doc_id) AS low FROM w GROUP BY w),
+g AS (SELECT doc_id, p FROM w JOIN m USING (w) WHERE low < doc_id),
+o AS (SELECT doc_id, p, coalesce(p > lag(p) OVER q + 50, true) AS begins FROM g WINDOW q AS (PARTITION BY doc_id ORDER BY p)),
+n AS (SELECT doc_id, p, sum(CAST(begins AS INT)) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM o),
+u AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS e FROM n GROUP BY doc_id, run),
+k AS (SELECT u.doc_id, a, e, substr(h, 2 * lag(e, 1, 0) OVER q + 1, 2 * (a - lag(e, 1, 0) OVER q)) AS piece FROM u JOIN d USING (doc_id) WINDOW q AS (PARTITION BY u.doc_id ORDER BY a)),
+r AS (SELECT doc_id, CAST(sum(e - a) AS BIGINT) AS n_removed, count(*) AS n_spans, max(e) AS last, string_agg(piece, '' ORDER BY a) AS pieces FROM k GROUP BY doc_id)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(pieces, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN r ON r.doc_id = d.doc_id
+"""
