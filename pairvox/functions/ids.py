@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Id grammars by year, regions, long names.
-CASE_2025, CASE_2023 = r"1(AB|HN|TH)([A-D])(\d{3})", r"1(B|P)([A-C])(\d{3})"
+CASE_2025, CASE_2023 = r"(?:(AB|HN|TH)_)?(1(AB|HN|TH)?([A-D])\d{3})", r"(?:(B|P)_)?(1(B|P)?([A-C])\d{3})"
 TOKEN_LOOSE, TOKEN_STRICT = r"1(?:AB|HN|TH|B|P)?[A-D]?[0-9]{3}", r"1(?:AB|HN|TH|B|P)[A-D][0-9]{3}"
 REGION_NAMES = {"AB": "Abdomen", "HN": "Head-Neck", "TH": "Thorax", "B": "Brain", "P": "Pelvis"}
 
@@ -16,10 +16,9 @@ def _match(c: Column, pattern: str, group: int) -> Column:
 
 
 def parse_case_id(c: Column) -> Column:
-    """Struct (token, body, center, year); the 2025 grammar first, then the 2023 one; null if neither fits."""
-    prefix = _match(c, r"^(AB|HN|TH|B|P)_", 1)
+    """Struct (token, body, center, year); the 2025 grammar first, then the 2023 one; null if neither fits. The body is the prefix, else the code in the token, else UNK."""
     parts = lambda p, year: F.struct(
-        _match(c, p, 0).alias("token"), F.coalesce(prefix, _match(c, p, 1), F.lit("UNK")).alias("body"), _match(c, p, 2).alias("center"), F.lit(year).alias("year")
+        _match(c, p, 2).alias("token"), F.coalesce(_match(c, p, 1), _match(c, p, 3), F.lit("UNK")).alias("body"), _match(c, p, 4).alias("center"), F.lit(year).alias("year")
     )
     return F.when(c.rlike(CASE_2025), parts(CASE_2025, 2025)).when(c.rlike(CASE_2023), parts(CASE_2023, 2023))
 
@@ -119,6 +118,31 @@ def short_model_label(c: Column) -> Column:
     return F.coalesce(_match(c, "abdomen_(.*)$", 1), c)
 
 
+def family(models: Column, name: str) -> Column:
+    """An aggregate: the family's name if all models contain it, else null."""
+    return F.when(F.bool_and(F.contains(models, F.lit(name))), F.lit(name))
+
+
+def model_lookup(model_type: Column, region: Column, models: dict[str, dict[str, str]], *, strict: bool = False) -> Column:
+    """The model of a type and region; null for unknown ones, or an error if strict."""
+    pairs = {f"{t}\x1f{r}": m for t, own in models.items() for r, m in own.items()}
+    found = F.create_map(*(F.lit(x) for kv in pairs.items() for x in kv))[F.concat_ws("\x1f", model_type, region)]
+    return F.coalesce(found, F.raise_error(F.concat_ws(" ", F.lit("no model for"), model_type, region))) if strict else found
+
+
+def recode(c: Column, mapping: dict[int, int]) -> Column:
+    """Labels by a map, each once; others unchanged."""
+    return F.coalesce(F.create_map(*(F.lit(x) for kv in mapping.items() for x in kv))[c], c)
+
+
+def derive_paths(c: Column, *, modality: str = "MR", suffix: str = "_cp256") -> Column:
+    """Struct (folder, file, path, mask_path) from an example path: the last part names the folder, and files in it by rule."""
+    folder = basename(c)
+    file = F.concat(folder, F.lit(f"_{modality}{suffix}.nii.gz"))
+    mask = F.concat(folder, F.lit("/new_masks/"), folder, F.lit("_mask_from_CT_treshold.nii.gz"))
+    return F.struct(folder.alias("folder"), file.alias("file"), F.concat_ws("/", folder, F.lit(modality), file).alias("path"), mask.alias("mask_path"))
+
+
 def basename(c: Column) -> Column:
     return F.substring_index(c, "/", -1)
 

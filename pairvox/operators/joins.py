@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairvox.functions.ids import TOKEN_LOOSE, extract_token
+
 
 def required_kinds(files: DataFrame, *, case: str, kind: str, required: list[str]) -> DataFrame:
     """Cases that have all required kinds."""
@@ -72,17 +74,45 @@ def modulo_pairs(a: DataFrame, b: DataFrame, a_key: str, b_key: str) -> DataFram
     """Item i of a with item i mod size(b), both in key order. Numbers come from ranges of the keys, not from one sort in one task."""
     n = b.count()
     left = numbered(a, a_key).select(F.col(a_key), F.pmod("number", F.lit(max(n, 1))).alias("_m"))
-    right = numbered(b, b_key).select(F.col(b_key), F.col("number").alias("_m"))
-    return left.join(right, "_m").drop("_m")
+    return _by_number(left, b, b_key)
+
+
+def random_pairs(a: DataFrame, b: DataFrame, a_key: str, b_key: str, *, seed: int = 42) -> DataFrame:
+    """Each item of a with an item of b that md5(seed:key) picks, the same each time."""
+    n = b.count()
+    pick = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(a_key).cast("string"))), 1, 8), 16, 10).cast("long") % max(n, 1)
+    return _by_number(a.select(F.col(a_key), pick.alias("_m")), b, b_key)
+
+
+def _by_number(left: DataFrame, b: DataFrame, b_key: str) -> DataFrame:
+    return left.join(numbered(b, b_key).select(F.col(b_key), F.col("number").alias("_m")), "_m").drop("_m")
+
+
+#: Ranges of a global order at most; their bounds are one short array.
+RANGES = 4096
 
 
 def numbered(df: DataFrame, key: str, *, per: int = 100_000) -> DataFrame:
-    """df with `number`, the place of each row in key order from 0. Keys are whole numbers; equal keys get places in any order."""
-    bucket = F.expr(f"`{key}` div {per}").alias("_bucket")
-    counts = df.groupBy(bucket).count()
+    """df with `number`, the place of each row in key order from 0; equal keys get places in any order, a null key comes first.
+
+    Rows are cut into ranges at sketched quantiles of the key (so sparse or uneven keys make even ranges), counted, and
+    numbered inside their range. The bounds, RANGES at most, are a literal; the range is found in two steps of 64.
+    """
+    n = min(RANGES, df.count() // per + 1)
+    cuts = df.agg(F.percentile_approx(key, [k / n for k in range(1, n)], 10 * RANGES)).first()[0] if n > 1 else []
+    cuts = sorted(set(cuts or []))
+    at_most = lambda bounds: F.size(F.filter(F.array(*map(F.lit, bounds)), lambda c: c <= F.col(key))) if bounds else F.lit(0)
+    bucket = F.lit(0)
+    if cuts:
+        groups = [cuts[k : k + 64] for k in range(0, len(cuts), 64)]
+        first = at_most([g[0] for g in groups])
+        inner = F.get(F.array(*(F.array(*map(F.lit, g)) for g in groups)), F.greatest(first - 1, F.lit(0)))
+        bucket = F.when(F.col(key).isNull(), -1).otherwise(64 * F.greatest(first - 1, F.lit(0)) + F.size(F.filter(inner, lambda c: c <= F.col(key))))
+    rows = df.withColumn("_bucket", bucket.cast("int"))
+    counts = rows.groupBy("_bucket").count()
     before = counts.select("_bucket", (F.sum("count").over(Window.orderBy("_bucket")) - F.col("count")).alias("_before"))
     own = F.row_number().over(Window.partitionBy("_bucket").orderBy(key)) - 1
-    return df.withColumn("_bucket", bucket).withColumn("_own", own).join(before, "_bucket").withColumn("number", F.col("_before") + F.col("_own")).drop("_bucket", "_own", "_before")
+    return rows.withColumn("_own", own).join(before, "_bucket").withColumn("number", F.col("_before") + F.col("_own")).drop("_bucket", "_own", "_before")
 
 
 def uniform_bin(v: Column, lo: float, hi: float, n: int) -> Column:
@@ -91,18 +121,101 @@ def uniform_bin(v: Column, lo: float, hi: float, n: int) -> Column:
     return F.when((v >= lo) & (v <= hi), F.least(k, F.lit(n - 1).cast("long")))
 
 
-def segment_join(df: DataFrame, segments: DataFrame, v: str) -> DataFrame:
-    """Rows with the segment [lo, hi) of a small table (lo, hi, ...) that their value lies in. The table is broadcast: it is a list of landmarks."""
-    return df.join(F.broadcast(segments), (F.col(v) >= F.col("lo")) & (F.col(v) < F.col("hi")))
+def segment_join(df: DataFrame, segments: list[tuple[float, float, str]], v: str, name: str = "segment") -> DataFrame:
+    """Rows with the segment that their value lies in; rows in none go. segments: (lo, hi, label) in order without overlap, a parameter; nothing is joined."""
+    k = F.size(F.filter(F.array(*(F.lit(float(lo)) for lo, _, _ in segments)), lambda lo: lo <= F.col(v)))
+    hi, label = (F.array(*(F.lit(s[i]) for s in segments)) for i in (1, 2))
+    return df.filter((k > 0) & (F.col(v) < F.get(hi, k - 1))).withColumn(name, F.get(label, k - 1))
+
+
+def aligned(image: DataFrame, mask: DataFrame, synthetic: DataFrame | None = None) -> DataFrame:
+    """Slices of the image with the arrays `mask` and `synthetic` of the same place, one join a slice and none a pixel.
+
+    A mask that is absent or of another shape is null, so metrics fall back to all pixels. A synthetic slice that is
+    absent or of another shape drops the row.
+    """
+    side = lambda df, n: df.select("volume_id", "z", F.col("height").alias("_h"), F.col("width").alias("_w"), F.col("px").alias(n))
+    fits = (F.col("_h") == F.col("height")) & (F.col("_w") == F.col("width"))
+    out = image.join(side(mask, "_mask"), ["volume_id", "z"], "left").withColumn("mask", F.when(fits, F.col("_mask"))).drop("_h", "_w", "_mask")
+    if synthetic is not None:
+        out = out.join(side(synthetic, "synthetic"), ["volume_id", "z"]).filter(fits).drop("_h", "_w")
+    return out
+
+
+def token_matches(cases: DataFrame, files: DataFrame, *, case: str, name: str, kind: str = "MR") -> tuple[DataFrame, DataFrame]:
+    """((case, token, name), (case, token) without a file): the first file, in name order, that begins with the case's token and names the kind after it.
+
+    The token is cut out of the case id, or is the id itself; a file's is what it begins with: a token, or what stands
+    before the last `_kind`. So the join is on equal keys.
+    """
+    own = cases.select(case, F.coalesce(extract_token(F.col(case)), F.col(case)).alias("token"))
+    begins = F.coalesce(F.nullif(F.regexp_extract(name, f"^({TOKEN_LOOSE}).*{kind}.*nii", 1), F.lit("")), F.nullif(F.regexp_extract(name, f"^(.*?)_?{kind}[^/]*nii", 1), F.lit("")))
+    best = files.select(begins.alias("token"), name).filter("token IS NOT NULL").groupBy("token").agg(F.min(name).alias(name))
+    return own.join(best, "token").select(case, "token", name), own.join(best, "token", "left_anti").select(case, "token")
+
+
+def mask_or_and(masks: list[DataFrame], body: DataFrame | None, *, least: int = 1000) -> DataFrame:
+    """(volume_id, z, y, x) in any of the masks and in the body (where one is given), of volumes with `least` such voxels or more."""
+    key = ["volume_id", "z", "y", "x"]
+    either = reduce(DataFrame.union, [m.select(*key) for m in masks]).distinct()
+    own = either.join(body.select(*key).distinct(), key, "left_semi") if body is not None else either
+    enough = own.groupBy("volume_id").agg(F.count("*").alias("_n")).filter(F.col("_n") >= least).select("volume_id")
+    return own.join(enough, "volume_id", "left_semi")
+
+
+def patient_match(df: DataFrame, wanted: DataFrame, *, case: str, id_: str) -> DataFrame:
+    """Rows whose id, or what follows its first underscore, is wanted."""
+    after = F.when(F.instr(case, "_") > 0, F.expr(f"substring(`{case}`, instr(`{case}`, '_') + 1)"))
+    keys = df.withColumn("_row", F.struct(*df.columns)).select("_row", F.explode(F.array_distinct(F.filter(F.array(F.col(case), after), lambda x: x.isNotNull()))).alias("_id"))
+    return keys.join(wanted.select(F.col(id_).alias("_id")).distinct(), "_id", "left_semi").select("_row").distinct().select("_row.*")
+
+
+def missing_pairs(requested: DataFrame, present: DataFrame, on: list[str]) -> DataFrame:
+    """Requested rows whose keys are not present."""
+    return requested.join(present.select(*on).distinct(), on, "left_anti")
 
 
-def grid_check(meta: DataFrame, *, case: str, kind: str, pair: tuple[str, str], fields: list[str], tolerance: float = 1e-3) -> DataFrame:
-    """(case, status): OK, MISS (a side is absent) or MISM with the first field that differs."""
-    side = lambda k: meta.filter(F.col(kind) == k).select(case, *(F.col(f).alias(f"{f}_{k}") for f in fields))
+def grid_check(meta: DataFrame, *, case: str, kind: str, pair: tuple[str, str], fields: dict[str, float]) -> DataFrame:
+    """(case, status): OK, MISS (a side is absent) or MISM with the first field that differs. fields: their tolerances, 0 for exact; a field may be an array."""
+    side = lambda k: meta.filter(F.col(kind) == k).select(case, F.lit(True).alias(f"_{k}"), *(F.col(f).alias(f"{f}_{k}") for f in fields))
     both = side(pair[0]).join(side(pair[1]), case, "full")
-    first, second = fields[0] + "_" + pair[0], fields[0] + "_" + pair[1]
-    bad = [F.when(F.abs(F.col(f"{f}_{pair[0]}") - F.col(f"{f}_{pair[1]}")) > tolerance, f"MISM:{f}") for f in fields]
-    return both.select(case, F.when(F.col(first).isNull() | F.col(second).isNull(), "MISS").otherwise(F.coalesce(*bad, F.lit("OK"))).alias("status"))
+    bad = [F.when(~_close(F.col(f"{f}_{pair[0]}"), F.col(f"{f}_{pair[1]}"), 0.0, tolerance, "array" in meta.schema[f].dataType.simpleString()), f"MISM:{f}") for f, tolerance in fields.items()]
+    return both.select(case, F.when(F.col(f"_{pair[0]}").isNull() | F.col(f"_{pair[1]}").isNull(), "MISS").otherwise(F.coalesce(*bad, F.lit("OK"))).alias("status"))
+
+
+def _close(a: Column, b: Column, relative: float, absolute: float, arrays: bool = True) -> Column:
+    """Whether numbers, or all numbers of two arrays, differ by at most a share of the larger one or by the absolute tolerance; false for nulls."""
+    if arrays:
+        return F.coalesce((F.size(a) == F.size(b)) & F.forall(F.zip_with(a, b, lambda x, y: _close(x, y, relative, absolute, False)), lambda x: x), F.lit(False))
+    return F.coalesce(F.abs(a - b) <= F.greatest(relative * F.greatest(F.abs(a), F.abs(b)), F.lit(absolute)), F.lit(False))
+
+
+def reference_check(images: DataFrame, reference: DataFrame, *, case: str) -> DataFrame:
+    """(case, status) of images (size, spacing, origin, direction) against a reference grid (shape, spacing, 4 x 4 affine).
+
+    Shapes are equal, spacings differ by a thousandth at most, origin and direction by a hundredth, where the affine may
+    be read as it stands or with its first two axes turned round. Otherwise MISS (no reference) or MISM with the reason.
+    """
+    ref = reference.select(case, F.col("shape").alias("_shape"), F.col("spacing").alias("_spacing"), F.col("affine").alias("_affine"))
+    joined = images.join(ref, case, "left")
+    cell = lambda r, c: F.get(F.get("_affine", F.lit(r)), F.lit(c)).cast("double")
+    norm = [F.sqrt(sum((cell(r, c) * cell(r, c) for r in range(3)), F.lit(0.0))) for c in range(3)]
+    sign = lambda turn, r: -1.0 if turn and r < 2 else 1.0
+    fits = [
+        _close(F.col("origin"), F.array(*(sign(turn, r) * cell(r, 3) for r in range(3))), 1e-2, 1e-2)
+        & _close(F.col("direction"), F.array(*(sign(turn, r) * cell(r, c) / F.nullif(norm[c], F.lit(0.0)) for c in range(3) for r in range(3))), 1e-2, 1e-2)
+        for turn in (False, True)
+    ]
+    status = (
+        F.when(F.col("_shape").isNull(), "MISS").when(F.col("size") != F.col("_shape"), "MISM:shape")
+        .when(~_close(F.col("spacing"), F.col("_spacing"), 1e-3, 1e-3), "MISM:spacing").when(~(fits[0] | fits[1]), "MISM:orientation").otherwise("OK")
+    )
+    return joined.select(case, status.alias("status"))
+
+
+def require_ok(checks: DataFrame) -> DataFrame:
+    """The same rows; a status other than OK is an error once it is read."""
+    return checks.withColumn("status", F.when(F.col("status") == "OK", F.col("status")).otherwise(F.raise_error(F.concat(F.lit("grids differ: "), F.col("status")))))
 
 
 def pending(cases: DataFrame, outputs: DataFrame, *, case: str, kind: str, required: list[str]) -> DataFrame:

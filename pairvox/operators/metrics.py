@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairvox.operators.filters import box_mean
-
 #: Dynamic range of HU, constants of the similarity index.
 HU_RANGE, SSIM_K = 2224.0, (0.01, 0.03)
 
@@ -26,17 +28,54 @@ def slice_metrics(px: DataFrame, *, groups: list[str], real: str, fake: str, mas
     return out.withColumns({f"psnr_{s}": psnr(F.col(f"mse_{s}"), data_range) for s in ("unmasked", "masked")})
 
 
-def ssim(px: DataFrame, *, a: str = "a", b: str = "b", r: int = 3, data_range: float = 1.0) -> DataFrame:
-    """(volume_id, z, ssim): mean structural similarity over pixels whose (2r + 1)-square lies inside the slice; sample covariance."""
+def array_metrics(aligned: DataFrame, *, real: str = "px", fake: str = "synthetic", mask: str = "mask", data_range: float = HU_RANGE) -> DataFrame:
+    """`slice_metrics` of aligned slices, on their arrays: (volume_id, z, errors, mask_voxels). A null or empty mask counts as all pixels, its size as 0."""
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    held = F.coalesce(F.col(mask), F.transform(F.col(real), lambda x: F.lit(0.0)))
+    out = aligned.select("volume_id", "z", F.zip_with(real, fake, lambda x, y: (x - y).cast("double")).alias("_d"), F.transform(held, lambda x: (x > 0).cast("double")).alias("_m"))
+    out = out.withColumn("_n", total("_m"))
+    for name, error in (("mae", lambda x: F.abs(x)), ("mse", lambda x: x * x)):
+        out = out.withColumn("_e", F.transform("_d", error))
+        mean, inside = total("_e") / F.size("_e"), total(F.zip_with("_e", "_m", lambda x, k: x * k)) / F.nullif(F.col("_n"), F.lit(0.0))
+        out = out.withColumn(f"{name}_unmasked", mean).withColumn(f"{name}_masked", F.coalesce(inside, mean)).drop("_e")
+    out = out.withColumn("mask_voxels", F.col("_n").cast("long")).drop("_d", "_m", "_n")
+    return out.withColumns({f"psnr_{s}": psnr(F.col(f"mse_{s}"), data_range) for s in ("unmasked", "masked")})
+
+
+def ssim(slices: DataFrame, *, a: str = "a", b: str = "b", mask: str | None = None, r: int = 3, data_range: float = 1.0) -> DataFrame:
+    """(volume_id, z, ssim, ssim_masked) of slices with the arrays a and b: sample covariances over (2r + 1)-squares, borders mirrored.
+
+    ssim is the mean without a border of r pixels, ssim_masked that of the whole map where the mask is above 0 (the same
+    as ssim where there is no mask). Windows are differences of cumulative sums, slice by slice; nothing is shuffled.
+    """
     n = (2 * r + 1) ** 2
-    v = px.withColumns({"_aa": F.col(a) * F.col(a), "_bb": F.col(b) * F.col(b), "_ab": F.col(a) * F.col(b)})
-    m = box_mean(v, r, [a, b, "_aa", "_bb", "_ab"])
-    ma, mb = F.col(f"mean_{a}"), F.col(f"mean_{b}")
-    k = n / (n - 1)
-    va, vb, cov = k * (F.col("mean__aa") - ma * ma), k * (F.col("mean__bb") - mb * mb), k * (F.col("mean__ab") - ma * mb)
     c1, c2 = ((x * data_range) ** 2 for x in SSIM_K)
-    s = (2 * ma * mb + c1) * (2 * cov + c2) / ((ma * ma + mb * mb + c1) * (va + vb + c2))
-    return m.groupBy("volume_id", "z").agg(F.avg(s).alias("ssim"))
+
+    def mean(x: np.ndarray) -> np.ndarray:
+        s = np.pad(x, r, mode="symmetric")
+        for _ in (0, 1):
+            s = np.cumsum(np.concatenate([np.zeros((1, s.shape[1])), s]), axis=0)
+            s = (s[2 * r + 1 :] - s[: -2 * r - 1]).T
+        return s / n
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for v, z, h, w, x, y, m in zip(*(pdf[c] for c in ("volume_id", "z", "height", "width", "_a", "_b", "_m")), strict=True):
+                x, y = np.asarray(x, float).reshape(h, w), np.asarray(y, float).reshape(h, w)
+                mx, my = mean(x), mean(y)
+                vx, vy, cov = (n / (n - 1) * (mean(p) - q) for p, q in ((x * x, mx * mx), (y * y, my * my), (x * y, mx * my)))
+                s = (2 * mx * my + c1) * (2 * cov + c2) / ((mx * mx + my * my + c1) * (vx + vy + c2))
+                inner = s[r : h - r, r : w - r]
+                score = float(inner.mean()) if inner.size else None
+                inside = s[np.asarray(m, float).reshape(h, w) > 0] if m is not None else np.zeros(0)
+                rows.append((v, z, score, float(inside.mean()) if len(inside) else score))
+            yield pd.DataFrame(rows, columns=["volume_id", "z", "ssim", "ssim_masked"])
+
+    kind = slices.schema["volume_id"].dataType.simpleString()
+    masked = F.col(mask).cast("array<double>") if mask else F.lit(None).cast("array<double>")
+    slim = slices.select("volume_id", F.col("z").cast("long").alias("z"), "height", "width", F.col(a).alias("_a"), F.col(b).alias("_b"), masked.alias("_m"))
+    return slim.mapInPandas(run, f"volume_id {kind}, z long, ssim double, ssim_masked double")
 
 
 def drop_zero_mask(df: DataFrame, mask: str = "mask_voxels") -> DataFrame:
@@ -133,3 +172,11 @@ def peak_regions(df: DataFrame, bounds: DataFrame, *, volume: str, v: str, lic:
     inside = (F.col(v) > F.col("left")) & (F.col(v) < F.col("right"))
     joined = df.join(bounds, volume)
     return joined.groupBy(volume, F.when(inside, "peak").otherwise("rest").alias("region"), (F.col(lic) < F.col("threshold")).alias("homogeneous")).agg(F.count("*").alias("count"))
+
+
+def geometry_catalog(slices: DataFrame, *, case: str, modality: str) -> DataFrame:
+    """(case, modality, z, y, x, spacing_x, spacing_y, spacing_z): one row a case and modality, from slices with their spacing."""
+    return slices.groupBy(case, modality).agg(
+        F.count("*").alias("z"), F.first("height").cast("long").alias("y"), F.first("width").cast("long").alias("x"),
+        *(F.first(c).cast("double").alias(f"spacing_{c[1]}") for c in ("sx", "sy", "sz")),
+    )

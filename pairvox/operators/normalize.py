@@ -68,8 +68,18 @@ def normalize_failures(df: DataFrame, peaks: DataFrame, *, volume: str) -> DataF
     return df.select(volume).distinct().join(good, volume, "left_anti").withColumn("reason", F.lit("no positive peak"))
 
 
-def tissue_masks(df: DataFrame, splits: DataFrame, *, volume: str, v: str, contrast: str) -> DataFrame:
-    """df with `tissue`: csf on the side of the split that the contrast names, else brain."""
-    low = contrast in ("t1", "t1c", "flair")
-    csf = F.col(v) <= F.col("split") if low else F.col(v) > F.col("split")
-    return df.join(splits, volume).withColumn("tissue", F.when(csf, "csf").otherwise("brain")).drop("split")
+#: Contrasts whose fluid is darker than brain tissue; in the others it is brighter.
+DARK_FLUID = ("t1", "t1c", "flair")
+
+
+def tissue_masks(df: DataFrame, splits: DataFrame, *, volume: str, v: str, contrast: str | None = None, brain: str | None = None, eroded: str | None = None) -> DataFrame:
+    """df with `tissue`: csf on the side of the split that the contrast names (t1 if none), else brain.
+
+    With the columns `brain` and `eroded` (masks), csf is taken from the eroded mask and brain from the whole one; pixels
+    that are neither go.
+    """
+    dark = (contrast or "t1").lower() in DARK_FLUID
+    csf = F.col(v) <= F.col("split") if dark else F.col(v) >= F.col("split")
+    inside = lambda m: F.col(m) if m else F.lit(True)
+    tissue = F.when(csf & inside(eroded), "csf").when(~csf & inside(brain), "brain")
+    return df.join(splits, volume).withColumn("tissue", tissue).drop("split").filter("tissue IS NOT NULL")

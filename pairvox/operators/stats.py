@@ -7,11 +7,67 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairvox.operators.filters import footprint, local_change_slabs
+
 
 def global_min_max(df: DataFrame, v: str) -> DataFrame:
     return df.agg(F.min(v).alias("min_value"), F.max(v).alias("max_value"))
 
 
+def masked_min_max(slices: DataFrame, masks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((min_value, max_value) over the masks' pixels, (volume_id, reason) of volumes that are skipped): SHAPE if a slice or a shape differs, EMPTY if the mask has no pixel."""
+    both = slices.select("volume_id", "z", "height", "width", "px").join(masks.select("volume_id", "z", F.col("height").alias("_h"), F.col("width").alias("_w"), F.col("px").alias("_m")), ["volume_id", "z"], "full")
+    values = F.transform(F.filter(F.arrays_zip("px", "_m"), lambda s: s["_m"] > 0), lambda s: s["px"])
+    fits = F.coalesce((F.col("height") == F.col("_h")) & (F.col("width") == F.col("_w")), F.lit(False))
+    found = both.withColumn("_v", F.when(fits, values)).groupBy("volume_id").agg(F.min(fits).alias("fits"), F.min(F.array_min("_v")).alias("lo"), F.max(F.array_max("_v")).alias("hi"))
+    reason = F.when(~F.col("fits"), "SHAPE").when(F.col("lo").isNull(), "EMPTY")
+    good = found.filter(reason.isNull())
+    return good.agg(F.min("lo").alias("min_value"), F.max("hi").alias("max_value")), found.select("volume_id", reason.alias("reason")).filter("reason IS NOT NULL")
+
+
+def npeaks_find(
+    slices: DataFrame, masks: DataFrame, *, strategies: dict[str, str], spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), radius: float = 3.0, quantile: float = 0.5,
+    n_levels: int = 1024, grid: int = 10_000, bandwidth: float | None = None, fraction: float = 0.1, span: tuple[float, float] | None = None,
+) -> DataFrame:
+    """(volume_id, mask, threshold, voxels, bandwidth, peak) for every volume and mask (volume_id, mask, z, px of 0 and 1).
+
+    The local change of the whole volume, its quantile inside the mask, the mask's pixels up to that threshold, their
+    level counts and density, its peaks, and the one that strategies[mask] picks (`most` for others); null without a
+    peak. The bandwidth is the improved Sheather-Jones one unless given. The grid goes over `span`, or over the values and
+    three bandwidths or a twentieth of their range beyond. Pixels meet as arrays by slice; levels (n_levels a mask at
+    most) are all that a task for one volume and mask sees.
+    """
+    offsets = footprint(radius * 1.001, spacing)
+    lic = local_change_slabs(slices, offsets)
+    meet = slices.select("volume_id", "z", "px").join(lic, ["volume_id", "z"]).join(masks.select("volume_id", "mask", "z", F.col("px").alias("m")), ["volume_id", "z"])
+    inside = meet.select("volume_id", "mask", F.explode(F.filter(F.arrays_zip("px", "lic", "m"), lambda s: s["m"] > 0)).alias("s")).select("volume_id", "mask", F.col("s.px").alias("v"), F.col("s.lic").alias("lic"))
+    threshold = inside.groupBy("volume_id", "mask").agg(F.percentile("lic", quantile).alias("threshold"))
+    fine = inside.join(threshold, ["volume_id", "mask"]).filter("lic <= threshold")
+    ranges = fine.groupBy("volume_id", "mask").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.first("threshold").alias("threshold"))
+    step = (F.col("hi") - F.col("lo")) / (n_levels - 1)
+    level = F.coalesce(F.least(F.ceil((F.col("v") - F.col("lo")) / F.nullif(step, F.lit(0.0))), F.lit(n_levels - 1)), F.lit(0)).cast("long")
+    counts = fine.drop("threshold").join(ranges, ["volume_id", "mask"]).groupBy("volume_id", "mask", "lo", "hi", "threshold", level.alias("level")).agg(F.count("*").alias("weight"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        lo, hi = float(pdf["lo"].iloc[0]), float(pdf["hi"].iloc[0])
+        level_, weight = pdf["level"].to_numpy(float), pdf["weight"].to_numpy(float)
+        value = lo + level_ * (hi - lo) / (n_levels - 1)
+        width = bandwidth or (_fixed_point(value, level_, weight, n_levels)[0] if hi > lo else 0.0)
+        peak = lo if hi == lo and not bandwidth else None
+        if width > 0:
+            beyond = max(3 * width, 0.05 * (hi - lo))
+            a, b = span or (lo - beyond, hi + beyond)
+            x = a + np.arange(grid) * ((b - a) / (grid - 1))
+            y = np.round(_densities(value, weight, width, x), 12)
+            found = _peaks_of(y, fraction)
+            rank = {"highest": lambda p: (-y[p[0]], p[0]), "left": lambda p: p[0], "right": lambda p: -p[0]}.get(strategies.get(pdf["mask"].iloc[0], "most"), lambda p: (-y[p[2] : p[3] + 1].sum(), p[0]))
+            peak = float(x[min(found, key=rank)[0]]) if found else None
+        return pd.DataFrame({"volume_id": [pdf["volume_id"].iloc[0]], "mask": [pdf["mask"].iloc[0]], "threshold": [pdf["threshold"].iloc[0]], "voxels": [int(weight.sum())], "bandwidth": [width], "peak": pd.array([peak], "Float64")})
+
+    kind = slices.schema["volume_id"].dataType.simpleString()
+    return counts.groupBy("volume_id", "mask").applyInPandas(run, f"volume_id {kind}, mask string, threshold double, voxels long, bandwidth double, peak double")
+
+
 def cdf_table(df: DataFrame, *, volume: str, v: str, lo: float, hi: float, n: int) -> DataFrame:
     """(volume, bin, threshold, cdf, n_voxels): the share of values up to each of n equally spaced thresholds. Values are counted by bin first; windows see n rows a volume."""
     step = (hi - lo) / (n - 1)
@@ -82,15 +138,26 @@ def levels(df: DataFrame, *, volume: str, v: str, lo: float, hi: float, n: int)
     return df.groupBy(volume, level.alias("level")).agg(F.count("*").alias("weight")).select(volume, "level", (F.lit(lo) + F.col("level") * step).alias("value"), "weight")
 
 
-def kde(levels_: DataFrame, *, volume: str, bandwidth: Column, lo: float, hi: float, grid: int) -> DataFrame:
-    """(volume, i, x, pdf): Gaussian densities on a grid from level counts, n levels x grid terms a volume."""
-    step = (hi - lo) / (grid - 1)
-    total = Window.partitionBy(volume)
-    spread = levels_.withColumn("_total", F.sum("weight").over(total)).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(grid - 1)).cast("array<long>")))
-    x = F.lit(lo) + F.col("i") * step
-    u = (x - F.col("value")) / bandwidth
-    term = F.col("weight") / F.col("_total") * F.exp(-0.5 * u * u) / (bandwidth * (2 * np.pi) ** 0.5)
-    return spread.groupBy(volume, "i").agg(F.sum(term).alias("pdf")).select(volume, "i", (F.lit(lo) + F.col("i") * step).alias("x"), "pdf")
+def _densities(value: np.ndarray, weight: np.ndarray, bandwidth: float, x: np.ndarray) -> np.ndarray:
+    """Gaussian densities at x, in pieces of the grid."""
+    share = weight / (weight.sum() * bandwidth * np.sqrt(2 * np.pi))
+    return np.concatenate([np.exp(-0.5 * ((p[:, None] - value) / bandwidth) ** 2) @ share for p in np.array_split(x, max(1, len(x) * len(value) >> 20))])
+
+
+def kde(levels_: DataFrame, *, volume: str, bandwidth: Column, lo: float, hi: float, grid: int, scaled: bool = False) -> DataFrame:
+    """(volume, i, x, pdf): Gaussian densities on a grid from level counts (levels, or weighted values); scaled: they add up to the weights, not to 1.
+
+    A volume has a bounded number of levels, so its densities are one product of arrays; nothing but levels is shuffled.
+    A wide range of values needs no rescaling here, since the kernel is evaluated directly.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = lo + np.arange(grid) * ((hi - lo) / (grid - 1))
+        y = _densities(pdf["value"].to_numpy(float), pdf["weight"].to_numpy(float), float(pdf["_bandwidth"].iloc[0]), x)
+        return pd.DataFrame({volume: pdf[volume].iloc[0], "i": np.arange(grid), "x": x, "pdf": y * pdf["weight"].sum() if scaled else y})
+
+    kind = levels_.schema[volume].dataType.simpleString()
+    return levels_.withColumn("_bandwidth", bandwidth).groupBy(volume).applyInPandas(run, f"{volume} {kind}, i long, x double, pdf double")
 
 
 def silverman(df: DataFrame, *, volume: str, v: str) -> DataFrame:
@@ -99,62 +166,90 @@ def silverman(df: DataFrame, *, volume: str, v: str) -> DataFrame:
     return s.select(volume, (0.9 * F.least(F.col("s"), F.col("iqr") / 1.34) * F.pow("n", F.lit(-0.2))).alias("bandwidth"))
 
 
-def improved_bandwidth(levels_: DataFrame, *, volume: str, n: int) -> DataFrame:
-    """(volume, bandwidth, converged) by the improved Sheather-Jones fixed point on the cosine transform of the level counts (n rows a volume at most)."""
+def _fixed_point(value: np.ndarray, level: np.ndarray, weight: np.ndarray, n: int) -> tuple[float, bool]:
+    """The improved Sheather-Jones bandwidth of n level counts, and whether the fixed point was found."""
+    p = np.zeros(n)
+    p[level.astype(int)] = weight / weight.sum()
+    step = (value.max() - value.min()) / max(level.max() - level.min(), 1)
+    k = np.arange(n)
+    a = np.concatenate([np.cos(np.pi * np.outer(part, k + 0.5) / n) @ p for part in np.array_split(k, 8)]) * 2
+    a2, k2, size = (a[1:] / 2) ** 2, k[1:].astype(float) ** 2, weight.sum()
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        value, level, weight = (pdf[c].to_numpy(float) for c in ("value", "level", "weight"))
-        p = np.zeros(n)
-        p[level.astype(int)] = weight / weight.sum()
-        step = (value.max() - value.min()) / max(level.max() - level.min(), 1)
-        k = np.arange(n)
-        a = np.cos(np.pi * np.outer(k, k + 0.5) / n) @ p * 2
-        a2, k2, size = (a[1:] / 2) ** 2, k[1:].astype(float) ** 2, weight.sum()
-
-        def gap(t: float) -> float:
-            f = 2 * np.pi ** 14 * np.sum(k2**7 * a2 * np.exp(-k2 * np.pi**2 * t))
-            for s in range(6, 1, -1):
-                c = (1 + 0.5 ** (s + 0.5)) / 3 * np.prod(np.arange(1, 2 * s, 2)) / np.sqrt(np.pi / 2)
-                f = 2 * np.pi ** (2 * s) * np.sum(k2**s * a2 * np.exp(-k2 * np.pi**2 * (2 * c / size / f) ** (2 / (3 + 2 * s))))
-            return t - (2 * size * np.sqrt(np.pi) * f) ** -0.4
+    def gap(t: float) -> float:
+        f = 2 * np.pi ** 14 * np.sum(k2**7 * a2 * np.exp(-k2 * np.pi**2 * t))
+        for s in range(6, 1, -1):
+            c = (1 + 0.5 ** (s + 0.5)) / 3 * np.prod(np.arange(1, 2 * s, 2)) / np.sqrt(np.pi / 2)
+            f = 2 * np.pi ** (2 * s) * np.sum(k2**s * a2 * np.exp(-k2 * np.pi**2 * (2 * c / size / f) ** (2 / (3 + 2 * s))))
+        return t - (2 * size * np.sqrt(np.pi) * f) ** -0.4
 
+    with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
         grid = np.logspace(-9, -1, 400)
         g = np.array([gap(t) for t in grid])
         flips = np.flatnonzero((g[:-1] < 0) & (g[1:] >= 0))
-        t = grid[flips[0]] if len(flips) else 0.28 * size**-0.4
+        t = 0.28 * size**-0.4
         if len(flips):
             lo, hi = grid[flips[0]], grid[flips[0] + 1]
             for _ in range(60):
                 t = (lo + hi) / 2
                 lo, hi = (t, hi) if gap(t) < 0 else (lo, t)
-        return pd.DataFrame({volume: [pdf[volume].iloc[0]], "bandwidth": [float(np.sqrt(t) * step * n)], "converged": [bool(len(flips))]})
+    return float(np.sqrt(t) * step * n), bool(len(flips))
+
+
+def improved_bandwidth(levels_: DataFrame, *, volume: str, n: int) -> DataFrame:
+    """(volume, bandwidth, converged) by the improved Sheather-Jones fixed point on the cosine transform of the level counts (n rows a volume at most)."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        width, found = _fixed_point(*(pdf[c].to_numpy(float) for c in ("value", "level", "weight")), n)
+        return pd.DataFrame({volume: [pdf[volume].iloc[0]], "bandwidth": [width], "converged": [found]})
 
     return levels_.groupBy(volume).applyInPandas(run, f"{volume} {levels_.schema[volume].dataType.simpleString()}, bandwidth double, converged boolean")
 
 
+def _walls(y: np.ndarray) -> np.ndarray:
+    """For each point the nearest higher one before it, or -1, by a stack of falling heights."""
+    out, stack = np.full(len(y), -1), []
+    for k, h in enumerate(y.tolist()):
+        while stack and y[stack[-1]] <= h:
+            stack.pop()
+        if stack:
+            out[k] = stack[-1]
+        stack.append(k)
+    return out
+
+
+def _peaks_of(y: np.ndarray, fraction: float) -> list[tuple[int, float, int, int]]:
+    """(place, prominence, left, right) of the peaks of one curve."""
+    change = np.flatnonzero(np.diff(y) != 0)
+    begin, end = np.append(0, change + 1), np.append(change, len(y) - 1)
+    level = y[begin]
+    tops = [(int(begin[k] + end[k]) // 2) for k in range(1, len(level) - 1) if level[k - 1] < level[k] > level[k + 1]]
+    before, after = _walls(y), len(y) - 1 - _walls(y[::-1])[::-1]
+    peaks = []
+    for i in tops:
+        a, b = max(int(before[i]), 0), min(int(after[i]), len(y) - 1)
+        low = i - int(np.argmin(y[a : i + 1][::-1]))
+        high = i + int(np.argmin(y[i : b + 1]))
+        peaks.append((i, float(y[i] - max(y[low], y[high])), low, high))
+    best = max((p[1] for p in peaks), default=0.0)
+    kept = [p for p in peaks if p[1] >= fraction * best]
+    return [(i, p, max([a, *(o[3] for o in kept if o[3] < i)]), min([b, *(o[2] for o in kept if o[2] > i)])) for i, p, a, b in kept]
+
+
 def find_peaks(h: DataFrame, *, volume: str, i: str, y: str, fraction: float = 0.1) -> DataFrame:
     """(volume, i, y, prominence, left, right): local maxima (the middle of a plateau) of at least `fraction` of the greatest prominence, with bounds shared out between neighbours.
 
-    h has a few thousand points a volume at most. Prominence: height above the higher of the lowest points on the way to
-    a higher point on either side.
+    h has a few thousand points a volume at most, so a volume is one pass in one task. Prominence: height above the
+    higher of the lowest points on the way to a higher point on either side.
     """
-    v = h.select(volume, F.col(i).alias("i"), F.col(y).alias("y"))
-    w = Window.partitionBy(volume).orderBy("i")
-    flat = v.withColumn("_new", F.when(F.col("y") == F.lag("y").over(w), 0).otherwise(1)).withColumn("_run", F.sum("_new").over(w))
-    runs = flat.groupBy(volume, "_run").agg(F.min("i").alias("a"), F.max("i").alias("b"), F.first("y").alias("y"))
-    r = Window.partitionBy(volume).orderBy("_run")
-    tops = runs.withColumn("_p", F.lag("y").over(r)).withColumn("_n", F.lead("y").over(r)).filter("_p < y AND _n < y").select(volume, F.expr("(a + b) div 2").alias("i"), "y")
-    higher = v.select(volume, F.col("i").alias("j"), F.col("y").alias("h"))
-    walls = tops.join(higher, volume).groupBy(volume, "i", "y").agg(
-        F.max(F.when((F.col("j") < F.col("i")) & (F.col("h") > F.col("y")), F.col("j"))).alias("wl"), F.min(F.when((F.col("j") > F.col("i")) & (F.col("h") > F.col("y")), F.col("j"))).alias("wr"))
-    inside = (F.col("j") >= F.coalesce("wl", F.lit(-(1 << 60)))) & (F.col("j") <= F.coalesce("wr", F.lit(1 << 60)))
-    side = lambda left: F.when(inside & ((F.col("j") <= F.col("i")) if left else (F.col("j") >= F.col("i"))), F.struct("h", F.col("j") * (-1 if left else 1)))
-    based = walls.join(higher, volume).groupBy(volume, "i", "y").agg(F.min(side(True)).alias("lb"), F.min(side(False)).alias("rb"))
-    based = based.select(volume, "i", "y", (F.col("y") - F.greatest("lb.h", "rb.h")).alias("prominence"), (-F.col("lb.col2")).alias("lb"), F.col("rb.col2").alias("rb"))
-    kept = based.withColumn("_best", F.max("prominence").over(Window.partitionBy(volume))).filter(F.col("prominence") >= fraction * F.col("_best")).drop("_best")
-    others = kept.select(volume, F.col("lb").alias("_ol"), F.col("rb").alias("_or"))
-    bounds = kept.join(others, volume).groupBy(volume, "i", "y", "prominence", "lb", "rb").agg(F.max(F.when(F.col("_or") < F.col("i"), F.col("_or"))).alias("_l"), F.min(F.when(F.col("_ol") > F.col("i"), F.col("_ol"))).alias("_r"))
-    return bounds.select(volume, "i", "y", "prominence", F.greatest("lb", "_l").alias("left"), F.least("rb", "_r").alias("right"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(i)
+        at, height = pdf[i].to_numpy(np.int64), pdf[y].to_numpy(float)
+        rows = [(pdf[volume].iloc[0], int(at[k]), float(height[k]), p, int(at[a]), int(at[b])) for k, p, a, b in _peaks_of(height, fraction)]
+        return pd.DataFrame(rows, columns=[volume, "i", "y", "prominence", "left", "right"])
+
+    kind = h.schema[volume].dataType.simpleString()
+    return h.select(volume, i, y).groupBy(volume).applyInPandas(run, f"{volume} {kind}, i long, y double, prominence double, left long, right long")
 
 
 def select_peak(peaks: DataFrame, h: DataFrame, *, volume: str, i: str, y: str, strategy: str = "most") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pairvox.functions import ids, pixels
 from pairvox.operators import dose, filters, geometry, joins, metrics, normalize, ranktests, splits, stats
+from pairvox.operators.spread import shared_dir
 from pairvox.plans.adapters import CASES, DENSE, PX, ROI, cases, dense_slices, pixel_rows, roi, slices, table
 from pairvox.sources import tables
 
@@ -27,6 +28,10 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def r9(c: str):
+    return F.round(c, 9).alias(c)
+
+
 def r6(c: str, name: str | None = None):
     return F.round(c, 6).alias(name or c)
 
@@ -34,10 +39,37 @@ def r6(c: str, name: str | None = None):
 # Ids and names
 
 
-@query(f"""WITH {CASES} SELECT c_custkey, regexp_extract(case_id, '1(AB|HN|TH)([A-D])(\\d{{3}})|1(B|P)([A-C])(\\d{{3}})', 0) AS token, split_part(case_id, '_', 1) AS body,
- substr(case_id, length(case_id) - 3, 1) AS center, CAST(CASE WHEN split_part(case_id, '_', 1) IN ('B', 'P') THEN 2023 ELSE 2025 END AS INT) AS year FROM cases""")
+#: Case ids with and without prefix and region code, by how they are put together; every tenth is no id at all.
+ODD = f"""{CASES}, parts AS (SELECT c_custkey, c_custkey % 4 AS k, c_custkey % 10 = 7 AS bad, split_part(case_id, '_', 1) AS b, substr(case_id, length(case_id) - 3, 1) AS letter, right(case_id, 3) AS num FROM cases),
+ odd AS (SELECT c_custkey, bad, letter AS center, '1' || CASE WHEN k IN (0, 2) THEN b ELSE '' END || letter || num AS token, CASE WHEN k IN (0, 2) OR k = 1 AND b NOT IN ('B', 'P') THEN b ELSE 'UNK' END AS body,
+  CAST(CASE WHEN k IN (0, 2) AND b IN ('B', 'P') THEN 2023 ELSE 2025 END AS INT) AS year, CASE WHEN k IN (0, 1) THEN b || '_' ELSE '' END AS prefix FROM parts)"""
+
+
+def _odd_cases(spark, d) -> DataFrame:
+    k, case = F.col("c_custkey") % 4, F.col("case_id")
+    token = F.when(k.isin(0, 2), F.substring_index(case, "_", -1)).otherwise(F.concat(F.lit("1"), F.right(case, F.lit(4))))
+    odd = F.when(F.col("c_custkey") % 10 == 7, "none").otherwise(F.concat(F.when(k.isin(0, 1), F.concat(F.substring_index(case, "_", 1), F.lit("_"))).otherwise(""), token))
+    return cases(spark, d).select("c_custkey", odd.alias("odd_id"))
+
+
+@query(f"""WITH {ODD} SELECT c_custkey, CASE WHEN NOT bad THEN token END AS token, CASE WHEN NOT bad THEN body END AS body, CASE WHEN NOT bad THEN center END AS center, CASE WHEN NOT bad THEN year END AS year FROM odd""")
 def parse_ids(spark, d):
-    return cases(spark, d).select("c_custkey", ids.parse_case_id(F.col("case_id")).alias("s")).select("c_custkey", "s.token", "s.body", "s.center", "s.year")
+    return _odd_cases(spark, d).select("c_custkey", ids.parse_case_id(F.col("odd_id")).alias("s")).select("c_custkey", "s.token", "s.body", "s.center", "s.year")
+
+
+@query(f"""WITH {ODD} SELECT token AS patient_token, prefix || token AS case_id, body, center, CAST(year AS VARCHAR) AS year, body || '_' || center AS label, '/data/cases/' || prefix || token AS example_path FROM odd WHERE NOT bad""")
+def manifest(spark, d):
+    return splits.manifest(_odd_cases(spark, d), case="odd_id", root="/data/cases")
+
+
+@query(f"""WITH {CASES} SELECT c_custkey, case_id AS folder, case_id || '_MR_cp256.nii.gz' AS file, case_id || '/MR/' || case_id || '_MR_cp256.nii.gz' AS path, case_id || '/new_masks/' || case_id || '_mask_from_CT_treshold.nii.gz' AS mask_path FROM cases""")
+def derived_paths(spark, d):
+    return cases(spark, d).select("c_custkey", ids.derive_paths(F.concat(F.lit("/data/x/"), F.col("case_id"))).alias("p")).select("c_custkey", "p.*")
+
+
+@query("""SELECT p_brand, CASE WHEN bool_and(contains(p_type, 'A')) THEN 'A' END AS family FROM part GROUP BY 1""")
+def model_family(spark, d):
+    return table(spark, d, "part").groupBy("p_brand").agg(ids.family(F.col("p_type"), "A").alias("family"))
 
 
 @query(f"""WITH {CASES} SELECT c_custkey, case_id AS patient, c_custkey % 40 AS slice, case_id AS volume, CAST(c_custkey % 40 AS VARCHAR) AS slice_text, split_part(case_id, '_', 1) AS region,
@@ -76,18 +108,17 @@ def roi_roles(spark, d):
 
 
 @query(f"""WITH {CASES} SELECT c_custkey, map {{'AB': 'Abdomen', 'HN': 'Head-Neck', 'TH': 'Thorax', 'B': 'Brain', 'P': 'Pelvis'}}[split_part(case_id, '_', 1)] AS region,
- 'model-' || lower(split_part(case_id, '_', 1)) AS model FROM cases WHERE split_part(case_id, '_', 1) <> 'P'""")
+ CASE WHEN split_part(case_id, '_', 1) = 'P' THEN NULL ELSE CASE WHEN c_acctbal > 0 THEN 'one' ELSE 'two' END || '-' || lower(split_part(case_id, '_', 1)) END AS model FROM cases""")
 def model_lookup(spark, d):
-    known = spark.createDataFrame([(r, f"model-{r.lower()}") for r in ids.REGION_NAMES if r != "P"], "prefix string, model string")
-    found = cases(spark, d).withColumn("prefix", ids.region_prefix(F.col("case_id"))).join(F.broadcast(known), "prefix")
-    return found.select("c_custkey", ids.region_label(F.col("prefix")).alias("region"), "model")
+    models = {t: {r: f"{t}-{r.lower()}" for r in ids.REGION_NAMES if r != "P"} for t in ("one", "two")}
+    c = cases(spark, d).withColumn("prefix", ids.region_prefix(F.col("case_id")))
+    return c.select("c_custkey", ids.region_label(F.col("prefix")).alias("region"), ids.model_lookup(F.when(F.col("c_acctbal") > 0, "one").otherwise("two"), F.col("prefix"), models).alias("model"))
 
 
 @query("""SELECT quality, CAST(CASE quality WHEN 0 THEN 7 WHEN 1 THEN 0 ELSE quality END AS INT) AS recoded, count(*) AS n FROM labels GROUP BY 1, 2""")
 def recode_labels(spark, d):
-    mapping = spark.createDataFrame([(0, 7), (1, 0)], "quality int, to int")
-    out = table(spark, d, "labels").join(F.broadcast(mapping), "quality", "left")
-    return out.select("quality", F.coalesce("to", "quality").alias("recoded")).groupBy("quality", "recoded").agg(F.count("*").alias("n"))
+    quality = F.col("quality").cast("int")
+    return table(spark, d, "labels").select("quality", ids.recode(quality, {0: 7, 1: 0}).alias("recoded")).groupBy("quality", "recoded").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT page_id, array_to_string(list_sort(list_distinct(list_filter(string_split_regex(regexp_replace(url, '[^A-Za-z0-9]+', ', ', 'g'), '[,\\s]+'), lambda x: x <> ''))), '|') AS ids,
@@ -104,8 +135,7 @@ def assign_case_numbers(spark, d):
 @query(f"""WITH {CASES} SELECT c_custkey, case_id FROM cases WHERE case_id IN ('AB_1ABA005', 'TH_1THA012') OR split_part(case_id, '_', 2) IN ('1ABB010', '1PC004', '1BB008')""")
 def patient_match(spark, d):
     wanted = spark.createDataFrame([(x,) for x in ("AB_1ABA005", "TH_1THA012", "1ABB010", "1PC004", "1BB008")], "wanted string")
-    keys = cases(spark, d).select("c_custkey", "case_id", F.explode(F.array("case_id", F.substring_index("case_id", "_", -1))).alias("wanted"))
-    return keys.join(F.broadcast(wanted), "wanted", "left_semi").select("c_custkey", "case_id").distinct()
+    return joins.patient_match(cases(spark, d).select("c_custkey", "case_id"), wanted, case="case_id", id_="wanted")
 
 
 # Pixels
@@ -127,9 +157,14 @@ def pixel_scalars(spark, d):
 @query(f"""WITH {PX} SELECT volume_id, count(*) AS voxels FROM px WHERE (v > 0.2 OR v < -0.2) AND x > 1 GROUP BY volume_id HAVING count(*) >= 100""")
 def mask_combine_min(spark, d):
     px = pixel_rows(spark, d)
-    key = ["volume_id", "z", "y", "x"]
-    either = px.filter("v > 0.2").select(*key).union(px.filter("v < -0.2").select(*key)).distinct()
-    return either.join(px.filter("x > 1").select(*key), key, "left_semi").groupBy("volume_id").agg(F.count("*").alias("voxels")).filter("voxels >= 100")
+    found = joins.mask_or_and([px.filter("v > 0.2"), px.filter("v < -0.2")], px.filter("x > 1"), least=100)
+    return found.groupBy("volume_id").agg(F.count("*").alias("voxels"))
+
+
+@query("""SELECT event_id, CASE WHEN value < 90 THEN value END AS value FROM events""")
+def finite_rows(spark, d):
+    rows = table(spark, d, "events").select("event_id", F.when(F.col("value") < 90, F.col("value")).otherwise(F.lit(float("nan"))).alias("value"))
+    return tables.finite_only(rows, ["value"])
 
 
 @query("""SELECT event_id, CASE WHEN value < 10 THEN 0 + (value - 0) * (100 - 0) / (10.0 - 0) WHEN value < 50 THEN 100 + (value - 10) * (300.0 - 100) / (50 - 10.0) ELSE 300 + (value - 50) * (400 - 300) / (100.0 - 50) END AS mapped FROM events""")
@@ -190,6 +225,11 @@ def manifest_join(spark, d):
     return joins.members(table(spark, d, "orders").select("o_orderkey", "o_custkey"), manifest, "o_custkey").select("o_orderkey", "c_mktsegment")
 
 
+@query("""WITH b AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS i FROM supplier) SELECT p_partkey, s_suppkey FROM part JOIN b ON CAST('0x' || left(md5('42:' || p_partkey), 8) AS BIGINT) % (SELECT count(*) FROM supplier) = b.i""")
+def unpaired_random(spark, d):
+    return joins.random_pairs(table(spark, d, "part").select("p_partkey"), table(spark, d, "supplier").select("s_suppkey"), "p_partkey", "s_suppkey")
+
+
 @query("""WITH f AS (SELECT o_custkey, max(o_totalprice) AS v FROM orders WHERE o_orderstatus = 'P' GROUP BY 1), g AS (SELECT o_custkey, max(o_totalprice) AS v FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)
 SELECT c_custkey, coalesce(f.v, g.v) AS price FROM customer LEFT JOIN f ON f.o_custkey = c_custkey LEFT JOIN g ON g.o_custkey = c_custkey""")
 def token_fallback(spark, d):
@@ -197,6 +237,25 @@ def token_fallback(spark, d):
     return joins.fallback(table(spark, d, "customer").select("c_custkey"), [top("P"), top("F")], "c_custkey", "price")
 
 
+FILES = f"""{CASES}, files AS (SELECT split_part(case_id, '_', 2) AS token, split_part(case_id, '_', 2) || '_' || c_nationkey_ || '_MR_nyul.nii.gz' AS name FROM (SELECT *, c_custkey % 7 AS c_nationkey_ FROM cases) WHERE c_custkey % 3 <> 0)"""
+
+
+def _token_files(spark, d) -> tuple[DataFrame, DataFrame]:
+    c = cases(spark, d)
+    name = F.concat(F.substring_index("case_id", "_", -1), F.lit("_"), (F.col("c_custkey") % 7).cast("string"), F.lit("_MR_nyul.nii.gz"))
+    return joins.token_matches(c.select("case_id").distinct(), c.filter("c_custkey % 3 <> 0").select(name.alias("name")), case="case_id", name="name")
+
+
+@query(f"WITH {FILES} SELECT case_id, token, min(name) AS name FROM (SELECT DISTINCT case_id FROM cases) c JOIN files ON token = split_part(case_id, '_', 2) GROUP BY 1, 2")
+def token_files(spark, d):
+    return _token_files(spark, d)[0]
+
+
+@query(f"WITH {FILES} SELECT DISTINCT case_id, split_part(case_id, '_', 2) AS token FROM cases WHERE split_part(case_id, '_', 2) NOT IN (SELECT token FROM files)")
+def token_files_missing(spark, d):
+    return _token_files(spark, d)[1]
+
+
 @query(f"""WITH {ROI}, s AS (SELECT status, name, avg(dose) AS mean, max(dose) AS top FROM roi GROUP BY 1, 2)
 SELECT r.name, round(r.mean, 6) AS mean_real, round(f.mean, 6) AS mean_fake, round(100 * (f.mean - r.mean) / r.mean, 6) AS pct FROM s r JOIN s f ON r.name = f.name AND r.status = 'F' AND f.status = 'O' WHERE f.mean >= 8 AND f.top >= 8""")
 def dose_join(spark, d):
@@ -219,17 +278,44 @@ def complete_pairs(spark, d):
 
 @query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_extendedprice BETWEEN 0 AND 100000 THEN least(CAST(floor(l_extendedprice / 2000.0) AS BIGINT), 49) END AS bin, CASE WHEN l_quantity < 10 THEN 'low' WHEN l_quantity < 30 THEN 'mid' ELSE 'high' END AS segment FROM lineitem""")
 def segment_lookup(spark, d):
-    segments = spark.createDataFrame([(-1e300, 10.0, "low"), (10.0, 30.0, "mid"), (30.0, 1e300, "high")], "lo double, hi double, segment string")
-    out = joins.segment_join(table(spark, d, "lineitem"), segments, "l_quantity")
+    out = joins.segment_join(table(spark, d, "lineitem"), [(-1e300, 10.0, "low"), (10.0, 30.0, "mid"), (30.0, 1e300, "high")], "l_quantity")
     return out.select("l_orderkey", "l_linenumber", joins.uniform_bin(F.col("l_extendedprice"), 0.0, 100000.0, 50).alias("bin"), "segment")
 
 
-@query("""WITH m AS (SELECT o_custkey, o_orderstatus AS kind, avg(o_totalprice) AS a, count(*) AS n FROM orders GROUP BY 1, 2)
-SELECT coalesce(f.o_custkey, o.o_custkey) AS o_custkey, CASE WHEN f.n IS NULL OR o.n IS NULL THEN 'MISS' WHEN abs(f.n - o.n) > 0.001 THEN 'MISM:n' WHEN abs(f.a - o.a) > 50000 THEN 'OK' ELSE 'OK' END AS status
+@query("""WITH m AS (SELECT o_custkey, o_orderstatus AS kind, avg(o_totalprice) AS a, count(*) AS n, [min(o_totalprice), max(o_totalprice)] AS ends FROM orders GROUP BY 1, 2)
+SELECT coalesce(f.o_custkey, o.o_custkey) AS o_custkey, CASE WHEN f.n IS NULL OR o.n IS NULL THEN 'MISS' WHEN f.n <> o.n THEN 'MISM:n' WHEN abs(f.a - o.a) > 50000 THEN 'MISM:a' WHEN abs(f.ends[1] - o.ends[1]) > 60000 OR abs(f.ends[2] - o.ends[2]) > 60000 THEN 'MISM:ends' ELSE 'OK' END AS status
 FROM (SELECT * FROM m WHERE kind = 'F') f FULL JOIN (SELECT * FROM m WHERE kind = 'O') o ON f.o_custkey = o.o_custkey""")
 def grid_check(spark, d):
-    meta = table(spark, d, "orders").groupBy("o_custkey", "o_orderstatus").agg(F.count("*").alias("n"))
-    return joins.grid_check(meta, case="o_custkey", kind="o_orderstatus", pair=("F", "O"), fields=["n"])
+    price = F.col("o_totalprice")
+    meta = table(spark, d, "orders").groupBy("o_custkey", "o_orderstatus").agg(F.count("*").alias("n"), F.avg(price).alias("a"), F.array(F.min(price), F.max(price)).alias("ends"))
+    return joins.grid_check(meta, case="o_custkey", kind="o_orderstatus", pair=("F", "O"), fields={"n": 0.0, "a": 50000.0, "ends": 60000.0})
+
+
+@query("SELECT s_suppkey, ['OK', 'OK', 'MISM:shape', 'MISM:spacing', 'MISM:orientation', 'MISS', 'MISM:orientation'][CAST(s_suppkey % 7 + 1 AS INT)] AS status FROM supplier")
+def reference_grid(spark, d):
+    """Grids made of a supplier's numbers, and references that agree, are mirrored, or differ in one thing."""
+    k, one = F.col("s_suppkey") % 7, F.lit(1.0)
+    c, sn = F.cos("s_acctbal"), F.sin("s_acctbal")
+    grid = table(spark, d, "supplier").select(
+        "s_suppkey", F.array(F.lit(64), F.lit(32), (F.col("s_suppkey") % 50).cast("int")).alias("size"), F.array(F.lit(0.5), F.lit(1.5), F.lit(3.0)).alias("spacing"), F.array(F.col("s_acctbal"), F.lit(-7.5), F.lit(2.0)).alias("origin"),
+        F.array(c, sn, F.lit(0.0), -sn, c, F.lit(0.0), F.lit(0.0), F.lit(0.0), one).alias("direction"),
+    )
+    turn = F.when(k == 1, -1.0).otherwise(1.0)
+    get = lambda a, i: F.get(a, F.lit(i))
+    shift = F.when(k == 4, 5.0).otherwise(0.0) + F.abs(F.get("origin", F.lit(0))) * F.when(k == 4, 0.1).otherwise(0.001)
+    tilt = F.when(k == 6, -1.0).otherwise(1.0)
+    row = lambda r: F.array(*((turn if r < 2 else one) * tilt * get("direction", 3 * col + r) * get("spacing", col) for col in range(3)), (turn if r < 2 else one) * (get("origin", r) + (shift if r == 0 else F.lit(0.0))))
+    reference = grid.filter(k != 5).select(
+        "s_suppkey", F.when(k == 2, F.array(F.lit(1), F.lit(1), F.lit(1))).otherwise(F.col("size")).alias("shape"), F.when(k == 3, F.array(F.lit(0.6), F.lit(1.5), F.lit(3.0))).otherwise(F.col("spacing")).alias("spacing"),
+        F.array(row(0), row(1), row(2), F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0), one)).alias("affine"),
+    )
+    return joins.reference_check(grid, reference, case="s_suppkey")
+
+
+@query("""SELECT user_id, event_type FROM (SELECT DISTINCT user_id, event_type FROM events WHERE value < 50) WHERE (user_id, event_type) NOT IN (SELECT (user_id, event_type) FROM events WHERE value > 80)""")
+def missing_requests(spark, d):
+    e = table(spark, d, "events")
+    return joins.missing_pairs(e.filter("value < 50").select("user_id", "event_type").distinct(), e.filter("value > 80"), ["user_id", "event_type"])
 
 
 @query("""SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY o_custkey HAVING count(DISTINCT o_orderstatus) = 2)""")
@@ -563,6 +649,23 @@ def density(spark, d):
     return stats.density(h, group="g", width=2000.0, remove_mode=True).select("g", "bin", F.round("density", 9).alias("density"))
 
 
+@query("WITH px AS (SELECT vec_id // 16 AS volume_id, vec_id % 16 AS z, unnest(embedding)::DOUBLE AS v FROM embeddings), g AS (SELECT * FROM px WHERE volume_id % 3 = 0 AND v > 0.1) SELECT min(v) AS min_value, max(v) AS max_value FROM g")
+def global_min_max_masked(spark, d):
+    return _masked_range(spark, d)[0]
+
+
+@query("SELECT DISTINCT vec_id // 16 AS volume_id, CASE vec_id // 16 % 3 WHEN 1 THEN 'SHAPE' ELSE 'EMPTY' END AS reason FROM embeddings WHERE vec_id // 16 % 3 > 0")
+def min_max_skipped(spark, d):
+    return _masked_range(spark, d)[1]
+
+
+def _masked_range(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Masks of pixels over 0.1; every third volume's is of another shape, every third one's is empty."""
+    image, k = dense_slices(spark, d), F.col("volume_id") % 3
+    mask = image.withColumn("px", F.transform("px", lambda v: ((v > 0.1) & (k != 2)).cast("double"))).withColumn("width", F.when(k == 1, 4).otherwise(F.col("width"))).withColumn("height", F.when(k == 1, 16).otherwise(F.col("height")))
+    return stats.masked_min_max(image, mask)
+
+
 @query("""WITH n AS (SELECT l_suppkey, count(*) AS n, count(*) FILTER (l_discount <= 0) AS z FROM lineitem GROUP BY 1) SELECT round(sum(CAST(z AS DOUBLE)), 4) AS zeros, round(sum(CAST(n - z AS DOUBLE)), 4) AS tissue FROM n""")
 def zero_share(spark, d):
     cdf = stats.cdf_table(table(spark, d, "lineitem"), volume="l_suppkey", v="l_discount", lo=0.0, hi=0.1, n=11)
@@ -624,10 +727,23 @@ def kde_fixed_bw(spark, d):
     return _kde(spark, d).withColumn("pdf", F.round("pdf", 9))
 
 
-@query(f"""WITH {LEVELS}, w AS (SELECT l_suppkey, i, round(pdf, 9) AS y FROM k), n AS (SELECT *, lag(y) OVER q AS p, lead(y) OVER q AS n FROM w WINDOW q AS (PARTITION BY l_suppkey ORDER BY i)), t AS (SELECT l_suppkey, i, y FROM n WHERE p < y AND n < y),
- wall AS (SELECT t.*, max(w.i) FILTER (w.i < t.i AND w.y > t.y) AS wl, min(w.i) FILTER (w.i > t.i AND w.y > t.y) AS wr FROM t JOIN w USING (l_suppkey) GROUP BY t.l_suppkey, t.i, t.y),
- base AS (SELECT a.l_suppkey, a.i, a.y, a.y - greatest(min(w.y) FILTER (w.i <= a.i AND w.i >= coalesce(wl, -1)), min(w.y) FILTER (w.i >= a.i AND w.i <= coalesce(wr, 1000))) AS prominence FROM wall a JOIN w USING (l_suppkey) GROUP BY 1, 2, 3)
-SELECT l_suppkey, i, round(prominence, 9) AS prominence FROM (SELECT *, max(prominence) OVER (PARTITION BY l_suppkey) AS best FROM base) WHERE prominence >= 0.1 * best""".replace("FROM t JOIN w USING (l_suppkey)", "FROM t JOIN w ON t.l_suppkey = w.l_suppkey").replace("SELECT t.*, max", "SELECT t.l_suppkey, t.i, t.y, max").replace("FROM wall a JOIN w USING (l_suppkey) GROUP", "FROM wall a JOIN w ON a.l_suppkey = w.l_suppkey GROUP"))
+def _peaks_sql(curve: str, key: str) -> str:
+    """Expressions from a curve (key, i, y): kept (key, i, y, prominence, lb, rb) and bounded (with l and r)."""
+    keys = [k.strip() for k in key.split(",")]
+    same = lambda a, b: " AND ".join(f"{a}.{k} = {b}.{k}" for k in keys)
+    of = lambda a: ", ".join(f"{a}.{k}" for k in keys)
+    low, high = "FILTER (w.i <= a.i AND w.i >= coalesce(wl, -1))", "FILTER (w.i >= a.i AND w.i <= coalesce(wr, 100000))"
+    return f"""nb AS (SELECT *, lag(y) OVER q AS p, lead(y) OVER q AS n FROM {curve} WINDOW q AS (PARTITION BY {key} ORDER BY i)), tops AS (SELECT {key}, i, y FROM nb WHERE p < y AND n < y),
+ wall AS (SELECT {of('t')}, t.i, t.y, max(w.i) FILTER (w.i < t.i AND w.y > t.y) AS wl, min(w.i) FILTER (w.i > t.i AND w.y > t.y) AS wr FROM tops t JOIN {curve} w ON {same('t', 'w')} GROUP BY {of('t')}, t.i, t.y),
+ base AS (SELECT {of('a')}, a.i, a.y, a.y - greatest(min(w.y) {low}, min(w.y) {high}) AS prominence, arg_min(w.i, (w.y, -w.i)) {low} AS lb, arg_min(w.i, (w.y, w.i)) {high} AS rb FROM wall a JOIN {curve} w ON {same('a', 'w')} GROUP BY {of('a')}, a.i, a.y),
+ kept AS (SELECT * EXCLUDE (best) FROM (SELECT *, max(prominence) OVER (PARTITION BY {key}) AS best FROM base) WHERE prominence >= 0.1 * best),
+ bounded AS (SELECT {of('a')}, a.i, a.y, greatest(a.lb, coalesce(max(o.rb) FILTER (o.rb < a.i), a.lb)) AS l, least(a.rb, coalesce(min(o.lb) FILTER (o.lb > a.i), a.rb)) AS r FROM kept a JOIN kept o ON {same('a', 'o')} GROUP BY {of('a')}, a.i, a.y, a.lb, a.rb)"""
+
+
+CURVE = f"{LEVELS}, w AS (SELECT l_suppkey, i, round(pdf, 9) AS y FROM k)"
+
+
+@query(f"WITH {CURVE}, {_peaks_sql('w', 'l_suppkey')} SELECT l_suppkey, i, round(prominence, 9) AS prominence FROM kept")
 def peaks(spark, d):
     return _peaks(spark, d).select("l_suppkey", "i", F.round("prominence", 9).alias("prominence"))
 
@@ -636,14 +752,35 @@ def _peaks(spark, d) -> DataFrame:
     return stats.find_peaks(_kde(spark, d).withColumn("pdf", F.round("pdf", 9)), volume="l_suppkey", i="i", y="pdf")
 
 
-@query()
+@query(f"""WITH {CURVE}, {_peaks_sql('w', 'l_suppkey')}, area AS (SELECT b.l_suppkey, b.i, b.y, l, r, sum(w.y) AS area FROM bounded b JOIN w ON b.l_suppkey = w.l_suppkey AND w.i BETWEEN l AND r GROUP BY 1, 2, 3, 4, 5),
+ s AS (SELECT *, unnest(['most', 'highest', 'left', 'right']) AS strategy FROM area), o AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey, strategy ORDER BY CASE strategy WHEN 'most' THEN -area WHEN 'highest' THEN -y WHEN 'left' THEN i ELSE -i END, i) AS k FROM s)
+SELECT l_suppkey, strategy, i, l AS "left", r AS "right" FROM o WHERE k = 1""")
 def peak_pick(spark, d):
-    """Peaks by all four strategies; held against brute force in the tests."""
-    found, h = _peaks(spark, d), _kde(spark, d)
+    """Peaks by all four strategies."""
+    found, h = _peaks(spark, d), _kde(spark, d).withColumn("pdf", F.round("pdf", 9))
     out = [stats.select_peak(found, h, volume="l_suppkey", i="i", y="pdf", strategy=s).select("l_suppkey", F.lit(s).alias("strategy"), "i", "left", "right") for s in ("most", "highest", "left", "right")]
     return out[0].union(out[1]).union(out[2]).union(out[3])
 
 
+NPEAKS = f"""{DENSE}, lic AS (SELECT a.volume_id, a.z, a.y, a.x, max(b.v) - min(b.v) AS lic FROM dpx a JOIN dpx b ON {_near('a', 'b')} GROUP BY 1, 2, 3, 4),
+ ins AS (SELECT d.volume_id, m.mask, d.v, l.lic FROM dpx d JOIN lic l USING (volume_id, z, y, x), (VALUES ('fat'), ('liver')) m(mask) WHERE CASE m.mask WHEN 'fat' THEN d.v > 0 ELSE d.x > 2 END),
+ th AS (SELECT volume_id, mask, quantile_cont(lic, 0.5) AS threshold FROM ins GROUP BY 1, 2), fine AS (SELECT ins.volume_id, ins.mask, v, threshold FROM ins JOIN th ON ins.volume_id = th.volume_id AND ins.mask = th.mask WHERE lic <= threshold),
+ ext AS (SELECT volume_id, mask, any_value(threshold) AS threshold, count(*) AS voxels, min(v) AS lo, max(v) AS hi FROM fine GROUP BY 1, 2),
+ lev AS (SELECT f.volume_id, f.mask, any_value(lo) AS lo, any_value(hi) AS hi, any_value(voxels) AS voxels, coalesce(least(CAST(ceil((v - lo) / nullif((hi - lo) / 63, 0)) AS BIGINT), 63), 0) AS level, count(*) AS weight FROM fine f JOIN ext e ON f.volume_id = e.volume_id AND f.mask = e.mask GROUP BY f.volume_id, f.mask, level),
+ w AS (SELECT volume_id, mask, i, round(sum(weight / (voxels * 0.02 * sqrt(2 * pi())) * exp(-0.5 * pow((-0.6 + i * (1.2 / 200) - (lo + level * (hi - lo) / 63)) / 0.02, 2))), 12) AS y FROM lev, range(201) r(i) GROUP BY 1, 2, 3)"""
+
+
+@query(f"""WITH {NPEAKS}, {_peaks_sql('w', 'volume_id, mask')}, pick AS (SELECT volume_id, mask, CASE mask WHEN 'fat' THEN max(i) ELSE arg_max(i, (y, -i)) END AS i FROM kept GROUP BY 1, 2)
+SELECT e.volume_id, e.mask, round(threshold, 9) AS threshold, voxels, round(-0.6 + i * (1.2 / 200), 9) AS peak FROM ext e LEFT JOIN pick p ON p.volume_id = e.volume_id AND p.mask = e.mask""")
+def npeaks_find(spark, d):
+    """The peak that each mask's strategy picks, from pixels on: local change, homogeneous pixels, density, peaks."""
+    image = dense_slices(spark, d)
+    mask = lambda name, keep: image.select("volume_id", F.lit(name).alias("mask"), "z", F.transform("px", keep).alias("px"))
+    masks = mask("fat", lambda v: (v > 0).cast("double")).union(mask("liver", lambda v, i: (i % 8 > 2).cast("double")))
+    found = stats.npeaks_find(image, masks, strategies={"fat": "right", "liver": "highest"}, radius=1.0, n_levels=64, grid=201, bandwidth=0.02, span=(-0.6, 0.6))
+    return found.select("volume_id", "mask", r9("threshold"), "voxels", r9("peak"))
+
+
 @query()
 def kde_bandwidths(spark, d):
     """Bandwidths by the rule of thumb and by the fixed point."""
@@ -697,9 +834,20 @@ def split_intensity(spark, d):
 
 @query("""WITH s AS (SELECT l_suppkey, median(l_quantity) AS m FROM lineitem GROUP BY 1) SELECT l_suppkey, CASE WHEN l_quantity <= m THEN 'csf' ELSE 'brain' END AS tissue, count(*) AS voxels FROM lineitem JOIN s USING (l_suppkey) GROUP BY 1, 2""")
 def tissue_masks(spark, d):
-    items = table(spark, d, "lineitem").select("l_suppkey", "l_quantity")
-    at = items.groupBy("l_suppkey").agg(F.median("l_quantity").alias("split"))
-    return normalize.tissue_masks(items, at, volume="l_suppkey", v="l_quantity", contrast="t1").groupBy("l_suppkey", "tissue").agg(F.count("*").alias("voxels"))
+    items, at = _tissue(spark, d)
+    return normalize.tissue_masks(items, at, volume="l_suppkey", v="l_quantity").groupBy("l_suppkey", "tissue").agg(F.count("*").alias("voxels"))
+
+
+def _tissue(spark, d) -> tuple[DataFrame, DataFrame]:
+    items = table(spark, d, "lineitem").select("l_suppkey", "l_quantity", (F.col("l_discount") > 0.02).alias("brain"), (F.col("l_discount") > 0.05).alias("eroded"))
+    return items, items.groupBy("l_suppkey").agg(F.median("l_quantity").alias("split"))
+
+
+@query("""WITH s AS (SELECT l_suppkey, median(l_quantity) AS m FROM lineitem GROUP BY 1), t AS (SELECT l_suppkey, CASE WHEN l_quantity >= m AND l_discount > 0.05 THEN 'csf' WHEN l_quantity < m AND l_discount > 0.02 THEN 'brain' END AS tissue FROM lineitem JOIN s USING (l_suppkey))
+SELECT l_suppkey, tissue, count(*) AS voxels FROM t WHERE tissue IS NOT NULL GROUP BY 1, 2""")
+def tissue_masks_eroded(spark, d):
+    items, at = _tissue(spark, d)
+    return normalize.tissue_masks(items, at, volume="l_suppkey", v="l_quantity", contrast="T2", brain="brain", eroded="eroded").groupBy("l_suppkey", "tissue").agg(F.count("*").alias("voxels"))
 
 
 # Splits
@@ -724,6 +872,14 @@ def split_counts(spark, d):
     return splits.split_counts(_split(spark, d), groups=["c_mktsegment"], key="c_custkey")
 
 
+@query(f"""WITH {CASES}, {SPLIT}, t AS (SELECT DISTINCT split_part(case_id, '_', 2) AS token, CASE split WHEN 'train' THEN 'fit' ELSE 'apply' END AS stage FROM cases JOIN sp USING (c_custkey))
+SELECT c_custkey, token, stage FROM cases JOIN t ON token = split_part(case_id, '_', 2) WHERE starts_with(case_id, 'AB_')""")
+def stage_groups(spark, d):
+    c = cases(spark, d)
+    listed = c.join(_split(spark, d).select("c_custkey", "split"), "c_custkey").select(ids.extract_token(F.col("case_id")).alias("patient_token"), F.upper("split").alias("split"))
+    return splits.stage_groups(c.select("c_custkey", "case_id"), listed, case="case_id", region="AB").select("c_custkey", "token", "stage")
+
+
 @query("SELECT o_orderkey FROM orders ORDER BY md5('42:' || o_orderkey), o_orderkey LIMIT 100")
 def random_subset(spark, d):
     return splits.random_subset(table(spark, d, "orders").select("o_orderkey"), key="o_orderkey", n=100)
@@ -766,12 +922,35 @@ def volume_metrics(spark, d):
     return out.withColumns({c: F.round(c, 9) for c in ("mae_unmasked", "mse_unmasked", "mae_masked_weighted")})
 
 
-@query(f"""WITH {PX}, e AS (SELECT volume_id, z, y, x, v AS a, round(v, 1) AS b FROM px), w AS (SELECT c.volume_id, c.z, c.y, c.x, avg(n.a) AS ma, avg(n.b) AS mb, var_samp(n.a) AS va, var_samp(n.b) AS vb, covar_samp(n.a, n.b) AS cov
- FROM e c JOIN e n ON c.volume_id = n.volume_id AND c.z = n.z AND abs(c.y - n.y) <= 3 AND abs(c.x - n.x) <= 3 WHERE c.y BETWEEN 3 AND 4 AND c.x BETWEEN 3 AND 4 GROUP BY 1, 2, 3, 4)
-SELECT volume_id, z, round(avg((2 * ma * mb + 0.0001) * (2 * cov + 0.0009) / ((ma * ma + mb * mb + 0.0001) * (va + vb + 0.0009))), 6) AS ssim FROM w GROUP BY 1, 2""")
+MIRROR = "CASE WHEN {0} < 0 THEN -{0} - 1 WHEN {0} > 7 THEN 15 - {0} ELSE {0} END"
+
+
+@query(f"""WITH {PX}, e AS (SELECT volume_id, z, y, x, v AS a, round(v, 1) AS b FROM px), n AS (SELECT volume_id, z, y AS cy, x AS cx, {MIRROR.format('(y + dy)')} AS y, {MIRROR.format('(x + dx)')} AS x FROM e, range(-3, 4) r(dy), range(-3, 4) q(dx)),
+ w AS (SELECT n.volume_id, n.z, cy, cx, avg(e.a) AS ma, avg(e.b) AS mb, var_samp(e.a) AS va, var_samp(e.b) AS vb, covar_samp(e.a, e.b) AS cov FROM n JOIN e ON n.volume_id = e.volume_id AND n.z = e.z AND n.y = e.y AND n.x = e.x GROUP BY 1, 2, 3, 4),
+ s AS (SELECT w.volume_id, w.z, cy, cx, e.a, (2 * ma * mb + 0.0001) * (2 * cov + 0.0009) / ((ma * ma + mb * mb + 0.0001) * (va + vb + 0.0009)) AS s FROM w JOIN e ON w.volume_id = e.volume_id AND w.z = e.z AND cy = e.y AND cx = e.x)
+SELECT volume_id, z, round(avg(s) FILTER (cy BETWEEN 3 AND 4 AND cx BETWEEN 3 AND 4), 6) AS ssim, round(coalesce(avg(s) FILTER (a > 0.05), avg(s) FILTER (cy BETWEEN 3 AND 4 AND cx BETWEEN 3 AND 4)), 6) AS ssim_masked FROM s GROUP BY 1, 2""")
 def ssim_slices(spark, d):
-    px = pixel_rows(spark, d).select("volume_id", "z", "y", "x", F.col("v").alias("a"), F.round("v", 1).alias("b"))
-    return metrics.ssim(px).withColumn("ssim", F.round("ssim", 6))
+    s = slices(spark, d).withColumn("a", F.col("px")).withColumn("b", F.transform("px", lambda v: F.round(v, 1))).withColumn("m", F.transform("px", lambda v: (v > 0.05).cast("double")))
+    return metrics.ssim(s, mask="m").withColumn("ssim", F.round("ssim", 6)).withColumn("ssim_masked", F.round("ssim_masked", 6))
+
+
+@query(f"""WITH {DENSE}, e AS (SELECT *, round(v, 1) AS f, CASE WHEN z % 3 <> 0 AND z % 5 <> 0 THEN v > 0 END AS m FROM dpx)
+SELECT volume_id, z, round(avg(abs(v - f)), 9) AS mae_unmasked, round(coalesce(avg(abs(v - f)) FILTER (m), avg(abs(v - f))), 9) AS mae_masked, round(avg((v - f) * (v - f)), 9) AS mse_unmasked,
+ round(coalesce(avg((v - f) * (v - f)) FILTER (m), avg((v - f) * (v - f))), 9) AS mse_masked, count(*) FILTER (m) AS mask_voxels FROM e GROUP BY 1, 2""")
+def aligned_metrics(spark, d):
+    """Image, synthetic image and mask joined by slice; a third of the masks are absent, a fifth of another shape."""
+    image = dense_slices(spark, d)
+    mask = image.filter("z % 3 <> 0").withColumn("px", F.transform("px", lambda v: (v > 0).cast("double"))).withColumn("width", F.when(F.col("z") % 5 == 0, 4).otherwise(F.col("width")))
+    out = metrics.array_metrics(joins.aligned(image, mask, image.withColumn("px", F.transform("px", lambda v: F.round(v, 1)))))
+    return out.select("volume_id", "z", *(r9(c) for c in ("mae_unmasked", "mae_masked", "mse_unmasked", "mse_masked")), "mask_voxels")
+
+
+@query("""WITH v AS (SELECT vec_id // 16 AS volume_id, count(*) AS z FROM embeddings GROUP BY 1)
+SELECT volume_id // 3 AS case_id, ['CT', 'MR', 'MASK'][CAST(volume_id % 3 + 1 AS INT)] AS modality, z, CAST(8 AS BIGINT) AS y, CAST(8 AS BIGINT) AS x, 0.5::DOUBLE AS spacing_x, 0.75::DOUBLE AS spacing_y, CAST(1 + volume_id % 4 AS DOUBLE) AS spacing_z FROM v""")
+def geometry_catalog(spark, d):
+    modality = F.element_at(F.array(F.lit("CT"), F.lit("MR"), F.lit("MASK")), (F.col("volume_id") % 3 + 1).cast("int"))
+    s = dense_slices(spark, d).select(F.expr("volume_id div 3").alias("case_id"), modality.alias("modality"), "height", "width", F.lit(0.5).alias("sx"), F.lit(0.75).alias("sy"), (1 + F.col("volume_id") % 4).alias("sz"))
+    return metrics.geometry_catalog(s, case="case_id", modality="modality")
 
 
 @query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_discount IS DISTINCT FROM 0")
@@ -1033,11 +1212,9 @@ def union_runs(spark, d):
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    import tempfile
     import uuid
 
-    top = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 LAYOUT = f"WITH {CASES}, {SPLIT} SELECT split, CASE WHEN c_acctbal > 0 THEN 'A' ELSE 'B' END AS domain, count(*) AS files FROM cases JOIN sp USING (c_custkey) GROUP BY 1, 2"

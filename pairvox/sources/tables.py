@@ -93,14 +93,23 @@ def write_volume_metrics(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("experiment").parquet(path)
 
 
-def copy_subset(files: DataFrame, ids: DataFrame, *, name: str, id_: str, extensions: list[str]) -> DataFrame:
-    """Files with a known extension whose name holds a listed id; ids are cut out of the names, so the join is on equal ids."""
+def copy_subset(files: DataFrame, ids: DataFrame, *, name: str, id_: str, extensions: list[str], few: int = 2000) -> DataFrame:
+    """Files with a known extension whose name holds a listed id.
+
+    Up to `few` ids are looked for in each name in place; more are joined on equal pieces of the names, of the ids'
+    lengths, with the same result.
+    """
     fine = F.lit(False)
     for e in extensions:
         fine = fine | F.endswith(F.col(name), F.lit(e))
-    width = ids.select(F.length(id_).alias("n")).distinct()
-    grams = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - F.col("n") + 1, F.lit(1))), lambda k: F.substr(F.col(name), k, F.col("n")))))
-    return files.filter(fine).join(F.broadcast(width)).withColumn("_id", grams).join(ids.select(F.col(id_).alias("_id")).distinct(), "_id", "left_semi").drop("_id", "n").dropDuplicates()
+    files, ids = files.filter(fine), ids.select(F.col(id_).alias("_id")).filter("_id IS NOT NULL").distinct()
+    listed = [r[0] for r in ids.limit(few + 1).collect()]
+    if len(listed) <= few:
+        held = F.exists(F.array(*map(F.lit, listed)), lambda x: F.contains(F.col(name), x)) if listed else F.lit(False)
+        return files.filter(held).dropDuplicates()
+    lengths = [r[0] for r in ids.select(F.length("_id")).distinct().collect()]  # as many as there are lengths of ids
+    grams = F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - n + 1, F.lit(1))), lambda k, n=n: F.substr(F.col(name), k, F.lit(n))) for n in lengths]))
+    return files.withColumn("_id", F.explode(F.array_distinct(grams))).join(ids, "_id", "left_semi").drop("_id").dropDuplicates()
 
 
 def restructure(files: DataFrame, *, case: str, kind: str, folders: dict[str, str]) -> DataFrame:
@@ -115,8 +124,30 @@ def results_manifest(cases: DataFrame, outputs: DataFrame, *, case: str) -> tupl
     return done, cases.join(outputs, case, "left_anti")
 
 
+def _affine(raw: bytes, order: str, spacing: tuple) -> list[list[float]]:
+    """The 4 x 4 voxel-to-world matrix of a NIfTI header: its rows if given, else the quaternion, else spacings alone."""
+    by_quaternion, by_rows = struct.unpack(f"{order}2h", raw[252:256])
+    if by_rows > 0:
+        return [list(struct.unpack(f"{order}4f", raw[280 + 16 * k : 296 + 16 * k])) for k in range(3)] + [[0.0, 0.0, 0.0, 1.0]]
+    if by_quaternion > 0:
+        b, c, d, x, y, z = struct.unpack(f"{order}6f", raw[256:280])
+        a = max(0.0, 1.0 - b * b - c * c - d * d) ** 0.5
+        turn = [
+            [a * a + b * b - c * c - d * d, 2 * (b * c - a * d), 2 * (b * d + a * c)],
+            [2 * (b * c + a * d), a * a + c * c - b * b - d * d, 2 * (c * d - a * b)],
+            [2 * (b * d - a * c), 2 * (c * d + a * b), a * a + d * d - b * b - c * c],
+        ]
+        sides = (spacing[0], spacing[1], spacing[2] * (-1.0 if struct.unpack(f"{order}f", raw[76:80])[0] < 0 else 1.0))
+        return [[*(t * s for t, s in zip(row, sides, strict=True)), o] for row, o in zip(turn, (x, y, z), strict=True)] + [[0.0, 0.0, 0.0, 1.0]]
+    return [[spacing[0], 0.0, 0.0, 0.0], [0.0, spacing[1], 0.0, 0.0], [0.0, 0.0, spacing[2], 0.0], [0.0, 0.0, 0.0, 1.0]]
+
+
 def read_nifti(spark: SparkSession, path: str) -> DataFrame:
-    """(volume_id, z, height, width, px, sx, sy, sz) from .nii and .nii.gz files, one row a slice, rows in y; files of both byte orders."""
+    """(volume_id, z, height, width, px, sx, sy, sz, affine) from .nii and .nii.gz files, one row a slice, rows in y; files of both byte orders.
+
+    A file is read by one task, whole: what a task holds is one volume. The affine is as the file has it (RAS); its last
+    column is the origin, its others, by their lengths, the directions.
+    """
     kinds = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 768: "u4"}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -131,7 +162,7 @@ def read_nifti(spark: SparkSession, path: str) -> DataFrame:
                 cube = np.frombuffer(raw, f"{order}{kinds[kind]}", nx * ny * nz, start).reshape(nz, ny, nx).astype(np.float64)
                 cube = cube * slope + shift if slope not in (0.0, 1.0) or shift else cube
                 stem = name.rsplit("/", 1)[-1].removesuffix(".gz").removesuffix(".nii")
-                yield pd.DataFrame({"volume_id": stem, "z": np.arange(nz), "height": ny, "width": nx, "px": list(cube.reshape(nz, -1)), "sx": spacing[0], "sy": spacing[1], "sz": spacing[2]})
+                yield pd.DataFrame({"volume_id": stem, "z": np.arange(nz), "height": ny, "width": nx, "px": list(cube.reshape(nz, -1)), "sx": spacing[0], "sy": spacing[1], "sz": spacing[2], "affine": [_affine(raw, order, spacing)] * nz})
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.nii*").option("recursiveFileLookup", True).load(path)
-    return files.select("path", "content").mapInPandas(run, "volume_id string, z long, height int, width int, px array<double>, sx double, sy double, sz double")
+    return files.select("path", "content").mapInPandas(run, "volume_id string, z long, height int, width int, px array<double>, sx double, sy double, sz double, affine array<array<double>>")
