@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairvox.llm.common import table
+from pairvox.llm.common import frugal, table
 from pairvox.llm.repeated import runs
 
 #: Pre-tokens of a cache generation, and characters that are encoded at once: memory is bounded, results are the same.
@@ -222,7 +222,7 @@ def encode_ids(df: DataFrame, *, path: str, pattern: str, key: str = "doc_id", t
             for part in runs(pdf, "_text", RUN_CHARS):
                 yield pd.DataFrame({key: part[key].to_numpy(), "ids": cache.encode([x or "" for x in part["_text"]])})
 
-    return df.select(key, F.col(text).alias("_text")).mapInPandas(run, f"`{key}` {df.schema[key].dataType.simpleString()}, ids binary")
+    return df.select(key, F.col(text).alias("_text")).mapInPandas(frugal(run), f"`{key}` {df.schema[key].dataType.simpleString()}, ids binary")
 
 
 def decode_ids(df: DataFrame, *, path: str, pattern: str, ids: str = "ids") -> DataFrame:
@@ -235,7 +235,7 @@ def decode_ids(df: DataFrame, *, path: str, pattern: str, ids: str = "ids") -> D
             for part in runs(pdf, ids, RUN_CHARS):
                 yield part.assign(decoded=[decode(array("I", x or b"").tolist()) for x in part[ids]])
 
-    return df.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest) + ", decoded binary")
+    return df.mapInPandas(frugal(run), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest) + ", decoded binary")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

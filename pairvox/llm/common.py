@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
+import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +50,35 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_given_back = 0.0
+
+
+def give_back() -> None:
+    """Hands memory that this worker has freed back to the system, once a second at most: Spark keeps workers for later stages."""
+    global _given_back
+    if time.monotonic() - _given_back > 1:
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):
+            pass  # other C libraries decide for themselves
+        _given_back = time.monotonic()
+
+
+def frugal(run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """A function for mapInPandas that gives freed memory back after each batch and at its end."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        give_back()
+        for pdf in run(batches):
+            yield pdf
+            del pdf
+            give_back()
+
+    return wrapped
+
+
 def utf8_bytes(text) -> F.Column:
     """Bytes of a text, a null counting as empty."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
@@ -94,11 +127,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", *, few: i
     saves the last rounds and changes no result. An empty table gives an empty table.
     """
     e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).filter("u <> v").distinct()
-    e = cut(e.mapInPandas(_contract, "u long, v long"))  # links are dealt out anew before, so no task has two Python workers
+    e = cut(e.mapInPandas(frugal(_contract), "u long, v long"))  # links are dealt out anew before, so no task has two Python workers
     now, before = _sum(e), None
     while now != before and now[0]:
         if now[0] <= few:
-            e = cut(e.coalesce(1).mapInPandas(_contract, "u long, v long"))
+            e = cut(e.coalesce(1).mapInPandas(frugal(_contract), "u long, v long"))
             break
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))

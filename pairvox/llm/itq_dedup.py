@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairvox.llm.common import connected_components, table, written
+from pairvox.llm.common import connected_components, frugal, table, written
 
 #: Vectors that the rotation is fitted on, at most; steps of the fit; vectors of a block of a table's bucket; bits of a table at any size.
 FIT_ROWS, FIT_STEPS, BLOCK, WIDTH = 8192, 40, 1500, 8
@@ -90,7 +90,7 @@ def near_vectors(
 
     coded = classes.select("label", "rep", "count", "v")
     ddl = f"label {classes.schema['label'].dataType.simpleString()}, rep long, count long, v array<double>, code array<long>"
-    coded = written(coded.mapInPandas(encode, ddl), "codes")
+    coded = written(coded.mapInPandas(frugal(encode), ddl), "codes")
     bucket = F.xxhash64("label", F.size("v"), "t", "value").alias("bucket")
     met = coded.select(F.posexplode("code").alias("t", "value"), "label", "v").select(bucket)
     sizes = met.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")

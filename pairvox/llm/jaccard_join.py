@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairvox.llm.common import connected_components, table, written
+from pairvox.llm.common import connected_components, give_back, table, written
 from pairvox.llm.hashing import Substrings, sequence_hash
 from pairvox.llm.repeated import documents_with_keys, homes, key_bits, unpacked_list
 
@@ -115,6 +115,7 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 80, ke
 
 def _forest(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
     """A spanning forest of the links within each cluster of a task, or between two blocks of one."""
+    give_back()
     edges: list[tuple[int, int]] = []
     for _, own in pdf.groupby("cluster", sort=False):
         own = own.drop_duplicates("rep").sort_values("rep")
@@ -209,10 +210,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
-#: The sets as lists of shingles, pairs from an inverted index, components by reach.
+#: Words by place, shingles of neighbours, pairs from an inverted index, components by reach.
 ORACLE_SQL = r"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
-s AS (SELECT doc_id, unnest(list_distinct(list_transform(range(1, greatest(len(w) - 2, 2)), lambda i: array_to_string(w[i : i + 3], ' ')))) AS shingle FROM d WHERE len(w) > 0),
+u AS (SELECT doc_id, len(w) AS n, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM d),
+q AS (SELECT doc_id, n, i, concat_ws(' ', w, lead(w, 1) OVER o, lead(w, 2) OVER o, lead(w, 3) OVER o) AS shingle FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+s AS (SELECT DISTINCT doc_id, shingle FROM q WHERE i + 3 <= n OR n < 4 AND i = 1),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
 l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 85 * (x.n + y.n - common)),

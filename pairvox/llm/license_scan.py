@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairvox.llm.common import table
+from pairvox.llm.common import frugal, table
 from pairvox.llm.licence_texts import TEMPLATES
 
 #: Phrases whose places are counted, and their labels.
@@ -188,7 +188,7 @@ def scan_licences(docs: DataFrame, *, key: str = "doc_id", text: str = "text", p
             out.insert(0, key, pdf[key].to_numpy())
             yield out
 
-    return df_key(docs, key, text).mapInPandas(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, {SCHEMA}")
+    return df_key(docs, key, text).mapInPandas(frugal(run), f"`{key}` {docs.schema[key].dataType.simpleString()}, {SCHEMA}")
 
 
 def df_key(docs: DataFrame, key: str, text: str) -> DataFrame:

@@ -78,12 +78,12 @@ for _p, _t in PLAIN:
     _SQL_HTML = f"regexp_replace({_SQL_HTML}, '{_p}', chr(10), 'g')"
 
 ORACLE_SQL = f"""
-WITH p AS (SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS host, string_split({_SQL_HTML}, chr(10)) AS lines FROM pages),
-t AS (SELECT host, count(*) AS pages FROM p GROUP BY host),
-h AS (SELECT host, line, count(*) AS holding FROM (SELECT host, unnest(list_distinct(list_transform(lines, lambda x: trim(x)))) AS line FROM p)
-      WHERE line <> '' GROUP BY host, line),
-d AS (SELECT h.host, list(line) AS dropped FROM h JOIN t ON h.host = t.host WHERE holding >= 2 AND holding > 0.1 * pages GROUP BY h.host),
-k AS (SELECT page_id, p.host, lines, CASE WHEN dropped IS NULL THEN lines ELSE list_filter(lines, lambda x: trim(x) = '' OR NOT list_contains(dropped, trim(x))) END AS kept
-      FROM p LEFT JOIN d ON p.host = d.host)
-SELECT page_id, host, array_to_string(kept, chr(10)) AS kept_text, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(kept) AS BIGINT) AS n_dropped FROM k
+WITH p AS (SELECT page_id, host, coalesce(host, '') AS site, lines FROM (SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS host, string_split({_SQL_HTML}, chr(10)) AS lines FROM pages)),
+t AS (SELECT site, count(*) AS pages FROM p GROUP BY site),
+h AS (SELECT site, line, count(*) AS holding FROM (SELECT site, unnest(list_distinct(list_transform(lines, lambda x: trim(x)))) AS line FROM p)
+      WHERE line <> '' GROUP BY site, line),
+d AS (SELECT h.site, list(line) AS dropped FROM h JOIN t ON h.site = t.site WHERE holding >= 2 AND holding > 0.1 * pages GROUP BY h.site),
+k AS (SELECT page_id, host, lines, CASE WHEN dropped IS NULL THEN lines ELSE list_filter(lines, lambda x: trim(x) = '' OR NOT list_contains(dropped, trim(x))) END AS kept
+      FROM p LEFT JOIN d ON p.site = d.site)
+SELECT page_id, host, array_to_string(kept, chr(10)) AS kept_text, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(lines) - len(kept), 0) AS BIGINT) AS n_dropped FROM k
 """

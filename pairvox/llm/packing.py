@@ -10,10 +10,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pairvox.llm.common import table, written
+from pairvox.llm.common import frugal, table, written
 
 #: Chunks between spaces that a worker keeps with their ids; at the bound it starts anew. Text is handled in runs of so many characters.
-CACHE_CHUNKS, RUN_CHARS = 300_000, 2_000_000
+CACHE_CHUNKS, RUN_CHARS = 150_000, 1_000_000
 
 
 class ChunkedTokenizer:
@@ -121,7 +121,7 @@ def cut_pieces(docs: DataFrame, *, path: str, capacity: int, key: str = "doc_id"
                 yield pd.DataFrame(rows, columns=[key, "start", "length", "ids_crc32", "doc_tokens"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, F.col(text).alias("_text")).mapInPandas(run, f"`{key}` {kind}, start long, length long, ids_crc32 long, doc_tokens long")
+    return docs.select(key, F.col(text).alias("_text")).mapInPandas(frugal(run), f"`{key}` {kind}, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def minimum_slack(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:

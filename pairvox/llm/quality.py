@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pairvox.llm.common import table, written
+from pairvox.llm.common import frugal, table, written
 from pairvox.llm.repeated import runs
 
 #: Labelled rows of each class that the fit sees, at most; rounds of exchange; pseudo-labels of each class a view hands on in a round.
@@ -168,62 +168,51 @@ def co_train(views: list[np.ndarray], y: np.ndarray, held: np.ndarray, give: Cal
     return CoTrained(models, Logistic(penalty=1e-3).fit(_clipped(both), y[held]))
 
 
-def surest(models: list[View], taken: list[set[int]], views: list[np.ndarray], h: np.ndarray, top: int = HANDED_ON, before: list | None = None) -> list[list[tuple[float, int]]]:
-    """For each view and label, at 2 * view + label, the `top` texts it is surest of: (-confidence, hash) in order, a text once; `before` is such a list to go on from."""
-    out = []
-    for me in (0, 1):
-        p = _sigmoid(models[me].logits(views[me]))
-        for label, sure in ((0, 1 - p), (1, p)):
-            k = np.flatnonzero(sure >= CONFIDENCE)
-            best = dict(((b, a) for a, b in before[2 * me + label]) if before else ())
-            for c, i in zip((-sure[k]).tolist(), h[k].tolist(), strict=True):
-                if i not in taken[1 - me]:
-                    best[i] = min(c, best.get(i, 0.0))
-            out.append(sorted((c, i) for i, c in best.items())[:top])
-    return out
-
-
 def fit_quality(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", labelled_rows: int = LABELLED_ROWS, rounds: int = ROUNDS) -> CoTrained | None:
     """A model of a bounded sample of labelled rows and of the pseudo-labels that all unlabelled documents give.
 
     The sample has the labelled keys of each class with the least hashes, `labelled_rows` at most; a key with labels that
     differ counts as unlabelled, a repeated one once. Both views of all documents are written once, about half a
-    kilobyte each. In each round every unlabelled document is scored; each task keeps the HANDED_ON texts that each view
-    is surest of for each label, ties by the text's hash, equal texts once, and the best of all tasks' lists are handed on.
-    So what the driver sees is bounded by parameters, and no text is left out. Null texts and metadata count as empty.
+    kilobyte each. In each round every document is scored; of the unlabelled ones that a view is sure of, the HANDED_ON
+    surest texts for each label are handed on, ties by the text's hash, equal texts once. What is shuffled is an id, a
+    hash and two numbers; what the driver sees is bounded by parameters, and no text is left out. Null texts and metadata
+    count as empty.
     """
     clean = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.min(label).cast("int").alias("_y"), F.max(label).alias("_z")).filter("_y = _z").drop("_z")
     hashed = docs.select(F.col(key).alias("_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_h"), *_facts(docs, text))
-    made = _views(hashed, ["_id", "_h"])
-    views = written(made.join(clean, made["_id"] == clean["_key"], "left").drop("_key"), "views")
+    views = written(_views(hashed, ["_id", "_h"]), "views")
     pair = F.struct("_h", "_text_view", "_page_view")
     order = [F.xxhash64(F.lit(3), F.col("_id")), F.col("_id")]
-    one = lambda y: views.filter(f"_y = {y}").select("_id", "_y").distinct().orderBy(*order).limit(labelled_rows)
-    wanted = F.broadcast(one(1).union(one(0)).select(F.col("_id").alias("_key")))  # 2 * labelled_rows keys at most
+    seen = views.filter("_id IS NOT NULL").select("_id").distinct()
+    one = lambda y: clean.filter(f"_y = {y}").select(F.col("_key").alias("_id"), "_y").join(seen, "_id", "left_semi").orderBy(*order).limit(labelled_rows)
+    wanted = F.broadcast(one(1).union(one(0)).select(F.col("_id").alias("_key"), "_y"))  # 2 * labelled_rows keys at most
     held = F.pmod(F.xxhash64(F.lit(5), F.col("_id")), F.lit(10)) < 3
     got = views.join(wanted, F.col("_id") == F.col("_key")).groupBy("_id", "_y").agg(F.min(pair).alias("v")).select("_y", held.alias("_held"), "v._text_view", "v._page_view", *(o.alias(f"_o{i}") for i, o in enumerate(order))).orderBy("_o0", "_o1").collect()
     if not got:
         return None
     stacked = [np.stack([np.frombuffer(r[c], np.uint8) for r in got]) for c in ("_text_view", "_page_view")]
     y, held_out = np.array([r["_y"] for r in got]), np.array([r["_held"] for r in got])
-    pool = views.filter("_y IS NULL")
 
     def give(models: list[View], taken: list[set[int]]) -> Given:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            best: list = [[], [], [], []]
             for pdf in batches:
                 if len(pdf):
                     x = [np.frombuffer(b"".join(pdf[c]), np.uint8).reshape(len(pdf), -1) for c in ("_text_view", "_page_view")]
-                    best = surest(models, taken, x, pdf["_h"].to_numpy(np.int64), before=best)
-            yield pd.DataFrame([(k // 2, k % 2, -c, h) for k, own in enumerate(best) for c, h in own], columns=["view", "label", "sure", "h"]).astype({"view": "int32", "label": "int32", "sure": "float64", "h": "int64"})
-
-        found = pool.select("_h", "_text_view", "_page_view").mapInPandas(run, "view int, label int, sure double, h long").groupBy("view", "label", "h").agg(F.max("sure").alias("sure"))
+                    p = np.stack([_sigmoid(m.logits(v)).astype(np.float64) for m, v in zip(models, x, strict=True)], axis=1)
+                    sure = (np.maximum(p, 1 - p) >= CONFIDENCE).any(axis=1)
+                    yield pd.DataFrame({"id": pdf["_id"][sure], "h": pdf["_h"][sure], "p0": p[sure, 0], "p1": p[sure, 1]})
+
+        kind = views.schema["_id"].dataType.simpleString()
+        scored = views.mapInPandas(frugal(run), f"id {kind}, h long, p0 double, p1 double")
+        pool = scored.join(clean, scored["id"] == clean["_key"], "left_anti")
+        each = [F.struct(F.lit(v).alias("view"), F.lit(t).alias("label"), (F.col(f"p{v}") if t else 1 - F.col(f"p{v}")).alias("sure"), F.col("h").isin(sorted(taken[1 - v])).alias("taken")) for v in (0, 1) for t in (0, 1)]
+        found = pool.select("h", F.explode(F.array(*each)).alias("c")).select("h", "c.*").filter((F.col("sure") >= CONFIDENCE) & ~F.col("taken")).groupBy("view", "label", "h").agg(F.max("sure").alias("sure"))
         spread = Window.partitionBy("view", "label", F.pmod("h", F.lit(_SPREAD))).orderBy(F.desc("sure"), "h")
         rows = found.withColumn("k", F.row_number().over(spread)).filter(F.col("k") <= HANDED_ON).drop("k").collect()  # 4 * _SPREAD * HANDED_ON at most
         chosen = [(v, t, h) for v in (0, 1) for t in (0, 1) for _, h in sorted((-r["sure"], r["h"]) for r in rows if (r["view"], r["label"]) == (v, t))[:HANDED_ON]]
         if not chosen:
             return []
-        facts = pool.filter(F.col("_h").isin(sorted({h for *_, h in chosen}))).groupBy("_h").agg(F.min(F.struct("_id", "_text_view", "_page_view")).alias("v")).select("_h", "v._text_view", "v._page_view").collect()
+        facts = views.filter(F.col("_h").isin(sorted({h for *_, h in chosen}))).join(clean, F.col("_id") == F.col("_key"), "left_anti").groupBy("_h").agg(F.min(F.struct("_id", "_text_view", "_page_view")).alias("v")).select("_h", "v._text_view", "v._page_view").collect()
         known = {r["_h"]: [np.frombuffer(r[c], np.uint8) for c in ("_text_view", "_page_view")] for r in facts}
         return [(v, t, h, *known[h]) for v, t, h in chosen]
 
@@ -249,7 +238,7 @@ def _views(docs: DataFrame, keep: list[str]) -> DataFrame:
                 yield part[keep].assign(_text_view=[x.tobytes() for x in a], _page_view=[x.tobytes() for x in b])
 
     ddl = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in docs.schema if f.name in keep)
-    return docs.mapInPandas(run, ddl + "_text_view binary, _page_view binary")
+    return docs.mapInPandas(frugal(run), ddl + "_text_view binary, _page_view binary")
 
 
 _SCORES = "text_score double, page_score double, score double"
@@ -274,7 +263,7 @@ def score_quality(docs: DataFrame, model: CoTrained | None, *, text: str = "text
                 yield part.rename(columns={"_body": text})[names].assign(text_score=out[:, 0], page_score=out[:, 1], score=out[:, 2])
 
     ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rest)
-    return docs.select(*(n for n in names if n != text), *_facts(docs, text)).mapInPandas(run, ddl + _SCORES)
+    return docs.select(*(n for n in names if n != text), *_facts(docs, text)).mapInPandas(frugal(run), ddl + _SCORES)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

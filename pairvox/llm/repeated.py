@@ -11,6 +11,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairvox.llm.common import frugal, give_back
+
 #: A document, what `keys` said about it, and its repeated keys in order or null: all, packed, and the leading ones.
 SCHEMA = "doc_id long, n long, digest_a long, digest_b long, keys binary, lead array<long>"
 PACKED = "part int, kind int, first binary, second binary"
@@ -163,9 +165,10 @@ def answers(docs: DataFrame, keys: Callable[[list[bytes]], tuple], *, bits: int,
                 holders = ends - begins + 1 + (COMMON - 1) * np.add.reduceat(told.astype(np.int64), begins)
                 k = lead | rest[begins][holders >= hot].astype(np.int64)
                 out.append(_rows([0], [3], [planes(k)], [b""]) if len(k) else _rows([], [], [], []))
+        give_back()
         return pd.concat(out)
 
-    sent = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text")).mapInPandas(send, PACKED)
+    sent = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text")).mapInPandas(frugal(send), PACKED)
     return sent.groupBy("part").applyInPandas(meet, PACKED)
 
 

@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairvox.llm.common import table, written
+from pairvox.llm.common import frugal, give_back, table, written
 from pairvox.llm.hashing import Substrings, mix
 from pairvox.llm.repeated import LEVEL, PACKED, _rows, answers, by_home, homes, key_bits, planes, runs, short_keys, told_keys, unplanes
 
@@ -270,6 +270,7 @@ def _sorted_contexts(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.n
 
 def _meet_contexts(pdf: pd.DataFrame, length: int, n_homes: int) -> pd.DataFrame:
     """Packed rows of kind 1 for the homes of documents: (document, m, a, b) of spans that a smaller document has."""
+    give_back()
     out = [by_home(1, unplanes(a, np.int64), unplanes(b, np.int64), n_homes) for a, b in pdf.loc[pdf["kind"] == 1, ["first", "second"]].itertuples(index=False)]
     facts: list[list[np.ndarray]] = [[], [], [], [], []]
     strings: list[bytes] = []
@@ -387,7 +388,7 @@ def _packed_texts(docs: DataFrame, key: str, text: str, n_homes: int, rest: list
     at = F.pmod(F.coalesce(F.col(key).cast("long"), F.xxhash64(text)), F.lit(n_homes)).cast("int").alias("part")  # rows without id go by content
     body = F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body")
     slim = docs.select(at, F.col(key).cast("long").alias("id"), F.hash(text).alias("m"), F.col(text).isNull().alias("nil"), body, *[F.col(f"`{f.name}`").alias(f"_{f.name}") for f in rest])
-    return slim.mapInPandas(pack, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema))
+    return slim.mapInPandas(frugal(pack), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema))
 
 
 def remove_repeats(docs: DataFrame, *, length: int = 50, key: str = "doc_id", text: str = "text", hot_rows: int = HOT_ROWS, columns: list[str] | None = None) -> DataFrame:
@@ -423,6 +424,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, key: str = "doc_id", te
     asked = told.filter("kind = 1").union(copies)
 
     def send(docs: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         out = list(_send_contexts(docs, told, length, hot, bits)) if len(docs) and len(told) else []
         return pd.concat(out) if out else _rows([], [], [], [])
 
@@ -433,6 +435,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, key: str = "doc_id", te
     names = [text if f.name == text else f"_{f.name}" for f in rest]
 
     def finish(docs: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         out = _finish(docs, told, names, text if text in names else None)
         return out.rename(columns={f"_{f.name}": f.name for f in carried})
 
