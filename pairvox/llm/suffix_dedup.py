@@ -451,9 +451,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Every window of 50 bytes of the hexadecimal text and the smallest document it starts in; runs of bytes that such windows cover.
 ORACLE_SQL = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-x AS (SELECT doc_id, unnest(range(0, length(h) // 2 - 49, 128)) AS c, h FROM d WHERE length(h) >= 100),
-y AS (SELECT doc_id, c, substr(h, 2 * c + 1, 354) AS h FROM x),
-w AS (SELECT doc_id, c + unnest(range(length(h) // 2 - 49)) AS p, unnest(list_transform(range(length(h) // 2 - 49), lambda i: md5_number(substr(h, 2 * i + 1, 100)))) AS w FROM y),
+x AS (SELECT doc_id, unnest(p) AS part, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, regexp_extract_all(h, '.{1,256}') AS p FROM d)),
+y AS (SELECT doc_id, (i - 1) * 128 AS c, part || coalesce(left(lead(part) OVER (PARTITION BY doc_id ORDER BY i), 98), '') AS h FROM x),
+w AS (SELECT doc_id, c + unnest(range(length(h) // 2 - 49)) AS p, unnest(list_transform(range(length(h) // 2 - 49), lambda i: md5_number(substr(h, 2 * i + 1, 100)))) AS w FROM y WHERE length(h) >= 100),
 m AS (SELECT w, min(doc_id) AS low FROM w GROUP BY w),
 g AS (SELECT doc_id, p FROM w JOIN m USING (w) WHERE low < doc_id),
 o AS (SELECT doc_id, p, coalesce(p > lag(p) OVER q + 50, true) AS begins FROM g WINDOW q AS (PARTITION BY doc_id ORDER BY p)),

@@ -22,7 +22,7 @@ WORDS = ["alpha", "béta", "GAMMA", "mit license", "MIT License", "don't", "x1",
 def texts():
     out = [None, "", " ", "one", "One two three", "é" * 70, "z" * 130] + [" ".join(RNG.choices(WORDS, k=RNG.randrange(2, 90))) for _ in range(60)]
     out += out[20:30] + [t + " changed end" for t in out[30:40]] + [f"lead {i} " + out[41] for i in range(5)]
-    return [*out, " ".join(RNG.choices([*WORDS, *(f"w{i}" for i in range(5000))], k=120_000))]
+    return [*out, " ".join(RNG.choices([*WORDS, *(f"w{i}" for i in range(5000))], k=20_000))]
 
 
 TEXTS = texts()
