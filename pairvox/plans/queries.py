@@ -783,11 +783,14 @@ def npeaks_find(spark, d):
 
 @query()
 def kde_bandwidths(spark, d):
-    """Bandwidths by the rule of thumb and by the fixed point."""
-    items = table(spark, d, "lineitem")
-    lv = stats.levels(items, volume="l_suppkey", v="l_quantity", lo=0.0, hi=51.0, n=64)
-    thumb = stats.silverman(items, volume="l_suppkey", v="l_quantity").withColumnRenamed("bandwidth", "silverman")
-    return stats.improved_bandwidth(lv, volume="l_suppkey", n=64).join(thumb, "l_suppkey")
+    """Bandwidths by the fixed point, which SQL has no form for; held against a sample of known width in the tests."""
+    lv = stats.levels(table(spark, d, "lineitem"), volume="l_suppkey", v="l_quantity", lo=0.0, hi=51.0, n=64)
+    return stats.improved_bandwidth(lv, volume="l_suppkey", n=64)
+
+
+@query("""SELECT l_suppkey, round(0.9 * least(stddev_samp(l_quantity), (quantile_cont(l_quantity, 0.75) - quantile_cont(l_quantity, 0.25)) / 1.34) * pow(count(*), -0.2), 9) AS bandwidth FROM lineitem GROUP BY 1""")
+def silverman_bandwidths(spark, d):
+    return stats.silverman(table(spark, d, "lineitem"), volume="l_suppkey", v="l_quantity").select("l_suppkey", r9("bandwidth"))
 
 
 PEAKS = "pk AS (SELECT l_suppkey, ['A', 'B', 'C'][CAST(l_suppkey % 3 + 1 AS INT)] AS center, l_returnflag AS mask, median(l_quantity) AS peak FROM lineitem GROUP BY 1, 2, 3)"
@@ -1167,13 +1170,17 @@ def wilcoxon_baseline(spark, d):
     return ranktests.wilcoxon_vs_baseline(e, model="model", subject="user_id", condition="event_type", v="value", baseline="view").select("event_type", "t", "n", r6("effect"), r6("z"))
 
 
-@query()
+#: Tails by midpoints of the normal and the chi-squared density.
+@query(f"""WITH w AS ({WILCOXON}), f AS ({FRIEDMAN}), n AS (SELECT event_type, t, sum(2 * exp(-0.5 * pow(abs(z) + (i + 0.5) * 0.001, 2)) / sqrt(2 * pi()) * 0.001) AS p FROM w, range(12000) r(i) GROUP BY event_type, t),
+ c AS (SELECT q, 1 - sum(pow((i + 0.5) * q / 20000, df / 2.0 - 1) * exp(-(i + 0.5) * q / 40000) / (pow(2.0, df / 2.0) * gamma(df / 2.0)) * q / 20000) AS p FROM f, range(20000) r(i) GROUP BY q)
+SELECT 'wilcoxon:' || event_type AS test, t AS statistic, round(p, 4) AS p FROM n UNION ALL SELECT 'friedman', q, round(p, 4) FROM c""")
 def rank_test_p_values(spark, d):
     """Wilcoxon and Friedman statistics with p from the normal and the chi-squared distribution."""
     e = table(spark, d, "events").withColumn("label", F.lit("all"))
     w = ranktests.with_p(ranktests.wilcoxon_vs_baseline(e, model="label", subject="user_id", condition="event_type", v="value", baseline="view"), statistic="z")
     f = ranktests.with_p(ranktests.friedman(e, groups=["label"], subject="user_id", within="event_type", v="value"), statistic="q")
-    return w.select(F.concat_ws(":", F.lit("wilcoxon"), "event_type").alias("test"), F.col("t").alias("statistic"), "p").union(f.select(F.lit("friedman"), "q", "p"))
+    p = F.round("p", 4).alias("p")
+    return w.select(F.concat_ws(":", F.lit("wilcoxon"), "event_type").alias("test"), F.col("t").alias("statistic"), p).union(f.select(F.lit("friedman"), F.round("q", 6), p))
 
 
 @query("""WITH d AS (SELECT user_id, avg(value) FILTER (event_type = 'view') - avg(value) FILTER (event_type = 'click') AS d FROM events GROUP BY 1), k AS (SELECT least(CAST(floor((d + 100) / (200.0 / 20)) AS BIGINT), 19) AS bin FROM d WHERE d BETWEEN -100 AND 100) SELECT 'm' AS model, bin, count(*) AS count FROM k GROUP BY 2""")
