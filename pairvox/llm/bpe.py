@@ -212,8 +212,8 @@ def _encoder(path: str, pattern: str) -> tuple[BytePairEncoder, _Cache]:
 def encode_ids(df: DataFrame, *, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ids binary): the ids of each text as little-endian unsigned 32-bit integers.
 
-    A null text counts as empty and gives no ids. Rows are encoded one by one, repeated ones included, and nothing is
-    shuffled. The file at `path` holds base64 tokens and ranks and has to lie on every worker.
+    A null text counts as empty and gives no ids; a null key stays null. Rows are encoded whole, at any length, repeated
+    ones included, and nothing is shuffled. Other columns don't come along, so theirs can't clash. The file at `path` holds base64 tokens and ranks and has to lie on every worker.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

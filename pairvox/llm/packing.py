@@ -203,7 +203,9 @@ def pack(docs: DataFrame, *, path: str, capacity: int = 1024, key: str = "doc_id
     """(key, start, length, ids_crc32, doc_tokens, sequence_id, offset): every id of every document in exactly one piece.
 
     Full pieces of `capacity` ids are windows of their own; the rests, one a document, are packed by minimum bin slack.
-    Repeated rows are documents of their own. No rows give no rows.
+    A null or empty text is its end id alone, a null key stays null, a text of any length is cut into pieces. Repeated
+    rows are documents of their own; ties go by the key, the start and the ids. Other columns don't come along, so theirs
+    can't clash. No rows give no rows.
     """
     pieces = written(cut_pieces(docs, path=path, capacity=capacity, key=key, text=text), "pieces")
     return assign_windows(pieces, capacity=capacity, order=(key, "start", "ids_crc32"))

@@ -183,7 +183,11 @@ def read_stream(media: bytes) -> tuple:
 
 
 def mux(df: DataFrame, payload: str = "payload") -> DataFrame:
-    """df with `payload` turned into a transport stream in a binary column `media`. A null counts as empty."""
+    """df with `payload` turned into a transport stream in a binary column `media`, which replaces one of that name; other columns pass through.
+
+    A null counts as empty and gives the tables alone. Payloads of any length are cut into packets of their own row;
+    repeated rows are rows of their own, and equal payloads give equal streams. No rows give no rows.
+    """
     rest = [c for c in df.columns if c not in (payload, "media")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
