@@ -13,14 +13,17 @@ from pairvox.llm.common import table, written
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier doesn't reject."""
+    """Documents that the co-trained classifier doesn't reject. Null and empty texts are scored like others, repeated rows alike; without labels all stay."""
     model = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
     scored = quality.score_quality(docs, model)
     return scored.filter(F.col("score") >= quality.REJECT_BELOW).select(docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that more than a tenth of one source's documents, and three or more, share; sources of any size."""
+    """Texts without the lines that more than a tenth of one source's documents, and three or more, share; sources of any size.
+
+    A null text stays null, a null source is one of its own, repeated rows count as documents of their own.
+    """
     return _sized(line_dedup.drop_site_lines(docs, text="text", host="source", min_holding=3), docs)
 
 
@@ -40,7 +43,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in windows of 1024 ids."""
+    """Pieces of all documents in windows of 1024 ids; a null or empty text is one id, repeated rows are documents of their own."""
     import public_tokenizers
 
     return packing.pack(docs, path=public_tokenizers.path("byte_bpe_50k.json"))
