@@ -108,7 +108,8 @@ def copy_subset(files: DataFrame, ids: DataFrame, *, name: str, id_: str, extens
         held = F.exists(F.array(*map(F.lit, listed)), lambda x: F.contains(F.col(name), x)) if listed else F.lit(False)
         return files.filter(held).dropDuplicates()
     lengths = [r[0] for r in ids.select(F.length("_id")).distinct().collect()]  # as many as there are lengths of ids
-    grams = F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - n + 1, F.lit(1))), lambda k, n=n: F.substr(F.col(name), k, F.lit(n))) for n in lengths]))
+    pieces = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - n + 1, F.lit(1))), lambda k: F.substr(F.col(name), k, F.lit(n)))
+    grams = F.flatten(F.array(*map(pieces, lengths)))
     return files.withColumn("_id", F.explode(F.array_distinct(grams))).join(ids, "_id", "left_semi").drop("_id").dropDuplicates()
 
 

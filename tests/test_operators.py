@@ -355,3 +355,82 @@ def test_stream_equals_batch(spark, tmp_path):
         batch = sorted(map(tuple, streams.loss_per_epoch(spark.read.text(str(d)), ["G_GAN", "G_L1"]).collect()))
         stream = streams.drain(streams.loss_stream(spark, str(d), ["G_GAN", "G_L1"]), f"losses{pieces}", f"file://{tmp_path}/state{pieces}")
         assert [tuple(round(x, 9) for x in r) for r in sorted(map(tuple, stream.collect()))] == [tuple(round(x, 9) for x in r) for r in batch] and len(batch) == 3
+
+
+def test_numbers_from_ranges(spark):
+    keys = [int(x) for x in RNG.integers(-(10**12), 10**12, 150)] + [7] * 40 + list(range(100, 160))
+    df = spark.createDataFrame([(k,) for k in keys], "k long").repartition(4)
+    for per in (1, 7, 1000):
+        got = [(r.number, r.k) for r in joins.numbered(df, "k", per=per).collect()]
+        assert [k for _, k in sorted(got)] == sorted(keys) and sorted(n for n, _ in got) == list(range(len(keys)))
+    assert joins.numbered(df.limit(0), "k").count() == 0
+    odd = spark.createDataFrame([(None,), (3,), (1,)], "k long")
+    assert [r.k for r in joins.numbered(odd, "k", per=1).orderBy("number").collect()] == [None, 1, 3]
+
+
+def test_splits_do_not_depend_on_ranges(spark):
+    df = spark.createDataFrame([(i, ["a", "b", None][min(i % 7, 2)]) for i in range(400)], "k long, s string")
+    whole, pieces = (sorted(map(tuple, splits.stratified_split(df, key="k", stratum="s", per=per).collect()), key=str) for per in (1000, 20))
+    assert whole == pieces and len(whole) == 400
+
+
+def test_subsets_by_both_ways(spark):
+    files = spark.createDataFrame([(f"x/{a}_{i}.nii",) for i, a in enumerate(["p1", "p12", "q", "p3"] * 5)] + [("p1.txt",)], "name string")
+    ids_ = spark.createDataFrame([("p1",), ("q",), ("_7.",), (None,)], "id string")
+    one, two = (sorted(r.name for r in tables.copy_subset(files, ids_, name="name", id_="id", extensions=[".nii"], few=few).collect()) for few in (2000, 0))
+    assert one == two == sorted({f"x/{a}_{i}.nii" for i, a in enumerate(["p1", "p12", "q", "p3"] * 5) if "p1" in a or a == "q" or i == 7})
+
+
+def test_strict_lookups_and_checks(spark):
+    models = {"a": {"x": "m1"}}
+    df = spark.createDataFrame([("a", "x"), ("a", "y")], "t string, r string")
+    assert [r.m for r in df.select(ids.model_lookup(F.col("t"), F.col("r"), models).alias("m")).collect()] == ["m1", None]
+    with pytest.raises(Exception, match="no model for"):
+        df.select(ids.model_lookup(F.col("t"), F.col("r"), models, strict=True).alias("m")).collect()
+    with pytest.raises(Exception, match="grids differ"):
+        joins.require_ok(spark.createDataFrame([("c", "MISS")], "case string, status string")).collect()
+    cases_ = spark.createDataFrame([("AB_1ABA001",), ("zz",), ("q_7",)], "case string")
+    files = spark.createDataFrame([("1ABA001_b_MR.nii.gz",), ("1ABA001_a_MR_x.nii",), ("1ABA001_CT.nii",), ("zz_MR.nii",)], "name string")
+    found, missing = joins.token_matches(cases_, files, case="case", name="name")
+    assert sorted(map(tuple, found.collect())) == [("AB_1ABA001", "1ABA001", "1ABA001_a_MR_x.nii"), ("zz", "zz", "zz_MR.nii")] and [r.case for r in missing.collect()] == ["q_7"]
+
+
+def test_peaks_from_pixels(spark):
+    """Two tissues of known intensity, apart from their border; bandwidths of their own."""
+    cube = RNG.normal(100, 3, (8, 24, 24))
+    cube[:, :, 12:] = RNG.normal(180, 3, (8, 24, 12))
+    cube[:, :6, :] = RNG.normal(140, 40, (8, 6, 24))
+    s = as_slices(spark, {"a": cube})
+    whole = s.select("volume_id", F.lit("all").alias("mask"), "z", F.transform("px", lambda v: F.lit(1.0)).alias("px"))
+    left = s.select("volume_id", F.lit("left").alias("mask"), "z", F.transform("px", lambda v, i: (i % 24 < 12).cast("double")).alias("px"))
+    none = s.select("volume_id", F.lit("none").alias("mask"), "z", F.transform("px", lambda v: F.lit(0.0)).alias("px"))
+    got = {r.mask: r for r in stats.npeaks_find(s, whole.union(left).union(none), strategies={"all": "right"}, radius=1.0, n_levels=256, grid=2000).collect()}
+    assert set(got) == {"all", "left"} and abs(got["all"].peak - 180) < 4 and abs(got["left"].peak - 100) < 4
+    offsets = filters.footprint(1.001, (1.0, 1.0, 1.0))
+    lic = np.zeros(cube.shape)
+    for p in np.ndindex(cube.shape):
+        around = [tuple(a + b for a, b in zip(p, o, strict=True)) for o in offsets]
+        values = [cube[q] for q in around if all(0 <= a < n for a, n in zip(q, cube.shape, strict=True))]
+        lic[p] = max(values) - min(values)
+    inside = lic[:, :, :12]
+    assert abs(got["left"].threshold - np.quantile(inside, 0.5)) < 1e-9 and got["left"].voxels == (inside <= np.quantile(inside, 0.5)).sum()
+
+
+def test_affine_of_files(spark, tmp_path):
+    h = bytearray(352)
+    struct.pack_into("<i", h, 0, 348)
+    struct.pack_into("<8h", h, 40, 3, 1, 1, 1, 1, 1, 1, 1)
+    struct.pack_into("<h", h, 70, 16)
+    struct.pack_into("<8f", h, 76, -1, 0.5, 0.75, 3, 0, 0, 0, 0)
+    struct.pack_into("<3f", h, 108, 352, 1, 0)
+    read = lambda: tables.read_nifti(spark, str(tmp_path)).first().affine
+    (tmp_path / "a.nii").write_bytes(bytes(h) + b"\0" * 4)
+    assert read() == [[0.5, 0, 0, 0], [0, 0.75, 0, 0], [0, 0, 3, 0], [0, 0, 0, 1]]
+    struct.pack_into("<h", h, 252, 1)
+    struct.pack_into("<6f", h, 256, 0, 0, 1, 7, 8, 9)  # half a turn about z
+    (tmp_path / "a.nii").write_bytes(bytes(h) + b"\0" * 4)
+    assert read() == [[-0.5, 0, 0, 7], [0, -0.75, 0, 8], [0, 0, -3, 9], [0, 0, 0, 1]]
+    struct.pack_into("<h", h, 254, 1)
+    struct.pack_into("<12f", h, 280, *range(12))
+    (tmp_path / "a.nii").write_bytes(bytes(h) + b"\0" * 4)
+    assert read() == [[0, 1, 2, 3], [4, 5, 6, 7], [8, 9, 10, 11], [0, 0, 0, 1]]
