@@ -92,23 +92,27 @@ def _by_number(left: DataFrame, b: DataFrame, b_key: str) -> DataFrame:
 RANGES = 4096
 
 
-def numbered(df: DataFrame, key: str, *, per: int = 100_000) -> DataFrame:
-    """df with `number`, the place of each row in key order from 0; equal keys get places in any order, a null key comes first.
+def range_of(df: DataFrame, key: str, *, per: int) -> Column:
+    """The number of a range of the key that a row lies in, in key order; -1 for a null key. Equal keys are in one range.
 
-    Rows are cut into ranges at sketched quantiles of the key (so sparse or uneven keys make even ranges), counted, and
-    numbered inside their range. The bounds, RANGES at most, are a literal; the range is found in two steps of 64.
+    Bounds are sketched quantiles of the key (so sparse or uneven keys make even ranges of about `per` rows), RANGES at
+    most; they are a literal, and the range is found in two steps of 64.
     """
     n = min(RANGES, df.count() // per + 1)
     cuts = df.agg(F.percentile_approx(key, [k / n for k in range(1, n)], 10 * RANGES)).first()[0] if n > 1 else []
     cuts = sorted(set(cuts or []))
-    at_most = lambda bounds: F.size(F.filter(F.array(*map(F.lit, bounds)), lambda c: c <= F.col(key))) if bounds else F.lit(0)
     bucket = F.lit(0)
     if cuts:
         groups = [cuts[k : k + 64] for k in range(0, len(cuts), 64)]
-        first = at_most([g[0] for g in groups])
-        inner = F.get(F.array(*(F.array(*map(F.lit, g)) for g in groups)), F.greatest(first - 1, F.lit(0)))
-        bucket = F.when(F.col(key).isNull(), -1).otherwise(64 * F.greatest(first - 1, F.lit(0)) + F.size(F.filter(inner, lambda c: c <= F.col(key))))
-    rows = df.withColumn("_bucket", bucket.cast("int"))
+        at_most = lambda bounds: F.size(F.filter(bounds, lambda c: c <= F.col(key)))
+        first = F.greatest(at_most(F.array(*(F.lit(g[0]) for g in groups))) - 1, F.lit(0))
+        bucket = 64 * first + at_most(F.get(F.array(*(F.array(*map(F.lit, g)) for g in groups)), first))
+    return F.when(F.col(key).isNull(), -1).otherwise(bucket).cast("int")
+
+
+def numbered(df: DataFrame, key: str, *, per: int = 100_000) -> DataFrame:
+    """df with `number`, the place of each row in key order from 0; equal keys get places in any order, a null key comes first. Rows are counted by range and numbered inside theirs."""
+    rows = df.withColumn("_bucket", range_of(df, key, per=per))
     counts = rows.groupBy("_bucket").count()
     before = counts.select("_bucket", (F.sum("count").over(Window.orderBy("_bucket")) - F.col("count")).alias("_before"))
     own = F.row_number().over(Window.partitionBy("_bucket").orderBy(key)) - 1

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairvox.operators.joins import range_of
+
 
 def average_rank(groups: list[str], v: str | Column) -> Column:
     """Rank with the mean of tied places."""
@@ -15,9 +17,18 @@ def average_rank(groups: list[str], v: str | Column) -> Column:
     return F.rank().over(w.orderBy(v)) + (F.count("*").over(Window.partitionBy(*groups, v)) - 1) / 2
 
 
-def wilcoxon(df: DataFrame, *, groups: list[str], d: str) -> DataFrame:
+def ranks_by_range(df: DataFrame, *, groups: list[str], v: str, per: int = 100_000) -> DataFrame:
+    """df with `_r`, the average rank of v in its group: rows are counted by range of v and ranked inside theirs, so no task sees a whole group."""
+    rows = df.withColumn("_range", range_of(df, v, per=per))
+    counts = rows.groupBy(*groups, "_range").agg(F.count("*").alias("_c"))
+    before = counts.select(*groups, "_range", (F.sum("_c").over(Window.partitionBy(*groups).orderBy("_range")) - F.col("_c")).alias("_before"))
+    ranked = rows.withColumn("_own", average_rank([*groups, "_range"], v)).join(before, [*groups, "_range"])
+    return ranked.withColumn("_r", F.col("_before") + F.col("_own")).drop("_range", "_own", "_before")
+
+
+def wilcoxon(df: DataFrame, *, groups: list[str], d: str, per: int = 100_000) -> DataFrame:
     """(groups, t, n, effect, z): signed ranks of differences; zeros are ranked and then left out (Pratt). t is the smaller sum, effect the rank-biserial correlation."""
-    ranked = df.withColumn("_r", average_rank(groups, F.abs(d)))
+    ranked = ranks_by_range(df.withColumn("_abs", F.abs(d)), groups=groups, v="_abs", per=per).drop("_abs")
     tie = ranked.groupBy(*groups, F.abs(d).alias("_d")).agg(F.count("*").alias("_c"))
     ties = tie.groupBy(*groups).agg(F.sum(F.when(F.col("_d") != 0, F.pow("_c", F.lit(3.0)) - F.col("_c")).otherwise(0.0)).alias("_ties"), F.sum(F.when(F.col("_d") == 0, F.col("_c")).otherwise(0)).alias("_zeros"))
     up, down = (F.sum(F.when(c, F.col("_r")).otherwise(0.0)) for c in (F.col(d) > 0, F.col(d) < 0))

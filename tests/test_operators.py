@@ -293,6 +293,9 @@ def test_rank_tests(spark):
     got = ranktests.wilcoxon(spark.createDataFrame([("m", x) for x in d], "m string, d double"), groups=["m"], d="d").first()
     # zeros take ranks 1 and 2 (1.5 each) and go; then 1 -> 3, 2, 2 -> 4.5, 3 -> 6, 4 -> 7, 5 -> 8
     assert (got.t, got.n, round(got.effect, 9)) == (11.0, 6, round((22 - 11) / 33, 9))
+    many = spark.createDataFrame([("ab"[i % 2], float(x)) for i, x in enumerate(RNG.integers(-9, 10, 200))], "m string, d double")
+    one, several = (sorted(map(tuple, ranktests.wilcoxon(many, groups=["m"], d="d", per=per).collect())) for per in (1000, 10))
+    assert one == several and len(one) == 2
     assert abs(ranktests.chi2_tail(5.991, 2) - 0.05) < 1e-4 and abs(ranktests.chi2_tail(18.307, 10) - 0.05) < 1e-4
     rows = [(s, c, float(v)) for s, vs in enumerate([(1, 2, 3), (1, 3, 2), (1, 2, 3), (2, 2, 5)]) for c, v in zip("abc", vs, strict=True)]
     f = ranktests.with_p(ranktests.friedman(spark.createDataFrame([("l", *r) for r in rows], "l string, s long, c string, v double"), groups=["l"], subject="s", within="c", v="v"), statistic="q").first()
