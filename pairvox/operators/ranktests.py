@@ -89,10 +89,15 @@ def with_p(df: DataFrame, *, statistic: str) -> DataFrame:
     return df.withColumn("p", p(F.col(statistic), F.lit(1) if statistic == "z" else F.col("df")))
 
 
+def test_for(group: Column) -> Column:
+    """An aggregate: friedman for more than two groups, wilcoxon for two, none for fewer."""
+    n = F.count_distinct(group)
+    return F.when(n > 2, "friedman").when(n == 2, "wilcoxon").otherwise("none")
+
+
 def choose_test(df: DataFrame, *, group: str) -> str:
-    """friedman for more than two groups, wilcoxon for two, none for fewer: the driver sees one count."""
-    n = df.select(group).distinct().count()
-    return "friedman" if n > 2 else "wilcoxon" if n == 2 else "none"
+    """The name of the test for all of df: the driver sees one row."""
+    return df.agg(test_for(F.col(group))).first()[0]
 
 
 def difference_histogram(d: DataFrame, *, group: str, v: str, lo: float, hi: float, bins: int) -> DataFrame:

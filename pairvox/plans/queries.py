@@ -495,6 +495,13 @@ def lic_box(spark, d):
     return filters.box_extrema(pixel_rows(spark, d), 1).drop("v")
 
 
+@query(f"""WITH {PX} SELECT a.volume_id, a.z, a.y, a.x, round(avg(b.v), 9) AS mean, round(avg(b.v * b.v) - avg(b.v) * avg(b.v), 9) AS var FROM px a JOIN px b ON a.volume_id = b.volume_id AND a.z = b.z AND abs(a.y - b.y) <= 2 AND abs(a.x - b.x) <= 2
+ WHERE a.y BETWEEN 2 AND 5 AND a.x BETWEEN 2 AND 5 GROUP BY 1, 2, 3, 4""")
+def box_moments(spark, d):
+    out = filters.box_mean(pixel_rows(spark, d).withColumn("v2", F.col("v") * F.col("v")), 2, ["v", "v2"])
+    return out.select("volume_id", "z", "y", "x", F.round("mean_v", 9).alias("mean"), F.round(F.col("mean_v2") - F.col("mean_v") * F.col("mean_v"), 9).alias("var"))
+
+
 @query(f"""WITH {DENSE}, l AS (SELECT a.volume_id, a.z, a.y, a.x, max(b.v) - min(b.v) AS lic FROM dpx a JOIN dpx b ON a.volume_id = b.volume_id AND abs(a.z - b.z) + abs(a.y - b.y) + abs(a.x - b.x) <= 1 GROUP BY 1, 2, 3, 4),
  t AS (SELECT volume_id, quantile_cont(lic, 0.25) AS t FROM l GROUP BY 1) SELECT l.volume_id, count(*) AS kept FROM l JOIN t ON l.volume_id = t.volume_id WHERE lic <= t GROUP BY 1""")
 def lic_homogeneous(spark, d):
@@ -1170,6 +1177,11 @@ def wilcoxon_baseline(spark, d):
     return ranktests.wilcoxon_vs_baseline(e, model="model", subject="user_id", condition="event_type", v="value", baseline="view").select("event_type", "t", "n", r6("effect"), r6("z"))
 
 
+@query("SELECT p_brand, CASE WHEN count(DISTINCT p_type) > 2 THEN 'friedman' WHEN count(DISTINCT p_type) = 2 THEN 'wilcoxon' ELSE 'none' END AS test FROM part GROUP BY 1")
+def choice_of_test(spark, d):
+    return table(spark, d, "part").groupBy("p_brand").agg(ranktests.test_for(F.col("p_type")).alias("test"))
+
+
 #: Tails by midpoints of the normal and the chi-squared density.
 @query(f"""WITH w AS ({WILCOXON}), f AS ({FRIEDMAN}), n AS (SELECT event_type, t, sum(2 * exp(-0.5 * pow(abs(z) + (i + 0.5) * 0.001, 2)) / sqrt(2 * pi()) * 0.001) AS p FROM w, range(12000) r(i) GROUP BY event_type, t),
  c AS (SELECT q, 1 - sum(pow((i + 0.5) * q / 20000, df / 2.0 - 1) * exp(-(i + 0.5) * q / 40000) / (pow(2.0, df / 2.0) * gamma(df / 2.0)) * q / 20000) AS p FROM f, range(20000) r(i) GROUP BY q)
