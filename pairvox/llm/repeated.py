@@ -21,7 +21,7 @@ PACKED = "part int, kind int, first binary, second binary"
 COMMON, LEVEL, TOP = 8, 60, np.int64(7)
 
 #: Text that is handled at once, and text whose keys are sorted together.
-RUN_BYTES, SORT_BYTES = 1 << 20, 8 << 20
+RUN_BYTES, SORT_BYTES = 1 << 20, 4 << 20
 
 
 def homes(n_docs: int, n_bytes: int) -> int:
