@@ -66,15 +66,12 @@ def give_back() -> None:
 
 
 def frugal(run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """A function for mapInPandas that gives freed memory back after each batch and at its end."""
+    """A function for mapInPandas that gives freed memory back at the end of its task."""
 
     @functools.wraps(run)
     def wrapped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from run(batches)
         give_back()
-        for pdf in run(batches):
-            yield pdf
-            del pdf
-            give_back()
 
     return wrapped
 

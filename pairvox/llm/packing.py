@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pairvox.llm.common import frugal, table, written
 
 #: Chunks between spaces that a worker keeps with their ids; at the bound it starts anew. Text is handled in runs of so many characters.
-CACHE_CHUNKS, RUN_CHARS = 150_000, 1_000_000
+CACHE_CHUNKS, RUN_CHARS = 300_000, 1_000_000
 
 
 class ChunkedTokenizer:
