@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pairvox.llm import bpe, itq_dedup, jaccard_join, license_scan, line_dedup, packing, quality, sharding, suffix_dedup, transport_stream
+from pairvox.llm import bpe, itq_dedup, jaccard_join, license_scan, line_dedup, packing, pieces, quality, sharding, suffix_dedup, transport_stream
 
 QUERIES = {
     "op1_interleave_shards": sharding.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_rank_queue_bpe": bpe.query,
     "op9_grouped_prefix_join": jaccard_join.query,
     "op10_cotrained_quality": quality.query,
+    "op12_score_agenda_pieces": pieces.query,
 }
 
 ORACLE_SQL = {
