@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,6 +82,15 @@ def frugal(run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> C
     return wrapped
 
 
+def arrow_runs(batches: Iterator[pa.RecordBatch], size: Callable[[pa.RecordBatch], pa.Array], limit: int) -> Iterator[pa.RecordBatch]:
+    """Row runs of Arrow batches, of about `limit` units each; a null counts as none."""
+    for batch in batches:
+        at = np.cumsum(pa.compute.fill_null(size(batch), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // limit
+        cuts = np.append(np.flatnonzero(np.diff(at, prepend=-1)), len(at)).tolist()
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            yield batch.slice(a, b - a)
+
+
 def utf8_bytes(text) -> F.Column:
     """Bytes of a text, a null counting as empty."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

@@ -57,7 +57,7 @@ def test_a_wrong_merge_is_an_error(library):
     encoder = pieces.PieceEncoder(library)
     encoder.rank = [-r for r in encoder.rank]
     with pytest.raises(ValueError, match="another way"):
-        pieces._Cache(encoder).encode(["some words to encode"])
+        pieces._Cache(encoder).encode(["the interesting considerations of unhappiness, characteristically misunderstood"])
 
 
 class WithoutWalls:
