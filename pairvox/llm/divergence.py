@@ -213,7 +213,7 @@ def _cell(counts: pd.DataFrame, sides: pd.DataFrame, block: int) -> pd.DataFrame
                 sums[k] += ((p[k] - p) ** 2 // p).sum(axis=1)
         of = places // block
         k, m = np.nonzero((of[:, None] != of) if i != j else ~np.eye(len(places), dtype=bool))
-        out = pd.DataFrame({"lang": [counts["lang"].iloc[0]] * len(k), "a": places[k].astype(np.int32), "b": places[m].astype(np.int32), "value": sums[k, m], "seen": len(names)})
+        out = pd.DataFrame({"lang": np.full(len(k), counts["lang"].iloc[0], object), "a": places[k].astype(np.int32), "b": places[m].astype(np.int32), "value": sums[k, m], "seen": np.full(len(k), len(names))})
     give_back()
     return out
 
