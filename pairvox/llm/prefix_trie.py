@@ -14,8 +14,8 @@ from pairvox.llm.common import give_back, named, table, written
 
 #: Characters of a turn's digest in a key: 15 bytes of SHA-256 in base 64.
 DIGEST = 20
-#: Rows and prefixes (turns and one a row) that are handled at once; prefixes at the edges from which on one task ends the work; ids of a piece.
-CHUNK_ROWS, CHUNK_PREFIXES, FEW_PREFIXES, PIECE_IDS = 50_000, 1_000_000, 500_000, 200
+#: Rows and prefixes (turns and one a row) that are handled at once; prefixes or rows at the edges with which one task ends the work; ids of a piece.
+CHUNK_ROWS, CHUNK_PREFIXES, FEW_PREFIXES, LAST_ROWS, PIECE_IDS = 50_000, 1_000_000, 500_000, 16, 200
 
 #: What a task says: nodes that no other chunk can add to; the edges of its chunk, with what they hold at every depth; ids of members that end at an edge's prefix.
 FOUND = pa.schema(
@@ -81,8 +81,8 @@ def prefix_trie(convs: DataFrame, *, chunk_rows: int = CHUNK_ROWS, few: int = FE
         if not n:
             break
         edges = edges.select("key", "words", *_INFO)
-        last = prefixes <= few or n <= 2
-        edges = edges.coalesce(1) if last else edges.repartitionByRange(prefixes // few + 1, "key")
+        last = prefixes <= few or n <= LAST_ROWS
+        edges = edges.coalesce(1) if last else edges.repartitionByRange(min(prefixes // few, n // LAST_ROWS) + 1, "key")
         steps.append(written(edges.sortWithinPartitions("key").mapInArrow(_task(chunk_rows, last=last), _DDL), "trie"))
         if last:
             break
