@@ -29,6 +29,11 @@ def named(column: str) -> F.Column:
     return F.col("`" + column.replace("`", "``") + "`")
 
 
+def fresh(df: DataFrame) -> str:
+    """A beginning for names of a step's own columns that no column of df has."""
+    return "_" * (1 + max((len(c) - len(c.lstrip("_")) for c in df.columns), default=0))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir. Where the session names none, a temporary one for a local master, an error on a cluster."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -60,6 +60,30 @@ class Substrings:
             return mix((self.sums[k:] - self.sums[:n]) * self.down[:n])
 
 
+#: Hashes of a byte at each of the first places of a word.
+_PLACES = 64
+_AT_PLACE = mix(np.arange(_PLACES << 8, dtype=np.uint64) * np.uint64(_BASE) + np.uint64(0x632BE59BD9B4E019))
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Hashes of words that stand one after another. Each byte is mixed with its place in the word before the sum is taken,
+
+    so, unlike those of a polynomial modulo 2^64, they don't meet for words with a regular structure.
+    """
+    size = stops - starts
+    at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    each = at.astype(np.uint64) << np.uint64(8) | data[at + np.repeat(starts, size)]
+    near = at < _PLACES
+    values = _AT_PLACE[np.where(near, each, 0).astype(np.int64)]
+    far = np.flatnonzero(~near)
+    with np.errstate(over="ignore"):
+        if len(far):
+            values[far] = mix(each[far] * np.uint64(_BASE) + np.uint64(0x632BE59BD9B4E019))
+        sums = np.append(np.uint64(0), np.cumsum(values))
+        ends = np.cumsum(size)
+        return mix(sums[ends] - sums[ends - size] + size.astype(np.uint64))
+
+
 def sequence_hash(items: np.ndarray, width: int) -> np.ndarray:
     """Hashes of all runs of `width` items (64-bit hashes themselves)."""
     n = max(0, len(items) - width + 1)

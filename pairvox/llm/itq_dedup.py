@@ -13,6 +13,8 @@ from pairvox.llm.common import connected_components, frugal, table, written
 
 #: Vectors that the rotation is fitted on, at most; steps of the fit; vectors of a block of a table's bucket; bits of a table at any size.
 FIT_ROWS, FIT_STEPS, BLOCK, WIDTH = 8192, 40, 1500, 8
+#: The share of planted pairs at the least cosine that tables must bring together, and rotations that may be needed for it.
+RECALL, MOST_ROTATIONS = 0.995, 32
 
 
 def fit_rotation(sample: np.ndarray, *, bits: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -37,6 +39,37 @@ def fit_rotation(sample: np.ndarray, *, bits: int, seed: int) -> tuple[np.ndarra
     return mean, projection
 
 
+def planted_recall(sample: np.ndarray, models: list[tuple[np.ndarray, np.ndarray]], *, min_cosine: float, bits: int, width: int, seed: int = 0) -> float:
+    """The share of planted pairs that meet in a table: each sample vector and one at cosine min_cosine from it, in a random direction."""
+    noise = np.random.default_rng(seed).standard_normal(sample.shape)
+    noise -= (noise * sample).sum(axis=1, keepdims=True) * sample
+    noise /= np.maximum(np.linalg.norm(noise, axis=1, keepdims=True), 1e-300)
+    near = min_cosine * sample + np.sqrt(max(0.0, 1 - min_cosine**2)) * noise
+    met = np.zeros(len(sample), bool)
+    for mean, projection in models:
+        met |= (_substrings((sample - mean) @ projection, bits, width) == _substrings((near - mean) @ projection, bits, width)).any(axis=1)
+    return float(met.mean())
+
+
+def enough_rotations(sample: np.ndarray, seeds: tuple[int, ...], *, min_cosine: float, bits: int, width: int) -> tuple[list[int], list[tuple[np.ndarray, np.ndarray]]]:
+    """seeds with their rotations, and as many more as planted pairs need to meet at RECALL. ValueError where MOST_ROTATIONS aren't enough."""
+    seeds = list(seeds)
+    models = [fit_rotation(sample, bits=bits, seed=s) for s in seeds]
+    while (recall := planted_recall(sample, models, min_cosine=min_cosine, bits=bits, width=width)) < RECALL and sample.shape[1] > 1:
+        if len(seeds) >= MOST_ROTATIONS:
+            raise ValueError(f"{len(seeds)} rotations of {bits} bits in tables of {width} find {recall:.3f} of planted pairs: set a smaller width or more bits")
+        seeds.append(max(seeds) + 1)
+        models.append(fit_rotation(sample, bits=bits, seed=seeds[-1]))
+    return seeds, models
+
+
+def _substrings(values: np.ndarray, bits: int, width: int) -> np.ndarray:
+    """The signs of each row in groups of `width`, as numbers."""
+    size = -(-width // 8)
+    packed = np.packbits((values >= 0)[:, : bits // width * width].reshape(len(values), -1, width), axis=2, bitorder="little")
+    return packed.reshape(len(values), -1, size).astype(np.int64) @ (1 << 8 * np.arange(size))
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -54,7 +87,9 @@ def near_vectors(
     into blocks whose pairs are tasks of their own, so nothing is left out. Links are counted in place, and each task
     hands on a spanning forest of them.
 
-    The rotations are fitted on FIT_ROWS vectors at most, of the commonest dimension; vectors of another dimension get
+    The rotations are fitted on FIT_ROWS vectors at most, of the commonest dimension. Pairs at min_cosine are planted
+    around these, and rotations (with tables of their own) are added until RECALL of them meet: vectors that share a
+    direction need more, as less is left of them to tell them apart by. If MOST_ROTATIONS don't do, it is an error. Vectors of another dimension get
     their codes from random axes and meet their like only. Vectors are scaled by their largest part first, so very large
     and very small ones neither overflow nor vanish.
 
@@ -74,8 +109,8 @@ def near_vectors(
         return _result(hashed, None, key)
     sample = classes.filter(F.size("v") == size["d"]).orderBy(F.xxhash64("rep"), "rep").limit(FIT_ROWS).select("v").toPandas()["v"]
     unit = _unit(np.stack([np.asarray(x, np.float64) for x in sample]))
-    models = [fit_rotation(unit, bits=bits, seed=s) for s in seeds]
     width = width or WIDTH
+    seeds, models = enough_rotations(unit, seeds, min_cosine=min_cosine, bits=bits, width=width)
     n_tables = bits // width * len(models)
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -84,8 +119,7 @@ def near_vectors(
                 x = _unit(np.stack(own["v"].to_list()))
                 parts = []
                 for mean, projection in models if d == size["d"] else [(0, np.random.default_rng([s, d]).standard_normal((d, bits))) for s in seeds]:
-                    signs = (x - mean) @ projection >= 0
-                    parts.append(np.packbits(signs[:, : bits // width * width].reshape(len(x), -1, width), axis=2, bitorder="little").reshape(len(x), -1, -(-width // 8)).astype(np.int64) @ (1 << 8 * np.arange(-(-width // 8))))
+                    parts.append(_substrings((x - mean) @ projection, bits, width))
                 yield own.assign(code=list(np.hstack(parts)))
 
     coded = classes.select("label", "rep", "count", "v")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairvox.llm.common import connected_components, give_back, table, written
-from pairvox.llm.hashing import Substrings, sequence_hash
+from pairvox.llm.hashing import sequence_hash, word_hashes
 from pairvox.llm.repeated import documents_with_keys, homes, key_bits, unpacked_list
 
 #: Documents of a block; a cluster with more is split into blocks, and each pair of blocks is a task of its own.
@@ -30,7 +30,7 @@ def shingle_sets(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray
     before = np.append(True, space[:-1])
     starts = np.flatnonzero(~space & before)
     stops = np.flatnonzero(space & ~before)
-    words = Substrings(data).of(starts, stops)
+    words = word_hashes(data, starts, stops)
     row = np.searchsorted(ends, starts, side="right")
     counts = np.bincount(row, minlength=len(texts))
     runs, own = sequence_hash(words, width), row[: max(0, len(row) - width + 1)]
@@ -66,7 +66,7 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 80, ke
        common they are, then by hash; documents with equal prefixes and sizes form a group, and only groups enter the prefix index.
     3. Groups that share a prefix shingle are joined into clusters (stars, then contraction). In blocks of a cluster, of
        bounded size, group pairs are filtered by prefix and size; the members of those that are left are verified
-       exactly, but for members that links have reached already; each block hands on a spanning forest of its links.
+       by their whole lists of repeated shingles, each a hash of 38 bits or more (with the number of documents), but for members that links have reached already; each block hands on a spanning forest of its links.
        The forests' components are the result.
 
     A null text counts as empty; a document without words has an empty set and is a component of its own. Documents

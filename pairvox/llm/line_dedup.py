@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairvox.llm.common import table, written
+from pairvox.llm.common import fresh, named, table, written
 
 #: A drop table up to this size is broadcast; a larger one is joined by shuffle.
 BROADCAST_BYTES = 16 << 20
@@ -18,7 +18,7 @@ def boilerplate_lines(pages: DataFrame, *, text: str, host: str, ratio: float =
     whose lines stand on all of its pages; it holds at hosts of every size. A host has at most (mean lines a page) /
     ratio such lines, so the arrays stay short. A null host counts as the empty one.
     """
-    at = F.coalesce(F.col(host), F.lit("")).alias("host")
+    at = F.coalesce(named(host), F.lit("")).alias("host")
     totals = pages.groupBy(at).agg(F.count("*").alias("pages"))
     digests = F.array_distinct(F.transform(F.filter(_lines(text), lambda x: F.trim(x) != ""), _digest))
     holding = pages.select(at, F.explode(digests).alias("digest")).groupBy("host", "digest").agg(F.count("*").alias("holding"))
@@ -41,20 +41,22 @@ def drop_site_lines(
     empty table gives an empty table.
     """
     drop = written(boilerplate_lines(pages, text=text, host=host, ratio=ratio, min_holding=min_holding), "lines")
-    drop = drop.select(F.col("host").alias("_host"), F.col("digests").alias("_drop"))
-    size = drop.agg(F.sum(F.length("_host") + 32 + 24 * F.size("_drop"))).first()[0] or 0
+    size = drop.agg(F.sum(F.length("host") + 32 + 24 * F.size("digests"))).first()[0] or 0
+    own = fresh(pages)
+    at, site, gone, left = (own + x for x in ("at", "site", "gone", "left"))
+    drop = drop.select(F.col("host").alias(site), F.col("digests").alias(gone))
     side = F.broadcast(drop) if size <= broadcast_bytes else drop.hint("merge")
-    joined = pages.withColumn("_at", F.coalesce(F.col(host), F.lit(""))).join(side, F.col("_at") == F.col("_host"), "left")
+    joined = pages.withColumn(at, F.coalesce(named(host), F.lit(""))).join(side, F.col(at) == F.col(site), "left")
     lines = _lines(text)
-    kept = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("_drop"), _digest(x)))
-    rest = joined.withColumn("_kept", F.when(F.col("_drop").isNull(), lines).otherwise(kept)).withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long"))
-    rest = rest.withColumn("n_lines", F.when(F.col(text).isNull(), F.lit(0).cast("long")).otherwise(F.col("n_lines")))
-    rest = rest.withColumn("n_dropped", F.when(F.col(text).isNull(), F.lit(0).cast("long")).otherwise(F.col("n_lines") - F.size("_kept")))
-    return rest.withColumn(text, F.array_join("_kept", "\n")).drop("_at", "_host", "_drop", "_kept")
+    kept = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col(gone), _digest(x)))
+    rest = joined.withColumn(left, F.when(F.col(gone).isNull(), lines).otherwise(kept)).withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long"))
+    rest = rest.withColumn("n_lines", F.when(named(text).isNull(), F.lit(0).cast("long")).otherwise(F.col("n_lines")))
+    rest = rest.withColumn("n_dropped", F.when(named(text).isNull(), F.lit(0).cast("long")).otherwise(F.col("n_lines") - F.size(left)))
+    return rest.withColumn(text, F.array_join(left, "\n")).drop(at, site, gone, left)
 
 
 def _lines(text: str):
-    return F.split(F.col(text), "\n", -1)
+    return F.split(named(text), "\n", -1)
 
 
 def _digest(line):

@@ -9,7 +9,7 @@ import pytest
 
 from pairvox.llm import jaccard_join
 from pairvox.llm.common import connected_components
-from pairvox.llm.hashing import Substrings
+from pairvox.llm.hashing import Substrings, word_hashes
 from pairvox.llm.repeated import packed_list, planes, unplanes
 
 RNG = random.Random(11)
@@ -120,3 +120,24 @@ def test_filters_and_links_save_verification(monkeypatch):
     edges = jaccard_join._links(pdf, pdf, 85, True)
     assert len(edges) == 299 and max(max(e) for e in edges) < 300
     assert sum(verified) < 2 * 300 < 600 * 599 // 2
+
+
+def test_words_of_a_regular_structure_do_not_meet(spark):
+    bits = [bin(i).count("1") % 2 for i in range(1024)]  # the Thue-Morse sequence: polynomials modulo 2^64 can't tell it from its reverse
+    a, b = ("".join("ab"[x ^ y] for x in bits) for y in (0, 1))
+    rows = [(1, a), (2, b), (3, f"{a} x y z"), (4, f"{b} x y z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(r) for r in jaccard_join.jaccard_components(docs, width=4, percent=85).collect())
+    assert got == [(i, 1, i) for i, _ in rows]
+
+
+def test_word_hashes_depend_on_the_word_alone():
+    words = [RNG.choice(["", "x"]) * RNG.randrange(300) + "".join(RNG.choices("abc\x80é", k=RNG.randrange(1, 200))) for _ in range(500)]
+    hashes = {}
+    for order in (words, words[::-1], sorted(words)):
+        data = np.frombuffer(" ".join([*order, ""]).encode(), np.uint8)
+        ends = np.flatnonzero(data == 32)
+        starts = np.append(0, ends[:-1] + 1)
+        for w, h in zip(order, word_hashes(data, starts, ends).tolist(), strict=True):
+            assert hashes.setdefault(w, h) == h
+    assert len(set(hashes.values())) == len(hashes)

@@ -210,3 +210,25 @@ def test_quality_without_labels_and_with_nulls(spark):
     model = quality.fit_quality(docs.union(more), labels)
     out = {r.doc_id: r.score for r in quality.score_quality(docs.union(more), model).collect()}
     assert out[61] > 0.5 > out[62]
+
+
+@pytest.mark.parametrize("common", [0.9, 0.95])
+def test_recall_where_vectors_share_a_direction(spark, common):
+    rng = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    x = unit(np.sqrt(common) * unit(rng.standard_normal(64)) + np.sqrt(1 - common) * unit(rng.standard_normal((1500, 64))))
+    noise = rng.standard_normal(x.shape)
+    noise = unit(noise - (noise * x).sum(axis=1, keepdims=True) * x)
+    y = 0.9802 * x + np.sqrt(1 - 0.9802**2) * noise
+    both = np.concatenate([x, y])
+    truth = int((both @ both.T >= 0.98).sum()) - len(both)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(both)], "vec_id long, embedding array<double>, label int")
+    found = sum(r.n_links for r in itq_dedup.near_vectors(df).collect())
+    assert truth >= 3000 and 0.99 * truth <= found <= truth
+
+
+def test_too_few_bits_are_an_error():
+    rng = np.random.default_rng(6)
+    x = itq_dedup._unit(itq_dedup._unit(rng.standard_normal((1, 32))) * 40 + itq_dedup._unit(rng.standard_normal((500, 32))))
+    with pytest.raises(ValueError, match="planted pairs"):
+        itq_dedup.enough_rotations(x, (7,), min_cosine=0.98, bits=32, width=32)
