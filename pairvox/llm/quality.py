@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pairvox.llm.common import fresh, frugal, named, table, written
+from pairvox.llm.common import frugal, named, table, written
 from pairvox.llm.repeated import runs
 
 #: Labelled rows of each class that the fit sees, at most; rounds of exchange; pseudo-labels of each class a view hands on in a round.
@@ -219,15 +219,15 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text
     return co_train(stacked, y, held_out, give, rounds)
 
 
-def _facts(docs: DataFrame, text: str, own: str = "") -> list:
+def _facts(docs: DataFrame, text: str) -> list:
     have = set(docs.columns)
     column = lambda c, kind: (named(c) if c in have else F.lit(None)).cast(kind)
-    return [named(text).alias(f"{own}_body"), column("source", "string").alias(f"{own}_source"), column("lang", "string").alias(f"{own}_lang"), column("n_chars", "double").alias(f"{own}_chars")]
+    return [named(text).alias("_body"), column("source", "string").alias("_source"), column("lang", "string").alias("_lang"), column("n_chars", "double").alias("_chars")]
 
 
-def _pair(part: pd.DataFrame, own: str = "") -> tuple[list[np.ndarray], list[np.ndarray]]:
-    bodies = [(t or "").encode("utf-8", "surrogatepass") for t in part[f"{own}_body"]]
-    return [text_view(b) for b in bodies], [page_view(b, s, g, n) for b, s, g, n in zip(bodies, part[f"{own}_source"], part[f"{own}_lang"], part[f"{own}_chars"], strict=True)]
+def _pair(part: pd.DataFrame) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    bodies = [(t or "").encode("utf-8", "surrogatepass") for t in part["_body"]]
+    return [text_view(b) for b in bodies], [page_view(b, s, g, n) for b, s, g, n in zip(bodies, part["_source"], part["_lang"], part["_chars"], strict=True)]
 
 
 def _views(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -251,19 +251,22 @@ def score_quality(docs: DataFrame, model: CoTrained | None, *, text: str = "text
     """
     docs = docs.drop("text_score", "page_score", "score")
     rest = [f for f in docs.schema if columns is None or f.name in columns]
-    names, own = [f.name for f in rest], fresh(docs)
+    carried = [f for f in rest if f.name != text]
+    names = [f"c{i}" for i in range(len(carried))]  # neutral ones, as a name with a dot can't go through pandas
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for part in runs(pdf, f"{own}_body"):
+            for part in runs(pdf, "_body"):
                 out = np.ones((len(part), 3))
                 if model:
-                    a, b = _pair(part, own)
+                    a, b = _pair(part)
                     out = model.scores(np.stack(a), np.stack(b))
-                yield part.rename(columns={f"{own}_body": text})[names].assign(text_score=out[:, 0], page_score=out[:, 1], score=out[:, 2])
+                yield part[[*names, *(["_body"] if len(carried) < len(rest) else [])]].assign(text_score=out[:, 0], page_score=out[:, 1], score=out[:, 2])
 
-    ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rest)
-    return docs.select(*(named(n) for n in names if n != text), *_facts(docs, text, own)).mapInPandas(frugal(run), ddl + _SCORES)
+    ddl = "".join(f"{n} {f.dataType.simpleString()}, " for n, f in zip(names, carried, strict=True)) + ("_body string, " if len(carried) < len(rest) else "")
+    scored = docs.select(*(named(f.name).alias(n) for n, f in zip(names, carried, strict=True)), *_facts(docs, text)).mapInPandas(frugal(run), ddl + _SCORES)
+    back = {f.name: n for n, f in zip(names, carried, strict=True)} | {text: "_body"}
+    return scored.select(*(F.col(back[f.name]).alias(f.name) for f in rest), *(x.split()[0] for x in _SCORES.split(", ")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

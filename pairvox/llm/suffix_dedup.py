@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairvox.llm.common import frugal, give_back, table, written
+from pairvox.llm.common import frugal, give_back, named, table, written
 from pairvox.llm.hashing import Substrings, mix
 from pairvox.llm.repeated import LEVEL, PACKED, _rows, answers, by_home, homes, key_bits, planes, runs, short_keys, told_keys, unplanes
 
@@ -387,7 +387,7 @@ def _packed_texts(docs: DataFrame, key: str, text: str, n_homes: int, rest: list
 
     at = F.pmod(F.coalesce(F.col(key).cast("long"), F.xxhash64(text)), F.lit(n_homes)).cast("int").alias("part")  # rows without id go by content
     body = F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body")
-    slim = docs.select(at, F.col(key).cast("long").alias("id"), F.hash(text).alias("m"), F.col(text).isNull().alias("nil"), body, *[F.col(f"`{f.name}`").alias(f"_{f.name}") for f in rest])
+    slim = docs.select(at, F.col(key).cast("long").alias("id"), F.hash(text).alias("m"), F.col(text).isNull().alias("nil"), body, *[named(f.name).alias(f"_{i}") for i, f in enumerate(rest)])
     return slim.mapInPandas(frugal(pack), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema))
 
 
@@ -432,12 +432,13 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, key: str = "doc_id", te
     spans = contexts.groupBy("part").applyInPandas(lambda pdf: _meet_contexts(pdf, length, n_homes), PACKED).union(copies)
     carried = [f for f in rest if f.name != text]
     whole = _packed_texts(docs, key, text, n_homes, carried)
-    names = [text if f.name == text else f"_{f.name}" for f in rest]
+    of = {f.name: f"_{i}" for i, f in enumerate(carried)}
+    names = [of.get(f.name, text) for f in rest]
 
     def finish(docs: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         give_back()
         out = _finish(docs, told, names, text if text in names else None)
-        return out.rename(columns={f"_{f.name}": f.name for f in carried})
+        return out.rename(columns={n: c for c, n in of.items()})
 
     ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rest)
     return whole.groupBy("part").cogroup(spans.groupBy("part")).applyInPandas(finish, ddl + _CUT)

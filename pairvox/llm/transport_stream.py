@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairvox.llm.common import table
+from pairvox.llm.common import named, table
 
 # Fixed values of the format.
 PACKET, SYNC, PAT_PID, STREAM_ID, PRIVATE_PES = 188, 0x47, 0x0000, 0xBD, 0x06
@@ -192,26 +192,37 @@ def mux(df: DataFrame, payload: str = "payload") -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for part in _parts(pdf, payload):
-                yield part[rest].assign(media=[write_stream(bytes(x or b"")) for x in part[payload]])
+            for part in _parts(pdf, "body"):
+                yield part[names].assign(media=[write_stream(bytes(x or b"")) for x in part["body"]])
 
-    return df.mapInPandas(run, f"{_ddl(df, rest)}{MEDIA_SCHEMA}")
+    slim, names = _slim(df, rest, payload)
+    return slim.mapInPandas(run, f"{_ddl(slim, names)}{MEDIA_SCHEMA}").toDF(*rest, "media")
 
 
 def demux(df: DataFrame, media: str = "media") -> DataFrame:
-    """df with the columns of READ_SCHEMA read from the streams in `media`; columns of these names are replaced. A null counts as an empty stream."""
-    names = [x.split()[0] for x in READ_SCHEMA.replace("struct<pts: long, byte_offset: long, random_access: boolean>", "x").split(", ")]
-    rest = [c for c in df.columns if c not in names]
+    """df with the columns of READ_SCHEMA read from the streams in `media`; columns of these names are replaced.
+
+    A null counts as an empty stream. Streams are read whole, at any length; repeated rows are read each.
+    """
+    own = [x.split()[0] for x in READ_SCHEMA.replace("struct<pts: long, byte_offset: long, random_access: boolean>", "x").split(", ")]
+    rest = [c for c in df.columns if c not in own]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for part in _parts(pdf, media):
-                rows = [read_stream(bytes(x or b"")) for x in part[media]]
-                out = pd.DataFrame({n: [r[i] for r in rows] for i, n in enumerate(names[:-1])}, index=part.index)
-                out[names[-1]] = [[{"pts": a, "byte_offset": b, "random_access": c} for a, b, c in r[-1]] for r in rows]
-                yield pd.concat([part[rest], out], axis=1)
+            for part in _parts(pdf, "body"):
+                rows = [read_stream(bytes(x or b"")) for x in part["body"]]
+                out = pd.DataFrame({n: [r[i] for r in rows] for i, n in enumerate(own[:-1])}, index=part.index)
+                out[own[-1]] = [[{"pts": a, "byte_offset": b, "random_access": c} for a, b, c in r[-1]] for r in rows]
+                yield pd.concat([part[names], out], axis=1)
+
+    slim, names = _slim(df, rest, media)
+    return slim.mapInPandas(run, f"{_ddl(slim, names)}{READ_SCHEMA}").toDF(*rest, *own)
+
 
-    return df.mapInPandas(run, f"{_ddl(df, rest)}{READ_SCHEMA}")
+def _slim(df: DataFrame, rest: list[str], body: str) -> tuple[DataFrame, list[str]]:
+    """`body` and the columns `rest` under neutral names, as a name with a dot can't go through pandas; and these names."""
+    names = [f"c{i}" for i in range(len(rest))]
+    return df.select(*(named(c).alias(n) for c, n in zip(rest, names, strict=True)), named(body).alias("body")), names
 
 
 def _ddl(df: DataFrame, names: list[str]) -> str:
