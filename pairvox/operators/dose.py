@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairvox.operators.quantiles import by_groups, quantiles
+
 
 def roi_dose_stats(df: DataFrame, *, keys: list[str], dose: str) -> DataFrame:
-    """Mean, deviation, extremes and D_x, the dose that the hottest x percent reach."""
-    d = lambda x: F.percentile(dose, 1 - x / 100).alias(f"D_{x}")
-    return df.groupBy(*keys).agg(F.avg(dose).alias("mean"), F.stddev_samp(dose).alias("std"), F.max(dose).alias("max"), F.min(dose).alias("min"), *(d(x) for x in (2, 5, 95, 98)))
+    """Mean, deviation, extremes and D_x, the dose that the hottest x percent reach; regions of any size."""
+    shares = (2, 5, 95, 98)
+    reached = quantiles(df, keys, dose, [1 - x / 100 for x in shares]).select(*keys, *(F.get("quantiles", F.lit(i)).alias(f"D_{x}") for i, x in enumerate(shares)))
+    stats = df.groupBy(*keys).agg(F.avg(dose).alias("mean"), F.stddev_samp(dose).alias("std"), F.max(dose).alias("max"), F.min(dose).alias("min"))
+    return by_groups(stats, reached, keys, "left")
 
 
 def roi_delta(ref: DataFrame, synth: DataFrame, *, keys: list[str], metrics: list[str]) -> DataFrame:

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairvox.operators.quantiles import quantiles
 from pairvox.operators.spread import cut, smallest_label
 
 
@@ -73,7 +74,7 @@ def local_change_slabs(slices: DataFrame, offsets: list[tuple[int, int, int]], *
 
 def homogeneous(lic: DataFrame, q: float) -> DataFrame:
     """Pixels whose local change is at most its q-quantile in the volume (linear interpolation)."""
-    t = lic.groupBy("volume_id").agg(F.percentile("lic", q).alias("threshold"))
+    t = quantiles(lic.filter(~F.isnan("lic")), ["volume_id"], "lic", [q]).select("volume_id", F.get("quantiles", F.lit(0)).alias("threshold"))
     return lic.join(t, "volume_id").filter("lic <= threshold")
 
 

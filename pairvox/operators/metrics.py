@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairvox.operators.quantiles import by_groups, quantiles
+
 #: Dynamic range of HU, constants of the similarity index.
 HU_RANGE, SSIM_K = 2224.0, (0.01, 0.03)
 
@@ -122,8 +124,10 @@ def box_summary(df: DataFrame, *, facet: str, group: str, v: str) -> DataFrame:
 
 
 def describe_by(df: DataFrame, *, groups: list[str], v: str) -> DataFrame:
-    p = lambda q: F.percentile(v, q)
-    return df.groupBy(*groups).agg(F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), p(0.25).alias("q25"), p(0.5).alias("q50"), p(0.75).alias("q75"), F.max(v).alias("max"))
+    """Count, mean, deviation, extremes and quartiles of groups of any size."""
+    q = quantiles(df, groups, v, [0.25, 0.5, 0.75]).select(*groups, *(F.get("quantiles", F.lit(i)).alias(f"q{25 * i + 25}") for i in range(3)))
+    stats = df.groupBy(*groups).agg(F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+    return by_groups(stats, q, groups, "left").select(*groups, "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def confusion_matrix(df: DataFrame, *, label: str, pred: str, n: int) -> DataFrame:

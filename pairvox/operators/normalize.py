@@ -5,20 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairvox.operators.quantiles import quantiles
+
 #: Percentiles of the landmark method.
 LANDMARKS = [0.02, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.98]
 
 
 def p99_normalize(df: DataFrame, *, volume: str, v: str, q: float = 0.99) -> DataFrame:
     """df with `norm`: values by the q-quantile of the volume's positive ones, cut to [0, 1]; 0 where there are none."""
-    top = df.filter(F.col(v) > 0).groupBy(volume).agg(F.percentile(v, q).alias("_q"))
+    top = quantiles(df.filter(F.col(v) > 0), [volume], v, [q]).select(volume, F.get("quantiles", F.lit(0)).alias("_q"))
     scaled = F.when(F.col("_q") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(v) / F.col("_q")))).otherwise(0.0)
     return df.join(top, volume, "left").withColumn("norm", scaled).drop("_q")
 
 
 def landmarks(df: DataFrame, *, volume: str, v: str, qs: list[float] = LANDMARKS) -> DataFrame:
-    """(volume, marks): quantiles of each volume, in one aggregation."""
-    return df.groupBy(volume).agg(F.percentile(v, F.array(*map(F.lit, qs))).alias("marks"))
+    """(volume, marks): quantiles of each volume, of any size."""
+    return quantiles(df, [volume], v, qs).select(volume, F.col("quantiles").alias("marks"))
 
 
 def fit_scale(marks: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairvox.operators.filters import footprint, local_change_slabs
+from pairvox.operators.quantiles import quantiles
 
 
 def global_min_max(df: DataFrame, v: str) -> DataFrame:
@@ -41,7 +42,7 @@ def npeaks_find(
     lic = local_change_slabs(slices, offsets)
     meet = slices.select("volume_id", "z", "px").join(lic, ["volume_id", "z"]).join(masks.select("volume_id", "mask", "z", F.col("px").alias("m")), ["volume_id", "z"])
     inside = meet.select("volume_id", "mask", F.explode(F.filter(F.arrays_zip("px", "lic", "m"), lambda s: s["m"] > 0)).alias("s")).select("volume_id", "mask", F.col("s.px").alias("v"), F.col("s.lic").alias("lic"))
-    threshold = inside.groupBy("volume_id", "mask").agg(F.percentile("lic", quantile).alias("threshold"))
+    threshold = quantiles(inside, ["volume_id", "mask"], "lic", [quantile]).select("volume_id", "mask", F.get("quantiles", F.lit(0)).alias("threshold"))
     fine = inside.join(threshold, ["volume_id", "mask"]).filter("lic <= threshold")
     ranges = fine.groupBy("volume_id", "mask").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.first("threshold").alias("threshold"))
     step = (F.col("hi") - F.col("lo")) / (n_levels - 1)

@@ -1300,3 +1300,6 @@ def metrics_stream(spark, d):
     stream = streams.volume_metrics_stream(spark, path, "volume_id string, mae double, mse double, mask long", volume="volume_id", unmasked=["mae"], masked=["mse"], weight="mask")
     out = streams.drain(stream, "volumes_" + path[-32:], path + "-state")
     return out.select("volume_id", F.round("mae", 4).alias("mae"), F.round("mse_weighted", 9).alias("mse_weighted"), "mask_voxels", "slice_count")
+
+
+from pairvox.plans import scale_queries  # noqa: E402, F401  these add themselves
