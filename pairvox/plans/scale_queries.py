@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pairvox.operators.intervals import interval_join
 from pairvox.operators.quantiles import quantiles
 from pairvox.plans.adapters import table
 from pairvox.plans.queries import query
@@ -27,3 +28,24 @@ def quantiles_of_groups(spark, d):
     """Large groups by selection."""
     rows = table(spark, d, "lineitem").select((F.col("l_suppkey") % 7).alias("shelf"), "l_extendedprice")
     return quantiles(rows, ["shelf"], "l_extendedprice", QS, direct=500, gather=100, parts=16).select("shelf", "n", *_columns())
+
+
+@query("SELECT e.event_id, p.event_id AS purchase_id FROM events e JOIN events p ON p.event_type = 'purchase' AND p.user_id = e.user_id AND e.ts >= p.ts AND e.ts < p.ts + INTERVAL 36 HOUR")
+def events_after_purchase(spark, d):
+    """Events within 36 hours from a purchase of the same user."""
+    events = table(spark, d, "events")
+    spans = events.filter("event_type = 'purchase'").select("user_id", F.col("event_id").alias("purchase_id"), F.col("ts").alias("opened"), F.expr("ts + INTERVAL 36 HOURS").alias("closed"))
+    return interval_join(events.select("event_id", "user_id", "ts"), spans, keys=["user_id"], at="ts", lo="opened", hi="closed", half_open=True).select("event_id", "purchase_id")
+
+
+@query("""WITH b AS (SELECT l_returnflag, min(l_extendedprice) AS low, max(l_extendedprice) AS high FROM lineitem GROUP BY 1),
+i AS (SELECT l_returnflag, 'cheap' AS band, NULL AS lo, low + 20000 AS hi FROM b UNION ALL SELECT l_returnflag, 'middle', low + 15000, low + 50000 FROM b UNION ALL SELECT l_returnflag, 'least', low, low FROM b UNION ALL SELECT l_returnflag, 'dear', high - 5000, NULL FROM b)
+SELECT l_orderkey, l_linenumber, band FROM lineitem l LEFT JOIN i ON i.l_returnflag = l.l_returnflag AND (lo IS NULL OR l_extendedprice >= lo) AND (hi IS NULL OR l_extendedprice <= hi)""")
+def price_bands(spark, d):
+    """Line items in bands of prices of their flag: some overlap, some are open, one has one value; hot bins are split."""
+    items = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_extendedprice")
+    ends = items.groupBy("l_returnflag").agg(F.min("l_extendedprice").alias("low"), F.max("l_extendedprice").alias("high"))
+    none = F.lit(None).cast("double")
+    each = [("cheap", none, F.col("low") + 20000), ("middle", F.col("low") + 15000, F.col("low") + 50000), ("least", F.col("low"), F.col("low")), ("dear", F.col("high") - 5000, none)]
+    bands = ends.select("l_returnflag", F.explode(F.array(*(F.struct(F.lit(n).alias("band"), a.alias("lo"), b.alias("hi")) for n, a, b in each))).alias("b")).select("l_returnflag", "b.*")
+    return interval_join(items, bands, keys=["l_returnflag"], at="l_extendedprice", lo="lo", hi="hi", how="left", hot_points=500).select("l_orderkey", "l_linenumber", "band")

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pairvox.operators.intervals import interval_join
 from pairvox.operators.quantiles import quantiles
 
 RNG = random.Random(2)
@@ -46,3 +47,24 @@ def test_no_task_sees_a_whole_group(spark):
     plan = quantiles(spark.range(10_000).select((F.col("id") * 1.0).alias("v")), [], "v", [0.5], direct=100, gather=100)
     assert plan.first().quantiles == [4999.5]
     assert "percentile" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("hot", [1_000_000, 20])
+def test_intervals_as_the_plain_version(spark, hot):
+    points = [(RNG.choice(["a", "a", "a", "b", None]), RNG.choice([None, float("nan"), 0.0, -1e300, 1e18, float("inf"), RNG.uniform(-100, 100), RNG.uniform(-1e6, 1e6), float(RNG.randrange(9))])) for _ in range(300)]
+    spans = []
+    for i in range(120):
+        lo = RNG.choice([None, float("-inf"), 0.0, RNG.uniform(-120, 100), float(RNG.randrange(9))])
+        hi = RNG.choice([None, float("inf"), lo, (lo or 0.0) + 10 ** RNG.uniform(-9, 9), (lo or 0.0) - 1])
+        spans.append((RNG.choice(["a", "b", "c", None]), lo, hi, i))
+    p = spark.createDataFrame(points, "k string, x double").repartition(3)
+    s = spark.createDataFrame(spans, "k string, lo double, hi double, i int").repartition(2)
+    for half in (False, True):
+        inside = lambda k, x, g, lo, hi: k is not None and k == g and x is not None and x == x and (lo is None or x >= lo) and (hi is None or (x < hi if half else x <= hi)) and not (lo is not None and hi is not None and hi < lo)  # noqa: E731, B023
+        want = [(k, x, i) for k, x in points for g, lo, hi, i in spans if inside(k, x, g, lo, hi)]
+        alone = [(k, x, None) for k, x in points if not any(inside(k, x, g, lo, hi) for g, lo, hi, _ in spans)]
+        got = interval_join(p, s, keys=["k"], at="x", lo="lo", hi="hi", half_open=half, hot_points=hot)
+        assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(str, ((r.k, r.x, r.i) for r in got.collect()))) == sorted(map(str, want))
+        left = interval_join(p, s, keys=["k"], at="x", lo="lo", hi="hi", half_open=half, how="left", hot_points=hot)
+        assert sorted(map(str, ((r.k, r.x, r.i) for r in left.collect()))) == sorted(map(str, want + alone))
