@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pairvox.operators.intervals import interval_join
 from pairvox.operators.quantiles import quantiles
 from pairvox.plans.adapters import table
-from pairvox.plans.queries import query
+from pairvox.plans.queries import LAYOUT, LOSS, _cases_with_split, _folder, _log_lines, query
+from pairvox.sources import tables
+from pairvox.streaming import streams
 
 QS = [0.0, 0.02, 0.5, 0.99, 1.0]
 _QS_SQL = ", ".join(f"round(quantile_cont(l_extendedprice, {q}), 6) AS q{round(100 * q)}" for q in QS)
@@ -49,3 +51,59 @@ def price_bands(spark, d):
     each = [("cheap", none, F.col("low") + 20000), ("middle", F.col("low") + 15000, F.col("low") + 50000), ("least", F.col("low"), F.col("low")), ("dear", F.col("high") - 5000, none)]
     bands = ends.select("l_returnflag", F.explode(F.array(*(F.struct(F.lit(n).alias("band"), a.alias("lo"), b.alias("hi")) for n, a, b in each))).alias("b")).select("l_returnflag", "b.*")
     return interval_join(items, bands, keys=["l_returnflag"], at="l_extendedprice", lo="lo", hi="hi", how="left", hot_points=500).select("l_orderkey", "l_linenumber", "band")
+
+
+# Sinks that keep what they don't replace, streams that go on, and many runs at once
+
+
+@query("SELECT event_type AS experiment, user_id, round(avg(value), 6) + CASE WHEN event_type = 'click' THEN 1000 ELSE 0 END AS mae FROM events GROUP BY 1, 2")
+def rewritten_experiment(spark, d):
+    """Volume metrics of all experiments, then one experiment written again: the others stay."""
+    path = _folder(spark, "experiments")
+    each = table(spark, d, "events").groupBy(F.col("event_type").alias("experiment"), "user_id").agg(F.round(F.avg("value"), 6).alias("mae"))
+    tables.write_volume_metrics(each, path)
+    tables.write_volume_metrics(each.filter("experiment = 'click'").withColumn("mae", F.col("mae") + 1000), path)
+    return spark.read.parquet(path).select("experiment", "user_id", "mae")
+
+
+@query(LAYOUT.replace("SELECT split,", "SELECT split_part(case_id, '_', 1) AS region, split,").replace("GROUP BY 1, 2", "WHERE NOT (split_part(case_id, '_', 1) = 'AB' AND split = 'val' AND c_acctbal <= 5000 AND c_acctbal > 0) GROUP BY 1, 2, 3"))
+def rewritten_region(spark, d):
+    """Slices by region, split and domain, then one folder written again with fewer rows: the region's other folders and the other regions stay."""
+    path = _folder(spark, "regions")
+    rows = _cases_with_split(spark, d)
+    tables.write_region_layout(rows, path, name="slice_name")
+    again = rows.join(table(spark, d, "customer").filter("c_acctbal > 5000").select("c_custkey"), "c_custkey", "left_semi")
+    tables.write_region_layout(again.filter("slice_name LIKE 'AB%' AND split = 'val'"), path, name="slice_name")
+    return spark.read.parquet(path).groupBy("region", "split", "domain").agg(F.count("*").alias("files"))
+
+
+@query(f"SELECT epoch, round(avg(value), 6) AS G_GAN FROM ({LOSS}) GROUP BY 1")
+def restarted_loss_stream(spark, d):
+    """The log arrives in two parts; the stream is stopped after the first and started again from its checkpoint. Equal to epoch_losses."""
+    path = _folder(spark, "parts")
+    lines = _log_lines(spark, d).withColumn("first", F.pmod(F.xxhash64("value"), F.lit(3)) == 0)
+    for part in ("first", "NOT first"):
+        lines.filter(part).select("value").write.mode("append").text(f"{path}/log")
+        streams.keep_latest(streams.loss_stream(spark, f"{path}/log", ["G_GAN"]), f"{path}/table", f"{path}/state")
+    streams.compact(spark, f"{path}/table", ["epoch"], f"{path}/compact")
+    return streams.latest(spark, f"{path}/compact", ["epoch"]).select("epoch", F.round("G_GAN", 6).alias("G_GAN"))
+
+
+@query("""WITH e AS (SELECT 'run-' || user_id % 4 AS run, event_id, user_id % 4 AS k, value, event_type FROM events)
+SELECT run, 'row' AS kind, event_id, round(value, 6) AS mae, CASE WHEN k <> 1 THEN event_type END AS model, NULL AS why FROM e WHERE NOT (k = 2 AND event_type = 'error')
+UNION ALL SELECT run, 'bad', NULL, NULL, NULL, 'mae' FROM e WHERE k = 2 AND event_type = 'error'""")
+def many_runs(spark, d):
+    """Metric files of four runs with other columns, orders and names each, and text among the numbers of one, read at once."""
+    path = _folder(spark, "runs")
+    rows = table(spark, d, "events").select((F.col("user_id") % 4).alias("k"), "event_id", F.col("value").alias("mae"), F.col("event_type").alias("model"), "props")
+    columns = {0: ["event_id", "mae", "model"], 1: ["mae", "event_id"], 2: ["model", "event_id", "mae", "props"], 3: ["event_id", "model", "mae"]}
+    for k, names in columns.items():
+        own = rows.filter(F.col("k") == k)
+        if k == 2:
+            own = own.withColumn("mae", F.when(F.col("model") == "error", "n/a").otherwise(F.col("mae").cast("string")))
+        own = own.select(*names) if k != 3 else own.select(*names).toDF("event_id", "name", "MAE")
+        own.write.option("header", True).csv(f"{path}/run-{k}")
+    good, bad = tables.read_runs(spark, [f"{path}/run-{k}" for k in columns], "event_id long, mae double, model string", renamed={"MAE": "mae", "name": "model"})
+    none = F.lit(None)
+    good = good.select("run", F.lit("row").alias("kind"), "event_id", F.round("mae", 6).alias("mae"), "model", none.cast("string").alias("why"))
+    return good.union(bad.select("run", F.lit("bad"), none.cast("long"), none.cast("double"), none.cast("string"), "why"))

@@ -54,6 +54,39 @@ def union_experiments(rows: DataFrame, runs: DataFrame, *, key: str, region: Col
     return kept, checks
 
 
+def read_runs(spark: SparkSession, paths: list[str], schema: str, *, run: str = r"([^/]+)/[^/]+$", renamed: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows (run, file, columns of schema), bad lines (run, file, line, why)) of CSV files of many runs, in one scan.
+
+    Each file has a header of its own: columns come by name, in any order; those that a file lacks are null, those that
+    schema doesn't name are left out, and `renamed` gives new names for old ones. Spaces around names and a byte order mark don't matter.
+    The run is the first group of the pattern in the file's path. A line with more fields than its header, or with text
+    that isn't of a column's type, is kept apart with the reason, and not among the rows. Empty text is null. A line is a
+    row: quoted line feeds within fields are not for these files.
+    """
+    fields = spark.createDataFrame([], schema).schema
+    lines = spark.read.text(paths, recursiveFileLookup=True).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")).filter("trim(value) <> ''")
+    first = lines.filter("block = 0").groupBy("file").agg(F.min_by("value", "n").alias("header"), F.min("n").alias("at"))
+    widest = first.agg(F.max(F.size(F.split("header", ",")))).first()[0] or 1
+    parts = ", ".join(f"c{i} string" for i in range(widest + 1))
+    parsed = lambda c: F.from_csv(c, F.lit(parts), {"mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"})
+    row = lambda s: F.array(*(F.col(f"{s}.c{i}") for i in range(widest + 1)))
+    old = F.create_map(*(F.lit(x) for kv in (renamed or {}).items() for x in kv)) if renamed else None
+    plain = lambda x: F.trim(F.regexp_replace(x, "^\ufeff", ""))
+    names = F.transform(F.filter(row("_h"), lambda x: x.isNotNull()), lambda x: F.coalesce(old[plain(x)], plain(x)) if renamed else plain(x))
+    heads = first.withColumn("_h", parsed("header")).select("file", "at", names.alias("_names"))
+    body = lines.join(heads, "file").filter("n <> at").withColumn("_v", parsed("value")).withColumn("_v", row("_v"))
+    value = lambda c: F.nullif(F.get("_v", F.array_position("_names", c).cast("int") - 1), F.lit(""))
+    given = [F.when(F.array_position("_names", f.name) > 0, value(f.name)).alias(f"_s{i}") for i, f in enumerate(fields)]
+    typed = [F.expr(f"try_cast(_s{i} AS {f.dataType.simpleString()})").alias(f"_t{i}") for i, f in enumerate(fields)]
+    extra = F.exists(F.slice("_v", F.size("_names") + 1, widest + 1), lambda x: x.isNotNull())
+    wrong = [F.when(F.col(f"_s{i}").isNotNull() & F.col(f"_t{i}").isNull(), F.lit(f.name)) for i, f in enumerate(fields)]
+    out = body.select(F.regexp_extract("file", run, 1).alias("run"), "file", "value", extra.alias("_extra"), *given).select("*", *typed)
+    why = F.when(F.col("_extra"), F.lit("more fields than names")).otherwise(F.nullif(F.concat_ws(", ", *wrong), F.lit("")))
+    out = out.withColumn("why", why)
+    rows = out.filter("why IS NULL").select("run", "file", *(F.col(f"_t{i}").alias(f.name) for i, f in enumerate(fields)))
+    return rows, out.filter("why IS NOT NULL").select("run", "file", F.col("value").alias("line"), "why")
+
+
 def flatten_results(df: DataFrame) -> DataFrame:
     """(index, metric, value) from results: array<map<string, double>>."""
     return df.select(F.posexplode("results").alias("index", "_r")).select("index", F.explode("_r").alias("metric", "value"))
@@ -80,17 +113,25 @@ def read_loss_log(spark: SparkSession, path: str, losses: list[str]) -> DataFram
     return parse_loss_lines(spark.read.text(path), losses)
 
 
+def write_partitions(df: DataFrame, path: str, by: list[str]) -> None:
+    """df as Parquet in folders by the columns `by`. Only folders that df has rows for are replaced; others stay as they are, and none is there half written.
+    """
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
 def write_split_layout(slices: DataFrame, path: str) -> None:
-    slices.write.mode("overwrite").partitionBy("split", "domain").parquet(path)
+    """By split and domain; those without rows here stay."""
+    write_partitions(slices, path, ["split", "domain"])
 
 
 def write_region_layout(slices: DataFrame, path: str, *, name: str) -> None:
-    """By body region, the part of the name before its first _; names without one are left out."""
-    slices.filter(F.instr(name, "_") > 0).withColumn("region", F.substring_index(name, "_", 1)).write.mode("overwrite").partitionBy("region", "split", "domain").parquet(path)
+    """By body region, the part of the name before its first _; names without one are left out. Regions, splits and domains without rows here stay."""
+    write_partitions(slices.filter(F.instr(name, "_") > 0).withColumn("region", F.substring_index(name, "_", 1)), path, ["region", "split", "domain"])
 
 
 def write_volume_metrics(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").partitionBy("experiment").parquet(path)
+    """By experiment; experiments without rows here stay."""
+    write_partitions(df, path, ["experiment"])
 
 
 def copy_subset(files: DataFrame, ids: DataFrame, *, name: str, id_: str, extensions: list[str], few: int = 2000) -> DataFrame:
