@@ -1280,13 +1280,13 @@ def read_metrics(spark, d):
 
 @query(f"SELECT epoch, round(avg(value), 6) AS G_GAN FROM ({LOSS}) GROUP BY 1")
 def loss_stream(spark, d):
-    """The log as a stream of files, drained; equal to epoch_losses."""
+    """The log as a stream of files; equal to epoch_losses."""
     from pairvox.streaming import streams
 
     path = _folder(spark, "log")
     _log_lines(spark, d).repartition(3).write.text(path)
-    out = streams.drain(streams.loss_stream(spark, path, ["G_GAN"]), "loss_" + path[-32:], path + "-state")
-    return out.select("epoch", r6("G_GAN"))
+    streams.keep_latest(streams.loss_stream(spark, path, ["G_GAN"]), path + "-table", path + "-state")
+    return streams.latest(spark, path + "-table", ["epoch"]).select("epoch", r6("G_GAN"))
 
 
 @query("""SELECT CAST(l_suppkey AS VARCHAR) AS volume_id, round(avg(l_extendedprice), 4) AS mae, round(sum(l_tax * l_quantity) / sum(l_quantity), 9) AS mse_weighted, CAST(sum(l_quantity) AS BIGINT) AS mask_voxels, count(*) AS slice_count FROM lineitem GROUP BY 1""")
@@ -1298,8 +1298,8 @@ def metrics_stream(spark, d):
     rows = table(spark, d, "lineitem").select(F.col("l_suppkey").cast("string").alias("volume_id"), F.col("l_extendedprice").alias("mae"), F.col("l_tax").alias("mse"), F.col("l_quantity").cast("long").alias("mask"))
     rows.repartition(4).write.option("header", True).csv(path)
     stream = streams.volume_metrics_stream(spark, path, "volume_id string, mae double, mse double, mask long", volume="volume_id", unmasked=["mae"], masked=["mse"], weight="mask")
-    out = streams.drain(stream, "volumes_" + path[-32:], path + "-state")
-    return out.select("volume_id", F.round("mae", 4).alias("mae"), F.round("mse_weighted", 9).alias("mse_weighted"), "mask_voxels", "slice_count")
+    streams.keep_latest(stream, path + "-table", path + "-state")
+    return streams.latest(spark, path + "-table", ["volume_id"]).select("volume_id", F.round("mae", 4).alias("mae"), F.round("mse_weighted", 9).alias("mse_weighted"), "mask_voxels", "slice_count")
 
 
 from pairvox.plans import scale_queries  # noqa: E402, F401  these add themselves

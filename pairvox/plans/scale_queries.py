@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from pairvox.operators.intervals import interval_join
 from pairvox.operators.quantiles import quantiles
-from pairvox.plans.adapters import table
+from pairvox.plans.adapters import dense_slices, table
 from pairvox.plans.queries import LAYOUT, LOSS, _cases_with_split, _folder, _log_lines, query
-from pairvox.sources import tables
+from pairvox.sources import nifti, tables
 from pairvox.streaming import streams
 
 QS = [0.0, 0.02, 0.5, 0.99, 1.0]
@@ -107,3 +107,32 @@ def many_runs(spark, d):
     none = F.lit(None)
     good = good.select("run", F.lit("row").alias("kind"), "event_id", F.round("mae", 6).alias("mae"), "model", none.cast("string").alias("why"))
     return good.union(bad.select("run", F.lit("bad"), none.cast("long"), none.cast("double"), none.cast("string"), "why"))
+
+
+# Volumes as files
+
+
+def _stored_volumes(spark, d, **options) -> str:
+    """Embeddings as volumes of 16 slices, written as files."""
+    path = _folder(spark, "volumes")
+    each = dense_slices(spark, d)
+    nifti.write_volumes(each.select(F.concat(F.lit("v"), F.col("volume_id")).alias("volume_id"), "z", "height", "width", "px", F.lit(0.5).alias("sx"), F.lit(0.75).alias("sy"), F.lit(3.0).alias("sz")), path, **options)
+    return path
+
+
+@query("SELECT 'v' || vec_id // 16 AS volume_id, vec_id % 16 AS z, round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS total, round(CAST(embedding[10] AS DOUBLE), 6) AS tenth, 0.75 AS sy FROM embeddings")
+def stored_volumes(spark, d):
+    """Volumes written as compressed files and read again, slice by slice."""
+    path = _stored_volumes(spark, d, kind="f8")
+    read = spark.read.format("nifti").load(path)
+    total = F.aggregate("px", F.lit(0.0), lambda a, x: a + x)
+    return read.select("volume_id", "z", F.round(total, 6).alias("total"), F.round(F.get("px", F.lit(9)), 6).alias("tenth"), "sy")
+
+
+@query("SELECT 'v' || vec_id // 16 AS volume_id, vec_id % 16 AS z, round(CAST(embedding[1] AS DOUBLE), 6) AS first FROM embeddings WHERE ('v' || vec_id // 16) LIKE 'v1%' AND vec_id % 16 >= 3 AND vec_id % 16 < 12")
+def some_stored_slices(spark, d):
+    """Slices of some volumes from files that are not compressed: the source skips other files and seeks to the slices."""
+    path = _stored_volumes(spark, d, kind="f8", compressed=False)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    read = spark.read.format("nifti").option("pushdown", "true").load(path)
+    return read.filter("volume_id LIKE 'v1%' AND z >= 3 AND z < 12").select("volume_id", "z", F.round(F.get("px", F.lit(0)), 6).alias("first"))

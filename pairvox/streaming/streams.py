@@ -49,10 +49,3 @@ def latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
 def compact(spark: SparkSession, path: str, keys: list[str], to: str) -> None:
     """The last rows alone, as a table at `to` that `latest` reads alike."""
     latest(spark, path, keys).write.mode("overwrite").parquet(f"{to}/batch=-1")
-
-
-def drain(stream: DataFrame, name: str, checkpoint: str) -> DataFrame:
-    """All that a stream's source holds now, as a table: an availableNow run into memory, in complete mode."""
-    query = stream.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)

@@ -1,7 +1,9 @@
 """What has to hold at any size, against plain versions on small tables."""
 
+import gzip
 import math
 import random
+import struct
 
 import numpy as np
 import pytest
@@ -9,6 +11,8 @@ from pyspark.sql import functions as F
 
 from pairvox.operators.intervals import interval_join
 from pairvox.operators.quantiles import quantiles
+from pairvox.sources import nifti, tables
+from pairvox.streaming import streams
 
 RNG = random.Random(2)
 
@@ -68,3 +72,109 @@ def test_intervals_as_the_plain_version(spark, hot):
         assert sorted(map(str, ((r.k, r.x, r.i) for r in got.collect()))) == sorted(map(str, want))
         left = interval_join(p, s, keys=["k"], at="x", lo="lo", hi="hi", half_open=half, how="left", hot_points=hot)
         assert sorted(map(str, ((r.k, r.x, r.i) for r in left.collect()))) == sorted(map(str, want + alone))
+
+
+def test_sinks_replace_only_what_they_write(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    read = lambda: sorted(map(tuple, spark.read.parquet(path).select("x", "a", "b").collect()))
+    tables.write_partitions(spark.createDataFrame([(1, "p", 1), (2, "p", 2), (3, "q", 1)], "x int, a string, b int"), path, ["a", "b"])
+    tables.write_partitions(spark.createDataFrame([(9, "p", 2), (8, "r", 1)], "x int, a string, b int"), path, ["a", "b"])
+    assert read() == [(1, "p", 1), (3, "q", 1), (8, "r", 1), (9, "p", 2)]
+    tables.write_partitions(spark.createDataFrame([], "x int, a string, b int"), path, ["a", "b"])
+    assert len(read()) == 4
+
+
+def test_a_stream_goes_on_and_a_batch_may_run_twice(spark, tmp_path):
+    base, log = f"file://{tmp_path}", tmp_path / "log"
+    log.mkdir()
+    line = lambda e, g: f"(epoch: {e}, iters: 1, time: 0.1, data: 0.2) G_GAN: {g}\n"
+    run = lambda: streams.keep_latest(streams.loss_stream(spark, str(log), ["G_GAN"]), f"{base}/table", f"{base}/state")
+    read = lambda p="table": sorted(map(tuple, streams.latest(spark, f"{base}/{p}", ["epoch"]).collect()))
+    (log / "a.txt").write_text(line(1, 1.0) + line(2, 5.0))
+    run()
+    assert read() == [(1, 1.0), (2, 5.0)]
+    (log / "b.txt").write_text(line(1, 3.0) + line(3, 7.0))
+    run()
+    assert read() == [(1, 2.0), (2, 5.0), (3, 7.0)]
+    run()  # nothing new
+    spark.read.parquet(f"{base}/table/batch=1").write.mode("overwrite").parquet(f"{base}/again")
+    spark.read.parquet(f"{base}/again").write.mode("overwrite").parquet(f"{base}/table/batch=1")
+    assert read() == [(1, 2.0), (2, 5.0), (3, 7.0)]
+    streams.compact(spark, f"{base}/table", ["epoch"], f"{base}/compact")
+    assert read("compact") == read()
+
+
+def test_many_runs_with_headers_of_their_own(spark, tmp_path):
+    files = {
+        "r1/m.csv": 'file,mae,note\na,1.5,"x, y"\nb,,\n',
+        "r2/deep/m.csv": "\ufeffmae , file\n2.5,c\nbad,d\n3,e,9,9\n\n",
+        "r3/m.csv": "file,old\nf,-1e3\n",
+        "r4/m.csv": "file,mae\n",
+    }
+    for name, text in files.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    good, bad = tables.read_runs(spark, [str(tmp_path)], "file string, mae double, note string, absent int".replace("file", "name"), run=r"/(r\d)/", renamed={"old": "mae", "file": "name"})
+    assert sorted((r.run, r.name, r.mae, r.note, r.absent) for r in good.collect()) == [("r1", "a", 1.5, "x, y", None), ("r1", "b", None, None, None), ("r2", "c", 2.5, None, None), ("r3", "f", -1000.0, None, None)]
+    assert sorted((r.run, r.line, r.why) for r in bad.collect()) == [("r2", "3,e,9,9", "more fields than names"), ("r2", "bad,d", "mae")]
+    one, _ = tables.read_runs(spark, [str(tmp_path / "r4")], "name string", renamed={"file": "name"})
+    assert one.count() == 0
+
+
+def volume_file(path, cube, order="<", kind="f4", slope=1.0, shift=0.0):
+    head = bytearray(352)
+    struct.pack_into(f"{order}i", head, 0, 348)
+    struct.pack_into(f"{order}8h", head, 40, 3, cube.shape[2], cube.shape[1], cube.shape[0], 1, 1, 1, 1)
+    struct.pack_into(f"{order}h", head, 70, next(c for c, k in nifti.KINDS.items() if k == kind))
+    struct.pack_into(f"{order}8f", head, 76, 1, 0.5, 0.75, 3, 0, 0, 0, 0)
+    struct.pack_into(f"{order}3f", head, 108, 352, slope, shift)
+    body = bytes(head) + cube.astype(order + kind).tobytes()
+    path.write_bytes(gzip.compress(body) if path.name.endswith("gz") else body)
+
+
+def test_volumes_as_a_data_source(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(nifti, "TASK_BYTES", 3000)
+    monkeypatch.setattr(nifti, "BATCH_VALUES", 30)
+    rng, cubes = np.random.default_rng(4), {}
+    (tmp_path / "deep").mkdir()
+    for name, order, kind in (("a.nii", "<", "i2"), ("deep/b.nii.gz", ">", "f4"), ("big.nii", "<", "f8"), ("c.nii.gz", "<", "u1")):
+        cube = rng.integers(0, 100, (70 if name == "big.nii" else 5, 3, 4)).astype(float)
+        volume_file(tmp_path / name, cube, order, kind, 2.0, 1.0)
+        cubes[nifti._stem(name)] = cube * 2 + 1
+    (tmp_path / "notes.txt").write_text("no volume")
+    nifti.register(spark)
+    parts = nifti.VolumeReader(str(tmp_path)).partitions()
+    assert sum(len(p.parts) for p in parts) == 6 and max(n for p in parts for *_, n in p.parts) == 3  # the big one in three shares
+    rows = spark.read.format("nifti").load(str(tmp_path)).collect()
+    got = {n: np.stack([r.px for r in sorted((r for r in rows if r.volume_id == n), key=lambda r: r.z)]).reshape(-1, 3, 4) for n in cubes}
+    assert all((got[n] == cubes[n]).all() for n in cubes) and len(rows) == 85
+    assert {(r.height, r.width, r.sx, r.sy, r.sz) for r in rows} == {(3, 4, 0.5, 0.75, 3.0)} and rows[0].affine[2] == [0, 0, 3, 0]
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    some = spark.read.format("nifti").option("pushdown", "true").load(str(tmp_path))
+    for cond, n in (("volume_id = 'big' AND z > 60 AND z <= 65", 5), ("volume_id IN ('a', 'b') AND z = 2", 2), ("volume_id LIKE 'b%' AND z >= 4", 67), ("z < 1 AND height = 3", 4), ("z < 0", 0), ("volume_id = 'none'", 0)):
+        assert some.filter(cond).count() == n, cond
+    reader = nifti.FilteringReader(str(tmp_path))
+    assert not list(reader.pushFilters([nifti.EqualTo(("volume_id",), "c"), nifti.LessThan(("z",), 2)])) and [p.parts for p in reader.partitions()] == [[(str(tmp_path / "c.nii.gz"), 0, 1)]]
+
+
+def test_written_volumes(spark, tmp_path):
+    rows = [(f"v{i}", z, 2, 3, [float(i * 100 + z * 10 + k) for k in range(6)], 0.5) for i in range(3) for z in range(4)]
+    df = spark.createDataFrame(rows, "volume_id string, z int, height int, width int, px array<double>, sx double")
+    for kind, compressed in (("f4", True), ("i2", False)):
+        path = f"file://{tmp_path}/{kind}"
+        nifti.write_volumes(df.repartition(5), path, kind=kind, compressed=compressed)
+        nifti.write_volumes(df.filter("volume_id = 'v1'"), path, kind=kind, compressed=compressed)
+        back = spark.read.format("nifti").load(path)
+        assert sorted((r.volume_id, r.z, r.height, r.width, list(r.px), r.sx) for r in back.collect()) == sorted(rows)
+        plain = tables.read_nifti(spark, path)
+        assert sorted((r.volume_id, r.z, list(r.px)) for r in plain.collect()) == sorted((r[0], r[1], r[4]) for r in rows)
+    with pytest.raises(Exception, match="not 0, 1, 2"):
+        nifti.write_volumes(df.filter("z <> 1"), f"file://{tmp_path}/holes")
+
+
+def test_a_cut_off_file_is_an_error(spark, tmp_path):
+    volume_file(tmp_path / "a.nii", np.zeros((4, 3, 4)))
+    (tmp_path / "a.nii").write_bytes((tmp_path / "a.nii").read_bytes()[:-5])
+    nifti.register(spark)
+    with pytest.raises(Exception, match="ends before slice"):
+        spark.read.format("nifti").load(str(tmp_path)).count()
