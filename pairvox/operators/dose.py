@@ -49,9 +49,9 @@ def mean_difference(df: DataFrame, *, label: str, model: str, v: str, labels: li
     return df.groupBy(model).pivot(label, labels).agg(F.round(F.avg(value), 2))
 
 
-def patient_range(df: DataFrame, *, model: str, label: str, patient: str, v: str) -> DataFrame:
-    """(model, label, low, high, mean) over patients, each with the mean of its rows."""
-    each = df.groupBy(model, label, patient).agg(F.avg(v).alias("_v"))
+def patient_range(df: DataFrame, *, model: str, label: str, patient: str, v: str, order: list[str]) -> DataFrame:
+    """(model, label, low, high, mean) over patients. Of a patient's repeated rows the first by `order` counts, a null value there giving way to the next."""
+    each = df.filter(F.col(v).isNotNull()).groupBy(model, label, patient).agg(F.min_by(v, F.struct(*order)).alias("_v"))
     return each.groupBy(model, label).agg(F.min("_v").alias("low"), F.max("_v").alias("high"), F.avg("_v").alias("mean"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairvox.operators.quantiles import by_groups, quantiles
+from pairvox.operators.splits import random_subset
 
 #: Dynamic range of HU, constants of the similarity index.
 HU_RANGE, SSIM_K = 2224.0, (0.01, 0.03)
@@ -85,6 +86,47 @@ def drop_zero_mask(df: DataFrame, mask: str = "mask_voxels") -> DataFrame:
     return df.filter(~F.col(mask).eqNullSafe(0))
 
 
+def zero_mask_report(df: DataFrame, by: list[str], mask: str = "mask_voxels") -> DataFrame:
+    """(by, rows, removed, kept): what `drop_zero_mask` takes away, without doing so."""
+    gone = F.count_if(F.col(mask).eqNullSafe(0))
+    return df.groupBy(*by).agg(F.count("*").alias("rows"), gone.alias("removed"), (F.count("*") - gone).alias("kept"))
+
+
+def significant(x: Column, digits: int = 6) -> Column:
+    """A number as text with so many significant digits: no trailing zeros, an exponent below 1e-4 and from 10^digits on; n/a for null and NaN."""
+    e = F.format_string(f"%.{digits - 1}e", x)
+    exponent = F.regexp_extract(e, "e([+-][0-9]+)$", 1).try_cast("int")
+    number = F.replace(F.regexp_extract(e, "^-?([0-9.]+)e", 1), F.lit("."), F.lit(""))  # its digits
+    tidy = lambda s: F.regexp_replace(F.regexp_replace(s, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    whole = F.concat(F.substr(number, F.lit(1), exponent + 1), F.lit("."), F.substr(number, exponent + 2))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), number)
+    plain = tidy(F.when(exponent >= 0, whole).otherwise(small))
+    power = F.concat(tidy(F.regexp_extract(e, "^-?([0-9.]+)e", 1)), F.regexp_extract(e, "(e[+-][0-9]+)$", 1))
+    text = F.concat(F.when(x < 0, "-").otherwise(""), F.when((exponent < -4) | (exponent >= digits), power).otherwise(plain))
+    return F.when(x.isNull() | F.isnan(x), "n/a").when(F.abs(x) == float("inf"), F.when(x > 0, "inf").otherwise("-inf")).otherwise(text)
+
+
+def mean_std_text(df: DataFrame, metrics: list[str], groups: list[str], digits: int = 6) -> DataFrame:
+    """(groups, a text `mean +- std` for each metric); n/a where a number is not defined."""
+    stats = mean_std(df, metrics, groups)
+    return stats.select(*groups, *(F.concat(significant(F.col(f"{m}_mean"), digits), F.lit(" +- "), significant(F.col(f"{m}_std"), digits)).alias(m) for m in metrics))
+
+
+def epoch_of(name: Column) -> Column:
+    """The number in a file name like 40_net_G.pth; null for others, such as latest_net_G.pth."""
+    return F.regexp_extract(name, r"(?:^|/)([0-9]+)_net_[^/]*\.pth", 1).try_cast("int")
+
+
+def epoch_subset_metrics(df: DataFrame, *, file: str, item: str, metrics: list[str], n: int, seed: int) -> DataFrame:
+    """(epoch, items, mean and std of each metric) over the same n items in every epoch (0: all), epochs taken from file names; other files go."""
+    rows = df.withColumn("epoch", epoch_of(F.col(file))).filter("epoch IS NOT NULL")
+    items = rows.select(item).distinct()
+    if n:
+        rows = rows.join(random_subset(items, key=item, n=n, seed=seed), item, "left_semi")
+    stats = (f(m).alias(f"{m}_{k}") for m in metrics for f, k in ((F.avg, "mean"), (F.stddev_samp, "std")))
+    return rows.groupBy("epoch").agg(F.count_distinct(item).alias("items"), *stats)
+
+
 def mean_std(df: DataFrame, metrics: list[str], groups: list[str] = ()) -> DataFrame:
     return df.groupBy(*groups).agg(*(f(m).alias(f"{m}_{n}") for m in metrics for f, n in ((F.avg, "mean"), (F.stddev_samp, "std"))))
 
@@ -123,6 +165,30 @@ def box_summary(df: DataFrame, *, facet: str, group: str, v: str) -> DataFrame:
     return q.select("facet", group, "n", a.alias("q1"), m.alias("median"), b.alias("q3"), (a - 1.5 * (b - a)).alias("low_fence"), (b + 1.5 * (b - a)).alias("high_fence"))
 
 
+def box_whiskers(df: DataFrame, *, facet: str, group: str, v: str, factors: list[str] = ()) -> DataFrame:
+    """(facet, group, n, q1, median, q3, low, high, outliers) in each facet and in Total: whiskers end at the outermost values within 1.5 IQR of the box.
+
+    ValueError if any of the other `factors` has several values within a group of a facet, as its box would mix them.
+    Quartiles are exact for groups of any size; rows are not copied for Total.
+    """
+    rows = df.select(F.col(facet).cast("string").alias("facet"), group, F.col(v).cast("double").alias("_v"), *factors)
+    if factors:
+        kinds = rows.groupBy("facet", group).agg(*(F.count_distinct(F.coalesce(F.to_json(F.struct(f)), F.lit(""))).alias(f"_{i}") for i, f in enumerate(factors)))
+        mixed = kinds.agg(*(F.max(f"_{i}") for i in range(len(factors)))).first()
+        if found := [f for f, k in zip(factors, mixed, strict=True) if (k or 0) > 1]:
+            raise ValueError(f"groups mix values of {', '.join(found)}")
+    out = None
+    for keys in (["facet", group], [group]):
+        q = quantiles(rows, keys, "_v", [0.25, 0.5, 0.75]).select(*keys, *(F.get("quantiles", F.lit(i)).alias(c) for i, c in enumerate(("q1", "median", "q3"))))
+        both = by_groups(rows, q, keys).filter("_v IS NOT NULL")
+        reach = 1.5 * (F.col("q3") - F.col("q1"))
+        inside = (F.col("_v") >= F.col("q1") - reach) & (F.col("_v") <= F.col("q3") + reach)
+        ends = both.groupBy(*keys, "q1", "median", "q3").agg(F.count("*").alias("n"), F.min(F.when(inside, F.col("_v"))).alias("low"), F.max(F.when(inside, F.col("_v"))).alias("high"), F.count_if(~inside).alias("outliers"))
+        part = ends.select(F.col("facet") if len(keys) == 2 else F.lit("Total").alias("facet"), group, "n", "q1", "median", "q3", "low", "high", "outliers")
+        out = part if out is None else out.union(part)
+    return out
+
+
 def describe_by(df: DataFrame, *, groups: list[str], v: str) -> DataFrame:
     """Count, mean, deviation, extremes and quartiles of groups of any size."""
     q = quantiles(df, groups, v, [0.25, 0.5, 0.75]).select(*groups, *(F.get("quantiles", F.lit(i)).alias(f"q{25 * i + 25}") for i in range(3)))
@@ -144,6 +210,11 @@ def segmentation_scores(cm: DataFrame) -> DataFrame:
     return out.select("label", (F.col("hit") / F.col("r")).alias("accuracy"), (F.col("hit") / (F.col("r") + F.col("c") - F.col("hit") + 1e-12)).alias("iou"), (F.sum("hit").over(total) / F.sum("r").over(total)).alias("pixel_accuracy"))
 
 
+def segmentation_means(cm: DataFrame) -> DataFrame:
+    """One row (classes, pixel_accuracy, mean_accuracy, mean_iou): means over the classes that have labels."""
+    return segmentation_scores(cm).agg(F.count("*").alias("classes"), F.max("pixel_accuracy").alias("pixel_accuracy"), F.avg("accuracy").alias("mean_accuracy"), F.avg("iou").alias("mean_iou"))
+
+
 def slice_bbox(px: DataFrame) -> DataFrame:
     """(volume_id, z, y0, y1, x0, x1, height, width, area) of pixels > 0, ends included."""
     box = px.filter("v > 0").groupBy("volume_id", "z").agg(F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.count("*").alias("area"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pairvox.operators import metrics
 from pairvox.operators.intervals import interval_join
 from pairvox.operators.quantiles import quantiles
 from pairvox.plans.adapters import dense_slices, table
@@ -136,3 +137,47 @@ def some_stored_slices(spark, d):
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     read = spark.read.format("nifti").option("pushdown", "true").load(path)
     return read.filter("volume_id LIKE 'v1%' AND z >= 3 AND z < 12").select("volume_id", "z", F.round(F.get("px", F.lit(0)), 6).alias("first"))
+
+
+# Tables of metrics as the notebooks have them
+
+
+@query("SELECT l_returnflag, count(*) AS rows, count(*) FILTER (l_discount = 0) AS removed, count(*) FILTER (l_discount IS DISTINCT FROM 0) AS kept FROM lineitem GROUP BY 1")
+def zero_mask_dry_run(spark, d):
+    return metrics.zero_mask_report(table(spark, d, "lineitem"), ["l_returnflag"], "l_discount")
+
+
+_TEXT = "CASE WHEN {0} IS NULL THEN 'n/a' ELSE printf('%.6g', {0}) END"
+
+
+@query(f"SELECT p_brand, p_size, {_TEXT.format('avg(p_retailprice)')} || ' +- ' || {_TEXT.format('stddev_samp(p_retailprice)')} AS price, {_TEXT.format('avg(p_retailprice * 1e-8)')} || ' +- ' || {_TEXT.format('stddev_samp(p_retailprice * 1e-8)')} AS small FROM part GROUP BY 1, 2")
+def mean_std_as_text(spark, d):
+    """Groups of one row have no deviation."""
+    rows = table(spark, d, "part").select("p_brand", "p_size", F.col("p_retailprice").alias("price"), (F.col("p_retailprice") * 1e-8).alias("small"))
+    return metrics.mean_std_text(rows, ["price", "small"], ["p_brand", "p_size"])
+
+
+@query("""WITH c AS (SELECT quality AS l, toxic AS p, count(*) AS n FROM labels GROUP BY 1, 2), r AS (SELECT l, sum(n) AS r, coalesce(sum(n) FILTER (l = p), 0) AS hit FROM c GROUP BY 1), k AS (SELECT p, sum(n) AS c FROM c GROUP BY 1)
+SELECT count(*) AS classes, round(sum(hit) / sum(r), 9) AS pixel_accuracy, round(avg(hit / r), 9) AS mean_accuracy, round(avg(hit / (r + coalesce(c, 0) - hit + 1e-12)), 9) AS mean_iou FROM r LEFT JOIN k ON l = p""")
+def seg_means(spark, d):
+    cm = metrics.confusion_matrix(table(spark, d, "labels"), label="quality", pred="toxic", n=2)
+    return metrics.segmentation_means(cm).withColumns({c: F.round(c, 9) for c in ("pixel_accuracy", "mean_accuracy", "mean_iou")})
+
+
+@query("""WITH b AS (SELECT unnest([l_returnflag, 'Total']) AS facet, l_linestatus, l_extendedprice * (1 + l_quantity) AS v FROM lineitem), q AS (SELECT facet, l_linestatus, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.75) AS q3 FROM b GROUP BY 1, 2)
+SELECT facet, l_linestatus, count(*) AS n, round(q1, 4) AS q1, round(median, 4) AS median, round(q3, 4) AS q3, round(min(v) FILTER (v >= q1 - 1.5 * (q3 - q1)), 4) AS low, round(max(v) FILTER (v <= q3 + 1.5 * (q3 - q1)), 4) AS high, count(*) FILTER (v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1)) AS outliers
+FROM b JOIN q USING (facet, l_linestatus) GROUP BY facet, l_linestatus, q1, median, q3""")
+def box_whiskers(spark, d):
+    rows = table(spark, d, "lineitem").select("l_returnflag", "l_linestatus", (F.col("l_extendedprice") * (1 + F.col("l_quantity"))).alias("v"), F.lit("one run").alias("run"))
+    out = metrics.box_whiskers(rows, facet="l_returnflag", group="l_linestatus", v="v", factors=["run"])
+    return out.withColumns({c: F.round(c, 4) for c in ("q1", "median", "q3", "low", "high")})
+
+
+@query("""WITH e AS (SELECT user_id, event_id % 12 AS epoch, value FROM events WHERE event_id % 13 > 0), s AS (SELECT user_id FROM (SELECT DISTINCT user_id FROM e) ORDER BY md5('7:' || user_id), user_id LIMIT 20)
+SELECT CAST(epoch AS INT) AS epoch, count(DISTINCT user_id) AS items, round(avg(value), 6) AS value_mean, round(stddev_samp(value), 6) AS value_std FROM e JOIN s USING (user_id) GROUP BY 1""")
+def epochs_from_files(spark, d):
+    """Metrics of the same twenty users in every epoch, which a file name gives; the latest checkpoint has no number."""
+    k = F.col("event_id")
+    file = F.when(k % 13 == 0, "runs/latest_net_G.pth").otherwise(F.concat(F.lit("runs/"), k % 12, F.lit("_net_G.pth")))
+    out = metrics.epoch_subset_metrics(table(spark, d, "events").withColumn("file", file), file="file", item="user_id", metrics=["value"], n=20, seed=7)
+    return out.withColumns({c: F.round(c, 6) for c in ("value_mean", "value_std")})

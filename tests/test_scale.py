@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pairvox.operators import dose, metrics
 from pairvox.operators.intervals import interval_join
 from pairvox.operators.quantiles import quantiles
 from pairvox.sources import nifti, tables
@@ -178,3 +179,22 @@ def test_a_cut_off_file_is_an_error(spark, tmp_path):
     nifti.register(spark)
     with pytest.raises(Exception, match="ends before slice"):
         spark.read.format("nifti").load(str(tmp_path)).count()
+
+
+def test_numbers_as_text(spark):
+    values = [0.0, 1.0, -2.5, 123456.0, 1234567.0, 999999.5, 0.0001, 0.00001234567, -0.000123456789, 1e300, 5e-324, 100000.0, 3.14159265, 1e-7, None, float("nan"), float("inf"), float("-inf")]
+    rows = spark.createDataFrame([(x,) for x in values], "x double").select("x", metrics.significant(F.col("x")).alias("s")).collect()
+    assert [r.s for r in rows] == ["n/a" if x is None or x != x else f"{x:.6g}" for x in values]
+
+
+def test_boxes_do_not_mix_factors(spark):
+    df = spark.createDataFrame([("a", "g", 1.0, "r1"), ("a", "g", 2.0, "r2"), ("b", "g", None, "r1")], "f string, g string, v double, run string")
+    with pytest.raises(ValueError, match="run"):
+        metrics.box_whiskers(df, facet="f", group="g", v="v", factors=["run"])
+    got = {tuple(r) for r in metrics.box_whiskers(df, facet="f", group="g", v="v").collect()}
+    assert got == {("a", "g", 2, 1.25, 1.5, 1.75, 1.0, 2.0, 0), ("Total", "g", 2, 1.25, 1.5, 1.75, 1.0, 2.0, 0)}
+
+
+def test_the_first_of_repeated_rows_counts(spark):
+    df = spark.createDataFrame([("m", "l", "p", 2, 9.0), ("m", "l", "p", 1, None), ("m", "l", "p", 3, 1.0), ("m", "l", "q", 1, 4.0)], "m string, l string, p string, i int, v double")
+    assert [tuple(r) for r in dose.patient_range(df, model="m", label="l", patient="p", v="v", order=["i"]).collect()] == [("m", "l", 4.0, 9.0, 6.5)]
