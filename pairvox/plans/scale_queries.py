@@ -181,3 +181,12 @@ def epochs_from_files(spark, d):
     file = F.when(k % 13 == 0, "runs/latest_net_G.pth").otherwise(F.concat(F.lit("runs/"), k % 12, F.lit("_net_G.pth")))
     out = metrics.epoch_subset_metrics(table(spark, d, "events").withColumn("file", file), file="file", item="user_id", metrics=["value"], n=20, seed=7)
     return out.withColumns({c: F.round(c, 6) for c in ("value_mean", "value_std")})
+
+
+@query("SELECT DISTINCT o_orderkey, 'scan-' || o_orderkey || '-' || o_custkey || '.nii' AS name FROM orders WHERE o_orderkey % 3 < 2 AND EXISTS (SELECT 1 FROM orders p WHERE p.o_orderpriority = '1-URGENT' AND p.o_orderkey = orders.o_orderkey)")
+def subset_by_many_ids(spark, d):
+    """Files of the urgent orders, by thousands of ids in one pass over the names; a third has an unknown extension."""
+    orders = table(spark, d, "orders")
+    name = F.concat(F.lit("scan-"), "o_orderkey", F.lit("-"), "o_custkey", F.when(F.col("o_orderkey") % 3 < 2, ".nii").otherwise(".txt"))
+    ids = orders.filter("o_orderpriority = '1-URGENT'").select(F.concat(F.lit("scan-"), "o_orderkey", F.lit("-")).alias("id"))
+    return tables.copy_subset(orders.select("o_orderkey", name.alias("name")), ids, name="name", id_="id", extensions=[".nii"], few=100)

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +17,9 @@ METRICS = ["MAE", "MSE", "PSNR", "SSIM"]
 LOG_LINE = r"\(epoch: (\d+), iters: (\d+), time: ([\d.]+), data: ([\d.]+)\)"
 LOG_SCHEMA = {"epoch": "long", "iters": "long", "time": "double", "data": "double"}
 
+#: Ids up to this size are sent to every worker.
+SHIPPED_BYTES = 16 << 20
+
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
     """Slice metrics from CSV: bare legacy names count for both kinds, text in numbers becomes null, a missing mask size 0."""
@@ -134,11 +138,12 @@ def write_volume_metrics(df: DataFrame, path: str) -> None:
     write_partitions(df, path, ["experiment"])
 
 
-def copy_subset(files: DataFrame, ids: DataFrame, *, name: str, id_: str, extensions: list[str], few: int = 2000) -> DataFrame:
+def copy_subset(files: DataFrame, ids: DataFrame, *, name: str, id_: str, extensions: list[str], few: int = 2000, shipped: int = SHIPPED_BYTES) -> DataFrame:
     """Files with a known extension whose name holds a listed id.
 
-    Up to `few` ids are looked for in each name in place; more are joined on equal pieces of the names, of the ids'
-    lengths, with the same result.
+    Up to `few` ids are looked for in each name in place. More, up to `shipped` bytes of them as measured, become an
+    automaton in every worker that finds any of them in one pass over a name. Beyond that names are joined with ids on
+    equal pieces, of the ids' lengths. The result is the same; an empty id is in every name.
     """
     fine = F.lit(False)
     for e in extensions:
@@ -148,12 +153,40 @@ def copy_subset(files: DataFrame, ids: DataFrame, *, name: str, id_: str, extens
     if len(listed) <= few:
         held = F.exists(F.array(*map(F.lit, listed)), lambda x: F.contains(F.col(name), x)) if listed else F.lit(False)
         return files.filter(held).dropDuplicates()
+    if ids.agg(F.sum(F.octet_length("_id") + 8)).first()[0] <= shipped:
+        return files.mapInArrow(_finder(files.sparkSession, [r[0] for r in ids.collect()], files.columns.index(name)), files.schema).dropDuplicates()
     lengths = [r[0] for r in ids.select(F.length("_id")).distinct().collect()]  # as many as there are lengths of ids
     pieces = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - n + 1, F.lit(1))), lambda k: F.substr(F.col(name), k, F.lit(n)))
     grams = F.flatten(F.array(*map(pieces, lengths)))
     return files.withColumn("_id", F.explode(F.array_distinct(grams))).join(ids, "_id", "left_semi").drop("_id").dropDuplicates()
 
 
+_AUTOMATA: dict[int, object] = {}
+
+
+def _finder(spark: SparkSession, ids: list[str], at: int):
+    """A function for mapInArrow that keeps rows whose column `at` holds any of the ids; the automaton is built once a worker."""
+    listed = spark.sparkContext.broadcast(ids)
+    number = listed._jbroadcast.id()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if number not in _AUTOMATA:
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+            for x in filter(None, listed.value):
+                automaton.add_word(x)
+            automaton.make_automaton()
+            _AUTOMATA.clear()
+            _AUTOMATA[number] = automaton
+        found, every = _AUTOMATA[number].iter, "" in listed.value
+        for batch in batches:
+            names = batch.column(at).to_pylist()
+            yield batch.filter(pa.array([x is not None and (every or next(found(x), None) is not None) for x in names], pa.bool_()))
+
+    return run
+
+
 def restructure(files: DataFrame, *, case: str, kind: str, folders: dict[str, str]) -> DataFrame:
     """files with `target`, folder/case.ext of known kinds; others go."""
     folder = F.create_map(*(F.lit(x) for kv in folders.items() for x in kv))[F.col(kind)]

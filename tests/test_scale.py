@@ -182,7 +182,7 @@ def test_a_cut_off_file_is_an_error(spark, tmp_path):
 
 
 def test_numbers_as_text(spark):
-    values = [0.0, 1.0, -2.5, 123456.0, 1234567.0, 999999.5, 0.0001, 0.00001234567, -0.000123456789, 1e300, 5e-324, 100000.0, 3.14159265, 1e-7, None, float("nan"), float("inf"), float("-inf")]
+    values = [0.0, 1.0, -2.5, 123456.0, 1234567.0, 999999.5, 0.0001, 0.00001234567, -0.000123456789, 1e300, 2.5e-308, 100000.0, 3.14159265, 1e-7, None, float("nan"), float("inf"), float("-inf")]
     rows = spark.createDataFrame([(x,) for x in values], "x double").select("x", metrics.significant(F.col("x")).alias("s")).collect()
     assert [r.s for r in rows] == ["n/a" if x is None or x != x else f"{x:.6g}" for x in values]
 
@@ -198,3 +198,13 @@ def test_boxes_do_not_mix_factors(spark):
 def test_the_first_of_repeated_rows_counts(spark):
     df = spark.createDataFrame([("m", "l", "p", 2, 9.0), ("m", "l", "p", 1, None), ("m", "l", "p", 3, 1.0), ("m", "l", "q", 1, 4.0)], "m string, l string, p string, i int, v double")
     assert [tuple(r) for r in dose.patient_range(df, model="m", label="l", patient="p", v="v", order=["i"]).collect()] == [("m", "l", 4.0, 9.0, 6.5)]
+
+
+def test_ways_to_find_ids_agree(spark):
+    ids = sorted({"".join(RNG.choices("abé", k=RNG.randrange(1, 6))) for _ in range(60)})
+    names = [("".join(RNG.choices("abéc", k=RNG.randrange(0, 9))) + RNG.choice([".nii", ".x"]),) for _ in range(300)] + [(None,)]
+    files, listed = spark.createDataFrame(names, "`file name` string"), spark.createDataFrame([(x,) for x in [*ids, None]], "i string")
+    want = sorted({n for (n,) in names if n and n.endswith(".nii") and any(i in n for i in ids)})
+    for options in ({}, {"few": 5}, {"few": 5, "shipped": 10}):
+        got = tables.copy_subset(files.toDF("name"), listed, name="name", id_="i", extensions=[".nii"], **options)
+        assert sorted(r[0] for r in got.collect()) == want, options
