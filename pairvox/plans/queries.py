@@ -1108,9 +1108,9 @@ def mean_diff(spark, d):
     return dose.mean_difference(table(spark, d, "lineitem"), label="l_returnflag", model="l_linestatus", v="l_quantity", labels=["A", "N", "R"], absolute=True)
 
 
-@query("WITH p AS (SELECT l_linestatus, l_returnflag, l_suppkey, arg_min(l_quantity, l_orderkey * 1000 + l_linenumber) AS v FROM lineitem GROUP BY 1, 2, 3) SELECT l_linestatus, l_returnflag, round(min(v), 6) AS low, round(max(v), 6) AS high, round(avg(v), 6) AS mean FROM p GROUP BY 1, 2")
+@query("WITH p AS (SELECT l_linestatus, l_returnflag, l_suppkey, first(l_quantity ORDER BY l_orderkey, l_linenumber, l_quantity) AS v FROM lineitem GROUP BY 1, 2, 3) SELECT l_linestatus, l_returnflag, round(min(v), 6) AS low, round(max(v), 6) AS high, round(avg(v), 6) AS mean FROM p GROUP BY 1, 2")
 def diff_patient(spark, d):
-    return dose.patient_range(table(spark, d, "lineitem"), model="l_linestatus", label="l_returnflag", patient="l_suppkey", v="l_quantity", order=["l_orderkey", "l_linenumber"]).select("l_linestatus", "l_returnflag", r6("low"), r6("high"), r6("mean"))
+    return dose.patient_range(table(spark, d, "lineitem"), model="l_linestatus", label="l_returnflag", patient="l_suppkey", v="l_quantity", order=["l_orderkey", "l_linenumber", "l_quantity"]).select("l_linestatus", "l_returnflag", r6("low"), r6("high"), r6("mean"))
 
 
 @query("SELECT event_type, count(*) FILTER (value - 50 > 25) AS above, count(*) FILTER (value - 50 < -25) AS below FROM events GROUP BY 1")
