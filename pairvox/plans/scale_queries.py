@@ -78,7 +78,7 @@ def rewritten_region(spark, d):
     return spark.read.parquet(path).groupBy("region", "split", "domain").agg(F.count("*").alias("files"))
 
 
-@query(f"SELECT epoch, round(avg(value), 6) AS G_GAN FROM ({LOSS}) GROUP BY 1")
+@query(f"SELECT epoch, round(avg(value), 11) AS G_GAN FROM ({LOSS}) GROUP BY 1")
 def restarted_loss_stream(spark, d):
     """The log arrives in two parts; the stream is stopped after the first and started again from its checkpoint. Equal to epoch_losses."""
     path = _folder(spark, "parts")
@@ -87,7 +87,7 @@ def restarted_loss_stream(spark, d):
         lines.filter(part).select("value").write.mode("append").text(f"{path}/log")
         streams.keep_latest(streams.loss_stream(spark, f"{path}/log", ["G_GAN"]), f"{path}/table", f"{path}/state")
     streams.compact(spark, f"{path}/table", ["epoch"], f"{path}/compact")
-    return streams.latest(spark, f"{path}/compact", ["epoch"]).select("epoch", F.round("G_GAN", 6).alias("G_GAN"))
+    return streams.latest(spark, f"{path}/compact", ["epoch"]).select("epoch", F.round("G_GAN", 11).alias("G_GAN"))
 
 
 @query("""WITH e AS (SELECT 'run-' || user_id % 4 AS run, event_id, user_id % 4 AS k, value, event_type FROM events)
