@@ -139,7 +139,7 @@ def some_stored_slices(spark, d):
     return read.filter("volume_id LIKE 'v1%' AND z >= 3 AND z < 12").select("volume_id", "z", F.round(F.get("px", F.lit(0)), 6).alias("first"))
 
 
-# Tables of metrics as the notebooks have them
+# Tables of metrics as text, boxes and epochs
 
 
 @query("SELECT l_returnflag, count(*) AS rows, count(*) FILTER (l_discount = 0) AS removed, count(*) FILTER (l_discount IS DISTINCT FROM 0) AS kept FROM lineitem GROUP BY 1")
