@@ -22,18 +22,6 @@ def footprint(radius: float, spacing: tuple[float, float, float]) -> list[tuple[
     return [tuple(map(int, g)) for g in grid[near]]
 
 
-def local_change(px: DataFrame, offsets: list[tuple[int, int, int]]) -> DataFrame:
-    """(volume_id, z, y, x, lic): largest less smallest value under the footprint round each pixel; outside counts for nothing.
-
-    Every pixel is sent to the places it is seen from and combined before the shuffle; `local_change_slabs` does the
-    same for large footprints with halos.
-    """
-    seen = F.explode(F.array(*[F.struct((F.col("z") + dz).alias("z"), (F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x")) for dz, dy, dx in offsets])).alias("p")
-    spread = px.select("volume_id", "v", seen).select("volume_id", "p.z", "p.y", "p.x", "v")
-    lic = spread.groupBy("volume_id", "z", "y", "x").agg((F.max("v") - F.min("v")).alias("lic"))
-    return px.select("volume_id", "z", "y", "x").join(lic, ["volume_id", "z", "y", "x"])
-
-
 def _by_slabs(slices: DataFrame, reach: int, depth: int, change: Callable[[np.ndarray], np.ndarray], name: str) -> DataFrame:
     """(volume_id, z, name) of every slice: slabs of `depth` slices with a halo of `reach` on both sides; missing slices are NaN."""
     slab = F.explode(F.expr(f"sequence(cast(floor((z - {reach}) / {depth}) AS long), cast(floor((z + {reach}) / {depth}) AS long))"))
@@ -59,17 +47,72 @@ def _shifted(shape: tuple, o: tuple[int, int, int]) -> tuple[tuple, tuple]:
     return to, frm
 
 
+def chords(offsets: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """(dz, dy, first dx, length) of the runs along x that a footprint consists of."""
+    out: list[tuple[int, int, int, int]] = []
+    for dz, dy, dx in sorted(set(offsets)):
+        if out and out[-1][:2] == (dz, dy) and out[-1][2] + out[-1][3] == dx:
+            out[-1] = (*out[-1][:3], out[-1][3] + 1)
+        else:
+            out.append((dz, dy, dx, 1))
+    return out
+
+
+def running(a: np.ndarray, n: int, pick: np.ufunc, rest: float) -> np.ndarray:
+    """pick over each window of n cells of the last axis, by van Herk and Gil-Werman; cells outside hold `rest`.
+
+    Cell i holds the window that begins at i - n + 1, so there are n - 1 cells more than in a. In blocks of n cells, a window
+    is the end of one block and the beginning of the next, and running extrema of both are known: three steps a cell for any n.
+    """
+    width = a.shape[-1] + n - 1
+    blocks = -(-(width + n - 1) // n)
+    padded = np.full((*a.shape[:-1], blocks * n), rest)
+    padded[..., n - 1 : n - 1 + a.shape[-1]] = a
+    tiles = padded.reshape(*a.shape[:-1], blocks, n)
+    ahead = pick.accumulate(tiles, axis=-1).reshape(padded.shape)
+    back = pick.accumulate(tiles[..., ::-1], axis=-1)[..., ::-1].reshape(padded.shape)
+    return pick(back[..., :width], ahead[..., n - 1 : n - 1 + width])
+
+
+def extreme(cube: np.ndarray, runs: list[tuple[int, int, int, int]], pick: np.ufunc, rest: float) -> np.ndarray:
+    """pick (np.maximum or np.minimum) under a footprint given as chords, round each cell; cells outside and NaN hold `rest`.
+
+    Chords of equal length share one pass along the rows, so the cost is the number of chords, not of offsets.
+    """
+    cube = np.where(np.isnan(cube), rest, cube)
+    out = np.full(cube.shape, rest)
+    for n in sorted({run[3] for run in runs}):
+        along = running(cube, n, pick, rest)
+        for dz, dy, dx, length in runs:
+            if length != n:
+                continue
+            to, frm = _shifted((*cube.shape[:2], 1), (dz, dy, 0))
+            first = dx + n - 1  # the cell of `along` that holds the window of cell 0
+            low, high = max(0, -first), min(cube.shape[2], along.shape[2] - first)
+            if low < high:
+                here, there = (*to[:2], slice(low, high)), (*frm[:2], slice(low + first, high + first))
+                out[here] = pick(out[here], along[there])
+    return out
+
+
+def change_slabs(slices: DataFrame, change: Callable[[np.ndarray], np.ndarray], *, reach: int, depth: int = 16) -> DataFrame:
+    """(volume_id, z, lic): any change of a caller's, from a cube of slices (missing ones are NaN) to one of equal shape that sees `reach` slices up and down."""
+    return _by_slabs(slices, reach, depth, change, "lic")
+
+
 def local_change_slabs(slices: DataFrame, offsets: list[tuple[int, int, int]], *, depth: int = 16) -> DataFrame:
-    """The same from slices as arrays: slabs of `depth` slices with a halo, shifted maxima and minima in numpy."""
+    """(volume_id, z, lic) from slices as arrays: largest less smallest value under the footprint round each pixel.
+
+    Cells outside the volume and NaN count for nothing; null where no value is seen. Slabs of `depth` slices with a halo,
+    running extrema along the footprint's chords.
+    """
+    runs = chords(offsets)
 
     def change(cube: np.ndarray) -> np.ndarray:
-        big, small = np.full(cube.shape, -np.inf), np.full(cube.shape, np.inf)
-        for o in offsets:
-            to, frm = _shifted(cube.shape, o)
-            big[to], small[to] = np.fmax(big[to], cube[frm]), np.fmin(small[to], cube[frm])
-        return big - small
+        big, small = extreme(cube, runs, np.maximum, -np.inf), extreme(cube, runs, np.minimum, np.inf)
+        return np.where(small <= big, big - np.where(small <= big, small, 0), np.nan)
 
-    return _by_slabs(slices, max(abs(dz) for dz, _, _ in offsets), depth, change, "lic")
+    return change_slabs(slices, change, reach=max(abs(dz) for dz, _, _ in offsets), depth=depth)
 
 
 def homogeneous(lic: DataFrame, q: float) -> DataFrame:

@@ -119,6 +119,19 @@ def numbered(df: DataFrame, key: str, *, per: int = 100_000) -> DataFrame:
     return rows.withColumn("_own", own).join(before, "_bucket").withColumn("number", F.col("_before") + F.col("_own")).drop("_bucket", "_own", "_before")
 
 
+def case_numbers(files: DataFrame, *, file: str, prefix: str, masks: DataFrame | None = None, mask: str | None = None) -> DataFrame:
+    """files with case_name, {prefix}_001 and on by sorted name, and with the mask at the same place of the sorted masks (their column `mask`).
+
+    Files beyond the last mask get null, masks beyond the last file go. Equal names get numbers of their own, in any order;
+    names without value come first.
+    """
+    named = numbered(files, file).withColumn("case_name", F.format_string(f"{prefix}_%03d", F.col("number") + 1))
+    if masks is not None:
+        places = numbered(masks.select(mask), mask)
+        named = named.join(places, "number", "left")
+    return named.drop("number")
+
+
 def uniform_bin(v: Column, lo: float, hi: float, n: int) -> Column:
     """The bin from 0 to n - 1 of n equal ones; hi belongs to the last; null outside."""
     k = F.floor((v - lo) / ((hi - lo) / n)).cast("long")

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairvox.operators.joins import numbered
 from pairvox.operators.quantiles import by_groups, quantiles
 from pairvox.operators.splits import random_subset
 
@@ -144,6 +145,30 @@ def slice_influence(df: DataFrame, *, volume: str, weight: str) -> DataFrame:
     return df.withColumn("weight_pct", 100 * F.col(weight) / F.sum(weight).over(Window.partitionBy(volume)))
 
 
+def volume_influence(df: DataFrame, *, volume: str, metrics: dict[str, tuple[str, str]], weight: str) -> DataFrame:
+    """(volume, metric, slices, total_mask, unmasked_mean, masked_weighted_mean) for each volume and metric, a pair of columns (unmasked, masked).
+
+    The unmasked mean leaves out nulls and NaN. Masked values are weighted by their share of the volume's whole mask, a
+    null weight being 0; null and NaN values add nothing, and their share isn't dealt to others. Null where the mask is empty.
+    """
+    w = F.coalesce(F.col(weight), F.lit(0)).cast("double")
+    fine = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+    aggs = (a for m, (u, k) in metrics.items() for a in (F.avg(fine(u)).alias(f"_u {m}"), F.coalesce(F.sum(fine(k) * w), F.lit(0.0)).alias(f"_m {m}")))
+    wide = df.groupBy(volume).agg(F.count("*").alias("slices"), F.sum(w).alias("total_mask"), *aggs)
+    share = lambda m: F.col(f"`_m {m}`") / F.nullif("total_mask", F.lit(0.0))
+    rows = F.array(*(F.struct(F.lit(m).alias("metric"), F.col(f"`_u {m}`").alias("u"), share(m).alias("m")) for m in metrics))
+    return wide.select(volume, "slices", "total_mask", F.explode(rows).alias("_r")).select(volume, "_r.metric", "slices", "total_mask", F.col("_r.u").alias("unmasked_mean"), F.col("_r.m").alias("masked_weighted_mean"))
+
+
+def volume_at(df: DataFrame, volume: str, index: int) -> DataFrame:
+    """The rows of the volume at a place among the sorted ids, from 0. IndexError where there is none."""
+    ids = df.select(volume).filter(F.col(volume).isNotNull()).distinct()
+    found = numbered(ids, volume).filter(F.col("number") == index).select(volume)
+    if index < 0 or found.isEmpty():
+        raise IndexError(f"no volume {index} among the sorted ids")
+    return df.join(found, volume, "left_semi")
+
+
 def metrics_table(df: DataFrame, *, groups: list[str], metrics: dict[str, int]) -> DataFrame:
     """Text cells `mean ± std` with so many decimals, blank where the deviation is undefined, and ' between thousands."""
     cell = lambda c, d: F.replace(F.format_number(c, d), F.lit(","), F.lit("'"))
@@ -242,6 +267,14 @@ def largest_planes(px: DataFrame) -> DataFrame:
     return area.groupBy("volume_id", "axis").agg(F.max_by("plane", F.struct("area", -F.col("plane"))).alias("plane"), F.max("area").alias("area"))
 
 
+def plane_pixels(px: DataFrame, planes: DataFrame) -> DataFrame:
+    """(volume_id, axis, plane, and px's other columns): the pixels of each volume's chosen planes (volume_id, axis, plane), one an axis. A pixel on two planes has two rows."""
+    wide = planes.groupBy("volume_id").agg(*(F.max(F.when(F.col("axis") == a, F.col("plane"))).alias(f"_{a}") for a in ("z", "y", "x")))
+    on = F.array_compact(F.array(*(F.when(F.col(a) == F.col(f"_{a}"), F.struct(F.lit(a).alias("axis"), F.col(f"_{a}").alias("plane"))) for a in ("z", "y", "x"))))
+    cut = px.join(wide, "volume_id").select(*px.columns, F.explode(on).alias("_p"))
+    return cut.select("volume_id", "_p.axis", "_p.plane", *(c for c in px.columns if c != "volume_id"))
+
+
 def peak_regions(df: DataFrame, bounds: DataFrame, *, volume: str, v: str, lic: str) -> DataFrame:
     """(volume, region, homogeneous, count): values strictly inside their volume's peak bounds, and local change strictly below its threshold."""
     inside = (F.col(v) > F.col("left")) & (F.col(v) < F.col("right"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,14 +55,17 @@ def peak_targets(peaks: DataFrame, train: DataFrame, *, volume: str, center: str
     return every.join(seen, [center, mask], "left").withColumn("target", F.coalesce("target", F.lit(default))).withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-def peaks_normalize(df: DataFrame, peaks: DataFrame, *, volume: str, v: str) -> DataFrame:
-    """df with `norm`: peaks (volume, peak, target) mapped to their targets with (0, 0) as a first point; from 0 to 1.5 times the largest target, divided by it."""
+def peaks_normalize(df: DataFrame, peaks: DataFrame, *, volume: str, v: str, transform: Callable[[Column, Column, Column], Column] = piecewise) -> DataFrame:
+    """df with `norm`: peaks (volume, peak, target) mapped to their targets with (0, 0) as a first point; from 0 to 1.5 times the largest target, divided by it.
+
+    transform maps a value, given the arrays of places and of targets: `piecewise`, or an expression of a caller's.
+    """
     pairs = F.array_sort(F.collect_list(F.struct("peak", "target")))
     marks = peaks.filter("peak > 0").groupBy(volume).agg(pairs.alias("_p"))
     xs = F.concat(F.array(F.lit(0.0)), F.transform("_p", lambda s: s["peak"]))
     ys = F.concat(F.array(F.lit(0.0)), F.transform("_p", lambda s: s["target"]))
     top = 1.5 * F.array_max(ys)
-    mapped = piecewise(F.col(v), xs, ys)
+    mapped = transform(F.col(v), xs, ys)
     return df.join(marks, volume).withColumn("norm", F.greatest(F.lit(0.0), F.least(top, mapped)) / top).drop("_p")
 
 

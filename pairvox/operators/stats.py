@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -27,7 +29,10 @@ def masked_min_max(slices: DataFrame, masks: DataFrame) -> tuple[DataFrame, Data
 
 
 def npeaks_find(
-    slices: DataFrame, masks: DataFrame, *, strategies: dict[str, str], spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), radius: float = 3.0, quantile: float = 0.5,
+    slices: DataFrame, masks: DataFrame, *, strategies: dict[str, str | Callable[[np.ndarray, np.ndarray], float | None]],
+    change: Callable[[DataFrame], DataFrame] | None = None, threshold: Column | dict[str, Column] | None = None,
+    curve: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]] | None = None,
+    spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), radius: float = 3.0, quantile: float | dict[str, float] = 0.5,
     n_levels: int = 1024, grid: int = 10_000, bandwidth: float | None = None, fraction: float = 0.1, span: tuple[float, float] | None = None,
 ) -> DataFrame:
     """(volume_id, mask, threshold, voxels, bandwidth, peak) for every volume and mask (volume_id, mask, z, px of 0 and 1).
@@ -37,38 +42,70 @@ def npeaks_find(
     peak. The bandwidth is the improved Sheather-Jones one unless given. The grid goes over `span`, or over the values and
     three bandwidths or a twentieth of their range beyond. Pixels meet as arrays by slice; levels (n_levels a mask at
     most) are all that a task for one volume and mask sees.
+
+    Each stage can be a caller's:
+    change      from slices to (volume_id, z, lic), such as expressions on `px` or `filters.change_slabs`;
+    threshold   an aggregate of `lic` inside the mask, for all masks or by mask (masks that it doesn't name use the quantile);
+    curve       from the values and weights of levels to places and heights, in the task of a mask; no bandwidth then (null);
+    strategies  a function from the places and heights of a curve to the peak or None. A change of null or NaN lies in no region.
     """
-    offsets = footprint(radius * 1.001, spacing)
-    lic = local_change_slabs(slices, offsets)
-    meet = slices.select("volume_id", "z", "px").join(lic, ["volume_id", "z"]).join(masks.select("volume_id", "mask", "z", F.col("px").alias("m")), ["volume_id", "z"])
-    inside = meet.select("volume_id", "mask", F.explode(F.filter(F.arrays_zip("px", "lic", "m"), lambda s: s["m"] > 0)).alias("s")).select("volume_id", "mask", F.col("s.px").alias("v"), F.col("s.lic").alias("lic"))
-    threshold = quantiles(inside, ["volume_id", "mask"], "lic", [quantile]).select("volume_id", "mask", F.get("quantiles", F.lit(0)).alias("threshold"))
-    fine = inside.join(threshold, ["volume_id", "mask"]).filter("lic <= threshold")
+    lic = change(slices) if change else local_change_slabs(slices, footprint(radius * 1.001, spacing))
+    meet = slices.select("volume_id", "z", "px").join(lic.select("volume_id", "z", "lic"), ["volume_id", "z"]).join(masks.select("volume_id", "mask", "z", F.col("px").alias("m")), ["volume_id", "z"])
+    inside = meet.select("volume_id", "mask", F.explode(F.filter(F.arrays_zip("px", "lic", "m"), lambda s: (s["m"] > 0) & ~F.isnan(s["lic"]))).alias("s")).select("volume_id", "mask", F.col("s.px").alias("v"), F.col("s.lic").alias("lic"))
+    fine = inside.join(_thresholds(inside, threshold, quantile), ["volume_id", "mask"]).filter("lic <= threshold")
     ranges = fine.groupBy("volume_id", "mask").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.first("threshold").alias("threshold"))
     step = (F.col("hi") - F.col("lo")) / (n_levels - 1)
     level = F.coalesce(F.least(F.ceil((F.col("v") - F.col("lo")) / F.nullif(step, F.lit(0.0))), F.lit(n_levels - 1)), F.lit(0)).cast("long")
     counts = fine.drop("threshold").join(ranges, ["volume_id", "mask"]).groupBy("volume_id", "mask", "lo", "hi", "threshold", level.alias("level")).agg(F.count("*").alias("weight"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("level")
         lo, hi = float(pdf["lo"].iloc[0]), float(pdf["hi"].iloc[0])
         level_, weight = pdf["level"].to_numpy(float), pdf["weight"].to_numpy(float)
         value = lo + level_ * (hi - lo) / (n_levels - 1)
-        width = bandwidth or (_fixed_point(value, level_, weight, n_levels)[0] if hi > lo else 0.0)
-        peak = lo if hi == lo and not bandwidth else None
-        if width > 0:
+        pick, width, peak = strategies.get(pdf["mask"].iloc[0], "most"), None, None
+        if curve:
+            x, y = curve(value, weight)
+        else:
+            width = bandwidth or (_fixed_point(value, level_, weight, n_levels)[0] if hi > lo else 0.0)
+            peak = lo if hi == lo and not bandwidth else None
             beyond = max(3 * width, 0.05 * (hi - lo))
             a, b = span or (lo - beyond, hi + beyond)
             x = a + np.arange(grid) * ((b - a) / (grid - 1))
-            y = np.round(_densities(value, weight, width, x), 12)
+            y = np.round(_densities(value, weight, width, a, (b - a) / (grid - 1), grid), 12) if width > 0 else None
+        if y is not None and callable(pick):
+            peak = pick(x, y)
+        elif y is not None:
             found = _peaks_of(y, fraction)
-            rank = {"highest": lambda p: (-y[p[0]], p[0]), "left": lambda p: p[0], "right": lambda p: -p[0]}.get(strategies.get(pdf["mask"].iloc[0], "most"), lambda p: (-y[p[2] : p[3] + 1].sum(), p[0]))
+            rank = {"highest": lambda p: (-y[p[0]], p[0]), "left": lambda p: p[0], "right": lambda p: -p[0]}.get(pick, lambda p: (-y[p[2] : p[3] + 1].sum(), p[0]))
             peak = float(x[min(found, key=rank)[0]]) if found else None
-        return pd.DataFrame({"volume_id": [pdf["volume_id"].iloc[0]], "mask": [pdf["mask"].iloc[0]], "threshold": [pdf["threshold"].iloc[0]], "voxels": [int(weight.sum())], "bandwidth": [width], "peak": pd.array([peak], "Float64")})
+        return pd.DataFrame({"volume_id": [pdf["volume_id"].iloc[0]], "mask": [pdf["mask"].iloc[0]], "threshold": [pdf["threshold"].iloc[0]], "voxels": [int(weight.sum())], "bandwidth": pd.array([width], "Float64"), "peak": pd.array([peak], "Float64")})
 
     kind = slices.schema["volume_id"].dataType.simpleString()
     return counts.groupBy("volume_id", "mask").applyInPandas(run, f"volume_id {kind}, mask string, threshold double, voxels long, bandwidth double, peak double")
 
 
+def _thresholds(inside: DataFrame, threshold: Column | dict[str, Column] | None, quantile: float | dict[str, float]) -> DataFrame:
+    """(volume_id, mask, threshold): a caller's aggregate of `lic`, or its quantile."""
+    own = threshold if isinstance(threshold, dict) else {}
+    mask, parts = F.col("mask"), []
+    if threshold is not None and not isinstance(threshold, dict):
+        return inside.groupBy("volume_id", "mask").agg(threshold.cast("double").alias("threshold"))
+    for name, expr in own.items():
+        parts.append(inside.filter(mask == name).groupBy("volume_id", "mask").agg(expr.cast("double").alias("threshold")))
+    rest = inside.filter(~mask.isin(list(own))) if own else inside
+    by_mask = quantile if isinstance(quantile, dict) else {}
+    qs = sorted({*by_mask.values(), 0.5 if by_mask else quantile})
+    at = F.lit(qs.index(0.5 if by_mask else quantile))
+    for name, q in by_mask.items():
+        at = F.when(mask == name, qs.index(q)).otherwise(at)
+    parts.append(quantiles(rest, ["volume_id", "mask"], "lic", qs).select("volume_id", "mask", F.get("quantiles", at).alias("threshold")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
 def cdf_table(df: DataFrame, *, volume: str, v: str, lo: float, hi: float, n: int) -> DataFrame:
     """(volume, bin, threshold, cdf, n_voxels): the share of values up to each of n equally spaced thresholds. Values are counted by bin first; windows see n rows a volume."""
     step = (hi - lo) / (n - 1)
@@ -139,22 +176,77 @@ def levels(df: DataFrame, *, volume: str, v: str, lo: float, hi: float, n: int)
     return df.groupBy(volume, level.alias("level")).agg(F.count("*").alias("weight")).select(volume, "level", (F.lit(lo) + F.col("level") * step).alias("value"), "weight")
 
 
-def _densities(value: np.ndarray, weight: np.ndarray, bandwidth: float, x: np.ndarray) -> np.ndarray:
-    """Gaussian densities at x, in pieces of the grid."""
+def _direct(value: np.ndarray, weight: np.ndarray, bandwidth: float, x: np.ndarray) -> np.ndarray:
+    """Gaussian densities at x, term by term, in pieces of the grid."""
     share = weight / (weight.sum() * bandwidth * np.sqrt(2 * np.pi))
     return np.concatenate([np.exp(-0.5 * ((p[:, None] - value) / bandwidth) ** 2) @ share for p in np.array_split(x, max(1, len(x) * len(value) >> 20))])
 
 
+def _chirp(c: np.ndarray, angle: float, m: int) -> np.ndarray:
+    """sum over j of c[j] * exp(-1j * angle * j * k) for k from 0 to m - 1, as one convolution (Bluestein), whatever the angle."""
+    n, turns = len(c), np.longdouble(angle) / (4 * np.longdouble(np.pi))
+    half = lambda k: np.exp(-2j * np.pi * np.mod(turns * k.astype(np.longdouble) ** 2, 1).astype(float))  # many turns, so in more digits
+    size = 1 << (n + m - 2).bit_length()
+    kernel = np.zeros(size, complex)
+    kernel[:m] = half(np.arange(m)).conj()
+    kernel[size - n + 1 :] = half(np.arange(n - 1, 0, -1)).conj()
+    whole = np.fft.ifft(np.fft.fft(c * half(np.arange(n)), size) * np.fft.fft(kernel))
+    return whole[:m] * half(np.arange(m))
+
+
+#: The longest lattice of values and the most frequencies that transforms are worth; beyond, densities are summed term by term.
+LATTICE, FREQUENCIES = 1 << 18, 1 << 18
+
+
+def _lattice(value: np.ndarray, off: float) -> tuple[float, float, np.ndarray] | None:
+    """(first, step, places) if the values lie on equal steps, or off them by `off` at most, else None."""
+    own = np.unique(value)
+    if len(own) < 2:
+        return float(own[0]), 1.0, np.zeros(len(value), np.int64)
+    step = float(np.diff(own).min())
+    places = (value - own[0]) / step
+    last = round(float(places.max()))
+    if not 0 < last < LATTICE:
+        return None
+    step = (own[-1] - own[0]) / last
+    places = np.rint((value - own[0]) / step).astype(np.int64)
+    return (float(own[0]), float(step), places) if np.abs(own[0] + places * step - value).max() <= off else None
+
+
+def _densities(value: np.ndarray, weight: np.ndarray, bandwidth: float, a: float, step: float, n: int) -> np.ndarray:
+    """Gaussian densities at a + i * step for i below n, from values on a lattice (levels) by two fast transforms.
+
+    The sum of Gaussians is a Fourier integral of the weights' transform, damped by exp(-(w * bandwidth)^2 / 2). Both ends are
+    lattices, so it is a chirp transform from the levels to frequencies and one back to the grid. Frequencies go as far
+    as the damping is above 1e-18, as dense as images of the curve stay ten bandwidths away; so it equals
+    the direct sum to 1e-9 of the highest density. Values without a lattice, very small bandwidths and few terms are summed one by one.
+    """
+    found = _lattice(value, 1e-10 * bandwidth)
+    low, high = min(value.min(), a), max(value.max(), a + (n - 1) * step)
+    dw = 2 * np.pi / (high - low + 20 * bandwidth)
+    m = int(np.ceil(9.2 / bandwidth / dw)) + 1
+    if not found or m > FREQUENCIES or (m + n) * 40 > len(value) * n:
+        return _direct(value, weight, bandwidth, a + np.arange(n) * step)
+    first, gap, places = found
+    counts = np.bincount(places, weights=weight)
+    w = np.arange(m) * dw
+    spectrum = _chirp(counts.astype(complex), gap * dw, m) * np.exp(-0.5 * (w * bandwidth) ** 2) * np.exp(1j * w * (a - first))
+    spectrum[0] /= 2
+    y = _chirp(spectrum.conj(), step * dw, n).real * dw / (np.pi * weight.sum())
+    return np.where(y > 1e-14 * y.max(), y, 0.0)
+
+
 def kde(levels_: DataFrame, *, volume: str, bandwidth: Column, lo: float, hi: float, grid: int, scaled: bool = False) -> DataFrame:
     """(volume, i, x, pdf): Gaussian densities on a grid from level counts (levels, or weighted values); scaled: they add up to the weights, not to 1.
 
-    A volume has a bounded number of levels, so its densities are one product of arrays; nothing but levels is shuffled.
-    A wide range of values needs no rescaling here, since the kernel is evaluated directly.
+    A volume has a bounded number of levels, so its densities are two fast transforms in one task; nothing but levels is
+    shuffled. A wide range of values needs no rescaling here: frequencies follow the bandwidth.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = lo + np.arange(grid) * ((hi - lo) / (grid - 1))
-        y = _densities(pdf["value"].to_numpy(float), pdf["weight"].to_numpy(float), float(pdf["_bandwidth"].iloc[0]), x)
+        step = (hi - lo) / (grid - 1)
+        x = lo + np.arange(grid) * step
+        y = _densities(pdf["value"].to_numpy(float), pdf["weight"].to_numpy(float), float(pdf["_bandwidth"].iloc[0]), lo, step, grid)
         return pd.DataFrame({volume: pdf[volume].iloc[0], "i": np.arange(grid), "x": x, "pdf": y * pdf["weight"].sum() if scaled else y})
 
     kind = levels_.schema[volume].dataType.simpleString()
@@ -173,7 +265,7 @@ def _fixed_point(value: np.ndarray, level: np.ndarray, weight: np.ndarray, n: in
     p[level.astype(int)] = weight / weight.sum()
     step = (value.max() - value.min()) / max(level.max() - level.min(), 1)
     k = np.arange(n)
-    a = np.concatenate([np.cos(np.pi * np.outer(part, k + 0.5) / n) @ p for part in np.array_split(k, 8)]) * 2
+    a = 2 * (np.exp(-0.5j * np.pi * k / n) * np.fft.fft(p, 2 * n)[:n]).real  # the cosine transform
     a2, k2, size = (a[1:] / 2) ** 2, k[1:].astype(float) ** 2, weight.sum()
 
     def gap(t: float) -> float:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -476,18 +477,22 @@ def voxel_spacing(spark, d):
 
 # Filters and morphology
 
+
+def _changes(lic: DataFrame) -> DataFrame:
+    return geometry.pixels(lic.select("volume_id", "z", F.lit(8).alias("width"), F.col("lic").alias("px"))).withColumnRenamed("v", "lic")
+
+
 BALL = [(dz, dy, dx) for dz in (-1, 0, 1) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dz * dz + dy * dy + dx * dx <= 1]
 
 
 @query(f"""WITH {DENSE} SELECT a.volume_id, a.z, a.y, a.x, max(b.v) - min(b.v) AS lic FROM dpx a JOIN dpx b ON a.volume_id = b.volume_id AND abs(a.z - b.z) + abs(a.y - b.y) + abs(a.x - b.x) <= 1 GROUP BY 1, 2, 3, 4""")
 def lic_sphere(spark, d):
-    return filters.local_change(geometry.pixels(dense_slices(spark, d)), filters.footprint(1.0, (1.0, 1.0, 1.0)))
+    return _changes(filters.local_change_slabs(dense_slices(spark, d), filters.footprint(1.0, (1.0, 1.0, 1.0))))
 
 
 @query(f"""WITH {DENSE} SELECT a.volume_id, a.z, a.y, a.x, max(b.v) - min(b.v) AS lic FROM dpx a JOIN dpx b ON a.volume_id = b.volume_id AND abs(a.z - b.z) + abs(a.y - b.y) + abs(a.x - b.x) <= 1 GROUP BY 1, 2, 3, 4""")
 def lic_slabs(spark, d):
-    out = filters.local_change_slabs(dense_slices(spark, d), filters.footprint(1.0, (1.0, 1.0, 1.0)), depth=6)
-    return geometry.pixels(out.select("volume_id", "z", F.lit(8).alias("width"), F.col("lic").alias("px"))).withColumnRenamed("v", "lic")
+    return _changes(filters.local_change_slabs(dense_slices(spark, d), filters.footprint(1.0, (1.0, 1.0, 1.0)), depth=6))
 
 
 @query(f"""WITH {PX} SELECT a.volume_id, a.z, a.y, a.x, min(b.v) AS low, max(b.v) AS high FROM px a JOIN px b ON a.volume_id = b.volume_id AND a.z = b.z AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY 1, 2, 3, 4""")
@@ -505,7 +510,7 @@ def box_moments(spark, d):
 @query(f"""WITH {DENSE}, l AS (SELECT a.volume_id, a.z, a.y, a.x, max(b.v) - min(b.v) AS lic FROM dpx a JOIN dpx b ON a.volume_id = b.volume_id AND abs(a.z - b.z) + abs(a.y - b.y) + abs(a.x - b.x) <= 1 GROUP BY 1, 2, 3, 4),
  t AS (SELECT volume_id, quantile_cont(lic, 0.25) AS t FROM l GROUP BY 1) SELECT l.volume_id, count(*) AS kept FROM l JOIN t ON l.volume_id = t.volume_id WHERE lic <= t GROUP BY 1""")
 def lic_homogeneous(spark, d):
-    lic = filters.local_change(geometry.pixels(dense_slices(spark, d)), BALL)
+    lic = _changes(filters.local_change_slabs(dense_slices(spark, d), BALL))
     return filters.homogeneous(lic, 0.25).groupBy("volume_id").agg(F.count("*").alias("kept"))
 
 
@@ -788,11 +793,28 @@ def npeaks_find(spark, d):
     return found.select("volume_id", "mask", r9("threshold"), "voxels", r9("peak"))
 
 
-@query()
+def _gap_sql(rows: str) -> str:
+    """rows (size, a2, t) with g, the fixed point's left side less its right: functionals of falling order, each from the one before."""
+    term = lambda s, t: f"2 * pow(pi(), {2 * s}) * list_sum(list_transform(range(1, 64), lambda k: pow(k, {2 * s}) * a2[k] * exp(-pow(k * pi(), 2) * {t})))"
+    sql = f"SELECT *, {term(7, 't')} AS f FROM ({rows})"
+    for s in range(6, 1, -1):
+        c = (1 + 0.5 ** (s + 0.5)) / 3 * math.prod(range(1, 2 * s, 2)) / math.sqrt(math.pi / 2)
+        sql = f"SELECT * REPLACE ({term(s, f'pow(2 * {c!r} / size / f, 2.0 / {3 + 2 * s})')} AS f) FROM ({sql})"
+    return f"SELECT *, t - pow(2 * size * sqrt(pi()) * f, -0.4) AS g FROM ({sql})"
+
+
+@query(f"""WITH RECURSIVE {LEVELS}, s AS (SELECT l_suppkey, sum(weight)::DOUBLE AS size, CASE WHEN max(level) > min(level) THEN 51.0 / 63 ELSE 0 END AS step FROM lv GROUP BY 1),
+ c AS (SELECT l_suppkey, r.k, sum(weight / size * cos(pi() * r.k * (level + 0.5) / 64)) AS a FROM lv JOIN s USING (l_suppkey), range(1, 64) r(k) GROUP BY 1, 2),
+ z AS (SELECT l_suppkey, any_value(size) AS size, any_value(step) AS step, list(a * a ORDER BY c.k) AS a2 FROM c JOIN s USING (l_suppkey) GROUP BY 1),
+ grid AS ({_gap_sql("SELECT z.*, r.i, pow(10.0, -9 + 8.0 * r.i / 399) AS t FROM z, range(400) r(i)")}),
+ flip AS (SELECT l_suppkey, min(i) AS i FROM (SELECT l_suppkey, i, g, lead(g) OVER (PARTITION BY l_suppkey ORDER BY i) AS n FROM grid) WHERE g < 0 AND n >= 0 GROUP BY 1),
+ b AS (SELECT l_suppkey, 0 AS turn, pow(10.0, -9 + 8.0 * i / 399) AS lo, pow(10.0, -9 + 8.0 * (i + 1) / 399) AS hi FROM flip UNION ALL
+  SELECT l_suppkey, turn + 1, CASE WHEN g < 0 THEN t ELSE lo END, CASE WHEN g < 0 THEN hi ELSE t END FROM ({_gap_sql("SELECT b.*, size, a2, (lo + hi) / 2 AS t FROM b JOIN z USING (l_suppkey) WHERE turn < 50")}))
+SELECT l_suppkey, round(sqrt(coalesce((lo + hi) / 2, 0.28 * pow(size, -0.4))) * step * 64, 9) AS bandwidth, lo IS NOT NULL AS converged FROM z LEFT JOIN (SELECT * FROM b WHERE turn = 50) USING (l_suppkey)""")
 def kde_bandwidths(spark, d):
-    """Bandwidths by the fixed point, which SQL has no form for; held against a sample of known width in the tests."""
+    """Bandwidths by the fixed point of the cosine transform; the twin halves the interval of the first change of sign."""
     lv = stats.levels(table(spark, d, "lineitem"), volume="l_suppkey", v="l_quantity", lo=0.0, hi=51.0, n=64)
-    return stats.improved_bandwidth(lv, volume="l_suppkey", n=64)
+    return stats.improved_bandwidth(lv, volume="l_suppkey", n=64).select("l_suppkey", r9("bandwidth"), "converged")
 
 
 @query("""SELECT l_suppkey, round(0.9 * least(stddev_samp(l_quantity), (quantile_cont(l_quantity, 0.75) - quantile_cont(l_quantity, 0.25)) / 1.34) * pow(count(*), -0.2), 9) AS bandwidth FROM lineitem GROUP BY 1""")
@@ -1302,4 +1324,4 @@ def metrics_stream(spark, d):
     return streams.latest(spark, path + "-table", ["volume_id"]).select("volume_id", F.round("mae", 4).alias("mae"), F.round("mse_weighted", 9).alias("mse_weighted"), "mask_voxels", "slice_count")
 
 
-from pairvox.plans import scale_queries  # noqa: E402, F401  these add themselves
+from pairvox.plans import scale_queries, stage_queries  # noqa: E402, F401  these add themselves

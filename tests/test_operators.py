@@ -200,12 +200,45 @@ def test_morphology_and_parts(spark):
     assert (far == m).all()
 
 
+def around(p, offsets, shape):
+    seen = (tuple(a + b for a, b in zip(p, o, strict=True)) for o in offsets)
+    return [q for q in seen if all(0 <= a < n for a, n in zip(q, shape, strict=True))]
+
+
+def test_running_extrema():
+    """Footprints of any form, cells of NaN, rows shorter than a chord; a ball costs its chords."""
+    for k in range(60):
+        cube = RNG.standard_normal(tuple(RNG.integers(1, 8, 3)))
+        cube[RNG.random(cube.shape) < 0.1] = np.nan
+        odd = [tuple(map(int, o)) for o in RNG.integers(-4, 5, (int(RNG.integers(1, 20)), 3))]
+        offsets = filters.footprint(RNG.uniform(0.5, 6), tuple(RNG.uniform(0.7, 2, 3))) if k % 2 else odd
+        runs = filters.chords(offsets)
+        assert sorted((z, y, x + i) for z, y, x, n in runs for i in range(n)) == sorted(set(offsets))
+        got = filters.extreme(cube, runs, np.maximum, -np.inf)
+        for p in np.ndindex(cube.shape):
+            assert got[p] == max([cube[q] for q in around(p, offsets, cube.shape) if cube[q] == cube[q]], default=-np.inf)
+    ball = filters.footprint(8.0, (3.0, 1.0, 1.0))
+    assert len(filters.chords(ball)) == len({o[:2] for o in ball}) < len(ball) / 10
+
+
+def test_change_without_values(spark):
+    """A pixel that sees NaN alone has no change, and `homogeneous` leaves it out."""
+    cube = np.full((1, 3, 7), np.nan)
+    cube[0, 1, :2] = 4.0, 7.0
+    lic = filters.local_change_slabs(as_slices(spark, {"a": cube}), [(0, 0, 0), (0, 0, 1)])
+    got = lic.first().lic
+    assert got[7:9] == [3, 0] and got.count(None) == 19
+    rows = geometry.pixels(lic.select("volume_id", "z", F.lit(7).alias("width"), F.col("lic").alias("px"))).withColumnRenamed("v", "lic")
+    assert [r.x for r in filters.homogeneous(rows, 0.0).collect()] == [1]
+    assert filters.local_change_slabs(as_slices(spark, {"a": cube}).limit(0), [(0, 0, 0)]).count() == 0
+
+
 def test_change_in_a_ball(spark):
     offsets = filters.footprint(2.0, (1.5, 1.0, 1.0))
     assert sorted(offsets) == sorted((z, y, x) for z in (-1, 0, 1) for y in range(-2, 3) for x in range(-2, 3) if (1.5 * z) ** 2 + y * y + x * x <= 4)
-    s = as_slices(spark, {"a": RNG.standard_normal((7, 5, 6))})
-    one = {(r.z, r.y, r.x): r.lic for r in filters.local_change(geometry.pixels(s), offsets).collect()}
-    slabs = filters.local_change_slabs(s, offsets, depth=3)
+    cube = RNG.standard_normal((7, 5, 6))
+    one = {p: float(np.ptp([cube[q] for q in around(p, offsets, cube.shape)])) for p in np.ndindex(cube.shape)}
+    slabs = filters.local_change_slabs(as_slices(spark, {"a": cube}), offsets, depth=3)
     two = {(r.z, i // 6, i % 6): v for r in slabs.collect() for i, v in enumerate(r.lic)}
     assert one == two and len(one) == 7 * 5 * 6
 
@@ -259,6 +292,71 @@ def test_peaks(spark):
             assert r.i == best[0], strategy
 
 
+def test_densities_by_transforms():
+    """Within 1e-9 of the direct sum on levels; equal to it on values without a lattice and on a single level."""
+    for _ in range(40):
+        n, span = int(RNG.integers(2, 1024)), 10.0 ** RNG.uniform(-3, 5)
+        value = RNG.normal() * span + np.unique(RNG.integers(0, n, int(RNG.integers(1, n + 1)))) * span / (n - 1)
+        weight, h = RNG.integers(1, 1000, len(value)).astype(float), span * 10.0 ** RNG.uniform(-4, 0.5)
+        a, b = value.min() - 3 * h, value.max() + 3 * h
+        step = (b - a) / 1999
+        want = stats._direct(value, weight, h, a + np.arange(2000) * step)
+        assert np.abs(stats._densities(value, weight, h, a, step, 2000) - want).max() <= 1e-9 * want.max()
+    loose = RNG.random(200)
+    x = np.arange(3000) / 2999
+    assert (stats._densities(loose, np.ones(200), 0.05, 0.0, 1 / 2999, 3000) == stats._direct(loose, np.ones(200), 0.05, np.arange(3000) * (1 / 2999))).all() and len(x) == 3000
+    levels = np.arange(300.0)
+    assert stats._lattice(levels, 1e-9) and not stats._lattice(loose, 1e-9)
+
+
+def test_stages_of_a_caller(spark):
+    """Every stage replaced, by mask or for all; null where a caller's pick finds nothing; NaN changes are in no region."""
+    cube = RNG.integers(0, 9, (3, 4, 4)).astype(float)
+    s = as_slices(spark, {"a": cube})
+    mask = lambda name, v: s.select("volume_id", F.lit(name).alias("mask"), "z", F.transform("px", lambda x: F.lit(v)).alias("px"))
+    masks = mask("one", 1.0).union(mask("two", 1.0)).union(mask("none", 0.0))
+    half = lambda d: d.select("volume_id", "z", F.transform("px", lambda v: F.when(v > 6, float("nan")).otherwise(v)).alias("lic"), F.lit(1).alias("px"))
+    pick = {"one": lambda x, y: float(x[np.argmax(y)]), "two": lambda x, y: None}
+    got = {r.mask: r for r in stats.npeaks_find(s, masks, strategies=pick, change=half, threshold={"one": F.max("lic")}, quantile={"two": 0.0}, curve=lambda v, w: (v, w), n_levels=9).collect()}
+    inside = cube[cube <= 6]
+    assert set(got) == {"one", "two"} and got["one"].bandwidth is None
+    assert (got["one"].threshold, got["one"].voxels) == (6.0, len(inside)) and got["one"].peak is not None
+    assert (got["two"].threshold, got["two"].voxels, got["two"].peak) == (inside.min(), int((inside == inside.min()).sum()), None)
+    both = stats.npeaks_find(s, masks, strategies={}, change=half, threshold=F.min("lic") + 1, curve=lambda v, w: (v, w), n_levels=9).collect()
+    assert {r.threshold for r in both} == {inside.min() + 1}
+
+
+def test_influence_of_slices(spark):
+    nan = float("nan")
+    rows = [("v", 1.0, 2.0, 3), ("v", None, nan, 1), ("v", nan, 4.0, None), ("w", 5.0, 1.0, 0), (None, 1.0, 1.0, 1)]
+    df = spark.createDataFrame(rows, "id string, `a.u` double, m double, n int").withColumnRenamed("a.u", "u")
+    got = {r.id: (r.slices, r.total_mask, r.unmasked_mean, r.masked_weighted_mean) for r in metrics.volume_influence(df, volume="id", metrics={"mae": ("u", "m")}, weight="n").collect()}
+    assert got == {"v": (3, 4.0, 1.0, 1.5), "w": (1, 0.0, 5.0, None), None: (1, 1.0, 1.0, 1.0)}
+    assert metrics.volume_influence(df.limit(0), volume="id", metrics={"mae": ("u", "m")}, weight="n").count() == 0
+    assert [r.id for r in metrics.volume_at(df, "id", 1).collect()] == ["w"] and metrics.volume_at(df, "id", 0).count() == 3
+    for k in (-1, 2):
+        with pytest.raises(IndexError):
+            metrics.volume_at(df, "id", k)
+
+
+def test_masks_by_place(spark):
+    files = spark.createDataFrame([("b", 1), ("a", 2), ("c", 3)], "f string, k int")
+    masks = spark.createDataFrame([("z",), ("y",)], "m string")
+    got = sorted((r.case_name, r.f, r.m) for r in joins.case_numbers(files, file="f", prefix="P", masks=masks, mask="m").collect())
+    assert got == [("P_001", "a", "y"), ("P_002", "b", "z"), ("P_003", "c", None)]
+    many = joins.case_numbers(spark.range(1001).select(F.format_string("%05d", "id").alias("f")), file="f", prefix="Q")
+    assert many.filter("f = '01000'").first().case_name == "Q_1001" and many.columns == ["f", "case_name"]
+
+
+def test_pixels_of_planes(spark):
+    cube = np.zeros((3, 4, 5))
+    cube[1, 2, 1:4] = 1
+    px = geometry.pixels(as_slices(spark, {"a": cube, "b": np.zeros((1, 2, 2))}))
+    got = metrics.plane_pixels(px, metrics.largest_planes(px)).collect()
+    assert {(r.axis, r.plane) for r in got} == {("z", 1), ("y", 2), ("x", 1)} and len(got) == 20 + 15 + 12 and {r.volume_id for r in got} == {"a"}
+    assert sum(r.v for r in got if r.axis == "x") == 1 and sum(r.v for r in got if r.axis == "z") == 3
+
+
 def test_bandwidth_of_a_normal_sample(spark):
     df = spark.createDataFrame([("a", float(x)) for x in RNG.standard_normal(4000)], "v string, x double")
     lv = stats.levels(df, volume="v", v="x", lo=-5.0, hi=5.0, n=512)
