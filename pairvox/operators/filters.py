@@ -1,4 +1,4 @@
-"""Windowed filters on pixel rows (volume_id, z, y, x, v), and morphology on slices as arrays (volume_id, z, height, width, px)."""
+"""Windowed filters and morphology on slices as arrays (volume_id, z, height, width, px)."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pairvox.operators.quantiles import quantiles
 from pairvox.operators.spread import cut, smallest_label
@@ -121,23 +122,46 @@ def homogeneous(lic: DataFrame, q: float) -> DataFrame:
     return lic.join(t, "volume_id").filter("lic <= threshold")
 
 
-def box_extrema(px: DataFrame, r: int) -> DataFrame:
-    """px with `low` and `high` over the (2r + 1)-square in the slice: one pass by x and one by y."""
-    by_x = Window.partitionBy("volume_id", "z", "y").orderBy("x").rowsBetween(-r, r)
-    by_y = Window.partitionBy("volume_id", "z", "x").orderBy("y").rowsBetween(-r, r)
-    one = px.select("*", F.min("v").over(by_x).alias("_a"), F.max("v").over(by_x).alias("_b"))
-    return one.select(*px.columns, F.min("_a").over(by_y).alias("low"), F.max("_b").over(by_y).alias("high"))
+def _planes(slices: DataFrame, columns: list[str], new: list[str], change: Callable[..., list[np.ndarray]]) -> DataFrame:
+    """slices with new arrays, which change makes from a slice's planes; nothing is shuffled. A null pixel comes as NaN, and NaN goes back as null."""
+    order = [c for c in slices.columns if c not in new]
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [change(*(np.asarray(p, float).reshape(h, w) for p in ps)) for h, w, *ps in zip(*(pdf[c] for c in ("height", "width", *columns)), strict=True)]
+            yield pdf[order].assign(**{c: [r[k].ravel() for r in rows] for k, c in enumerate(new)})
+
+    kept = [f for f in slices.schema.fields if f.name in order]
+    return slices.mapInPandas(run, T.StructType(kept + [T.StructField(c, T.ArrayType(T.DoubleType())) for c in new]))
+
+
+def box_extrema(slices: DataFrame, r: int) -> DataFrame:
+    """slices with arrays `low` and `high` over the (2r + 1)-square in the slice, by running extrema along both axes; cells outside and NaN count for nothing, null where all are such."""
 
-def box_mean(px: DataFrame, r: int, columns: list[str]) -> DataFrame:
-    """px with the mean of each column over the square where it lies inside the slice wholly; other pixels go."""
-    by_x = Window.partitionBy("volume_id", "z", "y").orderBy("x").rowsBetween(-r, r)
-    by_y = Window.partitionBy("volume_id", "z", "x").orderBy("y").rowsBetween(-r, r)
-    one = px.select("*", F.count("*").over(by_x).alias("_nx"), *(F.sum(c).over(by_x).alias(f"_{c}") for c in columns))
-    two = one.select("*", F.count("*").over(by_y).alias("_ny"), *(F.sum(f"_{c}").over(by_y).alias(f"mean_{c}") for c in columns))
+    def square(plane: np.ndarray, pick: np.ufunc, rest: float) -> np.ndarray:
+        out = np.where(np.isnan(plane), rest, plane)
+        for _ in (0, 1):
+            out = running(out, 2 * r + 1, pick, rest)[:, r : r + out.shape[1]].T
+        return np.where(out == rest, np.nan, out)
+
+    return _planes(slices, ["px"], ["low", "high"], lambda p: [square(p, np.minimum, np.inf), square(p, np.maximum, -np.inf)])
+
+
+def box_mean(slices: DataFrame, r: int, columns: list[str]) -> DataFrame:
+    """slices with an array mean_{column} of each array column: means over the (2r + 1)-square by cumulative sums; null where it doesn't lie inside the slice wholly or holds a pixel that is not finite."""
     n = 2 * r + 1
-    full = two.filter((F.col("_nx") == n) & (F.col("_ny") == n))
-    return full.select(*px.columns, *((F.col(f"mean_{c}") / (n * n)).alias(f"mean_{c}") for c in columns))
+
+    def mean(plane: np.ndarray) -> np.ndarray:
+        fine = np.isfinite(plane)
+        middle = plane[fine].mean() if fine.any() else 0.0  # taken off, so that sums keep their digits
+        out = np.full(plane.shape, np.nan)
+        if min(plane.shape) >= n:
+            good = _window_sum(fine.astype(float), r) == n * n
+            good[:r], good[len(good) - r :], good[:, :r], good[:, good.shape[1] - r :] = False, False, False, False
+            out[good] = _window_sum(np.where(fine, plane - middle, 0.0), r)[good] / (n * n) + middle
+        return out
+
+    return _planes(slices, columns, [f"mean_{c}" for c in columns], lambda *planes: [mean(p) for p in planes])
 
 
 CROSS = [(0, 0, 0), (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)]

@@ -17,22 +17,31 @@ def average_rank(groups: list[str], v: str | Column) -> Column:
     return F.rank().over(w.orderBy(v)) + (F.count("*").over(Window.partitionBy(*groups, v)) - 1) / 2
 
 
-def ranks_by_range(df: DataFrame, *, groups: list[str], v: str, per: int = 100_000) -> DataFrame:
-    """df with `_r`, the average rank of v in its group: rows are counted by range of v and ranked inside theirs, so no task sees a whole group."""
-    rows = df.withColumn("_range", range_of(df, v, per=per))
-    counts = rows.groupBy(*groups, "_range").agg(F.count("*").alias("_c"))
-    before = counts.select(*groups, "_range", (F.sum("_c").over(Window.partitionBy(*groups).orderBy("_range")) - F.col("_c")).alias("_before"))
-    ranked = rows.withColumn("_own", average_rank([*groups, "_range"], v)).join(before, [*groups, "_range"])
-    return ranked.withColumn("_r", F.col("_before") + F.col("_own")).drop("_range", "_own", "_before")
+def value_ranks(values: DataFrame, *, groups: list[str], v: str, n: str, per: int = 100_000) -> DataFrame:
+    """values (groups, v, n rows of that value) with `_r`, the average rank of each value in its group.
+
+    Values are added up by range and ranked inside theirs, so no task sees a whole group, and a value that many rows have is one row.
+    """
+    rows = values.withColumn("_range", range_of(values, v, per=per))
+    counts = rows.groupBy(*groups, "_range").agg(F.sum(n).alias("_all"))
+    before = counts.select(*groups, "_range", (F.sum("_all").over(Window.partitionBy(*groups).orderBy("_range")) - F.col("_all")).alias("_before"))
+    own = F.sum(n).over(Window.partitionBy(*groups, "_range").orderBy(v)) - (F.col(n) - 1) / 2
+    return rows.withColumn("_own", own).join(before, [*groups, "_range"]).withColumn("_r", F.col("_before") + F.col("_own")).drop("_range", "_own", "_before")
 
 
 def wilcoxon(df: DataFrame, *, groups: list[str], d: str, per: int = 100_000) -> DataFrame:
-    """(groups, t, n, effect, z): signed ranks of differences; zeros are ranked and then left out (Pratt). t is the smaller sum, effect the rank-biserial correlation."""
-    ranked = ranks_by_range(df.withColumn("_abs", F.abs(d)), groups=groups, v="_abs", per=per).drop("_abs")
-    tie = ranked.groupBy(*groups, F.abs(d).alias("_d")).agg(F.count("*").alias("_c"))
-    ties = tie.groupBy(*groups).agg(F.sum(F.when(F.col("_d") != 0, F.pow("_c", F.lit(3.0)) - F.col("_c")).otherwise(0.0)).alias("_ties"), F.sum(F.when(F.col("_d") == 0, F.col("_c")).otherwise(0)).alias("_zeros"))
-    up, down = (F.sum(F.when(c, F.col("_r")).otherwise(0.0)) for c in (F.col(d) > 0, F.col(d) < 0))
-    sums = ranked.groupBy(*groups).agg(up.alias("_up"), down.alias("_down"), F.count_if(F.col(d) != 0).alias("n"), F.count("*").alias("_all")).join(ties, groups)
+    """(groups, t, n, effect, z): signed ranks of differences; zeros are ranked and then left out (Pratt), nulls go. t is the smaller sum, effect the rank-biserial correlation.
+
+    Differences are counted by size before anything is ranked, and nothing is joined to the rows again.
+    """
+    size = F.abs(d).alias("_abs")
+    values = df.filter(F.col(d).isNotNull()).groupBy(*groups, size).agg(F.count("*").alias("_c"), F.count_if(F.col(d) > 0).alias("_p"), F.count_if(F.col(d) < 0).alias("_m"))
+    ranked = value_ranks(values, groups=groups, v="_abs", n="_c", per=per)
+    tied, zero = F.pow("_c", F.lit(3.0)) - F.col("_c"), F.col("_abs") == 0
+    sums = ranked.groupBy(*groups).agg(
+        F.sum(F.col("_p") * F.col("_r")).alias("_up"), F.sum(F.col("_m") * F.col("_r")).alias("_down"), F.sum(F.col("_p") + F.col("_m")).alias("n"), F.sum("_c").alias("_all"),
+        F.sum(F.when(zero, 0.0).otherwise(tied)).alias("_ties"), F.sum(F.when(zero, F.col("_c")).otherwise(0)).alias("_zeros"),
+    )
     n, z = F.col("_all").cast("double"), F.col("_zeros").cast("double")
     mean = (n * (n + 1) - z * (z + 1)) / 4
     var = (n * (n + 1) * (2 * n + 1) - z * (z + 1) * (2 * z + 1)) / 24 - F.col("_ties") / 48

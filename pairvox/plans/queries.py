@@ -482,6 +482,12 @@ def _changes(lic: DataFrame) -> DataFrame:
     return geometry.pixels(lic.select("volume_id", "z", F.lit(8).alias("width"), F.col("lic").alias("px"))).withColumnRenamed("v", "lic")
 
 
+def _cells(arrays: DataFrame, names: list[str]) -> DataFrame:
+    """(volume_id, z, y, x, names), one row a pixel."""
+    rows = arrays.select("volume_id", "z", "width", F.posexplode(F.arrays_zip(*names)).alias("i", "s"))
+    return rows.select("volume_id", "z", F.expr("i div width").alias("y"), (F.col("i") % F.col("width")).cast("long").alias("x"), *(F.col(f"s.{c}").alias(c) for c in names))
+
+
 BALL = [(dz, dy, dx) for dz in (-1, 0, 1) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dz * dz + dy * dy + dx * dx <= 1]
 
 
@@ -497,13 +503,15 @@ def lic_slabs(spark, d):
 
 @query(f"""WITH {PX} SELECT a.volume_id, a.z, a.y, a.x, min(b.v) AS low, max(b.v) AS high FROM px a JOIN px b ON a.volume_id = b.volume_id AND a.z = b.z AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY 1, 2, 3, 4""")
 def lic_box(spark, d):
-    return filters.box_extrema(pixel_rows(spark, d), 1).drop("v")
+    out = filters.box_extrema(slices(spark, d), 1)
+    return _cells(out, ["low", "high"])
 
 
 @query(f"""WITH {PX} SELECT a.volume_id, a.z, a.y, a.x, round(avg(b.v), 9) AS mean, round(avg(b.v * b.v) - avg(b.v) * avg(b.v), 9) AS var FROM px a JOIN px b ON a.volume_id = b.volume_id AND a.z = b.z AND abs(a.y - b.y) <= 2 AND abs(a.x - b.x) <= 2
  WHERE a.y BETWEEN 2 AND 5 AND a.x BETWEEN 2 AND 5 GROUP BY 1, 2, 3, 4""")
 def box_moments(spark, d):
-    out = filters.box_mean(pixel_rows(spark, d).withColumn("v2", F.col("v") * F.col("v")), 2, ["v", "v2"])
+    out = filters.box_mean(slices(spark, d).withColumns({"v": F.col("px"), "v2": F.transform("px", lambda v: v * v)}), 2, ["v", "v2"])
+    out = _cells(out, ["mean_v", "mean_v2"]).filter("mean_v IS NOT NULL")
     return out.select("volume_id", "z", "y", "x", F.round("mean_v", 9).alias("mean"), F.round(F.col("mean_v2") - F.col("mean_v") * F.col("mean_v"), 9).alias("var"))
 
 

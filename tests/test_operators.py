@@ -233,6 +233,26 @@ def test_change_without_values(spark):
     assert filters.local_change_slabs(as_slices(spark, {"a": cube}).limit(0), [(0, 0, 0)]).count() == 0
 
 
+def test_boxes_in_slices(spark):
+    """Squares against direct means and extrema; NaN, slices smaller than the square, other columns."""
+    cube = RNG.normal(1e6, 1, (2, 7, 9))
+    cube[0, 3, 3], cube[1, :4, :4] = np.nan, np.nan
+    s = as_slices(spark, {"a": cube, "b": RNG.normal(0, 1, (1, 2, 3))}).withColumn("low", F.lit("x")).withColumn("more", F.col("px"))
+    boxes = {(r.volume_id, r.z): r for r in filters.box_extrema(s, 1).collect()}
+    means = {(r.volume_id, r.z): r for r in filters.box_mean(s, 2, ["px", "more"]).collect()}
+    for z in (0, 1):
+        for k, (y, x) in enumerate(np.ndindex(7, 9)):
+            near = cube[z, max(0, y - 1) : y + 2, max(0, x - 1) : x + 2]
+            near = near[~np.isnan(near)]
+            assert (boxes["a", z].low[k], boxes["a", z].high[k]) == ((near.min(), near.max()) if len(near) else (None, None))
+            wide = cube[z, y - 2 : y + 3, x - 2 : x + 3]
+            if 2 <= y < 5 and 2 <= x < 7 and not np.isnan(wide).any():
+                assert abs(means["a", z].mean_px[k] - wide.mean()) < 1e-8
+            else:
+                assert means["a", z].mean_px[k] is None
+    assert means["b", 0].mean_more == [None] * 6 and boxes["b", 0].more == boxes["b", 0].px and filters.box_mean(s.limit(0), 1, ["px"]).count() == 0
+
+
 def test_change_in_a_ball(spark):
     offsets = filters.footprint(2.0, (1.5, 1.0, 1.0))
     assert sorted(offsets) == sorted((z, y, x) for z in (-1, 0, 1) for y in range(-2, 3) for x in range(-2, 3) if (1.5 * z) ** 2 + y * y + x * x <= 4)
@@ -394,6 +414,9 @@ def test_rank_tests(spark):
     many = spark.createDataFrame([("ab"[i % 2], float(x)) for i, x in enumerate(RNG.integers(-9, 10, 200))], "m string, d double")
     one, several = (sorted(map(tuple, ranktests.wilcoxon(many, groups=["m"], d="d", per=per).collect())) for per in (1000, 10))
     assert one == several and len(one) == 2
+    tied = spark.createDataFrame([("m", x) for x in [0.0, -0.0] * 40 + [1.0, -1.0, 2.0, None] * 5], "m string, d double")
+    most = ranktests.wilcoxon(tied, groups=["m"], d="d").first()
+    assert (most.t, most.n, most.effect) == (5 * 85.5, 15, 5 * 93 / (10 * 85.5 + 5 * 93)) and ranktests.wilcoxon(tied.limit(0), groups=["m"], d="d").count() == 0
     assert abs(ranktests.chi2_tail(5.991, 2) - 0.05) < 1e-4 and abs(ranktests.chi2_tail(18.307, 10) - 0.05) < 1e-4
     rows = [(s, c, float(v)) for s, vs in enumerate([(1, 2, 3), (1, 3, 2), (1, 2, 3), (2, 2, 5)]) for c, v in zip("abc", vs, strict=True)]
     f = ranktests.with_p(ranktests.friedman(spark.createDataFrame([("l", *r) for r in rows], "l string, s long, c string, v double"), groups=["l"], subject="s", within="c", v="v"), statistic="q").first()
