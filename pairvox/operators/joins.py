@@ -96,7 +96,8 @@ def range_of(df: DataFrame, key: str, *, per: int) -> Column:
     """The number of a range of the key that a row lies in, in key order; -1 for a null key. Equal keys are in one range.
 
     Bounds are sketched quantiles of the key (so sparse or uneven keys make even ranges of about `per` rows), RANGES at
-    most; they are a literal, and the range is found in two steps of 64.
+    most; they are a literal, and the range is found in two steps of 64. With more than RANGES * per rows ranges grow with
+    the table, and so do those of a value that many rows have; give distinct values with their counts where ties are many.
     """
     n = min(RANGES, df.count() // per + 1)
     cuts = df.agg(F.percentile_approx(key, [k / n for k in range(1, n)], 10 * RANGES)).first()[0] if n > 1 else []

@@ -782,11 +782,12 @@ def peak_pick(spark, d):
     return out[0].union(out[1]).union(out[2]).union(out[3])
 
 
-NPEAKS = f"""{DENSE}, lic AS (SELECT a.volume_id, a.z, a.y, a.x, max(b.v) - min(b.v) AS lic FROM dpx a JOIN dpx b ON {_near('a', 'b')} GROUP BY 1, 2, 3, 4),
+NPEAKS_LEVELS = f"""{DENSE}, lic AS (SELECT a.volume_id, a.z, a.y, a.x, max(b.v) - min(b.v) AS lic FROM dpx a JOIN dpx b ON {_near('a', 'b')} GROUP BY 1, 2, 3, 4),
  ins AS (SELECT d.volume_id, m.mask, d.v, l.lic FROM dpx d JOIN lic l USING (volume_id, z, y, x), (VALUES ('fat'), ('liver')) m(mask) WHERE CASE m.mask WHEN 'fat' THEN d.v > 0 ELSE d.x > 2 END),
  th AS (SELECT volume_id, mask, quantile_cont(lic, 0.5) AS threshold FROM ins GROUP BY 1, 2), fine AS (SELECT ins.volume_id, ins.mask, v, threshold FROM ins JOIN th ON ins.volume_id = th.volume_id AND ins.mask = th.mask WHERE lic <= threshold),
  ext AS (SELECT volume_id, mask, any_value(threshold) AS threshold, count(*) AS voxels, min(v) AS lo, max(v) AS hi FROM fine GROUP BY 1, 2),
- lev AS (SELECT f.volume_id, f.mask, any_value(lo) AS lo, any_value(hi) AS hi, any_value(voxels) AS voxels, coalesce(least(CAST(ceil((v - lo) / nullif((hi - lo) / 63, 0)) AS BIGINT), 63), 0) AS level, count(*) AS weight FROM fine f JOIN ext e ON f.volume_id = e.volume_id AND f.mask = e.mask GROUP BY f.volume_id, f.mask, level),
+ lev AS (SELECT f.volume_id, f.mask, any_value(lo) AS lo, any_value(hi) AS hi, any_value(voxels) AS voxels, coalesce(least(CAST(ceil((v - lo) / nullif((hi - lo) / 63, 0)) AS BIGINT), 63), 0) AS level, count(*) AS weight FROM fine f JOIN ext e ON f.volume_id = e.volume_id AND f.mask = e.mask GROUP BY f.volume_id, f.mask, level)"""
+NPEAKS = f"""{NPEAKS_LEVELS},
  w AS (SELECT volume_id, mask, i, round(sum(weight / (voxels * 0.02 * sqrt(2 * pi())) * exp(-0.5 * pow((-0.6 + i * (1.2 / 200) - (lo + level * (hi - lo) / 63)) / 0.02, 2))), 12) AS y FROM lev, range(201) r(i) GROUP BY 1, 2, 3)"""
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pairvox.operators import filters, joins, metrics, normalize, stats
 from pairvox.plans.adapters import CASES, DENSE, PX, cases, dense_slices, pixel_rows, table
-from pairvox.plans.queries import _changes, query, r9
+from pairvox.plans.queries import NPEAKS_LEVELS, _changes, _gap_sql, _peaks_sql, query, r9
 
 SPACING = (1.5, 1.0, 1.25)
 
@@ -19,6 +19,32 @@ def lic_wide_ball(spark, d):
     return _changes(filters.local_change_slabs(dense_slices(spark, d), filters.footprint(3.0, SPACING), depth=5))
 
 
+OWN_BANDWIDTH = f"""{NPEAKS_LEVELS},
+ s AS (SELECT volume_id, mask, any_value(lo) AS lo, any_value(hi) AS hi, any_value(voxels)::DOUBLE AS size FROM lev GROUP BY 1, 2),
+ c AS (SELECT volume_id, mask, r.k, sum(weight / size * cos(pi() * r.k * (level + 0.5) / 64)) AS a FROM lev JOIN s USING (volume_id, mask), range(1, 64) r(k) GROUP BY 1, 2, 3),
+ z AS (SELECT volume_id, mask, any_value(size) AS size, list(a * a ORDER BY c.k) AS a2 FROM c JOIN s USING (volume_id, mask) GROUP BY 1, 2),
+ grid AS ({_gap_sql("SELECT z.*, r.i, pow(10.0, -9 + 8.0 * r.i / 399) AS t FROM z, range(400) r(i)")}),
+ flip AS (SELECT volume_id, mask, min(i) AS i FROM (SELECT volume_id, mask, i, g, lead(g) OVER (PARTITION BY volume_id, mask ORDER BY i) AS n FROM grid) WHERE g < 0 AND n >= 0 GROUP BY 1, 2),
+ b AS (SELECT volume_id, mask, 0 AS turn, pow(10.0, -9 + 8.0 * i / 399) AS low, pow(10.0, -9 + 8.0 * (i + 1) / 399) AS high FROM flip UNION ALL
+  SELECT volume_id, mask, turn + 1, CASE WHEN g < 0 THEN t ELSE low END, CASE WHEN g < 0 THEN high ELSE t END FROM ({_gap_sql("SELECT b.*, size, a2, (low + high) / 2 AS t FROM b JOIN z USING (volume_id, mask) WHERE turn < 50")})),
+ bw AS (SELECT s.*, CASE WHEN hi > lo THEN sqrt(coalesce((low + high) / 2, 0.28 * pow(size, -0.4))) * (hi - lo) / 63 * 64 ELSE 0 END AS h FROM s LEFT JOIN (SELECT * FROM b WHERE turn = 50) USING (volume_id, mask)),
+ ab AS (SELECT *, lo - greatest(3 * h, 0.05 * (hi - lo)) AS a0, hi + greatest(3 * h, 0.05 * (hi - lo)) AS b0 FROM bw),
+ w AS (SELECT volume_id, mask, r.i, round(sum(weight / (size * h * sqrt(2 * pi())) * exp(-0.5 * pow((a0 + r.i * ((b0 - a0) / 200) - (ab.lo + level * (ab.hi - ab.lo) / 63)) / h, 2))), 12) AS y FROM lev JOIN ab USING (volume_id, mask), range(201) r(i) WHERE h > 0 GROUP BY 1, 2, 3)"""
+
+
+@query(f"""WITH RECURSIVE {OWN_BANDWIDTH}, {_peaks_sql('w', 'volume_id, mask')},
+ area AS (SELECT b.volume_id, b.mask, b.i, sum(w.y) AS area FROM bounded b JOIN w ON b.volume_id = w.volume_id AND b.mask = w.mask AND w.i BETWEEN l AND r GROUP BY 1, 2, 3),
+ pick AS (SELECT volume_id, mask, CASE mask WHEN 'fat' THEN max(i) ELSE arg_max(i, (area, -i)) END AS i FROM area GROUP BY 1, 2)
+SELECT ab.volume_id, ab.mask, size::BIGINT AS voxels, round(h, 9) AS bandwidth, round(CASE WHEN h > 0 THEN a0 + i * ((b0 - a0) / 200) ELSE lo END, 9) AS peak FROM ab LEFT JOIN pick p ON p.volume_id = ab.volume_id AND p.mask = ab.mask""")
+def npeaks_own_bandwidth(spark, d):
+    """Peaks with the bandwidth and the range that each volume and mask ask for, the right one in fat and the fullest in liver."""
+    image = dense_slices(spark, d)
+    mask = lambda name, keep: image.select("volume_id", F.lit(name).alias("mask"), "z", F.transform("px", keep).alias("px"))
+    masks = mask("fat", lambda v: (v > 0).cast("double")).union(mask("liver", lambda v, i: (i % 8 > 2).cast("double")))
+    found = stats.npeaks_find(image, masks, strategies={"fat": "right", "liver": "most"}, radius=1.0, n_levels=64, grid=201)
+    return found.select("volume_id", "mask", "voxels", r9("bandwidth"), r9("peak"))
+
+
 def gradient(cube: np.ndarray) -> np.ndarray:
     """Central differences along the three axes, absolute and added up; the border repeats itself."""
     wide = np.pad(cube, 1, mode="edge")
