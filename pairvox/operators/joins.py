@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, NumericType, TimestampType
 
 from pairvox.functions.ids import TOKEN_LOOSE, extract_token
 
@@ -98,9 +99,22 @@ def range_of(df: DataFrame, key: str, *, per: int) -> Column:
     Bounds are sketched quantiles of the key (so sparse or uneven keys make even ranges of about `per` rows), RANGES at
     most; they are a literal, and the range is found in two steps of 64. With more than RANGES * per rows ranges grow with
     the table, and so do those of a value that many rows have; give distinct values with their counts where ties are many.
+    Keys without a sketch (text) are bounded by those whose hashes fall into one of many classes, about 64 a range; they
+    place the bounds only, and each row has its range by comparison.
     """
-    n = min(RANGES, df.count() // per + 1)
-    cuts = df.agg(F.percentile_approx(key, [k / n for k in range(1, n)], 10 * RANGES)).first()[0] if n > 1 else []
+    rows = df.count()
+    n = min(RANGES, rows // per + 1)
+    if n == 1:
+        cuts = []
+    elif isinstance(df.schema[key].dataType, (NumericType, DateType, TimestampType)):
+        cuts = df.agg(F.percentile_approx(key, [k / n for k in range(1, n)], 10 * RANGES)).first()[0]
+    else:
+        some = df.filter(F.col(key).isNotNull() & (F.pmod(F.xxhash64(key), F.lit(max(1, rows // (64 * n)))) == 0)).groupBy(F.col(key).alias("_key")).count().sort("_key").collect()
+        total, upto, cuts = sum(r["count"] for r in some), 0, []
+        for r in some:
+            if upto * n // total < (upto + r["count"]) * n // total:
+                cuts.append(r["_key"])
+            upto += r["count"]
     cuts = sorted(set(cuts or []))
     bucket = F.lit(0)
     if cuts:

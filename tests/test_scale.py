@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pairvox.operators import dose, metrics
+from pairvox.operators import dose, joins, metrics, stats
 from pairvox.operators.intervals import interval_join
 from pairvox.operators.quantiles import quantiles
 from pairvox.sources import nifti, tables
@@ -208,3 +208,10 @@ def test_ways_to_find_ids_agree(spark):
     for options in ({}, {"few": 5}, {"few": 5, "shipped": 10}):
         got = tables.copy_subset(files.toDF("name"), listed, name="name", id_="i", extensions=[".nii"], **options)
         assert sorted(r[0] for r in got.collect()) == want, options
+
+
+def test_text_keys_are_numbered_in_ranges(spark):
+    names = sorted({"".join(RNG.choices("abé#0", k=RNG.randrange(1, 6))) for _ in range(400)})
+    rows = spark.createDataFrame([(n,) for n in RNG.sample(names, len(names))] + [(None,)], "name string")
+    assert [r.name for r in joins.numbered(rows, "name", per=20).sort("number").collect()] == [None, *names]
+    assert rows.select(joins.range_of(rows, "name", per=20).alias("r")).distinct().count() > 5
