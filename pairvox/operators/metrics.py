@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairvox.operators.joins import numbered
-from pairvox.operators.quantiles import by_groups, quantiles
+from pairvox.operators.quantiles import beside, by_groups, quantiles
 from pairvox.operators.splits import random_subset
 
 #: Dynamic range of HU, constants of the similarity index.
@@ -204,8 +204,8 @@ def box_whiskers(df: DataFrame, *, facet: str, group: str, v: str, factors: list
             raise ValueError(f"groups mix values of {', '.join(found)}")
     out = None
     for keys in (["facet", group], [group]):
-        q = quantiles(rows, keys, "_v", [0.25, 0.5, 0.75]).select(*keys, *(F.get("quantiles", F.lit(i)).alias(c) for i, c in enumerate(("q1", "median", "q3"))))
-        both = by_groups(rows, q, keys).filter("_v IS NOT NULL")
+        q = quantiles(rows, keys, "_v", [0.25, 0.5, 0.75]).select(*keys, *(F.get("quantiles", F.lit(i)).alias(c) for i, c in enumerate(("q1", "median", "q3"))), "n")
+        both = beside(rows, q, keys).drop("n").filter("_v IS NOT NULL")
         reach = 1.5 * (F.col("q3") - F.col("q1"))
         inside = (F.col("_v") >= F.col("q1") - reach) & (F.col("_v") <= F.col("q3") + reach)
         ends = both.groupBy(*keys, "q1", "median", "q3").agg(F.count("*").alias("n"), F.min(F.when(inside, F.col("_v"))).alias("low"), F.max(F.when(inside, F.col("_v"))).alias("high"), F.count_if(~inside).alias("outliers"))
