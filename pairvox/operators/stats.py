@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -259,43 +259,76 @@ def silverman(df: DataFrame, *, volume: str, v: str) -> DataFrame:
     return s.select(volume, (0.9 * F.least(F.col("s"), F.col("iqr") / 1.34) * F.pow("n", F.lit(-0.2))).alias("bandwidth"))
 
 
-def _fixed_point(value: np.ndarray, level: np.ndarray, weight: np.ndarray, n: int) -> tuple[float, bool]:
-    """The improved Sheather-Jones bandwidth of n level counts, and whether the fixed point was found."""
-    p = np.zeros(n)
-    p[level.astype(int)] = weight / weight.sum()
-    step = (value.max() - value.min()) / max(level.max() - level.min(), 1)
+#: Numbers that a step of the bandwidths' search holds at once.
+SEARCHED = 1 << 20
+
+
+def _fixed_points(p: np.ndarray, size: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bandwidths, whether their fixed points were found): the improved Sheather-Jones ones of many curves at once. p: shares of levels, a row a curve."""
+    n = p.shape[1]
+    some = max(1, SEARCHED // (400 * n))
+    parts = [_roots(p[k : k + some], size[k : k + some]) for k in range(0, len(p), some)]
+    t, found = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return np.sqrt(t) * step * n, found
+
+
+def _roots(p: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n = p.shape[1]
     k = np.arange(n)
-    a = 2 * (np.exp(-0.5j * np.pi * k / n) * np.fft.fft(p, 2 * n)[:n]).real  # the cosine transform
-    a2, k2, size = (a[1:] / 2) ** 2, k[1:].astype(float) ** 2, weight.sum()
+    a = 2 * (np.exp(-0.5j * np.pi * k / n) * np.fft.fft(p, 2 * n)[:, :n]).real  # the cosine transform
+    a2, k2 = (a[:, 1:] / 2) ** 2, k[1:].astype(float) ** 2
+    terms = {s: (2 * np.pi ** (2 * s) * k2**s * a2)[:, :, None] for s in range(2, 8)}
+    functional = lambda s, t: (np.exp(t[:, :, None] * (-np.pi**2 * k2)) @ terms[s])[:, :, 0]
 
-    def gap(t: float) -> float:
-        f = 2 * np.pi ** 14 * np.sum(k2**7 * a2 * np.exp(-k2 * np.pi**2 * t))
+    def gap(t: np.ndarray) -> np.ndarray:
+        f = functional(7, t)
         for s in range(6, 1, -1):
             c = (1 + 0.5 ** (s + 0.5)) / 3 * np.prod(np.arange(1, 2 * s, 2)) / np.sqrt(np.pi / 2)
-            f = 2 * np.pi ** (2 * s) * np.sum(k2**s * a2 * np.exp(-k2 * np.pi**2 * (2 * c / size / f) ** (2 / (3 + 2 * s))))
-        return t - (2 * size * np.sqrt(np.pi) * f) ** -0.4
+            f = functional(s, (2 * c / size[:, None] / f) ** (2 / (3 + 2 * s)))
+        return t - (2 * size[:, None] * np.sqrt(np.pi) * f) ** -0.4
 
     with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
         grid = np.logspace(-9, -1, 400)
-        g = np.array([gap(t) for t in grid])
-        flips = np.flatnonzero((g[:-1] < 0) & (g[1:] >= 0))
-        t = 0.28 * size**-0.4
-        if len(flips):
-            lo, hi = grid[flips[0]], grid[flips[0] + 1]
-            for _ in range(60):
-                t = (lo + hi) / 2
-                lo, hi = (t, hi) if gap(t) < 0 else (lo, t)
-    return float(np.sqrt(t) * step * n), bool(len(flips))
+        g = gap(np.broadcast_to(grid, (len(p), 400)))
+        flips = (g[:, :-1] < 0) & (g[:, 1:] >= 0)
+        found, first = flips.any(1), flips.argmax(1)
+        lo, hi = grid[first], grid[first + 1]
+        for _ in range(60):
+            t = (lo + hi) / 2
+            low = gap(t[:, None])[:, 0] < 0
+            lo, hi = np.where(low, t, lo), np.where(low, hi, t)
+    return np.where(found, t, 0.28 * size**-0.4), found
 
 
-def improved_bandwidth(levels_: DataFrame, *, volume: str, n: int) -> DataFrame:
-    """(volume, bandwidth, converged) by the improved Sheather-Jones fixed point on the cosine transform of the level counts (n rows a volume at most)."""
+def _fixed_point(value: np.ndarray, level: np.ndarray, weight: np.ndarray, n: int) -> tuple[float, bool]:
+    """The improved Sheather-Jones bandwidth of n level counts, and whether the fixed point was found."""
+    p, size = np.zeros((1, n)), weight.sum()
+    p[0, level.astype(int)] = weight / size
+    step = (value.max() - value.min()) / max(level.max() - level.min(), 1)
+    width, found = _fixed_points(p, np.array([size]), np.array([step]))
+    return float(width[0]), bool(found[0])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        width, found = _fixed_point(*(pdf[c].to_numpy(float) for c in ("value", "level", "weight")), n)
-        return pd.DataFrame({volume: [pdf[volume].iloc[0]], "bandwidth": [width], "converged": [found]})
 
-    return levels_.groupBy(volume).applyInPandas(run, f"{volume} {levels_.schema[volume].dataType.simpleString()}, bandwidth double, converged boolean")
+def improved_bandwidth(levels_: DataFrame, *, volume: str, n: int) -> DataFrame:
+    """(volume, bandwidth, converged) by the improved Sheather-Jones fixed point on the cosine transform of the level counts (n rows a volume at most).
+
+    A volume's counts are one row of n numbers at most; a task searches the fixed points of many volumes together.
+    """
+    span = lambda c: F.max(c) - F.min(c)
+    packed = levels_.groupBy(volume).agg(F.collect_list(F.col("level").cast("int")).alias("_level"), F.collect_list(F.col("weight").cast("double")).alias("_weight"), (span("value") / F.greatest(span("level"), F.lit(1))).alias("_step"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for k in range(0, len(pdf), 256):
+                part = pdf.iloc[k : k + 256]
+                p = np.zeros((len(part), n))
+                size = np.array([w.sum() for w in part["_weight"]])
+                for row, level, weight, total in zip(p, part["_level"], part["_weight"], size, strict=True):
+                    row[level] = weight / total
+                width, found = _fixed_points(p, size, part["_step"].to_numpy(float))
+                yield pd.DataFrame({volume: part[volume], "bandwidth": width, "converged": found})
+
+    return packed.mapInPandas(run, f"{volume} {levels_.schema[volume].dataType.simpleString()}, bandwidth double, converged boolean")
 
 
 def _walls(y: np.ndarray) -> np.ndarray:
