@@ -387,10 +387,14 @@ def select_peak(peaks: DataFrame, h: DataFrame, *, volume: str, i: str, y: str,
     return peaks.withColumn("_k", F.row_number().over(Window.partitionBy(volume).orderBy(*order))).filter("_k = 1").drop("_k", "_area")
 
 
-def split_intensity(h: DataFrame, lic: DataFrame, *, volume: str, contrast: str) -> DataFrame:
-    """(volume, i): where lic's density is highest against h's, on the side of the median that the contrast names, tails of 1 % cut. Both: (volume, i, y)."""
+def split_intensity(h: DataFrame, lic: DataFrame, *, volume: str, contrast: str, digits: int | None = None) -> DataFrame:
+    """(volume, i): where lic's density is highest against h's, on the side of the median that the contrast names, tails of 1 % cut. Both: (volume, i, y).
+
+    Of equal shares the least i; shares that `digits` decimals don't tell apart are equal.
+    """
     w = Window.partitionBy(volume)
     q = F.sum("y").over(w.orderBy("i")) / F.sum("y").over(w)
     side = h.withColumn("q", q).filter((F.col("q") > 0.01) & (F.col("q") < 0.99)).filter(F.col("q") <= 0.5 if contrast in ("t1", "t1c", "flair") else F.col("q") > 0.5)
     both = side.join(lic.select(volume, "i", F.col("y").alias("_l")), [volume, "i"]).filter("y > 0")
-    return both.groupBy(volume).agg(F.max_by("i", F.struct(F.col("_l") / F.col("y"), -F.col("i"))).alias("i"))
+    share = F.col("_l") / F.col("y")
+    return both.groupBy(volume).agg(F.max_by("i", F.struct(share if digits is None else F.round(share, digits), -F.col("i"))).alias("i"))
