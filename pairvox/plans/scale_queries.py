@@ -104,10 +104,10 @@ def many_runs(spark, d):
             own = own.withColumn("mae", F.when(F.col("model") == "error", "n/a").otherwise(F.col("mae").cast("string")))
         own = own.select(*names) if k != 3 else own.select(*names).toDF("event_id", "name", "MAE")
         own.write.option("header", True).csv(f"{path}/run-{k}")
-    good, bad = tables.read_runs(spark, [f"{path}/run-{k}" for k in columns], "event_id long, mae double, model string", renamed={"MAE": "mae", "name": "model"})
-    none = F.lit(None)
-    good = good.select("run", F.lit("row").alias("kind"), "event_id", F.round("mae", 6).alias("mae"), "model", none.cast("string").alias("why"))
-    return good.union(bad.select("run", F.lit("bad"), none.cast("long"), none.cast("double"), none.cast("string"), "why"))
+    lines = tables.parse_runs(spark, [f"{path}/run-{k}" for k in columns], "event_id long, mae double, model string", renamed={"MAE": "mae", "name": "model"})
+    good = lambda c: F.when(F.col("why").isNull(), c)
+    kind = F.when(F.col("why").isNull(), "row").otherwise("bad")
+    return lines.select("run", kind.alias("kind"), good(F.col("event_id")).alias("event_id"), good(F.round("mae", 6)).alias("mae"), good(F.col("model")).alias("model"), "why")
 
 
 # Volumes as files

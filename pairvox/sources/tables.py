@@ -12,6 +12,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairvox.operators.quantiles import few
+from pairvox.operators.spread import cut
+
 #: Metric names and the line format of training logs.
 METRICS = ["MAE", "MSE", "PSNR", "SSIM"]
 LOG_LINE = r"\(epoch: (\d+), iters: (\d+), time: ([\d.]+), data: ([\d.]+)\)"
@@ -67,28 +70,39 @@ def read_runs(spark: SparkSession, paths: list[str], schema: str, *, run: str =
     that isn't of a column's type, is kept apart with the reason, and not among the rows. Empty text is null. A line is a
     row: quoted line feeds within fields are not for these files.
     """
+    out = parse_runs(spark, paths, schema, run=run, renamed=renamed)
+    names = [c for c in out.columns if c not in ("run", "file", "line", "why")]
+    return out.filter("why IS NULL").select("run", "file", *(F.col(f"`{c}`") for c in names)), out.filter("why IS NOT NULL").select("run", "file", "line", "why")
+
+
+def parse_runs(spark: SparkSession, paths: list[str], schema: str, *, run: str = r"([^/]+)/[^/]+$", renamed: dict[str, str] | None = None) -> DataFrame:
+    """(run, file, line, why, columns of schema): every line of read_runs' files, with the reason where it is bad, else null.
+
+    What depends on a file alone (its run, where its columns stand) is worked out once a file. A line is split once: a row of
+    an array is computed before filters see it, whereas a filter on a column repeats what the column is made of.
+    """
     fields = spark.createDataFrame([], schema).schema
     lines = spark.read.text(paths, recursiveFileLookup=True).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")).filter("trim(value) <> ''")
-    first = lines.filter("block = 0").groupBy("file").agg(F.min_by("value", "n").alias("header"), F.min("n").alias("at"))
+    first = cut(lines.filter("block = 0").groupBy("file").agg(F.min_by("value", "n").alias("header"), F.min("n").alias("at")))
     widest = first.agg(F.max(F.size(F.split("header", ",")))).first()[0] or 1
     parts = ", ".join(f"c{i} string" for i in range(widest + 1))
     parsed = lambda c: F.from_csv(c, F.lit(parts), {"mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"})
     row = lambda s: F.array(*(F.col(f"{s}.c{i}") for i in range(widest + 1)))
+    once = lambda c: F.explode(F.array(c))
     old = F.create_map(*(F.lit(x) for kv in (renamed or {}).items() for x in kv)) if renamed else None
     plain = lambda x: F.trim(F.regexp_replace(x, "^\ufeff", ""))
     names = F.transform(F.filter(row("_h"), lambda x: x.isNotNull()), lambda x: F.coalesce(old[plain(x)], plain(x)) if renamed else plain(x))
     heads = first.withColumn("_h", parsed("header")).select("file", "at", names.alias("_names"))
-    body = lines.join(heads, "file").filter("n <> at").withColumn("_v", parsed("value")).withColumn("_v", row("_v"))
-    value = lambda c: F.nullif(F.get("_v", F.array_position("_names", c).cast("int") - 1), F.lit(""))
-    given = [F.when(F.array_position("_names", f.name) > 0, value(f.name)).alias(f"_s{i}") for i, f in enumerate(fields)]
-    typed = [F.expr(f"try_cast(_s{i} AS {f.dataType.simpleString()})").alias(f"_t{i}") for i, f in enumerate(fields)]
-    extra = F.exists(F.slice("_v", F.size("_names") + 1, widest + 1), lambda x: x.isNotNull())
+    places = [F.array_position("_names", f.name).cast("int").alias(f"_p{i}") for i, f in enumerate(fields)]
+    heads = few(cut(heads.select("file", "at", F.regexp_extract("file", run, 1).alias("run"), F.size("_names").alias("_width"), *places)))
+    body = lines.join(heads, "file").filter("n <> at").withColumn("_c", once(parsed("value"))).withColumn("_v", row("_c"))
+    given = [F.when(F.col(f"_p{i}") > 0, F.nullif(F.get("_v", F.col(f"_p{i}") - 1), F.lit(""))).alias(f"_s{i}") for i in range(len(fields))]
+    extra = F.exists(F.slice("_v", F.col("_width") + 1, widest + 1), lambda x: x.isNotNull()).alias("_extra")
+    body = body.select("run", "file", "value", once(F.struct(extra, *given)).alias("_r")).select("run", "file", "value", "_r.*")
+    typed = body.select("*", *(F.expr(f"try_cast(_s{i} AS {f.dataType.simpleString()})").alias(f"_t{i}") for i, f in enumerate(fields)))
     wrong = [F.when(F.col(f"_s{i}").isNotNull() & F.col(f"_t{i}").isNull(), F.lit(f.name)) for i, f in enumerate(fields)]
-    out = body.select(F.regexp_extract("file", run, 1).alias("run"), "file", "value", extra.alias("_extra"), *given).select("*", *typed)
     why = F.when(F.col("_extra"), F.lit("more fields than names")).otherwise(F.nullif(F.concat_ws(", ", *wrong), F.lit("")))
-    out = out.withColumn("why", why)
-    rows = out.filter("why IS NULL").select("run", "file", *(F.col(f"_t{i}").alias(f.name) for i, f in enumerate(fields)))
-    return rows, out.filter("why IS NOT NULL").select("run", "file", F.col("value").alias("line"), "why")
+    return typed.select("run", "file", F.col("value").alias("line"), why.alias("why"), *(F.col(f"_t{i}").alias(f.name) for i, f in enumerate(fields)))
 
 
 def flatten_results(df: DataFrame) -> DataFrame:

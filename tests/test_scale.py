@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pairvox.operators import dose, joins, metrics, stats
 from pairvox.operators.intervals import interval_join
-from pairvox.operators.quantiles import quantiles
+from pairvox.operators.quantiles import _in_ranges, beside, quantiles
 from pairvox.sources import nifti, tables
 from pairvox.streaming import streams
 
@@ -215,3 +215,38 @@ def test_text_keys_are_numbered_in_ranges(spark):
     rows = spark.createDataFrame([(n,) for n in RNG.sample(names, len(names))] + [(None,)], "name string")
     assert [r.name for r in joins.numbered(rows, "name", per=20).sort("number").collect()] == [None, *names]
     assert rows.select(joins.range_of(rows, "name", per=20).alias("r")).distinct().count() > 5
+
+
+def test_equal_shares_split_at_the_least_place(spark):
+    h = spark.createDataFrame([("v", i, n) for i, n in enumerate([1.0, 3.0, 7.0, 11.0, 100.0])], "v string, i long, y double")
+    lic = spark.createDataFrame([("v", i, y) for i, y in enumerate([0.01, 0.12, 0.07 * 4, 0.1 + 0.2 + 0.14, 1.0])], "v string, i long, y double")
+    got = stats.split_intensity(h, lic, volume="v", contrast="t1", digits=9).collect()
+    assert [(r.v, r.i) for r in got] == [("v", 1)]
+
+
+def test_many_bandwidths_at_once(spark):
+    rows = [(v, k, k * 0.5, RNG.randrange(1, 30)) for v in range(20) for k in range(v % 3, 64 - v)]
+    got = {r.v: r for r in stats.improved_bandwidth(spark.createDataFrame(rows, "v long, level long, value double, weight long"), volume="v", n=64).collect()}
+    for v, r in got.items():
+        level, value, weight = (np.array([x[i] for x in rows if x[0] == v], float) for i in (1, 2, 3))
+        assert (r.bandwidth, r.converged) == pytest.approx(stats._fixed_point(value, level, weight, 64), abs=1e-12)
+    p = np.array([[r.count(k) for k in range(64)] for r in ([RNG.randrange(64) for _ in range(300)] for _ in range(50))], float)
+    many = stats._fixed_points(p / 300, np.full(50, 300.0), np.ones(50))[0]
+    assert many == pytest.approx([stats._fixed_point(np.arange(64.0), np.arange(64.0), w, 64)[0] for w in p], abs=1e-9)
+
+
+def test_large_groups_stay_where_they_are(spark):
+    rows = spark.range(4000).select((F.col("id") % 3 == 0).alias("f"), (F.col("id") % 2).cast("string").alias("g"), (F.col("id") % 997).cast("double").alias("v"))
+    each = rows.groupBy("g").agg(F.count("*").alias("n"), F.max("v").alias("top"))
+    for direct in (10, 10_000):
+        plan = beside(rows, each, ["g"], direct)._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    ranges = spark.createDataFrame([("0", 0.0, 9.0), ("1", 5.0, 99.0)], "g string, lo double, hi double")
+    assert "SortMergeJoin" not in _in_ranges(rows.withColumnRenamed("v", "_v"), ranges, ["g"])._jdf.queryExecution().executedPlan().toString()
+
+
+def test_every_line_of_runs_in_one_table(spark, tmp_path):
+    (tmp_path / "r1").mkdir()
+    (tmp_path / "r1" / "m.csv").write_text('name,mae\n"a, b",1\nc,x\nd,2,3\n')
+    got = tables.parse_runs(spark, [str(tmp_path)], "mae double, name string").collect()
+    assert sorted((r.run, r.line, r.why, r.mae if r.why is None else None, r.name) for r in got) == sorted([("r1", '"a, b",1', None, 1.0, "a, b"), ("r1", "c,x", "mae", None, "c"), ("r1", "d,2,3", "more fields than names", None, "d")])
