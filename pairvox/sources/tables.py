@@ -11,6 +11,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from pairvox.operators.quantiles import few
 from pairvox.operators.spread import cut
@@ -157,7 +158,7 @@ def copy_subset(files: DataFrame, ids: DataFrame, *, name: str, id_: str, extens
 
     Up to `few` ids are looked for in each name in place. More, up to `shipped` bytes of them as measured, become an
     automaton in every worker that finds any of them in one pass over a name. Beyond that names are joined with ids on
-    equal pieces, of the ids' lengths. The result is the same; an empty id is in every name.
+    equal pieces, of the ids' lengths, of which few that are no ids are shuffled. The result is the same; an empty id is in every name.
     """
     fine = F.lit(False)
     for e in extensions:
@@ -169,10 +170,68 @@ def copy_subset(files: DataFrame, ids: DataFrame, *, name: str, id_: str, extens
         return files.filter(held).dropDuplicates()
     if ids.agg(F.sum(F.octet_length("_id") + 8)).first()[0] <= shipped:
         return files.mapInArrow(_finder(files.sparkSession, [r[0] for r in ids.collect()], files.columns.index(name)), files.schema).dropDuplicates()
-    lengths = [r[0] for r in ids.select(F.length("_id")).distinct().collect()]  # as many as there are lengths of ids
-    pieces = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - n + 1, F.lit(1))), lambda k: F.substr(F.col(name), k, F.lit(n)))
-    grams = F.flatten(F.array(*map(pieces, lengths)))
-    return files.withColumn("_id", F.explode(F.array_distinct(grams))).join(ids, "_id", "left_semi").drop("_id").dropDuplicates()
+    lengths = [r[0] for r in ids.select(F.octet_length("_id")).distinct().collect()]  # as many as there are lengths of ids
+    if 0 in lengths:
+        return files.dropDuplicates()
+    ids = ids.select(F.col("_id").cast("binary"))
+    return _likely_pieces(files, ids, name, lengths).join(ids, "_id", "left_semi").drop("_id").dropDuplicates()
+
+
+#: Bits of the filter that pieces of names pass before they are shuffled, and bits set by an id. Its size is fixed: more ids let more pieces pass, the join decides.
+FILTER_BITS, FILTER_HASHES = 1 << 27, 4
+
+
+def _likely_pieces(files: DataFrame, ids: DataFrame, name: str, lengths: list[int]) -> DataFrame:
+    """files with `_id` (bytes): a row for each piece of a name that has the length of an id and passes a filter of the ids' hashes; all pieces that are ids do."""
+    at, base, bits, hashes = files.columns.index(name), np.uint64(0x9E3779B97F4A7C15), FILTER_BITS, FILTER_HASHES
+
+    def sums(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Running sums of bytes times powers of an odd base, and the inverse powers: differences give each piece's hash."""
+        body = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint64)
+        power = lambda x: np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(len(body), x, np.uint64)]))
+        return np.concatenate([[np.uint64(0)], np.cumsum(body * power(base)[:-1], dtype=np.uint64)]), power(np.uint64(pow(int(base), -1, 1 << 64)))
+
+    def places(h: np.ndarray, k: int) -> np.ndarray:
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(29)
+        return (h + np.uint64(k) * ((h >> np.uint64(32)) | np.uint64(1))) & np.uint64(bits - 1)
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            total, inverse = sums(texts)
+            ends = np.cumsum([len(x) for x in texts])
+            starts = ends - [len(x) for x in texts]
+            h = (total[ends] - total[starts]) * inverse[starts]
+            bit = np.concatenate([places(h, k) for k in range(hashes)])
+            yield pa.RecordBatch.from_arrays([pa.array((bit >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (bit & np.uint64(63))).view(np.int64))], ["word", "bits"])
+
+    words = ids.mapInArrow(build, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    table = np.zeros(bits // 64, np.int64)
+    table[words["word"].to_numpy()] = words["bits"].to_numpy()
+    shared = files.sparkSession.sparkContext.broadcast(table.view(np.uint64))
+    schema = StructType([*files.schema.fields, StructField("_id", BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        for batch in batches:
+            texts = [x.encode() for x in batch.column(at).to_pylist()]
+            sizes = np.array([len(x) for x in texts], np.int64)
+            total, inverse = sums(texts)
+            owner, ends = np.repeat(np.arange(len(texts)), sizes), np.cumsum(sizes)
+            for n in lengths:
+                own = np.flatnonzero(np.arange(len(owner)) + n <= ends[owner])
+                h = (total[own + n] - total[own]) * inverse[own]
+                for k in range(hashes):
+                    bit = places(h, k)
+                    fine = (table[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+                    own, h = own[fine], h[fine]
+                rows = owner[own]
+                begins = own - (ends - sizes)[rows]
+                pieces = pa.array([texts[r][b : b + n] for r, b in zip(rows.tolist(), begins.tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*batch.take(pa.array(rows)).columns, pieces], schema.names)
+
+    return files.mapInArrow(run, schema)
 
 
 _AUTOMATA: dict[int, object] = {}

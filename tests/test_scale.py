@@ -250,3 +250,9 @@ def test_every_line_of_runs_in_one_table(spark, tmp_path):
     (tmp_path / "r1" / "m.csv").write_text('name,mae\n"a, b",1\nc,x\nd,2,3\n')
     got = tables.parse_runs(spark, [str(tmp_path)], "mae double, name string").collect()
     assert sorted((r.run, r.line, r.why, r.mae if r.why is None else None, r.name) for r in got) == sorted([("r1", '"a, b",1', None, 1.0, "a, b"), ("r1", "c,x", "mae", None, "c"), ("r1", "d,2,3", "more fields than names", None, "d")])
+
+
+def test_few_pieces_that_are_no_ids_are_shuffled(spark):
+    files = spark.range(2000).select(F.concat(F.lit("scan-"), "id", F.lit("-é.nii")).alias("name"))
+    ids = spark.range(0, 2000, 5).select(F.concat(F.lit("scan-"), "id", F.lit("-")).cast("binary").alias("_id"))
+    assert 400 <= tables._likely_pieces(files, ids, "name", [7, 8, 9, 10]).count() < 420
