@@ -343,12 +343,12 @@ def _walls(y: np.ndarray) -> np.ndarray:
     return out
 
 
-def _peaks_of(y: np.ndarray, fraction: float) -> list[tuple[int, float, int, int]]:
-    """(place, prominence, left, right) of the peaks of one curve."""
+def _peaks_of(y: np.ndarray, fraction: float, flat: bool = True) -> list[tuple[int, float, int, int]]:
+    """(place, prominence, left, right) of the peaks of one curve; without `flat` a plateau is none."""
     change = np.flatnonzero(np.diff(y) != 0)
     begin, end = np.append(0, change + 1), np.append(change, len(y) - 1)
     level = y[begin]
-    tops = [(int(begin[k] + end[k]) // 2) for k in range(1, len(level) - 1) if level[k - 1] < level[k] > level[k + 1]]
+    tops = [(int(begin[k] + end[k]) // 2) for k in range(1, len(level) - 1) if level[k - 1] < level[k] > level[k + 1] and (flat or begin[k] == end[k])]
     before, after = _walls(y), len(y) - 1 - _walls(y[::-1])[::-1]
     peaks = []
     for i in tops:
@@ -361,8 +361,10 @@ def _peaks_of(y: np.ndarray, fraction: float) -> list[tuple[int, float, int, int
     return [(i, p, max([a, *(o[3] for o in kept if o[3] < i)]), min([b, *(o[2] for o in kept if o[2] > i)])) for i, p, a, b in kept]
 
 
-def find_peaks(h: DataFrame, *, volume: str, i: str, y: str, fraction: float = 0.1) -> DataFrame:
-    """(volume, i, y, prominence, left, right): local maxima (the middle of a plateau) of at least `fraction` of the greatest prominence, with bounds shared out between neighbours.
+def find_peaks(h: DataFrame, *, volume: str, i: str, y: str, fraction: float = 0.1, flat: bool = True) -> DataFrame:
+    """(volume, i, y, prominence, left, right): local maxima of at least `fraction` of the greatest prominence, with bounds shared out between neighbours.
+
+    A plateau counts at its middle; without `flat` only points above both neighbours count.
 
     h has a few thousand points a volume at most, so a volume is one pass in one task. Prominence: height above the
     higher of the lowest points on the way to a higher point on either side.
@@ -371,7 +373,7 @@ def find_peaks(h: DataFrame, *, volume: str, i: str, y: str, fraction: float = 0
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(i)
         at, height = pdf[i].to_numpy(np.int64), pdf[y].to_numpy(float)
-        rows = [(pdf[volume].iloc[0], int(at[k]), float(height[k]), p, int(at[a]), int(at[b])) for k, p, a, b in _peaks_of(height, fraction)]
+        rows = [(pdf[volume].iloc[0], int(at[k]), float(height[k]), p, int(at[a]), int(at[b])) for k, p, a, b in _peaks_of(height, fraction, flat)]
         return pd.DataFrame(rows, columns=[volume, "i", "y", "prominence", "left", "right"])
 
     kind = h.schema[volume].dataType.simpleString()
