@@ -33,12 +33,12 @@ def npeaks_find(
     change: Callable[[DataFrame], DataFrame] | None = None, threshold: Column | dict[str, Column] | None = None,
     curve: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]] | None = None,
     spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), radius: float = 3.0, quantile: float | dict[str, float] = 0.5,
-    n_levels: int = 1024, grid: int = 10_000, bandwidth: float | None = None, fraction: float = 0.1, span: tuple[float, float] | None = None,
+    n_levels: int = 1024, grid: int = 10_000, bandwidth: float | None = None, fraction: float = 0.1, span: tuple[float, float] | None = None, flat: bool = True,
 ) -> DataFrame:
     """(volume_id, mask, threshold, voxels, bandwidth, peak) for every volume and mask (volume_id, mask, z, px of 0 and 1).
 
     The local change of the whole volume, its quantile inside the mask, the mask's pixels up to that threshold, their
-    level counts and density, its peaks, and the one that strategies[mask] picks (`most` for others); null without a
+    level counts and density, its peaks (see `find_peaks`), and the one that strategies[mask] picks (`most` for others); null without a
     peak. The bandwidth is the improved Sheather-Jones one unless given. The grid goes over `span`, or over the values and
     three bandwidths or a twentieth of their range beyond. Pixels meet as arrays by slice; levels (n_levels a mask at
     most) are all that a task for one volume and mask sees.
@@ -76,7 +76,7 @@ def npeaks_find(
         if y is not None and callable(pick):
             peak = pick(x, y)
         elif y is not None:
-            found = _peaks_of(y, fraction)
+            found = _peaks_of(y, fraction, flat)
             rank = {"highest": lambda p: (-y[p[0]], p[0]), "left": lambda p: p[0], "right": lambda p: -p[0]}.get(pick, lambda p: (-y[p[2] : p[3] + 1].sum(), p[0]))
             peak = float(x[min(found, key=rank)[0]]) if found else None
         return pd.DataFrame({"volume_id": [pdf["volume_id"].iloc[0]], "mask": [pdf["mask"].iloc[0]], "threshold": [pdf["threshold"].iloc[0]], "voxels": [int(weight.sum())], "bandwidth": pd.array([width], "Float64"), "peak": pd.array([peak], "Float64")})

@@ -277,3 +277,10 @@ def as_the_twin(spark, folder, name):
 def test_picked_peaks_with_flat_tops(spark, tmp_path):
     flat_tops(spark, tmp_path)
     as_the_twin(spark, tmp_path, "peak_pick")
+
+
+def test_peaks_with_flat_tops(spark, tmp_path):
+    flat_tops(spark, tmp_path)
+    as_the_twin(spark, tmp_path, "peaks")
+    y = np.array([0.0, 1.0, 3.0, 3.0, 1.0, 2.0, 0.0])
+    assert [p[0] for p in stats._peaks_of(y, 0.1)] == [2, 5] and [p[0] for p in stats._peaks_of(y, 0.1, flat=False)] == [5]
